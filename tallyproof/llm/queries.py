@@ -1,11 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import minhash, quality
+from . import linedup, minhash, packing, quality
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_line_dedup": linedup.op6_line_dedup,
     "op8_minhash_odd_sketch": minhash.op8_minhash_odd_sketch,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {
+    "op6_line_dedup": linedup.OP6_SQL,
     "op8_minhash_odd_sketch": minhash.OP8_SQL,
 }

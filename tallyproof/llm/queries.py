@@ -1,15 +1,17 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import linedup, minhash, packing, quality, substrings
+from . import linedup, minhash, packing, quality, substrings, suffixes
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_line_dedup": linedup.op6_line_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_minhash_odd_sketch": minhash.op8_minhash_odd_sketch,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {
+    "op5_suffix_array_dedup": suffixes.OP5_SQL,
     "op6_line_dedup": linedup.OP6_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
     "op8_minhash_odd_sketch": minhash.OP8_SQL,

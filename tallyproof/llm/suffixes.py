@@ -382,8 +382,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-g AS (SELECT doc_id, unnest(range(0, CAST(length(x) // 2 - 49 AS BIGINT))) AS i, x FROM t WHERE length(x) >= 100),
-h AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS k FROM g),
+b AS (SELECT doc_id, unnest(range(0, CAST(length(x) // 2 - 49 AS BIGINT), 200)) AS b, x FROM t WHERE length(x) >= 100),
+u AS (SELECT doc_id, b, substr(x, 2 * b + 1, 498) AS u FROM b),
+g AS (SELECT doc_id, b, u, unnest(range(0, length(u) // 2 - 49)) AS o FROM u),
+h AS (SELECT doc_id, b + o AS i, hash(substr(u, 2 * o + 1, 100)) AS k FROM g),
 f AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k),
 c AS (SELECT doc_id, i FROM h JOIN f USING (k) WHERE first < doc_id),
 s AS (SELECT *, coalesce(i > lag(i) OVER w + 50, true) AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),

@@ -1,13 +1,16 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import linedup, minhash, packing, quality, substrings, suffixes
+from . import linedup, minhash, neighbours, packing, pieces, quality, substrings, suffixes, urls
 
 QUERIES = {
+    "op1_url_words": urls.op1_url_words,
+    "op2_multiprobe_neighbours": neighbours.op2_multiprobe_neighbours,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_line_dedup": linedup.op6_line_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_minhash_odd_sketch": minhash.op8_minhash_odd_sketch,
+    "op9_sampled_pieces": pieces.op9_sampled_pieces,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {

@@ -39,30 +39,43 @@ def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return (i * base + F.greatest(F.lit(0), F.lit(i) - short)).cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
 
 
-def _keys(text: Column, under: Column, threshold: int, least: int) -> Column:
-    """[(key, role, start, n)] of a line: role 0 for its own segments, 1 for
-    probes. under: the key that the lines already share."""
-    length = F.char_length(text)
+def _shape(length: Column, threshold: int, least: int) -> list[tuple]:
+    """(name, valid, role, start, n, other length, segment) of each key of a line:
+    role 0 for its own segments, 1 for probes."""
     out = []
     for shorter in range(threshold + 1):
         other = (length - shorter).cast("int")
         for i in range(threshold + 1):
             start, n = _segment(other, i, threshold)
             for o in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                own = shorter == 0 and o == 0
-                at = start + o
-                key = F.xxhash64(under, other, F.lit(i), F.substring(text, at + 1, n))
-                entry = F.struct(key.alias("key"), F.lit(0 if own else 1).alias("role"), at.cast("int").alias("start"), n.alias("n"))
-                out.append(F.when((other >= least) & (at >= 0) & (at + n <= length), entry))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                at = (start + o).cast("int")
+                out.append((f"k{len(out)}", (other >= least) & (at >= 0) & (at + n <= length), int(shorter > 0 or o != 0), at, n, other, i))
+    return out
+
+
+def _keys(text: str, length: str, under: Column, threshold: int, least: int) -> list[Column]:
+    """The keys k0, k1, ... of a line (null where there is none). under: the key
+    that the lines already share."""
+    return [F.when(valid, F.xxhash64(under, other, F.lit(i), F.substring(F.col(text), at + 1, n))).alias(name) for name, valid, _, at, n, other, i in _shape(F.col(length), threshold, least)]
+
+
+def _entries(rows: DataFrame, threshold: int, least: int, *keep: str) -> DataFrame:
+    """A row (key, role, start, n) for each key of rows with length, k0, k1, ..."""
+    every = F.array(*(F.struct(F.col(name).alias("key"), F.lit(role).alias("role"), at.alias("start"), n.alias("n")) for name, _, role, at, n, _, _ in _shape(F.col("length"), threshold, least)))
+    return rows.select(*keep, F.inline(every)).where("key is not null")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether a and b are within threshold edits: bit d * band + k + threshold of
     the state tells whether diagonal k is reached with d errors."""
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+    both = F.array(F.struct(chars(a).alias("x"), chars(b).alias("y")))  # so that each is made once
+    return F.element_at(F.transform(both, lambda p: _within(p.x, p.y, threshold)), 1)
+
+
+def _within(x: Column, y: Column, threshold: int) -> Column:
     band = 2 * threshold + 1
     full = (1 << band) - 1
-    x, y = F.regexp_extract_all(a, F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all(b, F.lit("(?s)(.)"), F.lit(1))
     shift = F.size(y) - F.size(x)
     start = sum(1 << (d * band + k + threshold) for d in range(threshold + 1) for k in range(d + 1))
 
@@ -97,9 +110,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame, fetch, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, pairs: int = PAIRS) -> DataFrame:
-    """(a, b) of ids of lines within the threshold. lines: distinct, with id and
-    entries as _keys makes them; fetch(ids): (id, line) of those ids."""
-    rows = common.stored(lines.select("id", F.inline("entries")), "keys")
+    """(a, b) of ids of lines within the threshold. lines: distinct, with id,
+    length and keys; fetch(ids): (id, line) of those ids."""
+    rows = common.stored(_entries(lines, threshold, min_chars, "id"), "keys")
 
     def sized(rows):
         return common.stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("role") == 0).alias("own")).where("size > 1 and own > 0"), "sizes")
@@ -112,7 +125,8 @@ def links(lines: DataFrame, fetch, threshold: int = THRESHOLD, min_chars: int =
         cut = F.concat(F.substring("line", F.lit(1), F.col("start")), F.substring("line", F.col("start") + F.col("n") + 1, F.char_length("line")))
         rest = common.stored(big.join(texts, "id").select("key", "id", cut.alias("rest")), "rest")
         while True:
-            again = rest.select("id", "rest", F.inline(_keys(F.col("rest"), F.col("key"), threshold, threshold + 1)))
+            measured = rest.withColumn("length", F.char_length("rest"))
+            again = _entries(measured.select("id", "rest", "length", *_keys("rest", "length", F.col("key"), threshold, threshold + 1)), threshold, threshold + 1, "id", "rest")
             # rests too short to be cut: equal lengths are all within reach
             least = rest.select("id", "rest", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(threshold)), lambda d: F.struct(F.xxhash64("key", F.lit("short"), F.char_length("rest") - d).alias("key"), (d > 0).cast("int").alias("role"), (F.char_length("rest") - d).alias("left"))), lambda x: (x.left >= 0) & (x.left <= threshold))).alias("e")).select("id", "e.key", "e.role")
             short = common.stored(least, "short")
@@ -147,11 +161,12 @@ def duplicates(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     near: whether its class holds different texts. line_no counts from 0."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     every = plain.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.char_length("line") >= min_chars)
-    named = every.withColumn("id", F.unhex(F.md5("line")))
+    named = every.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("id"), "line", F.char_length("line").alias("length"))
     at = common.stored(named.select("doc_id", "line_no", "id"), "lines")
     seen = at.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     seen = common.stored(seen, "seen")
-    entries = named.select("id", _keys(F.col("line"), F.lit(0), threshold, min_chars).alias("entries")).groupBy("id").agg(F.first("entries").alias("entries"))
+    keyed = named.select("id", "length", *_keys("line", "length", F.lit(0), threshold, min_chars))
+    entries = keyed.groupBy("id").agg(*(F.first(c).alias(c) for c in keyed.columns if c != "id"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = seen.join(ids, "id").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", F.col("first.line_no").alias("line_no"))).alias("wanted"))

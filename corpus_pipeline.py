@@ -1,27 +1,53 @@
-"""A training corpus from raw documents: quality rules, line dedup, MinHash
-near-dedup, suffix-array dedup and best-fit packing, each stage on what the one
-before it kept."""
+"""A training corpus from raw documents, each stage on what the one before it kept.
+
+quality_rules drops documents; line_dedup cuts lines that came before; near_dedup
+keeps one document of each group of near copies; suffix_dedup cuts byte strings that
+an earlier document has; packing lays the tokens of what is left into sequences. A
+document whose text is cut away wholly stays, with an empty text. n_chars follows the
+text. Rows with a null doc_id pass the stages that compare documents unchanged.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyproof.llm import common, linedup, minhash, packing, quality, suffixes
+
 
-from tallyproof.llm import common, minhash, quality
+def _recounted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    kept = quality.judge(docs, common.table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return quality.kept(docs, common.table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that they share with earlier ones."""
+    return _recounted(linedup.removed(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    kept = minhash.link(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id. Five
+    words a shingle, as for all near-duplicate stages."""
+    gone = common.stored(minhash.link(docs, shingle=5).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that earlier ones have."""
+    return _recounted(suffixes.removed(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place in it."""
+    return packing.packed(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("best_fit_packing", best_fit_packing)]
 ORACLE_SQL = None
 
 

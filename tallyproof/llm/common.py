@@ -1,5 +1,5 @@
 """What the operators of this subpackage share: tables in the shared folder,
-connected components, and how many groups to deal rows to."""
+and connected components."""
 
 from __future__ import annotations
 
@@ -39,13 +39,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def group_count(docs: DataFrame, per_partition: int = 8) -> int:
-    """How many document groups to hash to: it grows with the number of input
-    splits, so that a group stays a small part of a split at every size."""
-    parts = max(shuffle_partitions(docs.sparkSession), docs.rdd.getNumPartitions())
-    return per_partition * parts
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for each end of an edge; component: the smallest id that
     can be reached. Labels spread along edges and are then shortened by looking

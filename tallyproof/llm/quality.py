@@ -82,15 +82,18 @@ def _measure(batches):
             lines, dups = _lines(text.to_pylist())
             repeats = [_repeated(hashes[i:j], WINDOW) for i, j in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in (np.diff(first), total(kept), total(marks[data]), dups, lines, repeats))],
-                ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"],
+                [*(part.column(c) for c in part.schema.names if c != "text"), *(pa.array(x, pa.int64()) for x in (np.diff(first), total(kept), total(marks[data]), dups, lines, repeats))],
+                [*(c for c in part.schema.names if c != "text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"],
             )
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row for each document: its counts, the base verdict and the signals."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row for each document: its counts, the base verdict and the signals.
+    carry: with the whole input row in the column row."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(_measure, f"doc_id long, lang string, {BASE}")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    more = f", row {plain.schema['row'].dataType.simpleString()}" if carry else ""
+    counts = plain.mapInArrow(_measure, f"doc_id long, lang string{more}, {BASE}")
     words = F.greatest("n_words", F.lit(1)).cast("double")
     return counts.select(
         "*",
@@ -134,9 +137,9 @@ def choose(counts: dict, grid: dict, risk: float, error: float) -> dict:
     return out
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> list[tuple]:
-    """[(stratum, {signal: cutoff or None})]: at most max_strata + 1 of them, the
-    pooled one with the name None. Every labelled document counts."""
+def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> tuple[list, list]:
+    """([(stratum, {signal: cutoff or None})], names of strata): at most max_strata
+    + 1 of them, the pooled one with the name None. Every labelled document counts."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
     named = F.coalesce("lang", F.lit("(null)"))
     top = [r[0] for r in measured.groupBy(named.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_strata).collect()]
@@ -151,12 +154,9 @@ def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk:
     return sorted(out, key=lambda x: (x[0] is None, x[0] or "")), top
 
 
-def judge(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
-    """The measures of each document with base_failed, rejected_by (the signals
-    above their cutoffs) and kept. The cutoffs are literals of the plan: at most
-    max_strata + 1 times the number of signals."""
-    measured = common.stored(measures(docs), "quality")
-    found, top = thresholds(measured, labels, grid, risk, error, max_strata)
+def verdicts(measured: DataFrame, found: list, top: list, grid: dict) -> DataFrame:
+    """measured with stratum, rejected_by and kept. The cutoffs are literals of the
+    plan: at most one for each stratum and signal."""
     named = F.coalesce("lang", F.lit("(null)"))
     stratum = F.when(named.isin(top), named) if top else F.lit(None).cast("string")
     hits = []
@@ -170,6 +170,20 @@ def judge(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = R
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
+def judge(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
+    """The measures of each document with base_failed, rejected_by (the signals
+    above their cutoffs) and kept."""
+    measured = common.stored(measures(docs), "quality")
+    return verdicts(measured, *thresholds(measured, labels, grid, risk, error, max_strata), grid)
+
+
+def kept(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
+    """The rows of docs that judge keeps. Documents are measured twice rather than
+    shuffled."""
+    found, top = thresholds(common.stored(measures(docs), "quality"), labels, grid, risk, error, max_strata)
+    return verdicts(measures(docs, carry=True), found, top, grid).where("kept").select("row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")

@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import linedup, minhash, neighbours, packing, pieces, quality, substrings, suffixes, urls
+from . import linedup, masked, minhash, neighbours, packing, pieces, quality, substrings, suffixes, urls
 
 QUERIES = {
     "op1_url_words": urls.op1_url_words,
     "op2_multiprobe_neighbours": neighbours.op2_multiprobe_neighbours,
+    "op3_masked_likelihood": masked.op3_masked_likelihood,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_line_dedup": linedup.op6_line_dedup,

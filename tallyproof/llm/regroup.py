@@ -20,10 +20,12 @@ ANSWERS = "g int, keys binary, least binary"
 PART = 1 << 19
 
 
-def grouped(docs: DataFrame, per_partition: int = 8) -> DataFrame:
-    """(g, doc_id, text) with the rows of a group in one partition."""
+def grouped(docs: DataFrame, per_partition: int = 8, carry: bool = False) -> DataFrame:
+    """(g, doc_id, text; carry: and the other columns as row) with the rows of a group in one partition. A group sends a
+    row to each bucket, so groups are few for each partition; a partition's text
+    must fit a task anyway, and spark.sql.shuffle.partitions grows with the input."""
     n = common.shuffle_partitions(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
     return plain.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n * per_partition)).cast("int")).repartition(n, "g")
 
 

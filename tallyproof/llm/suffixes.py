@@ -325,55 +325,86 @@ def _judge(width: int, shard_bytes: int):
     return run
 
 
-def _finish(width: int, gram: int, with_text: bool):
+def _removals(part, right, width: int, gram: int):
+    """What to remove: a flag for each byte of the part's texts."""
+    told, counts, first, starts, lengths, least = right
+    data, offsets, docs, valid = _read(part)
+    gone = np.zeros(len(data), bool)
+    if len(told):
+        _, start, _, h, text = fragments(data, offsets, valid, width, gram)
+        hit, at = regroup.found(h, told)
+        at, start, doc = at[hit], start[hit], docs[text[hit]]
+        runs = _ragged(first[at], counts[at])
+        start, doc = np.repeat(start, counts[at]) + starts[runs], np.repeat(doc, counts[at])
+        ok = least[runs] < doc
+        a, b = start[ok], start[ok] + lengths[runs][ok] + width - 1
+        steps = np.bincount(a, minlength=len(data) + 1) - np.bincount(b, minlength=len(data) + 1)
+        gone = np.cumsum(steps)[: len(data)] > 0
+    return data, offsets, gone
+
+
+def _told(right):
+    read = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in right.column(c).to_pylist())])
+    told, counts = read("hashes", np.uint64), read("counts", np.uint16).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    order = np.argsort(told)
+    return told[order], counts[order], first[order], read("starts", np.uint16).astype(np.int64), read("lengths", np.uint16).astype(np.int64), read("least", np.int64)
+
+
+def _finish(width: int, gram: int):
     def run(key, left, right):
-        read = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in right.column(c).to_pylist())])
-        told, counts = read("hashes", np.uint64), read("counts", np.uint16).astype(np.int64)
-        starts, lengths, least = read("starts", np.uint16).astype(np.int64), read("lengths", np.uint16).astype(np.int64), read("least", np.int64)
-        first = np.cumsum(counts) - counts
-        order = np.argsort(told)
-        told, counts, first = told[order], counts[order], first[order]
-        out = [[], [], [], [], [], []]
+        told, out = _told(right), [[], [], [], [], [], []]
         for part in regroup.slices(left):
-            data, offsets, docs, valid = _read(part)
-            gone = np.zeros(len(data), bool)
-            if len(told):
-                _, start, _, h, text = fragments(data, offsets, valid, width, gram)
-                hit, at = regroup.found(h, told)
-                at, start, doc = at[hit], start[hit], docs[text[hit]]
-                runs = _ragged(first[at], counts[at])
-                start, doc = np.repeat(start, counts[at]) + starts[runs], np.repeat(doc, counts[at])
-                ok = least[runs] < doc
-                a, b = start[ok], start[ok] + lengths[runs][ok] + width - 1
-                steps = np.bincount(a, minlength=len(data) + 1) - np.bincount(b, minlength=len(data) + 1)
-                gone = np.cumsum(steps)[: len(data)] > 0
+            data, offsets, gone = _removals(part, told, width, gram)
             for i, doc in enumerate(part.column("doc_id").to_pylist()):
                 a, b = offsets[i], offsets[i + 1]
                 own = gone[a:b]
-                if own.any():
-                    kept = data[a:b][~own].tobytes()
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
-                else:
-                    kept, edges = data[a:b].tobytes(), []
-                for c, x in zip(out, (doc, int(b - a), int(own.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept if with_text else [int(e) for e in edges]), strict=True):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).tolist() if own.any() else []
+                kept = data[a:b][~own] if edges else data[a:b]
+                for c, x in zip(out, (doc, int(b - a), int(own.sum()), len(edges) // 2, hashlib.sha256(kept.tobytes()).hexdigest(), edges), strict=True):
                     c.append(x)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary() if with_text else pa.list_(pa.int32()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept" if with_text else "removed"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     return run
 
 
-def judge(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed): removed is begin
-    and end of each removed run of bytes, one after another; with_text: in its place
-    kept, the bytes that stay."""
-    base = regroup.grouped(docs)
+def _rewrite(width: int, gram: int):
+    def run(key, left, right):
+        told, parts = _told(right), []
+        for part in regroup.slices(left):
+            data, offsets, gone = _removals(part, told, width, gram)
+            null = np.asarray(part.column("text").is_null())
+            texts = [None if n else data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b, n in zip(offsets[:-1], offsets[1:], null, strict=True)]
+            parts.append(pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"]))
+        return pa.Table.from_batches(parts)
+
+    return run
+
+
+def _asked(docs: DataFrame, width: int, gram: int, shard_bytes: int, carry: bool = False):
+    """The documents by group, and what each group is told."""
+    base = regroup.grouped(docs, carry=carry)
     buckets = common.shuffle_partitions(docs.sparkSession)
     shared = regroup.answers(base.groupBy("g").applyInArrow(_emit(buckets, width, gram), regroup.KEYS), False)
     asked = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_ask(buckets, width, gram), FRAGMENTS)
-    told = asked.groupBy("bucket").applyInArrow(_judge(width, shard_bytes), TOLD)
-    last = ("kept", "binary") if with_text else ("removed", "array<int>")
-    return base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_finish(width, gram, with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {last[0]} {last[1]}")
+    return base, asked.groupBy("bucket").applyInArrow(_judge(width, shard_bytes), TOLD)
+
+
+def judge(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed): removed is begin
+    and end of each removed run of bytes, one after another."""
+    base, told = _asked(docs, width, gram, shard_bytes)
+    return base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_finish(width, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+
+
+def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD) -> DataFrame:
+    """docs with the repeated bytes cut from text, and the same columns. What a cut
+    leaves of a character goes too."""
+    base, told = _asked(docs, width, gram, shard_bytes, carry=True)
+    row = base.schema["row"].dataType.simpleString()
+    out = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_rewrite(width, gram), f"row {row}, text string")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ ANSWERS = "g int, keys binary, least binary"
 PART = 1 << 19
 
 
-def grouped(docs: DataFrame, per_partition: int = 8, carry: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, per_partition: int = 2, carry: bool = False) -> DataFrame:
     """(g, doc_id, text; carry: and the other columns as row) with the rows of a group in one partition. A group sends a
     row to each bucket, so groups are few for each partition; a partition's text
     must fit a task anyway, and spark.sql.shuffle.partitions grows with the input."""

@@ -1,4 +1,4 @@
 """All registered queries of the library and their SQL twins."""
 
-from .plans import diagnostics, validation  # noqa: F401
+from .plans import diagnostics, records, validation  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

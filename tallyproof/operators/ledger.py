@@ -36,3 +36,12 @@ def reconciled(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
     cast = lambda d: d.select(*keys, *(F.col(f).cast("double").alias(f) for f in fields))
     both = long(cast(left), "l").withColumn("in_left", F.lit(True)).join(long(cast(right), "r").withColumn("in_right", F.lit(True)), [*keys, "field"], "full_outer")
     return both.select(*keys, "field", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"), close("l", "r", tolerance).alias("agrees"))
+
+
+def set_digest(rows: DataFrame, key: str, h: str, prefix: int = 3) -> DataFrame:
+    """(key, n, digest): a digest of each key's row hashes that doesn't depend on
+    their order. Hashes are sorted inside parts by their first digits, so that a key
+    with most of the rows is no single list; the parts' digests make the key's."""
+    parts = rows.groupBy(key, F.substring(h, 1, prefix).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(h)), ""), 256).alias("d"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x.d)
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sha2(F.array_join(every, ""), 256).alias("digest"))

@@ -11,13 +11,13 @@ from ..operators import retrieval as R
 from ..registry import query
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5]
-HITS = """em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sc AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS q_label, d.label AS d_label, list_cosine_similarity(q.v, d.v) AS s FROM em q JOIN em d ON q.vec_id % 25 = 0 AND q.vec_id <> d.vec_id),
+HITS = """em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sc AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS q_label, d.label AS d_label, list_cosine_similarity(q.v, d.v) AS s FROM em q JOIN em d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
 tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 5)"""
 
 
 def hits(spark, d, k=5):
     e = table(spark, d, "embeddings")
-    return R.top_k(R.scores(e.where("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding", ["label"]).where("query_id <> doc_id"), k)
+    return R.top_k(R.scores(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", ["label"]).where("query_id <> doc_id"), k)
 
 
 @query("fmth3_cosine", "WITH em AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM em a JOIN em b ON b.vec_id = a.vec_id + 1")
@@ -27,10 +27,10 @@ def fmth3(spark, d):
     return e.join(b, "vec_id").select("vec_id", F.round(N.cosine("embedding", "other"), 6).alias("score"))
 
 
-@query("jn11_query_scores", "WITH em AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM em q JOIN em d ON q.vec_id % 25 = 0")
+@query("jn11_query_scores", "WITH em AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM em q JOIN em d ON q.vec_id % 100 = 0")
 def jn11(spark, d):
     e = table(spark, d, "embeddings")
-    return R.scores(e.where("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return R.scores(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("win5_topk_documents", f"WITH {HITS} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM tk")
@@ -44,10 +44,10 @@ def win6(spark, d):
     return m.where("rank = 1").select("query_id", F.round(F.col("score") - F.col("next"), 6).alias("margin"))
 
 
-@query("rtv2_filtered_topk", "WITH em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sc AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.v, d.v) AS s FROM em q JOIN em d ON q.vec_id % 25 = 0 AND q.vec_id <> d.vec_id AND d.label < 5) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 5")
+@query("rtv2_filtered_topk", "WITH em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sc AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.v, d.v) AS s FROM em q JOIN em d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND d.label < 5) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 5")
 def rtv2(spark, d):
     e = table(spark, d, "embeddings")
-    return R.top_k(R.scores(e.where("vec_id % 25 = 0"), e.where("label < 5"), "vec_id", "vec_id", "embedding").where("query_id <> doc_id"), 5).select("query_id", "doc_id", "rank")
+    return R.top_k(R.scores(e.where("vec_id % 100 = 0"), e.where("label < 5"), "vec_id", "vec_id", "embedding").where("query_id <> doc_id"), 5).select("query_id", "doc_id", "rank")
 
 
 @query("rtv3_contract_hits", f"WITH {HITS} SELECT query_id, bool_or(q_label = d_label) AS hit, count(*) FILTER (q_label = d_label) AS n_hits FROM tk GROUP BY query_id")
@@ -85,12 +85,12 @@ def agg20(spark, d):
     return t.groupBy("threshold", "case_type").agg(F.count_if(F.col("s") >= F.col("threshold")).alias("above"), F.count("*").alias("n"), F.count_if((F.col("s") >= F.col("threshold")) & F.col("hit")).alias("hits_kept"))
 
 
-_VAR = "WITH em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id, label, 'original' AS variant, v FROM em WHERE vec_id % 25 = 0 UNION ALL SELECT vec_id, label, 'shorten', list_transform(v, lambda x, i: CASE WHEN i <= 48 THEN x ELSE 0.0 END) FROM em WHERE vec_id % 25 = 0), sc AS (SELECT q.vec_id AS query_id, q.variant, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, list_cosine_similarity(q.v, d.v) AS s FROM q JOIN em d ON q.vec_id <> d.vec_id), t1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY s DESC, doc_id) = 1), ch AS (SELECT b.query_id, a.doc_id <> b.doc_id AS changed, round(b.s - a.s, 6) AS delta, b.ql = b.dl AS hit FROM t1 a JOIN t1 b ON a.query_id = b.query_id AND a.variant = 'original' AND b.variant = 'shorten')"
+_VAR = "WITH em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id, label, 'original' AS variant, v FROM em WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id, label, 'shorten', list_transform(v, lambda x, i: CASE WHEN i <= 48 THEN x ELSE 0.0 END) FROM em WHERE vec_id % 100 = 0), sc AS (SELECT q.vec_id AS query_id, q.variant, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, list_cosine_similarity(q.v, d.v) AS s FROM q JOIN em d ON q.vec_id <> d.vec_id), t1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY s DESC, doc_id) = 1), ch AS (SELECT b.query_id, a.doc_id <> b.doc_id AS changed, round(b.s - a.s, 6) AS delta, b.ql = b.dl AS hit FROM t1 a JOIN t1 b ON a.query_id = b.query_id AND a.variant = 'original' AND b.variant = 'shorten')"
 
 
 def _variants(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0")
+    q = e.where("vec_id % 100 = 0")
     short = q.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < 48, x).otherwise(F.lit(0.0).cast("float"))))
     first = lambda x, n: R.top_k(R.scores(x, e, "vec_id", "vec_id", "embedding", ["label"]).where("query_id <> doc_id"), 1).select("query_id", F.col("doc_id").alias(f"doc_{n}"), F.col("score").alias(f"score_{n}"), (F.col("q_label") == F.col("d_label")).alias(f"hit_{n}"))
     both = first(q, "a").join(first(short, "b"), "query_id")

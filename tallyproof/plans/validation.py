@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SP, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import panels as P
+from ..operators import ledger as L, panels as P
 from ..registry import query
 
 DIRTY = """dirty AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 7 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '%' WHEN 6 THEN '  ' WHEN 5 THEN '1e' || CAST(CAST(l_quantity AS INT) % 10 AS VARCHAR) WHEN 4 THEN '-' || CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS q,
@@ -357,8 +357,8 @@ def fjsn1(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.digest("o_orderkey", "o_orderstatus", "o_orderpriority").alias("identity"))
 
 
-@query("fjsn2_corpus_digest", "WITH h AS (SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text))) AS h FROM documents) SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY source")
+@query("fjsn2_corpus_digest", "WITH h AS (SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text))) AS h FROM documents), b AS (SELECT source, left(h, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM b GROUP BY source")
 def fjsn2(spark, d):
     """A digest of each source that doesn't depend on row order."""
     h = table(spark, d, "documents").select("source", T.digest("doc_id", F.md5("text")).alias("h"))
-    return h.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    return L.set_digest(h, "source", "h").select("source", "digest")

@@ -4,18 +4,24 @@ A document's set is its distinct SHINGLE-word shingles (a shorter document's
 whole word sequence is its one shingle). Documents with equal sets form a class
 whose smallest id stands for it. Class representatives share a bucket when one of
 BANDS bands of ROWS MinHash values agrees; a pair at the threshold 0.8 shares none
-with a chance of (1 - 0.8**4)**32 < 1e-7. All MinHash values are also folded into
-an odd sketch: a parity bitmap in which each value flips one bit. The population
-count of the XOR of two sketches estimates their similarity; pairs are dropped
-only when the estimate lies over six standard deviations under the threshold.
-What is left is confirmed on the full sets, read again from the texts.
+with a chance of (1 - 0.8**4)**32 < 1e-7.
+
+A second MinHash sample takes the smallest hash of each of BINS ranges of hashes
+(a small set is nearly its own sample) and folds it into an odd sketch: a parity
+bitmap in which each value flips one bit. The population count of the XOR of two
+sketches tells how many values differ. Pairs are dropped only if it lies over six
+standard deviations beyond what the threshold allows for sets of their sizes, or if
+the sizes alone rule the threshold out. What is left is confirmed on the full sets,
+read again from the texts.
 
 A bucket is not expanded into pairs. First each member is compared with the
-bucket's smallest id; confirmed links give components. Then only members outside
-the bucket's largest component meet that component and one another, in blocks of
-BLOCK rows whose sketches numpy compares. Pairs inside one component need no test.
-So no link between two components is lost, and a bucket of n near copies costs
-about n rows.
+bucket's smallest id; confirmed links give components. Pairs inside a component need
+no test. Two rounds then test, for each document, only the closest one that a part of
+the comparisons shows in another component, which joins most of what belongs together; a last round tests all pairs of
+different components that the sketches allow. In a bucket only members outside its
+largest component meet that component and one another, in blocks of BLOCK rows whose
+sketches numpy compares. So no link between two components is lost, and a group of
+near copies costs about its size.
 
 Edge cases. A null or empty text has an empty set and links with nothing. A null
 doc_id cannot be linked: its component is null and the row is kept. Repeated rows
@@ -34,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common, textvec
 
 SHINGLE, PERCENT = 4, 80
-BANDS, ROWS, SKETCH_BITS, BLOCK = 32, 4, 1024, 256
+BANDS, ROWS, BINS, SKETCH_BITS, BLOCK = 32, 4, 1024, 2048, 256
 
 
 def _sets(text, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +66,7 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
 
-def _signatures(shingle: int, bands: int, rows: int, bits: int):
+def _signatures(shingle: int, bands: int, rows: int, bins_log: int, bits: int):
     def run(batches):
         rng = np.random.default_rng(8)
         n_hash = bands * rows
@@ -82,11 +88,13 @@ def _signatures(shingle: int, bands: int, rows: int, bits: int):
                     for m in range(rows):
                         acc = textvec.mix(acc ^ least[k * rows + m])
                     keys[k] = acc
-                places = (textvec.mix(least ^ salts[:n_hash, None]) % np.uint64(bits)).astype(np.int64)
-                odd = np.zeros((part.num_rows, bits), np.uint8)
-                for k in range(n_hash):
-                    odd[np.arange(part.num_rows), places[k]] ^= 1
-                sketches = np.packbits(odd, axis=1).view(np.int64)
+                bins = sets >> np.uint64(64 - bins_log)
+                head = np.ones(len(sets), bool)
+                head[1:] = bins[1:] != bins[:-1]
+                head[begin[:-1][full]] = True
+                place = textvec.mix(sets[head] ^ salts[0]) % np.uint64(bits)
+                flips = np.bincount(np.repeat(np.arange(part.num_rows), sizes)[head] * bits + place.astype(np.int64), minlength=part.num_rows * bits)
+                sketches = np.packbits((flips & 1).astype(np.uint8).reshape(part.num_rows, bits), axis=1).view(np.int64)
                 ids = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _lists(sketches), _lists(np.ascontiguousarray(keys.T).view(np.int64))],
@@ -96,20 +104,27 @@ def _signatures(shingle: int, bands: int, rows: int, bits: int):
     return run
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bins: int = BINS, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch, bands) of each row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_signatures(shingle, bands, rows, bits), "doc_id long, n_shingles long, set_key binary, sketch array<long>, bands array<long>")
+    return plain.mapInArrow(_signatures(shingle, bands, rows, bins.bit_length() - 1, bits), "doc_id long, n_shingles long, set_key binary, sketch array<long>, bands array<long>")
 
 
-def worst_distance(percent: int, n_hash: int, bits: int, deviations: float = 6.0) -> int:
-    """The most bits by which two sketches at the threshold may differ: with
-    MinHash agreement so many deviations under its mean, and the folding's own
-    deviations on top."""
+def most_flips(total, percent: int, bins: int, bits: int, exp, sqrt, deviations: float = 6.0):
+    """The most bits by which the sketches of a similar pair differ, for sets of
+    total size `total` together; numbers, arrays or columns, with their exp and sqrt."""
     j = percent / 100
-    differ = n_hash * (1 - j) + deviations * math.sqrt(n_hash * j * (1 - j))
-    chance = (1 - (1 - 2 / bits) ** (2 * differ)) / 2
-    return math.ceil(bits * chance + deviations * math.sqrt(bits * chance * (1 - chance)))
+    union = total / (1 + j)
+    used = bins * (1 - exp(union / -bins))  # ranges with a value of either set
+    # where the smallest hash isn't common, the other set may have a value too
+    both = 1 - exp(total * (-0.56 / bins))
+    odd = (1 - j) * used
+    differ = odd * (1 + both)
+    spread = j * odd * (1 - used / (union + 1)) * (1 + both) * (1 + both) + odd * both * (1 - both)
+    # bits with an odd number of so many flips
+    stays, two = exp(differ * math.log(1 - 2 / bits)), exp(differ * math.log(1 - 4 / bits))
+    fold = bits / 4 * (1 - two) + bits * bits / 4 * (two - stays * stays)
+    return bits / 2 * (1 - stays) + deviations * sqrt(spread * stays * stays + fold + 1)
 
 
 def _differing(x: str, y: str) -> Column:
@@ -121,34 +136,48 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
 
 
-def _blocks(limit: int):
+def _blocks(percent: int, bins: int, bits: int, best: bool):
     """Rows of (bucket, block) come sorted; each group holds at most two blocks of
-    members: side 0 against side 1, or (side 2) one block against itself."""
+    members: side 0 against side 1, or (side 2) one block against itself. best: only
+    the closest partner of each member."""
 
     def compare(rows):
         packed = np.array([r[3] for r in rows], np.int64).view(np.uint64)
-        side = np.array([r[0] for r in rows])
+        side, n = np.array([r[0] for r in rows]), np.array([r[4] for r in rows])
         ids, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         a, b = (np.flatnonzero(side != 1), np.flatnonzero(side != 0)) if 2 not in side else (np.arange(len(rows)),) * 2
-        for low in range(0, len(a), 64):
-            p = a[low : low + 64]
-            close = (_distances(packed[p], packed[b]) <= limit) & (comp[p][:, None] != comp[b][None, :])
-            i, j = np.nonzero(close)
-            yield from zip(np.minimum(ids[p[i]], ids[b[j]]).tolist(), np.maximum(ids[p[i]], ids[b[j]]).tolist(), strict=True)
+        for low in range(0, len(a), 16):
+            p = a[low : low + 16]
+            x, y = n[p][:, None], n[b][None, :]
+            close = (comp[p][:, None] != comp[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            apart = _distances(packed[p], packed[b])
+            close &= apart <= most_flips(x + y, percent, bins, bits, np.exp, np.sqrt)
+            if best:
+                apart = np.where(close, apart, bits + 1)
+                mine, theirs = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+                i, j = np.concatenate([mine, apart[:, theirs].argmin(0)]), np.concatenate([apart[mine].argmin(1), theirs])
+                own = np.concatenate([ids[p[mine]], ids[b[theirs]]])
+            else:
+                i, j = np.nonzero(close)
+                own = ids[p[i]]
+            yield from zip(own.tolist(), np.minimum(ids[p[i]], ids[b[j]]).tolist(), np.maximum(ids[p[i]], ids[b[j]]).tolist(), apart[i, j].tolist(), strict=True)
+
+    def made(rows):
+        found = set(compare(rows)) if rows else ()
+        cols = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["own", "a", "b", "apart"])
 
     def run(batches):
         held, key = [], None
         for batch in batches:
-            out = set()
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "block", "side", "id", "component", "sketch")]
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "block", "side", "id", "component", "sketch", "n")]
             for bucket, block, *row in zip(*cols, strict=True):
                 if (bucket, block) != key:
-                    out.update(compare(held) if held else ())
+                    if len(held) > 1:
+                        yield made(held)
                     held, key = [], (bucket, block)
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        out = set(compare(held)) if held else set()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        yield made(held)
 
     return run
 
@@ -183,35 +212,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     ends = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
     hubs = degree.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
     wanted = common.stored(ends.unionByName(hubs), "wanted")
-    rows = wanted.join(docs, "id").select("hub", "salt", "id", "text")
+    rows = wanted.hint("merge").join(docs, "id").select("hub", "salt", "id", "text")
     n = common.shuffle_partitions(docs.sparkSession)
     dealt = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("id") != F.col("hub"))
     return dealt.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
-def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
-    n = common.shuffle_partitions(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    signed = common.stored(signatures(docs, shingle, bands, rows, bits), "signed")
-    real = signed.where("set_key is not null and doc_id is not null")
-    classes = common.stored(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    sketches = classes.select("id", "sketch")
-    limit = worst_distance(percent, bands * rows, bits)
-    members = common.stored(classes.select("id", F.explode("bands").alias("bucket")), "members")
-    buckets = common.stored(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    inside = members.join(buckets, "bucket")
-    stars = common.stored(inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    close = stars.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b").where(_differing("sketch_a", "sketch_b") <= limit)
-    first = common.stored(confirmed(common.stored(close.select("a", "b"), "close"), plain, shingle, percent), "first")
-    labels = common.components(first)
-
-    labelled = common.stored(
-        inside.join(labels.select("id", "component"), "id", "left").select("bucket", "center", "size", "id", F.coalesce("component", "id").alias("component")), "labelled"
-    )
+def _candidates(inside: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, bins: int, bits: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose sketches
+    allow the threshold. In each bucket its largest component is met by the members
+    outside it, and they meet one another. best: only the closest pair that a quarter
+    of the buckets shows for each document, where a block of members meets itself and
+    one block of the largest component."""
+    n = common.shuffle_partitions(inside.sparkSession)
+    inside = inside.where(F.pmod("bucket", F.lit(4)) == 0) if best else inside
+    labelled = common.stored(inside.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
     parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = common.stored(
-        parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_other")).where("n_other > 1 or (n_other = 1 and n_main > 1)"), "main"
+        parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_other")).where("n_other > 0"), "main"
     )
     split = labelled.join(main, "bucket").join(sketches, "id")
     n_main, n_other = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_main", "n_other"))
@@ -219,20 +237,50 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands:
     split = split.withColumn("own", own).withColumn("is_main", F.col("component") == F.col("main"))
     grid = lambda count: F.sequence(F.lit(0), count - 1)
     # main block i meets other block j; other block i meets other block j >= i
-    met = split.select("bucket", "id", "component", "sketch", F.explode(
-        F.when(F.col("is_main"), F.transform(grid(n_other), lambda j: F.struct(F.concat_ws("-", F.lit("m"), F.col("own"), j).alias("block"), F.lit(0).alias("side"))))
+    mains = lambda: F.filter(grid(n_main), lambda i: i % n_other == F.col("own")) if best else grid(n_main)
+    others = lambda: F.array(F.col("own") % n_other) if best else grid(n_other)
+    met = split.select("bucket", "id", "component", "sketch", "n", F.explode(
+        F.when(F.col("is_main"), F.transform(others(), lambda j: F.struct(F.concat_ws("-", F.lit("m"), F.col("own"), j).alias("block"), F.lit(0).alias("side"))))
         .otherwise(F.concat(
-            F.transform(grid(n_main), lambda i: F.struct(F.concat_ws("-", F.lit("m"), i, F.col("own")).alias("block"), F.lit(1).alias("side"))),
-            F.transform(grid(n_other), lambda j: F.struct(F.concat_ws("-", F.lit("o"), F.least("own", j), F.greatest("own", j)).alias("block"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"))),
-        ))).alias("at")).select("bucket", "at.block", "at.side", "id", "component", "sketch")
-    more = met.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(_blocks(limit), "a long, b long").distinct()
-    more = common.stored(more.join(stars, ["a", "b"], "left_anti"), "more")
-    links = first.unionByName(confirmed(more, plain, shingle, percent))
+            F.transform(mains(), lambda i: F.struct(F.concat_ws("-", F.lit("m"), i, F.col("own")).alias("block"), F.lit(1).alias("side"))),
+            F.transform(others(), lambda j: F.struct(F.concat_ws("-", F.lit("o"), F.least("own", j), F.greatest("own", j)).alias("block"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"))),
+        ))).alias("at")).select("bucket", "at.block", "at.side", "id", "component", "sketch", "n")
+    dealt = met.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "side")
+    found = dealt.mapInArrow(_blocks(percent, bins, bits, best), "own long, a long, b long, apart int")
+    if best:
+        found = found.groupBy("own").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b")
+    return found.select("a", "b").distinct()
+
+
+def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bins: int = BINS, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    signed = common.stored(signatures(docs, shingle, bands, rows, bins, bits), "signed")
+    real = signed.where("set_key is not null and doc_id is not null")
+    classes = common.stored(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    sketches = classes.select("id", "n", "sketch")
+    members = common.stored(classes.select("id", F.explode("bands").alias("bucket")), "members")
+    buckets = common.stored(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    inside = common.stored(members.join(buckets, "bucket").select("bucket", "center", "id"), "inside")
+    # the texts that may be needed, fetched once; merge: alike at every size
+    texts = common.stored(plain.join(inside.select("id").distinct().hint("merge"), "id"), "texts")
+    stars = common.stored(inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    close = stars.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
+    close = close.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    close = close.where(_differing("sketch_a", "sketch_b") <= most_flips(F.col("n_a") + F.col("n_b"), percent, bins, bits, F.exp, F.sqrt))
+    first = common.stored(confirmed(common.stored(close.select("a", "b"), "close"), texts, shingle, percent), "first")
+    links, tested = first, stars
+    for best in (True, True, False):
+        labels = common.components(links)
+        more = _candidates(inside, labels, sketches, percent, bins, bits, best)
+        more = common.stored(more.join(tested, ["a", "b"], "left_anti"), "more")
+        links = links.unionByName(common.stored(confirmed(more, texts, shingle, percent), "more"))
+        tested = tested.unionByName(more)
     final = common.components(links)
 
     named = common.stored(classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

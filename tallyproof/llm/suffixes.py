@@ -12,8 +12,8 @@ In a bucket, equal fragments are one. Fragments are dealt to shards, and each sh
 gets its suffix array and Burrows-Wheeler transform. The shards are then merged
 without sorting suffixes again: an interleave that is right for the first k bytes
 becomes right for k + 1 by dealing its entries, in order, to the byte before them,
-that is, through the shards' LF mappings. Entries that were in one block and go to
-the same byte stay in one block; after WIDTH rounds a block is an interval of
+that is, through the shards' LF mappings. (A round here takes two bytes at once.)
+Entries that were in one block and go to the same byte stay in one block; after WIDTH rounds a block is an interval of
 suffixes with a common prefix of at least WIDTH bytes. Its smallest doc_id goes back
 to the groups that asked, which remove what an earlier document has.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, regroup, textvec
 
-WIDTH, GRAM, SHARD = 50, 20, 1 << 17
+WIDTH, GRAM, SHARD, SHARDS = 50, 20, 1 << 16, 4
 LONGEST = 64  # windows in a fragment at most
 FRAGMENTS = "bucket int, g int, keys binary, sizes binary, low binary, high binary, bytes binary"
 TOLD = "g int, hashes binary, counts binary, starts binary, lengths binary, least binary"
@@ -174,24 +174,29 @@ def _rows(rows: list, types: dict) -> pa.Table:
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array of fragments that end with a 0 each (at ends). A 0 sorts
     before every byte, and zeros by their place, so no two suffixes are equal."""
-    n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    span, top = 1, 256 + len(ends)
+    n, span = len(text), 6
+    number = np.searchsorted(ends, np.arange(n))  # of each place's fragment
+    code, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(span):
+        byte = np.zeros(n, np.int64)
+        byte[: n - k] = text[k:]
+        code = code << 8 | np.where(alive, byte, 0)
+        alive &= byte != 0
+    bits = int(len(ends)).bit_length()
+    code = code << bits | np.where(alive, 0, number) if bits < 15 else np.unique(np.stack([code, np.where(alive, 0, number)], 1), axis=0, return_inverse=True)[1].ravel()
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-span or None] = rank[span:] + 1
-        # what lies beyond a 0 doesn't matter: zeros differ already
-        code = rank * (top + 2) + after
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         c = code[order]
-        new = np.concatenate([[0], np.cumsum(c[1:] != c[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        new = np.concatenate([np.zeros(1, np.int64), np.cumsum(c[1:] != c[:-1])])
         top = int(new[-1])
-        span *= 2
         if top == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        # what lies beyond a 0 doesn't matter: suffixes with one differ already
+        code = rank * (top + 2)
+        code[: n - span] += rank[span:] + 1
+        span *= 2
 
 
 def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -213,22 +218,22 @@ def lf_mapping(bwt: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(entry, block): all shards' entries (numbered shard after shard) in the order
-    of their first depth bytes, and which of them agree in these. shards: (bwt, lf)."""
-    sizes = [len(b) for b, _ in shards]
-    base = np.cumsum([0, *sizes])
+    of their first depth bytes, and which of them agree in these. shards: (bwt, lf).
+    A round takes two bytes. Entries that meet a 0 there are blocks of their own."""
+    base = np.cumsum([0, *(len(b) for b, _ in shards)])
     bwt = np.concatenate([b for b, _ in shards])
     lf = np.concatenate([x + o for (_, x), o in zip(shards, base, strict=False)]).astype(np.int32)
-    entry = np.arange(base[-1], dtype=np.int32)
-    block = np.zeros(base[-1], np.int32)
-    n_zero = int((bwt == 0).sum())
-    for _ in range(depth):
-        byte = bwt[entry]
-        deal = np.argsort(byte, kind="stable")
-        byte, block, entry = byte[deal], block[deal], lf[entry[deal]]
-        entry[:n_zero] = np.sort(entry[:n_zero])  # zeros stand shard by shard
-        new = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
-        new[: max(0, n_zero - 1)] = True
-        block = np.concatenate([np.zeros(1, np.int32), np.cumsum(new, dtype=np.int32)])
+    two, lf_two = bwt[lf].astype(np.uint16) << 8 | bwt, lf[lf]
+    end_two = (bwt == 0) | (bwt[lf] == 0)
+    entry, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
+    for byte, step, end in [(two, lf_two, end_two)] * (depth // 2) + [(bwt, lf, bwt == 0)] * (depth % 2):
+        key = byte[entry]
+        deal = np.argsort(key, kind="stable")
+        key, block, entry = key[deal], block[deal], entry[deal]
+        new = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | end[entry[1:]]
+        entry = step[entry]
+        block[0] = 0
+        np.cumsum(new, out=block[1:])
     return entry, block
 
 
@@ -285,10 +290,15 @@ def _judge(width: int, shard_bytes: int):
         np.minimum.at(least, of, low)
         kinds = np.unique(key[one], return_inverse=True)[1]
         many = np.flatnonzero(np.bincount(kinds)[kinds] > 1)
+        many = many[np.argsort(kinds[many], kind="stable")]
         windows = size[one] - width + 1
         counts, starts, lengths, minima = np.ones(len(one), np.int64), np.zeros(len(one), np.int64), windows, least
         if len(many):
-            got = _least(blob, at[one[many]], size[one[many]], least[many], width, shard_bytes)
+            # minimizers don't mix: merge a few shards' worth of them at a time
+            total, kind = np.cumsum(size[one[many]]), kinds[many]
+            last = np.flatnonzero(np.append(kind[1:] != kind[:-1], True))
+            ends = last[np.unique(np.searchsorted(total[last], np.arange(SHARDS * shard_bytes, total[-1] + SHARDS * shard_bytes, SHARDS * shard_bytes)).clip(max=len(last) - 1))] + 1
+            got = np.concatenate([_least(blob, at[one[m]], size[one[m]], least[m], width, shard_bytes) for m in np.split(many, ends[:-1])])
             w = windows[many]
             begin = np.cumsum(w) - w
             head = np.ones(len(got), bool)

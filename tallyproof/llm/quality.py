@@ -1,19 +1,24 @@
 """Operator 4: quality rules with risk-controlled thresholds.
 
-Fixed base rules reject broken documents. Further signals get a cutoff for each
-stratum (language) from labelled documents: cutoffs are tried from the mildest
-to the strictest, and one is certified while the exact binomial (Clopper-Pearson)
-upper bound of its false rejection rate stays within the risk. Trying them in a
-fixed order and stopping at the first failure needs no correction within a
-signal; between signals and strata the error is divided (Bonferroni). The risk of
-a stratum is divided among its signals, so that all signals together reject at
-most that share of its good documents. Of the certified cutoffs a signal takes
-the one that rejects most of the documents labelled bad; a signal that rejects
-bad documents no more often than good ones gets none.
+Fixed base rules reject broken documents. Further signals get cutoffs for each
+stratum (language) from labelled documents. The cutoffs of all signals form one
+sequence from mild to strict; a step adds its cutoff to those before, and is certified
+while the exact binomial (Clopper-Pearson) upper bound of the share of good documents
+that all of them together reject stays within the risk. The sequence stops at the
+first failure, so neither risk nor error is divided among the signals; between strata
+the error is divided (Bonferroni). Which steps a stratum takes depends on its
+documents labelled bad alone (a step that rejects no more of them is left out), never
+on the good ones that certify it. Of the certified steps the one that rejects most of
+the bad documents is taken; none if it rejects bad documents no more often than good
+ones.
+
+A stratum with too few good labels to certify even a step that rejects none of them
+joins a pooled stratum; while that is too small too, the next larger one joins it.
 
 Edge cases. A null or empty text has no words and fails the base rules. Null
 languages form a stratum of their own. Strata beyond the MAX_STRATA most frequent
-share one pooled stratum. A document labelled twice counts as good only if every
+are in the pooled stratum from the start; a language among these without any label
+gets no cutoffs. A document labelled twice counts as good only if every
 label says so. Repeated rows are judged one by one; labels of unknown documents
 and an empty label table certify nothing. Extra columns are ignored.
 """
@@ -21,6 +26,7 @@ and an empty label table certify nothing. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -121,36 +127,81 @@ def certified(rejected: int, n: int, risk: float, error: float) -> bool:
     return n > 0 and rejected <= risk * n and log_binomial_cdf(rejected, n, risk) <= math.log(error)
 
 
+def sequence(grid: dict) -> list[tuple]:
+    """(signal, number of its cutoff) of all cutoffs, from mild to strict."""
+    every = [(s, i) for s, cutoffs in grid.items() for i in range(len(cutoffs))]
+    return sorted(every, key=lambda x: (x[1] + 1) / len(grid[x[0]]))
+
+
 def choose(counts: dict, grid: dict, risk: float, error: float) -> dict:
-    """counts: {(signal, i): (good rejected, good, bad rejected, bad)}."""
-    out = {}
-    for signal, cutoffs in grid.items():
-        best = (0.0, None)
-        for i, cutoff in enumerate(cutoffs):
-            k, n, hit, bad = counts[signal, i]
-            if not certified(k, n, risk, error):
-                break
-            rate = hit / bad if bad else 0.0
-            if rate > max(best[0], k / n):
-                best = (rate, cutoff)
-        out[signal] = best[1]
+    """counts: {(signal, i): (good rejected, good, bad rejected, bad)} by that step and
+    those before it; steps without counts are left out."""
+    out, best, cuts = dict.fromkeys(grid), 0.0, dict.fromkeys(grid)
+    for signal, i in sequence(grid):
+        if (signal, i) not in counts:
+            continue
+        k, n, hit, bad = counts[signal, i]
+        if not certified(k, n, risk, error):
+            break
+        cuts[signal] = grid[signal][i]
+        rate = hit / bad if bad else 0.0
+        if rate > max(best, k / n):
+            best, out = rate, dict(cuts)
+    return out
+
+
+def pooled(sizes: dict, risk: float, error: float) -> set:
+    """The strata that share the pooled one (None is always in it). sizes: good labels
+    by stratum; error: that of one stratum."""
+    out, n = {None}, sizes.get(None, 0)
+    for size, name in sorted((size, name) for name, size in sizes.items() if name is not None):
+        if certified(0, size, risk, error) and (certified(0, n, risk, error) or not n):
+            break
+        out.add(name)
+        n += size
     return out
 
 
+def _first(steps: list, grid: dict):
+    """The number of the first of steps that rejects a document; null if none."""
+    return F.coalesce(*(F.when(F.col(s) > grid[s][i], F.lit(t)) for t, (s, i) in enumerate(steps)), F.lit(None).cast("int"))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> tuple[list, list]:
     """([(stratum, {signal: cutoff or None})], names of strata): at most max_strata
     + 1 of them, the pooled one with the name None. Every labelled document counts."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
     named = F.coalesce("lang", F.lit("(null)"))
     top = [r[0] for r in measured.groupBy(named.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_strata).collect()]
-    held = measured.where("not base_failed").join(good, "doc_id").withColumn("stratum", F.when(named.isin(top), named) if top else F.lit(None).cast("string"))
-    over = [F.count_if((F.col("good") == g) & (F.col(s) > c)).alias(f"{s}_{i}_{g}") for s, cs in grid.items() for i, c in enumerate(cs) for g in (1, 0)]
-    rows = held.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n1"), F.count_if(F.col("good") == 0).alias("n0"), *over).collect()
-    share = len(grid)
+    stratum = F.when(named.isin(top), named) if top else F.lit(None).cast("string")
+    held = common.stored(measured.where("not base_failed").join(good, "doc_id").select(stratum.alias("stratum"), F.col("good"), *grid), "labelled")
+    sizes = {r["stratum"]: r["n"] for r in held.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n")).collect()}
+    if not sizes:
+        return [], top
+    error /= len(sizes)
+    shared = pooled(sizes, risk, error)
+    top = [x for x in top if x not in shared]
+    held = held.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")) if top else F.lit(None).cast("string"))
+    every = sequence(grid)
+    taken = defaultdict(set)
+    for r in held.where("good = 0").groupBy("stratum", _first(every, grid).alias("step")).count().where("step is not null").collect():
+        taken[r["stratum"]].add(r["step"])
+    steps = {name: [x for t, x in enumerate(every) if t in own] for name, own in taken.items()}
+    step = F.lit(None).cast("int")
+    for name, own in steps.items():
+        step = F.when(F.col("stratum").eqNullSafe(F.lit(name)), _first(own, grid)).otherwise(step)
+    seen = defaultdict(Counter)
+    for r in held.groupBy("stratum", "good", step.alias("step")).count().collect():
+        seen[r["stratum"], r["good"]][r["step"]] += r["count"]
     out = []
-    for r in rows:
-        counts = {(s, i): (r[f"{s}_{i}_1"], r["n1"], r[f"{s}_{i}_0"], r["n0"]) for s, cs in grid.items() for i in range(len(cs))}
-        out.append((r["stratum"], choose(counts, grid, risk / share, error / (share * len(rows)))))
+    for name, own in steps.items():
+        (good_at, n), (bad_at, bad) = ((seen[name, g], seen[name, g].total()) for g in (1, 0))
+        k = hit = 0
+        counts = {}
+        for t, x in enumerate(own):
+            k, hit = k + good_at[t], hit + bad_at[t]
+            counts[x] = (k, n, hit, bad)
+        out.append((name, choose(counts, grid, risk, error)))
     return sorted(out, key=lambda x: (x[0] is None, x[0] or "")), top
 
 

@@ -302,6 +302,41 @@ def test_quality_rejects_labelled_junk(spark):
     assert none.where("kept").count() == 5
 
 
+def test_quality_rejects_junk_that_passes_base_rules(spark):
+    rng = random.Random(9)
+    junk = lambda: " ".join("".join(rng.choices("abcdefgh#*|<>$", k=rng.randint(3, 7))) for _ in range(40))
+    rows = [(i, prose(rng, 60), "a" if i < 600 else "b" if i < 900 else "c") for i in range(1200)] + [(2000 + i, junk(), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 2000), 0) for i, _, _ in rows if i % 5], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs, labels, error=0.1).collect()
+    assert not any(r["base_failed"] for r in got)
+    # b and c have 240 good labels each, too few (ln(0.1 / 3) / ln(0.99) = 339) unless pooled
+    assert {(r["lang"], r["stratum"]) for r in got} == {("a", "a"), ("b", "(other)"), ("c", "(other)")}
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(1200))
+
+
+def test_strata_are_pooled_until_large_enough():
+    assert quality.pooled({"a": 2027, "b": 498, "c": 493, "d": 312}, 0.01, 0.0125) == {None, "c", "d"}
+    assert quality.pooled({"a": 2027, "b": 498}, 0.01, 0.0125) == {None}
+    assert quality.pooled({None: 5, "a": 498}, 0.01, 0.0125) == {None, "a"}
+
+
+def test_joint_false_rejections_stay_within_risk():
+    rng = np.random.default_rng(5)
+    grid = {"s": [4.0, 3.0, 2.5, 2.0, 1.5], "t": [4.0, 3.0, 2.5, 2.0, 1.5]}
+    steps = quality.sequence(grid)
+    over = taken = 0
+    for _ in range(300):
+        good, bad = ({x: rng.normal(m, 1, 800) for x in grid} for m in (0, 2))
+        at = lambda d: [np.logical_or.reduce([d[x] > grid[x][i] for x, i in steps[: t + 1]]).sum() for t in range(len(steps))]
+        counts = {x: (int(k), 800, int(hit), 800) for x, k, hit in zip(steps, at(good), at(bad), strict=True)}
+        cut = quality.choose(counts, grid, 0.05, 0.05)
+        tail = [0.5 * math.erfc(c / math.sqrt(2)) for c in cut.values() if c is not None]
+        over += 1 - math.prod(1 - p for p in tail) > 0.05
+        taken += len(tail) == 2
+    assert over <= 0.05 * 300 and taken > 250
+
+
 # --- 10: packing
 
 def test_packing(spark):

@@ -9,7 +9,8 @@ The vocabulary is counted over all documents: the most frequent words have a sym
 each, all others share OTHERS symbols by hash. Training is in numpy, next to the
 data: in each round every task starts from the same parameters and goes through all
 documents of its split, with every STRIDE-th word as a target (another one in each
-round); the parameters of all tasks are averaged by Spark, weighted by their targets.
+round, so that over all rounds every word is one); the parameters of all tasks are
+averaged by Spark, weighted by their targets.
 What a round gathers is one set of parameters for each input split, so it grows with
 the input; the averaged parameters have a fixed size (about 1.4 MB).
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, textvec
 from .packing import _slices
 
-SIDE, DIM, CLASSES, OTHERS, STRIDE, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 4, 2, 4096, 0.08
+SIDE, DIM, CLASSES, OTHERS, STRIDE, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 2, 2, 4096, 0.08
 PART = 1 << 19
 
 
@@ -256,6 +257,8 @@ def _score(made):
 
 def fit(docs: DataFrame, side: int = SIDE, dim: int = DIM, classes: int = CLASSES, size: int | None = None, stride: int = STRIDE, rounds: int = ROUNDS, rate: float = RATE, batch_size: int = BATCH):
     """A function that makes the trained Network."""
+    if rounds < stride:
+        raise ValueError("some words would never be a target: rounds must be stride or more")
     size = size or classes * classes
     texts = docs.select(F.col("text").cast("string").alias("text"))
     keys, counts = vocabulary(texts, size)

@@ -480,6 +480,23 @@ def test_scores_tell_prose_from_shuffled_words(spark):
     assert masked.score(frame(spark, []), masked.fit(frame(spark, []), classes=32, size=512)).count() == 0
 
 
+def test_every_word_is_a_target(spark):
+    seen = set()
+
+    class Recorder:
+        flat = np.zeros(4, np.float32)
+        symbols = staticmethod(lambda hashes: np.arange(len(hashes)))
+        contexts = staticmethod(lambda symbols, first, at: None)
+        learn = staticmethod(lambda context, target, rate: seen.update(target.tolist()))
+
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(1001))]})
+    for turn in range(masked.ROUNDS):
+        list(masked._train(Recorder, turn, masked.STRIDE, 0.1, 64, 1 << 15)([batch]))
+    assert seen == set(range(1001))
+    with pytest.raises(ValueError):
+        masked.fit(frame(spark, []), stride=4, rounds=2)
+
+
 def test_vocabulary_counts(spark):
     rows = [(i, "x " * (i + 1) + "y Y rare%d" % i) for i in range(20)]
     keys, counts = masked.vocabulary(frame(spark, rows).select("text"), masked.OTHERS + 2)

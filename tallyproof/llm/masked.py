@@ -6,26 +6,36 @@ gives the word's class and then the word in its class, so that probabilities sum
 one. A document's score is the sum of the log probabilities of all its words.
 
 The vocabulary is counted over all documents: the most frequent words have a symbol
-each, all others share OTHERS symbols by hash. Training is in numpy, next to the
+each, all others share OTHERS symbols by hash. A word that shares a symbol has that
+symbol's probability times its own share of the symbol's count (plus one, which is
+left to words that were never counted). The counts of all words stay a table of Spark,
+in as many buckets as there are shuffle partitions: a scoring task sends the hashes of
+such words to their buckets, packed by units of documents, and gets back one sum for
+each document and bucket. Training is in numpy, next to the
 data: in each round every task starts from the same parameters and goes through all
 documents of its split, with every STRIDE-th word as a target (another one in each
 round, so that over all rounds every word is one); the parameters of all tasks are
 averaged by Spark, weighted by their targets.
-What a round gathers is one set of parameters for each input split, so it grows with
-the input; the averaged parameters have a fixed size (about 1.4 MB).
+The table of counts grows with the corpus; the averaged parameters have a fixed size
+(about 1.4 MB).
 
 The result depends on how the input is split, as training does; it is the same each
 time that the same splits are read, also when a lost task runs again.
 
-Edge cases. A null or empty text has no words: its sum is 0 and its mean null. A null
+Edge cases. Words never counted (in texts other than those of fit) share what a symbol
+leaves to them. A null or empty text has no words: its sum is 0 and its mean null. A null
 doc_id is kept. Repeated rows get equal scores. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, textvec
@@ -33,6 +43,8 @@ from .packing import _slices
 
 SIDE, DIM, CLASSES, OTHERS, STRIDE, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 2, 2, 4096, 0.08
 PART = 1 << 19
+#: Bytes of text (and 64 for each document) whose rare words are sent together.
+UNIT = 1 << 25
 
 
 def _hashes(part):
@@ -56,7 +68,7 @@ def _count(buckets: int):
             bucket = keys % np.uint64(buckets)
             for b in np.unique(bucket):
                 m = bucket == b
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([keys[m].tobytes()], pa.binary()), pa.array([counts[m].tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([keys[m].tobytes()], pa.binary()), pa.array([counts[m].tobytes()], pa.binary())], ["bucket", "keys", "counts"])
 
         for batch in batches:
             for low, high in _slices(batch.column("text"), 1 << 22):
@@ -72,32 +84,56 @@ def _count(buckets: int):
     return run
 
 
+def _read(table, name, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+
+
+def _merged(table):
+    """One row with all keys of a bucket, in order, and their counts."""
+    keys, back = np.unique(_read(table, "keys", np.uint64), return_inverse=True)
+    counts = np.bincount(back, weights=_read(table, "counts", np.int64), minlength=len(keys)).astype(np.int64)
+    return pa.Table.from_arrays([table.column("bucket").slice(0, 1), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def tally(texts: DataFrame) -> DataFrame:
+    """(bucket, keys, counts) of all words: a stored row for each bucket."""
+    schema = "bucket int, keys binary, counts binary"
+    found = texts.mapInArrow(_count(common.shuffle_partitions(texts.sparkSession)), schema)
+    return common.stored(found.groupBy("bucket").applyInArrow(_merged, schema), "words")
+
+
 def _most(top: int):
-    """One row with the top keys of all rows of a bucket, and what the others come to
-    for each of the OTHERS symbols."""
+    """One row with the top keys of all rows, and what the others come to for each of
+    the OTHERS symbols."""
 
     def run(table):
-        read = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in table.column(c).to_pylist())])
-        keys, back = np.unique(read("keys", np.uint64), return_inverse=True)
-        counts = np.bincount(back, weights=read("counts", np.int64), minlength=len(keys)).astype(np.int64)
+        keys, counts = _read(table, "keys", np.uint64), _read(table, "counts", np.int64)
         best = np.lexsort((keys, -counts))
         rest = np.bincount((keys[best[top:]] % np.uint64(OTHERS)).astype(np.int64), weights=counts[best[top:]], minlength=OTHERS).astype(np.int64)
-        rest += read("rest", np.int64).reshape(-1, OTHERS).sum(0)
+        if "rest" in table.column_names:
+            rest += _read(table, "rest", np.int64).reshape(-1, OTHERS).sum(0)
         row = (keys[best[:top]], counts[best[:top]], rest)
         return pa.Table.from_arrays([table.column("bucket").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["bucket", "keys", "counts", "rest"])
 
     return run
 
 
-def vocabulary(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the most frequent words by rank, counts of all symbols). Buckets are
-    cut to their top and merged, about the square root of their number together, so
-    that as many rows of size keys come to the driver."""
+def _cut(top: int):
+    """Each bucket's row with its top keys."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _most(top)(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    return run
+
+
+def _ranked(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     own = size - OTHERS
-    buckets = common.shuffle_partitions(texts.sparkSession)
     schema = "bucket int, keys binary, counts binary, rest binary"
-    found = texts.mapInArrow(_count(buckets), schema).groupBy("bucket").applyInArrow(_most(own), schema)
-    few = found.withColumn("bucket", F.pmod("bucket", F.lit(max(1, round(buckets**0.5)))).cast("int")).groupBy("bucket").applyInArrow(_most(own), schema)
+    group = max(1, round(common.shuffle_partitions(words.sparkSession) ** 0.5))
+    few = words.mapInArrow(_cut(own), schema).withColumn("bucket", F.pmod("bucket", F.lit(group)).cast("int")).groupBy("bucket").applyInArrow(_most(own), schema)
     table = few.toArrow()
     counts = np.zeros(size, np.int64)
     if not table.num_rows:
@@ -108,6 +144,13 @@ def vocabulary(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def vocabulary(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the most frequent words by rank, counts of all symbols). Buckets are
+    cut to their top and merged, about the square root of their number together, so
+    that as many rows of size keys come to the driver."""
+    return _ranked(tally(texts), size)
+
+
 class Network:
     def __init__(self, keys: np.ndarray, flat: np.ndarray, size: int, classes: int, dim: int, side: int):
         self.order = np.argsort(keys)
@@ -236,9 +279,35 @@ def _average(table):
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "values": pa.array([np.asarray(total, np.float32).tobytes()], pa.binary())})
 
 
-def _score(made):
+def _score(made, buckets: int, unit: int):
+    """Rows of two kinds: a unit's documents with the sums by symbol (bucket -1), and
+    the words of the unit that share a symbol: for each bucket their places in the list
+    of documents and their hashes."""
+    kind = np.min_scalar_type(buckets)
+
     def run(batches):
-        net = made()
+        net, task = made(), TaskContext.get().partitionId()
+        number, size, held = 0, 0, []
+
+        def packed():
+            n, log = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            base = np.cumsum([0, *(len(x[1]) for x in held)])
+            at = np.concatenate([x[3] + b for x, b in zip(held, base[:-1], strict=True)]).astype(np.int32)
+            hashes = np.concatenate([x[4] for x in held])
+            docs = pa.StructArray.from_arrays([pa.concat_arrays([x[0] for x in held]), pa.array(n, pa.int64()), pa.array(log, pa.float64())], ["doc_id", "n_words", "log_likelihood"])
+            bucket = (hashes % np.uint64(buckets)).astype(kind)
+            order = np.argsort(bucket, kind="stable")
+            at, hashes, bucket = at[order], hashes[order], bucket[order]
+            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            ends = [*heads[1:], len(bucket)]
+            cut = lambda x: [None, *(x[i:j].tobytes() for i, j in zip(heads, ends, strict=False))]
+            many = len(heads) + 1
+            lists = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(many + 1), 1) * len(n), pa.int32()), docs)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + number] * many, pa.int64()), pa.array([-1, *bucket[heads].tolist()], pa.int32()), lists, pa.array(cut(at), pa.binary()), pa.array(cut(hashes), pa.binary())],
+                ["unit", "bucket", "docs", "at", "hashes"],
+            )
+
         for batch in batches:
             for low, high in _slices(batch.column("text"), PART):
                 part = batch.slice(low, high - low)
@@ -250,31 +319,83 @@ def _score(made):
                     log[at] = net.forward(net.contexts(symbols, first, at), symbols[at])[0]
                 sums = np.concatenate([[0], np.cumsum(log)])
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.where(n > 0, sums[first[1:]] - sums[first[:-1]], 0.0), pa.float64())], ["doc_id", "n_words", "log_likelihood"])
+                rare = np.flatnonzero(symbols >= net.size - OTHERS)
+                held.append((part.column("doc_id"), n, np.where(n > 0, sums[first[1:]] - sums[first[:-1]], 0.0), np.searchsorted(first, rare, "right") - 1, hashes[rare]))
+                size += part.column("text").nbytes + 64 * part.num_rows
+                if size >= unit:
+                    yield packed()
+                    number, size, held = number + 1, 0, []
+        if held:
+            yield packed()
 
     return run
 
 
-def fit(docs: DataFrame, side: int = SIDE, dim: int = DIM, classes: int = CLASSES, size: int | None = None, stride: int = STRIDE, rounds: int = ROUNDS, rate: float = RATE, batch_size: int = BATCH):
-    """A function that makes the trained Network."""
+def _shares(rest: np.ndarray):
+    """A bucket's words with their counts: for each unit the sums, by document, of the
+    logs of what the words have of their symbols."""
+    whole = np.log(rest + 1.0)
+
+    def run(left, right):
+        keys, logs = _read(right, "keys", np.uint64), np.log(_read(right, "counts", np.int64).astype(np.float64))
+        docs, sums = [], []
+        for at, hashes in zip(left.column("at").to_pylist(), left.column("hashes").to_pylist(), strict=True):
+            at, hashes = np.frombuffer(at, np.int32), np.frombuffer(hashes, np.uint64)
+            log = np.zeros(len(hashes))
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                log = np.where(keys[place] == hashes, logs[place], 0.0)
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            docs.append(at[heads].tobytes())
+            sums.append(np.add.reduceat(log - whole[(hashes % np.uint64(OTHERS)).astype(np.int64)], heads).tobytes())
+        return pa.Table.from_arrays([left.column("unit"), left.column("bucket"), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], ["unit", "bucket", "at", "sums"])
+
+    return run
+
+
+def _total(left, right):
+    """The documents of a unit, with the sums of all buckets, in the buckets' order."""
+    docs = left.column("docs").combine_chunks().flatten()
+    right = right.sort_by("bucket")
+    more = np.bincount(_read(right, "at", np.int32), weights=_read(right, "sums", np.float64), minlength=len(docs))
+    return pa.Table.from_arrays([docs.field("doc_id"), docs.field("n_words"), pa.array(docs.field("log_likelihood").to_numpy(zero_copy_only=False) + more)], ["doc_id", "n_words", "log_likelihood"])
+
+
+class Model(NamedTuple):
+    """made: a function that makes the trained Network; words: the counts of all words,
+    in so many buckets; rest: those of the symbols that words share."""
+
+    made: Callable
+    words: DataFrame
+    buckets: int
+    rest: np.ndarray
+
+
+def fit(docs: DataFrame, side: int = SIDE, dim: int = DIM, classes: int = CLASSES, size: int | None = None, stride: int = STRIDE, rounds: int = ROUNDS, rate: float = RATE, batch_size: int = BATCH) -> Model:
+    """The trained network and the counts of all words."""
     if rounds < stride:
         raise ValueError("some words would never be a target: rounds must be stride or more")
     size = size or classes * classes
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    keys, counts = vocabulary(texts, size)
+    buckets, words = common.shuffle_partitions(docs.sparkSession), tally(texts)
+    keys, counts = _ranked(words, size)
     flat = Network.start(counts, classes, dim, side)
     for turn in range(rounds):
         made = lambda flat=flat: Network(keys, flat, size, classes, dim, side)
         sent = texts.mapInArrow(_train(made, turn, stride, rate / (turn + 1), batch_size, 1 << 15), "chunk int, n long, values binary")
         rows = common.stored(sent.groupBy("chunk").applyInArrow(_average, "chunk int, values binary"), "network").orderBy("chunk").collect()
         flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]) if rows else flat
-    return lambda: Network(keys, flat, size, classes, dim, side)
+    return Model(lambda: Network(keys, flat, size, classes, dim, side), words, buckets, counts[size - OTHERS :])
 
 
-def score(docs: DataFrame, made) -> DataFrame:
+def score(docs: DataFrame, model: Model, unit: int = UNIT) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of each row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = plain.mapInArrow(_score(made), "doc_id long, n_words long, log_likelihood double")
+    sums = "doc_id long, n_words long, log_likelihood double"
+    rows = common.stored(plain.mapInArrow(_score(model.made, model.buckets, unit), f"unit long, bucket int, docs array<struct<{sums.replace(' ', ':').replace(',:', ',')}>>, at binary, hashes binary"), "scored")
+    rare = rows.where("bucket >= 0").select("unit", "bucket", "at", "hashes").groupBy("bucket")
+    shares = rare.cogroup(model.words.groupBy("bucket")).applyInArrow(_shares(model.rest), "unit long, bucket int, at binary, sums binary")
+    out = rows.where("bucket < 0").select("unit", "docs").groupBy("unit").cogroup(shares.groupBy("unit")).applyInArrow(_total, sums)
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

@@ -497,6 +497,37 @@ def test_every_word_is_a_target(spark):
         masked.fit(frame(spark, []), stride=4, rounds=2)
 
 
+def test_rare_words_have_their_own_probabilities(spark):
+    rng = random.Random(14)
+    pool = [f"r{i}" for i in range(3000)]
+    rows = [(i, " ".join(["the", *rng.choices(pool, range(1, 3001), k=60)])) for i in range(150)]
+    df = frame(spark, rows)
+    model = masked.fit(df, classes=32, dim=4, size=masked.OTHERS + 32)
+    counted = Counter(w for _, t in rows for w in words(t))
+    keys, _ = masked.vocabulary(df.select("text"), masked.OTHERS + 32)
+    tail = [(200, "the"), (201, "the " + " ".join(pool)), (202, "never"), (203, None), (203, "the never the"), *rows]
+    by = defaultdict(list)
+    for unit in (1 << 10, masked.UNIT):
+        for r in masked.score(frame(spark, tail), model, unit).collect():
+            by[r.doc_id, r.n_words].append(r.log_likelihood)
+    net = model.made()
+    rest = Counter()
+    code = lambda w: int(masked._hashes(pa.RecordBatch.from_pydict({"text": [w]}))[0][0])
+    hashes = {w: code(w) for w in [*counted, *pool, "never"]}
+    shared = {w for w in hashes if hashes[w] not in set(keys.tolist())}
+    for w in shared:
+        rest[hashes[w] % masked.OTHERS] += counted[w]
+    assert len(shared) > 2000 and "the" not in shared
+    for doc, text in tail:
+        w = words(text)
+        symbols = net.symbols(np.array([hashes[x] for x in w], np.uint64))
+        at = np.arange(len(w))
+        want = float(net.forward(net.contexts(symbols, np.array([0, len(w)]), at), symbols)[0].sum()) if w else 0.0
+        want += sum(math.log(max(counted[x], 1) / (rest[hashes[x] % masked.OTHERS] + 1)) for x in w if x in shared)
+        got = by[doc, len(w)]
+        assert len(got) == 2 and all(math.isclose(x, want, rel_tol=1e-4, abs_tol=1e-4) for x in got), doc
+
+
 def test_vocabulary_counts(spark):
     rows = [(i, "x " * (i + 1) + "y Y rare%d" % i) for i in range(20)]
     keys, counts = masked.vocabulary(frame(spark, rows).select("text"), masked.OTHERS + 2)

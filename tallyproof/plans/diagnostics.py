@@ -87,7 +87,8 @@ def notes(high: float = 80, moderate: float = 65, concentrated: float = 25):
 
 
 def same_period(panel, skus, target: str, **limits):
-    df = P.with_top(panel, skus).where(F.year("period_start") == int(target[:4]))
+    """Every window with its shares, scope flag and notes."""
+    df = P.with_top(panel, skus)
     df = df.withColumns({n: N.pct(x, y) for n, (x, y) in SHARES.items()})
     return df.select(*KEY, "period_month", "top3_amount", *SHARES, scope_flag(df, target).alias("scope_flag"), notes(**limits).alias("notes"))
 
@@ -100,9 +101,14 @@ _SHARED = f"{SP}, {SKU}, {TOP}, sh AS (SELECT sp.*, top3_amount, {', '.join(f'{_
 _FLAG = f"CASE WHEN period_month <> '{TARGET}' THEN 'not_comparable_period_mismatch' WHEN {' OR '.join(f'{c} IS NULL' for c in CORE)} THEN 'insufficient_data' ELSE 'same_period_diagnostic_ready' END"
 
 
+def _target_year(panel):
+    return panel.where(F.year("period_start") == int(TARGET[:4]))
+
+
 @query("dia2_same_period", f"WITH {_SHARED} SELECT {K}, period_month, top3_amount, {', '.join(SHARES)}, {_FLAG} AS scope_flag, {_notes(80, 65, 25)} AS notes FROM sh")
 def dia2(spark, d):
-    return same_period(store_period(spark, d), sku_period(spark, d), TARGET)
+    """The windows of the target's year only, as in the SQL."""
+    return same_period(_target_year(store_period(spark, d)), sku_period(spark, d), TARGET)
 
 
 _AVG = ", ".join(f"CASE WHEN count({m}) = count(*) THEN round(CAST(sum(CAST({m} AS DECIMAL(18, 4))) AS DOUBLE) / count({m}), 2) END AS avg_{m}" for m in CHECKED)
@@ -130,9 +136,14 @@ def dia4(spark, d):
 n AS (SELECT store_id, period_month, scenario, {_notes('80 + shift', '65 + shift', '25 + shift')} AS notes FROM sh CROSS JOIN sc)
 SELECT a.scenario, count(*) AS n_rows, count(*) FILTER (a.notes <> b.notes) AS n_changed FROM n a JOIN n b ON a.store_id = b.store_id AND a.period_month = b.period_month AND b.scenario = 'baseline' GROUP BY a.scenario""")
 def dia5(spark, d):
+    """The windows of the target's year only, as in the SQL."""
+    return guardrail_sensitivity(_target_year(store_period(spark, d)), sku_period(spark, d))
+
+
+def guardrail_sensitivity(panel, skus):
     """Rows whose notes change when the limits move by five points either way: each
     row carries its notes under all scenarios, so no join is needed."""
-    df = P.with_top(store_period(spark, d), sku_period(spark, d)).where(F.year("period_start") == int(TARGET[:4]))
+    df = P.with_top(panel, skus)
     df = df.withColumns({n: N.pct(x, y) for n, (x, y) in SHARES.items()})
     shifts = {"minus": -5, "baseline": 0, "plus": 5}
     wide = df.select(*(notes(80 + s, 65 + s, 25 + s).alias(n) for n, s in shifts.items()))

@@ -29,6 +29,18 @@ def test_query_equals_sql(spark, name):
     assert canonical(got.columns, [tuple(r) for r in got.collect()]) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables aren't here")
+def test_same_period_tells_of_every_window(spark):
+    from tallyproof.adapters import sku_period, store_period
+    from tallyproof.plans import diagnostics as D
+
+    panel, skus = store_period(spark, SF), sku_period(spark, SF)
+    n, target = panel.count(), panel.where(f"period_month = '{D.TARGET}'").count()
+    flags = {r.scope_flag: r["count"] for r in D.same_period(panel, skus, D.TARGET).groupBy("scope_flag").count().collect()}
+    assert sum(flags.values()) == n and flags["not_comparable_period_mismatch"] == n - target > 0
+    assert {r.n_rows for r in D.guardrail_sensitivity(panel, skus).collect()} == {n}
+
+
 def test_every_query_without_sql_is_known():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"agg15_fact_slots", "fdat3_request_window", "fstr10_query_variants", "fstr14_snippet", "rac9_report_sections", "rtv9_answers"}
 

@@ -39,7 +39,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, textvec
-from .packing import _slices
 
 SIDE, DIM, CLASSES, OTHERS, STRIDE, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 2, 2, 4096, 0.08
 PART = 1 << 19
@@ -71,7 +70,7 @@ def _count(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([keys[m].tobytes()], pa.binary()), pa.array([counts[m].tobytes()], pa.binary())], ["bucket", "keys", "counts"])
 
         for batch in batches:
-            for low, high in _slices(batch.column("text"), 1 << 22):
+            for low, high in textvec.slices(batch.column("text"), 1 << 22):
                 held.append(np.unique(_hashes(batch.slice(low, high - low))[0], return_counts=True))
                 if sum(len(x[0]) for x in held) > 1_000_000:
                     fold()
@@ -255,7 +254,7 @@ def _train(made, turn: int, stride: int, rate: float, batch_size: int, chunk: in
     def run(batches):
         net, n = made(), 0
         for batch in batches:
-            for low, high in _slices(batch.column("text"), PART):
+            for low, high in textvec.slices(batch.column("text"), PART):
                 hashes, first = _hashes(batch.slice(low, high - low))
                 symbols = net.symbols(hashes)
                 at = np.arange(turn % stride, len(symbols), stride)
@@ -309,7 +308,7 @@ def _score(made, buckets: int, unit: int):
             )
 
         for batch in batches:
-            for low, high in _slices(batch.column("text"), PART):
+            for low, high in textvec.slices(batch.column("text"), PART):
                 part = batch.slice(low, high - low)
                 hashes, first = _hashes(part)
                 symbols = net.symbols(hashes)

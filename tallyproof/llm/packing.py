@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bytebpe, common
+from . import bytebpe, common, textvec
 
 LENGTH, SALTS = 2048, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,7 +39,7 @@ def _cut(path: str, length: int, with_ids: bool):
     def run(batches):
         encoder = bytebpe.Encoder(path)
         for batch in batches:
-            for low, high in _slices(batch.column("text"), 1 << 21):
+            for low, high in textvec.slices(batch.column("text"), 1 << 21):
                 part = batch.slice(low, high - low)
                 ids, begin = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 rows = [[], [], [], [], [], []]
@@ -61,19 +61,6 @@ def _cut(path: str, length: int, with_ids: bool):
     return run
 
 
-def _slices(text, size: int):
-    """Row ranges of about so many bytes of text, at least a row each."""
-    import pyarrow.compute as pc
-
-    total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
-    low = 0
-    while low < len(text):
-        base = total[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(total, base + size)))
-        yield low, min(high, len(text))
-        low = high
-
-
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """The pieces of each document, with their ids if asked for."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -30,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, textvec
-from .packing import _slices
-from .suffixes import _ragged
 
 SEED, SMOOTHING, PART, LONG = 9, 1.0, 1 << 21, 48
 META = "▁"
@@ -235,7 +233,7 @@ def encode(model: Model, texts: list, keys: np.ndarray, seed: int = SEED) -> tup
         i = j
     _, one, which = np.unique(textvec.mix(h), return_index=True, return_inverse=True)
     own = size[one]
-    lattice = Lattice(model, c[_ragged(starts[one], own)], np.cumsum(own) - own, own)
+    lattice = Lattice(model, c[textvec.ragged(starts[one], own)], np.cumsum(own) - own, own)
     first = np.searchsorted(starts, bounds)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     place = (np.arange(len(starts)) - first[:-1][text]).astype(np.uint64)
@@ -250,7 +248,7 @@ def encode(model: Model, texts: list, keys: np.ndarray, seed: int = SEED) -> tup
         width[odd] = np.array([len(s) for s in spelled])[back]
         out = np.repeat(pieces, width)
         at = np.cumsum(width) - width
-        out[_ragged(at[odd], width[odd])] = np.concatenate([spelled[b] for b in back.tolist()])
+        out[textvec.ragged(at[odd], width[odd])] = np.concatenate([spelled[b] for b in back.tolist()])
         per_unit = np.add.reduceat(width, np.cumsum(count) - count)
         pieces, count = out, per_unit
     begin = np.concatenate([[0], np.cumsum(count)])[first]
@@ -259,7 +257,7 @@ def encode(model: Model, texts: list, keys: np.ndarray, seed: int = SEED) -> tup
 
 def decode(model: Model, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
     """The texts, in UTF-8."""
-    data = model.flat[_ragged(model.flat_at[ids], model.flat_len[ids])].tobytes() if len(ids) else b""
+    data = model.flat[textvec.ragged(model.flat_at[ids], model.flat_len[ids])].tobytes() if len(ids) else b""
     at = np.concatenate([[0], np.cumsum(model.flat_len[ids])])[begin].tolist()
     return [data[a + 1 : b] for a, b in zip(at[:-1], at[1:], strict=True)]  # without the leading space
 
@@ -274,7 +272,7 @@ def _encode(path, smoothing, seed, digest):
     def run(batches):
         model = Model(path, smoothing)
         for batch in batches:
-            for low, high in _slices(batch.column("text"), PART):
+            for low, high in textvec.slices(batch.column("text"), PART):
                 part = batch.slice(low, high - low)
                 texts = part.column("text").to_pylist()
                 ids, begin = encode(model, [t or "" for t in texts], _keys(part.column("key")), seed)

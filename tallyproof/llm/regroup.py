@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, textvec
 
 KEYS = "bucket int, g int, keys binary, low binary, high binary"
 ANSWERS = "g int, keys binary, least binary"
@@ -31,11 +31,9 @@ def grouped(docs: DataFrame, per_partition: int = 2, carry: bool = False) -> Dat
 
 def slices(table: pa.Table, size: int = PART):
     """The table in parts of about so many bytes of text, at least a row each."""
-    from .packing import _slices
-
     table = table.combine_chunks()
     for batch in table.to_batches():
-        for low, high in _slices(batch.column("text"), size):
+        for low, high in textvec.slices(batch.column("text"), size):
             yield batch.slice(low, high - low)
 
 

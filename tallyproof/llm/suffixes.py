@@ -113,12 +113,6 @@ def _emit(buckets: int, width: int, gram: int):
     return run
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each of the ranges."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _ask(buckets: int, width: int, gram: int):
     """Each distinct fragment of the group with a shared minimizer."""
 
@@ -135,7 +129,7 @@ def _ask(buckets: int, width: int, gram: int):
             first = np.flatnonzero(head)
             one = order[first]
             size = windows[one] + width - 1
-            for k, x in zip(held, (m[one], h[one], size, doc[one], doc[order][np.append(first[1:], len(h)) - 1], data[_ragged(start[one], size)]), strict=True):
+            for k, x in zip(held, (m[one], h[one], size, doc[one], doc[order][np.append(first[1:], len(h)) - 1], data[textvec.ragged(start[one], size)]), strict=True):
                 held[k].append(x)
         if not held["m"]:
             return _rows([], FRAGMENT_TYPES)
@@ -156,7 +150,7 @@ def _ask(buckets: int, width: int, gram: int):
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             s = slice(i, j)
             same = (low[s] == high[s]).all()
-            rows.append((int(bucket[i]), key[0].as_py(), m[s].astype(np.uint32).tobytes(), size[s].astype(np.uint16).tobytes(), low[s].tobytes(), b"" if same else high[s].tobytes(), blob[_ragged(at[s], size[s])].tobytes()))
+            rows.append((int(bucket[i]), key[0].as_py(), m[s].astype(np.uint32).tobytes(), size[s].astype(np.uint16).tobytes(), low[s].tobytes(), b"" if same else high[s].tobytes(), blob[textvec.ragged(at[s], size[s])].tobytes()))
         return _rows(rows, FRAGMENT_TYPES)
 
     return run
@@ -248,8 +242,8 @@ def _least(blob, at, size, low, width, shard_bytes) -> np.ndarray:
         ends = np.cumsum(s + 1) - 1
         text = np.zeros(ends[-1] + 1, np.uint8)
         begins = ends - s
-        own = blob[_ragged(at[i:j], s)]
-        text[_ragged(begins, s)] = np.where(own == 0, 255, own)  # 255 is in no UTF-8 text
+        own = blob[textvec.ragged(at[i:j], s)]
+        text[textvec.ragged(begins, s)] = np.where(own == 0, 255, own)  # 255 is in no UTF-8 text
         order = suffix_order(text, ends)
         bwt = transform(text, order)
         shards.append((bwt, lf_mapping(bwt, order, begins, ends)))
@@ -319,7 +313,7 @@ def _judge(width: int, shard_bytes: int):
         first = np.cumsum(counts) - counts
         # each asked fragment gets the runs that come before its last document
         asked = np.repeat(np.arange(len(h)), counts[of])
-        runs = _ragged(first[of], counts[of])
+        runs = textvec.ragged(first[of], counts[of])
         ok = minima[runs] < high[asked]
         asked, runs = asked[ok], runs[ok]
         told, n = np.unique(asked, return_counts=True)
@@ -344,7 +338,7 @@ def _removals(part, right, width: int, gram: int):
         _, start, _, h, text = fragments(data, offsets, valid, width, gram)
         hit, at = regroup.found(h, told)
         at, start, doc = at[hit], start[hit], docs[text[hit]]
-        runs = _ragged(first[at], counts[at])
+        runs = textvec.ragged(first[at], counts[at])
         start, doc = np.repeat(start, counts[at]) + starts[runs], np.repeat(doc, counts[at])
         ok = least[runs] < doc
         a, b = start[ok], start[ok] + lengths[runs][ok] + width - 1

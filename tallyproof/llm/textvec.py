@@ -1,8 +1,11 @@
 """Words and their hashes for whole Arrow batches of text, in numpy.
 
 A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r. Its
-hash is a polynomial over the word's bytes modulo 2**64, mixed at the end, so
-equal words have equal hashes in every process.
+hash is the sum of random numbers, one for each byte and its place in the word (a
+table of SPAN places, times a random odd number for each further SPAN), mixed at the
+end. So equal words have equal hashes in every process, and no pattern of bytes makes
+two words collide whatever the numbers are, as patterns do for a polynomial modulo
+2**64.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 BLOCK = 1 << 20
 
+SPAN, _STEP = 64, 1 << 15
 _rng = np.random.default_rng(20240517)
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[SEPARATOR] = 0
+_BYTE = _rng.integers(0, 2**64, (SPAN, 256), dtype=np.uint64)
+_BYTE[:, SEPARATOR] = 0
 _LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER[:, 65:91] = _BYTE[:, 97:123]
+_BYTE, _LOWER = _BYTE.ravel(), _LOWER.ravel()
 _powers: dict = {}
 
 
@@ -79,19 +82,61 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def slices(text, size: int):
+    """Row ranges of about so many bytes of text, at least a row each."""
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
+    low = 0
+    while low < len(text):
+        base = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, base + size)))
+        yield low, min(high, len(text))
+        low = high
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the ranges."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def odd(n: np.ndarray) -> np.ndarray:
+    """A random odd number for each number."""
+    return mix(n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the words that start there; lower: A-Z as a-z."""
     values, out, i, n = (_LOWER if lower else _BYTE), np.empty(len(starts), np.uint64), 0, len(starts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _STEP)))
         low, high = starts[i], starts[j] if j < n else len(data)
-        block = values[data[low:high]] * powers(_MULT, high - low)
         at = starts[i:j] - low
-        out[i:j] = np.add.reduceat(block, at) * powers(_INVERSE, int(at[-1]) + 1)[at]
+        size = np.diff(np.append(at, high - low))
+        place = np.arange(high - low) - np.repeat(at, size)
+        block = values[((place & (SPAN - 1)) << 8) | data[low:high]]
+        far = np.flatnonzero(place >= SPAN)
+        if len(far):
+            block[far] *= odd(place[far] // SPAN)
+        out[i:j] = np.add.reduceat(block, at)
         i = j
     return mix(out)
 
 
+def wide(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every run of width words, by doubling: each step mixes, so that no
+    pattern of equal words cancels out."""
+    if len(hashes) < width:
+        return np.zeros(0, np.uint64)
+    h, span = hashes, 1
+    join = lambda x, y, k: mix(x * np.uint64(0xD1342543DE82EF95) + y * np.uint64(0xAF251AF3B0F025B5) + np.uint64(k))
+    while 2 * span <= width:
+        h = join(h[:-span], h[span:], span)
+        span *= 2
+    return h if span == width else join(h[: len(h) - (width - span)], h[width - span :], width)
+
+
 def windows(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Hashes of every run of width words (len - width + 1 of them)."""
     rng = np.random.default_rng(seed)

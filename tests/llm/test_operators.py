@@ -11,11 +11,31 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bytebpe, linedup, masked, minhash, neighbours, packing, pieces, quality, recompress, substrings, suffixes, textvec, urls
+from tallyproof.llm import bytebpe, common, linedup, masked, minhash, neighbours, packing, pieces, quality, recompress, substrings, suffixes, textvec, urls
 
 from .helpers import documents, frame, prose, rows_of, words
 
 
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+# Words that a polynomial modulo 2**64 can't tell apart, whatever its base is.
+PATTERNS = [(1024, "a", "b"), (1024, "b", "a"), (2048, "a", "b"), (2048, "b", "a")]
+PATTERNS = [thue_morse(*p) for p in PATTERNS]
+
+
+def test_words_of_a_pattern_have_their_own_hashes():
+    text = " ".join([*PATTERNS, *(p.upper() for p in PATTERNS), *(p[:n] for p in PATTERNS for n in (63, 64, 65, 128, 129))])
+    data, offsets = textvec.buffers(pa.array([text]))
+    starts, _, _ = textvec.word_bounds(data, offsets)
+    assert len(set(textvec.word_hashes(data, starts).tolist())) == len(set(words(text)))
+    assert len(set(textvec.word_hashes(data, starts, lower=True).tolist())) == len(set(words(text.lower())))
+    two = np.array([1, 2], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seqs = [np.array([two[int(c)] for c in thue_morse(128, *z)], np.uint64) for z in (("0", "1"), ("1", "0"))]
+    assert textvec.wide(seqs[0], 128) != textvec.wide(seqs[1], 128)
+
+
 # --- 7: passages of words
 
 def plain_passages(rows, width):
@@ -46,6 +66,11 @@ def test_passages(spark):
     assert sum(r["n_removed"] > 0 for r in got) > 5
 
 
+def test_passages_of_pattern_words(spark):
+    rows = [(i, " ".join([p] * 60)) for i, p in enumerate(PATTERNS)] + [(9, " ".join([PATTERNS[1]] * 55))]
+    assert rows_of(substrings.judge(frame(spark, rows)).drop("removed")) == plain_passages(rows, 50)
+
+
 def test_passages_of_empty_table(spark):
     assert substrings.judge(frame(spark, [])).count() == 0
 
@@ -92,6 +117,11 @@ def test_byte_strings(spark):
     assert sum(r["n_removed"] > 0 for r in got) > 8
 
 
+def test_byte_strings_of_a_pattern(spark):
+    rows = [(i, p + "." + p[::-1]) for i, p in enumerate(PATTERNS)]
+    assert rows_of(suffixes.judge(frame(spark, rows)).drop("removed")) == plain_bytes(rows, 50)
+
+
 def test_byte_strings_removed_and_empty(spark):
     df = frame(spark)
     out = suffixes.removed(df)
@@ -143,7 +173,7 @@ def plain_components(rows, shingle, percent):
 
 def test_near_copies(spark):
     rng = random.Random(5)
-    rows = documents()
+    rows = documents() + [(60 + i, " ".join([p, *"xyz"] * 2)) for i, p in enumerate(PATTERNS)]
     base = prose(rng, 200).split(" ")
     for i in range(30):  # a chain of edits: links between neighbours only
         base = [prose(rng, 1) if rng.random() < 0.02 else x for x in base]
@@ -156,6 +186,60 @@ def test_near_copies(spark):
             assert r["component_id"] is None and r["kept"]
 
 
+def test_near_copies_of_one_id_with_two_texts(spark):
+    rng = random.Random(15)
+    w, u = prose(rng, 40), prose(rng, 40)
+    rows = [(2, w), (2, u), (1, w), (3, u), (3, u)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.link(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False)]
+
+
+def test_a_large_group_of_near_copies_gives_few_rows(spark, monkeypatch):
+    rng = random.Random(16)
+    base = prose(rng, 60).split(" ")
+    rows = []
+    for i in range(1500):  # any two differ in about four places: linked by chains only
+        own = list(base)
+        for _ in range(2):
+            own[rng.randrange(len(own))] = prose(rng, 1)
+        rows.append((i, " ".join(own)))
+    written = []
+    store = common.stored
+
+    def counting(df, tag):
+        out = store(df, tag)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(common, "stored", counting)
+    got = minhash.link(frame(spark, rows)).collect()
+    of, _ = plain_fast(rows, 4, 80)
+    assert {r.doc_id: r.component_id for r in got} == of
+    links = [n for tag, n in written if tag == "links"]
+    assert sum(links) < 40 * len(rows) and all(n <= 33 * len(rows) for _, n in written), written
+
+
+def plain_fast(rows, shingle, percent):
+    """As plain_components, by an inverted index."""
+    sets = {d: {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} for d, w in ((d, words(t)) for d, t in rows)}
+    of, index = {d: d for d in sets}, defaultdict(list)
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for d, s in sets.items():
+        both = Counter(o for g in s for o in index[g])
+        for o, n in both.items():
+            if 100 * n >= percent * (len(s) + len(sets[o]) - n):
+                a, b = sorted((root(d), root(o)))
+                of[b] = a
+        for g in s:
+            index[g].append(d)
+    return {d: root(d) for d in sets}, sets
+
+
 def test_near_copies_of_empty_table(spark):
     assert minhash.link(frame(spark, [])).count() == 0
 
@@ -258,7 +342,7 @@ def test_banded_distance(spark):
 # --- 4: quality rules
 
 def test_quality_counts(spark):
-    rows = [*documents(), (60, "w1 w2 w3 w4 w5 " * 2 + "x #* |"), (61, "a\n a\na\n\n\na")]
+    rows = [*documents(), (60, "w1 w2 w3 w4 w5 " * 2 + "x #* |"), (61, "a\n a\na\n\n\na"), (62, " ".join(f"{p} x y z w" for p in PATTERNS) + " q")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(6)] + [(1, 0, 0), (999, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for r, (doc, text) in zip(rows_of(quality.judge(frame(spark, rows), labels).drop("stratum")), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
         if doc is None:

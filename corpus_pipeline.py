@@ -32,9 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Five
-    words a shingle, as for all near-duplicate stages."""
-    gone = common.stored(minhash.link(docs, shingle=5).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    words a shingle, as for all near-duplicate stages. Rows are dropped by id and text,
+    so that an id that repeats with another text keeps that one."""
+    found = minhash.labelled(docs, shingle=5).where("not kept")
+    gone = common.stored(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("of")).distinct(), "gone")
+    same = (docs["doc_id"].cast("long") == gone["id"]) & (minhash.digest(docs["text"]) == gone["of"])
+    return docs.join(gone, same, "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def send(g: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: i
     order = np.lexsort((keys, low, bucket)) if bounds else np.lexsort((keys, bucket))
     keys, low, high, bucket = keys[order], low[order], high[order], bucket[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(keys))
+    ends = np.append(at[1:], len(keys))[: len(at)]
     more = (low != high)
     first = low if bounds else more.astype(np.uint8)
     rows = [(int(bucket[i]), g, keys[i:j].tobytes(), first[i:j].tobytes(), b"" if not bounds or not more[i:j].any() else high[i:j].tobytes()) for i, j in zip(at, ends, strict=True)]

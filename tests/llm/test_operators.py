@@ -484,7 +484,7 @@ def test_token_ids_equal_the_tokenizer():
 # --- 9: sampled pieces
 
 def test_pieces_round_trip(spark):
-    rows = [*documents(), (70, "▁a ▁ ▁▁ b"), (71, "   lead"), (72, "x" * 300 + "\x00\t\r\n"), (73, "line\n\nline ")]
+    rows = [*documents(), (70, "▁a ▁ ▁▁ b"), (71, "   lead"), (72, "x" * 300 + "\x00\t\r\n"), (73, "line\n\nline "), *((80 + i, f"{p} x {p}") for i, p in enumerate(PATTERNS))]
     df = frame(spark, rows)
     ids = pieces.encoded(df)
     back = rows_of(pieces.decoded(ids))
@@ -495,11 +495,23 @@ def test_pieces_round_trip(spark):
     assert pieces.encoded(frame(spark, [])).count() == 0
 
 
+def test_pieces_do_not_depend_on_the_batch(monkeypatch):
+    rng, m = random.Random(17), pieces.Model(pieces.default_path())
+    texts = [prose(rng, rng.randint(0, 30)) + rng.choice(["", " The quick fox", "é日本😀 x" * 9]) for _ in range(200)]
+    keys = np.arange(200).astype(np.uint64)
+    ids, begin = pieces.encode(pieces.Lattice(m), texts, keys)
+    monkeypatch.setattr(pieces, "EDGES", 500)
+    small = pieces.Lattice(m)
+    for i in rng.sample(range(200), 200):
+        own, _ = pieces.encode(small, [texts[i]], keys[i : i + 1])
+        assert own.tolist() == ids[begin[i] : begin[i + 1]].tolist()
+
+
 def test_samples_follow_the_lattice():
     m = pieces.Model(pieces.default_path())
     word = "there"
     n = 20000
-    ids, begin = pieces.encode(m, [word] * n, np.arange(n).astype(np.uint64))
+    ids, begin = pieces.encode(pieces.Lattice(m), [word] * n, np.arange(n).astype(np.uint64))
     got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:], strict=True))
     text, floor = " " + word, m.weight[m.weight > 0].min()
 

@@ -20,8 +20,7 @@ from . import textvec
 BEYOND = 0x3000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT = 1 << 19
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_PLACE = textvec.odd(np.arange(256))
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -62,7 +61,7 @@ class Encoder:
     def reset(self) -> None:
         self.keys = np.zeros((2, KEPT), np.uint64)
         self.entry = np.zeros((2, KEPT), np.int32)
-        self.flat: list = []
+        self.chars, self.char_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def starts(self, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -99,39 +98,60 @@ class Encoder:
         return np.flatnonzero(start)
 
     def _hashes(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hashes of pieces: their characters' numbers, each times a random odd number
+        of its place."""
         out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
         while i < n:
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + textvec.BLOCK // 4)))
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 15))))
             low, high = starts[i], starts[j] if j < n else len(c)
             at = starts[i:j] - low
-            block = self.char[c[low:high]] * textvec.powers(_MULT, high - low)
-            out[i:j] = np.add.reduceat(block, at) * textvec.powers(_INVERSE, int(at[-1]) + 1)[at]
+            place = np.arange(high - low) - np.repeat(at, np.diff(np.append(at, high - low)))
+            far = int(place.max()) + 1
+            by_place = _PLACE if far <= len(_PLACE) else textvec.odd(np.arange(far))
+            out[i:j] = np.add.reduceat(self.char[c[low:high]] * by_place[place], at)
             i = j
         return textvec.mix(out) | np.uint64(1)
 
+    def _same(self, entries: np.ndarray, c: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether these entries are of the pieces that start there in c."""
+        begin = self.char_at[entries]
+        out = self.char_at[entries + 1] - begin == sizes
+        at = np.flatnonzero(out)
+        own = sizes[at]
+        if len(at):
+            equal = self.chars[textvec.ragged(begin[at], own)] == c[textvec.ragged(starts[at], own)]
+            out[at] = np.logical_and.reduceat(equal, np.cumsum(own) - own)
+        return out
+
     def _entries(self, text: str, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The number of each piece's entry; new pieces are encoded."""
-        h = self._hashes(c, starts)
+        """The number of each piece's entry; new pieces are encoded. Characters are
+        compared, so pieces of one hash don't mix."""
+        h, sizes = self._hashes(c, starts), np.diff(np.append(starts, len(c)))
         slots = (h >> np.uint64(45)).astype(np.int64), ((h >> np.uint64(20)) & np.uint64(KEPT - 1)).astype(np.int64)
-        a, b = self.keys[0][slots[0]] == h, self.keys[1][slots[1]] == h
+        a = self.keys[0][slots[0]] == h
         found = np.where(a, self.entry[0][slots[0]], self.entry[1][slots[1]])
-        miss = np.flatnonzero(~(a | b))
-        if len(miss):
+        known = a | (self.keys[1][slots[1]] == h)
+        at = np.flatnonzero(known)
+        known[at] = self._same(found[at], c, starts[at], sizes[at])
+        while True:
+            miss = np.flatnonzero(~known)
+            if not len(miss):
+                return found
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
             at = miss[where]
-            ends = np.append(starts[1:], len(c))[at].tolist()
             encode = self.pieces.encode_ordinary
-            got = [encode(text[i:j]) for i, j in zip(starts[at].tolist(), ends, strict=True)]
-            base = len(self.begin) - 1
+            got = [encode(text[i : i + n]) for i, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]
+            numbers = len(self.begin) - 1 + np.arange(len(new), dtype=np.int32)
             self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.int32)])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(g) for g in got])])
-            numbers = base + np.arange(len(new), dtype=np.int32)
+            self.chars = np.concatenate([self.chars, c[textvec.ragged(starts[at], sizes[at])]])
+            self.char_at = np.concatenate([self.char_at, self.char_at[-1] + np.cumsum(sizes[at])])
             found[miss] = numbers[back]
+            known[miss] = self._same(found[miss], c, starts[miss], sizes[miss])
             s0, s1 = slots[0][at], slots[1][at]
             free = self.keys[0][s0] == 0
             self.keys[0][s0[free]], self.entry[0][s0[free]] = new[free], numbers[free]
             self.keys[1][s1[~free]], self.entry[1][s1[~free]] = new[~free], numbers[~free]
-        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, begin) of all texts, one after another."""

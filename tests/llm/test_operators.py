@@ -475,6 +475,7 @@ def test_token_ids_equal_the_tokenizer():
     t, e = Tokenizer.from_file(bytebpe.default_path()), bytebpe.Encoder(bytebpe.default_path())
     rng = random.Random(9)
     texts = ["".join(rng.choices("a b'srtvelmd1.\n\té ß٣", k=rng.randint(0, 40))) for _ in range(2000)]
+    texts += PATTERNS + [" ".join(PATTERNS)]
     texts += ["", " ", "\n", "x<|endoftext|>y", "日本 x", "don't you'll I'LL", "  a", "a  ", "''re", *(x or "" for _, x in documents())]
     ids, begin = e.encode(texts)
     for i, x in enumerate(texts):

@@ -450,21 +450,44 @@ def test_packing(spark):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
+def plain_best_fit(sizes, length):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else length) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "small", "one size", "long and short"])
+def test_places_are_best_fit(spark, kind):
     rng = random.Random(6)
-    for _ in range(30):
-        sizes = sorted((rng.randint(1, 40) for _ in range(rng.randint(1, 300))), reverse=True)
-        gaps = []
-        for s in sizes:
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(40 - s)
-        plan = packing.plan(np.bincount(sizes, minlength=41), 40)
-        ends = plan["sequence"] + -(-plan["many"] // plan["each"])
-        assert int(ends.max()) == len(gaps)
+    draw = {"mixed": lambda: rng.randint(1, 128), "small": lambda: rng.randint(1, 9), "one size": lambda: rng.choice([1, 43, 43, 43]), "long and short": lambda: rng.choice([rng.randint(60, 128), rng.randint(1, 3)])}[kind]
+    sizes = [draw() for _ in range(900)]
+    df = common.stored(spark.createDataFrame(list(enumerate(sizes)), "id long, size int"), "sizes")
+    used = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = packing.places(df, 128).collect()
+            assert sorted(r.id for r in rows) == list(range(len(sizes)))
+            by = defaultdict(list)
+            for r in rows:
+                by[r.sequence].append((r.offset, sizes[r.id]))
+            for own in by.values():
+                at = 0
+                for offset, size in sorted(own):
+                    assert offset == at
+                    at += size
+                assert at <= 128
+            assert len(by) <= plain_best_fit(sizes, 128) + (0 if parts == "1" else 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", used)
+
+
+def test_matches_take_the_nearest_places():
+    assert packing.matches({0: (5, 2), 1: (1, 3), 2: (4, 0), 3: (9, 1)}) == [(1, 0, 0, 0, 1), (2, 0, 1, 0, 3), (2, 3, 0, 1, 1)]
 
 
 # --- token ids

@@ -26,6 +26,12 @@ COUNTS = {
     "refund_orders": "count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END)",
     "store_average_rank": "max(l_linenumber)",
     "search_average_rank": "min(l_partkey % 50) + 1",
+    "entry_times": "sum(l_quantity) * 5",
+    "order_times": "count(*) * 2",
+    "merchant_list_exposure_users": "sum(CASE WHEN l_linenumber >= 4 THEN l_quantity ELSE 0 END) * 2",
+    "merchant_list_average_rank": "CASE WHEN max(l_suppkey) % 7 <> 0 THEN max(l_partkey % 20) + 1 END",
+    "merchant_list_entry_users": "sum(CASE WHEN l_linenumber >= 5 THEN l_quantity ELSE 0 END)",
+    "full_refund_orders": "count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN l_orderkey END)",
     "business_district_rank": "max((l_suppkey + m) % 20) + 1",
 }
 SUMS = {
@@ -34,6 +40,9 @@ SUMS = {
     "activity_original_transaction_amount": "sum(CASE WHEN l_discount >= 0.05 THEN CAST(l_extendedprice AS DECIMAL(18, 4)) END)",
     "activity_cost": f"sum({COST})",
     "merchant_subsidy_amount": "sum(CAST(l_extendedprice * l_discount * 0.6 AS DECIMAL(18, 6)))",
+    "order_amount": "sum(CAST(l_extendedprice AS DECIMAL(18, 4)))",
+    "payment_amount": f"sum(CASE WHEN l_returnflag <> 'R' THEN {AMOUNT} END)",
+    "platform_subsidy_amount": "sum(CAST(l_extendedprice * l_discount * 0.4 AS DECIMAL(18, 6)))",
     "refund_amount": f"sum(CASE WHEN l_returnflag = 'R' THEN {AMOUNT} END)",
 }
 # 1e-9: so that engines agree on amounts half-way between two cents

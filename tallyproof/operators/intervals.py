@@ -77,19 +77,92 @@ def range_values(records: DataFrame, requests: DataFrame, additive: list[str], p
     return g.withColumn("reason", reason).select(*key, value.alias("value"), basis.alias("basis"), "reason")
 
 
-def compared(values: DataFrame, primary: list[str]) -> DataFrame:
+def scopes(records: DataFrame, windows: DataFrame) -> DataFrame:
+    """(store_id, role, signature) of the windows (store_id, role, first, last) with
+    records inside: the signature that all of them have, or null if one has none or
+    they differ."""
+    inside = windows.join(records.select("store_id", "period_start", "period_end", "signature"), "store_id")
+    inside = inside.where("period_start >= first and period_end <= last")
+    one = (F.count("*") == F.count("signature")) & (F.min("signature") == F.max("signature"))
+    return inside.groupBy("store_id", "role").agg(F.when(one, F.min("signature")).alias("signature"))
+
+
+def scope_reason(left: str, right: str):
+    """Why two windows' scopes don't allow a comparison; null if they do."""
+    unknown = F.col(left).isNull() | F.col(right).isNull()
+    return F.when(unknown, "comparison_scope_unreviewed").when(F.col(left) != F.col(right), "different_comparison_scopes")
+
+
+def compared(values: DataFrame, fields: list[str], primary: list[str], signatures: DataFrame) -> DataFrame:
     """Baseline and current values of each store and field: difference, direction and
-    the reasons that stand against it."""
-    side = lambda r: values.where(F.col("role") == r).select("store_id", "field", *(F.col(c).alias(f"{r}_{c}") for c in ("value", "basis", "reason")))
+    the reasons that stand against it, in a fixed order. fields: those with direction
+    rules; primary: those whose bases may differ; signatures: as of scopes."""
+    cols = lambda r: [F.col(c).alias(f"{r}_{c}") for c in ("value", "basis", "reason")]
+    side = lambda r: values.where(F.col("role") == r).select("store_id", "field", *cols(r), days("first", "last").alias(f"days_{r}"))
     both = side("baseline").join(side("current"), ["store_id", "field"])
-    supported = lambda r: F.col(f"{r}_value").isNotNull() & F.col(f"{r}_basis").isin("reported_window", "sum_non_overlapping_days")
-    against = F.filter(F.array(
-        F.when(~supported("baseline"), F.concat(F.lit("baseline: "), "baseline_reason")), F.when(~supported("current"), F.concat(F.lit("current: "), "current_reason")),
+    for r in ("baseline", "current"):
+        both = both.join(signatures.where(F.col("role") == r).select("store_id", F.col("signature").alias(f"{r}_scope")), "store_id", "left")
+        known = F.col(f"{r}_value").isNotNull() & F.col(f"{r}_basis").isin("reported_window", "sum_non_overlapping_days")
+        both = both.withColumn(f"supported_{r}", known)
+    against = F.concat_ws(
+        "; ", F.when(~F.col("field").isin(fields), "source_values_only"),
+        F.when(~F.col("supported_baseline"), F.concat(F.lit("baseline: "), "baseline_reason")),
+        F.when(~F.col("supported_current"), F.concat(F.lit("current: "), "current_reason")), scope_reason("baseline_scope", "current_scope"),
         F.when((F.col("baseline_basis") != F.col("current_basis")) & ~F.col("field").isin(primary), "different_summary_bases"),
-    ), lambda x: x.isNotNull())
-    out = both.withColumn("against", F.array_join(against, "; "))
-    settled = F.col("against") == ""
+    )
+    out, settled = both.withColumn("against", against), F.col("against") == ""
+    difference = F.col("current_value") - F.col("baseline_value")
     return out.select(
         "store_id", "field", "against", F.when(settled, "compared").otherwise("unresolved").alias("status"),
-        F.when(settled, (F.col("current_value") - F.col("baseline_value")).cast("double")).alias("difference"), F.when(settled, F.signum(F.col("current_value") - F.col("baseline_value")).cast("int")).alias("direction"),
+        F.when(settled, difference.cast("double")).alias("difference"), F.when(settled, F.signum(difference).cast("int")).alias("direction"),
+        "supported_baseline", "supported_current", "days_baseline", "days_current",
+    )
+
+
+def directions(review: DataFrame, fields: list[str]) -> DataFrame:
+    """The three rival statements about each comparison: lower, equal, higher."""
+    h = review.where(F.col("field").isin(fields)).withColumn("hypothesis", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    verdict = F.when(F.col("status") == "unresolved", "unresolved").when(F.col("direction") == F.col("hypothesis"), "supported").otherwise("rejected")
+    return h.select("store_id", "field", "hypothesis", verdict.alias("verdict"))
+
+
+def alignments(review: DataFrame, groups: list[tuple]) -> DataFrame:
+    """(store_id, hypothesis, verdict): whether all fields of a group moved the same
+    way. A store without every field of a group gets no row for it."""
+    named = F.array(*(F.when(F.col("field").isin(f), F.struct(F.lit(n).alias("hypothesis"), F.lit(len(f)).alias("size"))) for n, f in groups))
+    rows = review.withColumn("g", F.explode(F.filter(named, lambda x: x.isNotNull()))).select("store_id", "g.hypothesis", "g.size", "status", "direction")
+    g = rows.groupBy("store_id", "hypothesis", "size").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") != "compared").alias("open"), F.min("direction").alias("low"), F.max("direction").alias("high")
+    )
+    verdict = F.when(F.col("open") > 0, "unresolved").when((F.col("low") == F.col("high")) & (F.col("high") != 0), "supported").otherwise("rejected")
+    return g.where("n = size").select("store_id", "hypothesis", verdict.alias("verdict"))
+
+
+def findings(review: DataFrame, fields: list[str], groups: list[tuple], causal: list[str], stores: int = 1) -> DataFrame:
+    """(store_id, belief, evidence, findings, n_accepted, n_rejected, n_unresolved) of a
+    review of two windows. Checks are both windows' values of every field and the
+    comparisons of fields with direction rules. The statements that all values are
+    complete, and that some are not, are rivals like any others. stores: how many are
+    reviewed together."""
+    told = F.col("field").isin(fields)
+    checks = review.groupBy("store_id").agg(
+        (2 * F.count("*") + F.count_if(told)).alias("n"),
+        (F.count_if("supported_baseline") + F.count_if("supported_current") + F.count_if(told & (F.col("status") == "compared"))).alias("good"),
+        F.max(F.col("days_baseline") != F.col("days_current")).alias("uneven"),
+    )
+    rivals = directions(review, fields).select("store_id", F.lit(None).cast("string").alias("hypothesis"), "verdict").unionByName(alignments(review, groups))
+    count = lambda v, more=0: (F.count_if(F.col("verdict") == v) + more)
+    judged = rivals.groupBy("store_id").agg(
+        count("supported", 1).alias("n_accepted"), count("rejected", 1).alias("n_rejected"), count("unresolved").alias("n_unresolved"),
+        F.bool_or(F.coalesce(F.col("hypothesis").isin(causal), F.lit(False))).alias("causal"),
+    )
+    open_ = F.col("n") - F.col("good")
+    codes = F.concat_ws(
+        ",", F.when(open_ > 0, F.concat(F.lit("unresolved_evidence:"), open_.cast("string"))), F.when(F.col("uneven"), "different_window_lengths"),
+        F.when(F.lit(stores > 1), "cross_store_context_unresolved"), F.when(F.col("causal"), "causal_effects_unresolved"),
+    )
+    evidence = F.when(open_ == 0, "supported").when(F.col("good") > 0, "partially_supported").otherwise("missing")
+    return checks.join(judged, "store_id").select(
+        "store_id", F.when(open_ == 0, "active").otherwise("tentative").alias("belief"), evidence.alias("evidence"), codes.alias("findings"),
+        "n_accepted", "n_rejected", "n_unresolved",
     )

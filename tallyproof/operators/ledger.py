@@ -30,18 +30,88 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def reconciled(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], tolerance: float) -> DataFrame:
-    """(keys, field, in_left, in_right, agrees) for each field of both sides."""
+def reconciled(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], tolerance: float | dict) -> DataFrame:
+    """(keys, field, in_left, in_right, agrees) for each field of both sides. A null
+    agrees with a null only. tolerance: one for all fields, or one for each."""
     long = lambda d, n: d.unpivot(keys, fields, "field", n)
     cast = lambda d: d.select(*keys, *(F.col(f).cast("double").alias(f) for f in fields))
     both = long(cast(left), "l").withColumn("in_left", F.lit(True)).join(long(cast(right), "r").withColumn("in_right", F.lit(True)), [*keys, "field"], "full_outer")
-    return both.select(*keys, "field", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"), close("l", "r", tolerance).alias("agrees"))
+    limit = F.lit(tolerance) if not isinstance(tolerance, dict) else F.create_map(*(F.lit(x) for kv in tolerance.items() for x in kv))[F.col("field")]
+    agrees = close("l", "r", limit)
+    return both.select(*keys, "field", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"), agrees.alias("agrees"))
 
 
-def set_digest(rows: DataFrame, key: str, h: str, prefix: int = 3) -> DataFrame:
-    """(key, n, digest): a digest of each key's row hashes that doesn't depend on
-    their order. Hashes are sorted inside parts by their first digits, so that a key
-    with most of the rows is no single list; the parts' digests make the key's."""
-    parts = rows.groupBy(key, F.substring(h, 1, prefix).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(h)), ""), 256).alias("d"))
-    every = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x.d)
-    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sha2(F.array_join(every, ""), 256).alias("digest"))
+def reverified(stored: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outcome) of rows that a stored result and the one computed again don't
+    share: missing (from the stored one), unexpected, or changed in another column."""
+    values = [c for c in again.columns if c not in keys]
+    pack = lambda d, n: d.select(*keys, F.struct(*values).alias(n), F.lit(True).alias(f"has_{n}"))
+    both = pack(stored, "was").join(pack(again, "now"), keys, "full_outer")
+    outcome = F.when(F.col("has_was").isNull(), "missing").when(F.col("has_now").isNull(), "unexpected").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return both.select(*keys, outcome.alias("outcome")).where("outcome is not null")
+
+
+def set_digest(rows: DataFrame, key: str, h: str) -> DataFrame:
+    """(key, n, digest): a digest of each key's row hashes (hexadecimal) that doesn't
+    depend on their order: exact sums of four of their parts, so that partial sums
+    meet in the shuffle and no list is built."""
+    part = lambda i: F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    g = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(part(i)).alias(f"s{i}") for i in range(4)))
+    return g.select(key, "n", F.sha2(F.concat_ws("-", "n", *(f"s{i}" for i in range(4))), 256).alias("digest"))
+
+
+def digest_sql(h: str) -> str:
+    """The same digest in DuckDB."""
+    parts = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr({h}, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+    return f"sha256(concat_ws('-', CAST(count(*) AS VARCHAR), {parts}))"
+
+
+def published(rows: DataFrame, path: str, key: str, h: str, unique: list[str]) -> DataFrame:
+    """Writes each key's rows under the id that follows from them and reads them back:
+    (key, snapshot_id, n, n_repeated), n_repeated being rows whose unique columns came
+    before. A publication that is already there is not written again."""
+    from pyspark.errors import AnalysisException
+
+    named = rows.join(set_digest(rows, key, h).select(key, F.col("digest").alias("snapshot_id")), key)
+    spark = rows.sparkSession
+    try:
+        known = spark.read.parquet(path).select("snapshot_id").distinct()
+        named = named.join(known, "snapshot_id", "left_anti")
+    except AnalysisException:  # nothing has been published there
+        pass
+    named.repartition("snapshot_id", F.pmod(F.xxhash64(h), F.lit(16))).write.mode("append").partitionBy("snapshot_id").parquet(path)
+    out = spark.read.parquet(path).groupBy(key, "snapshot_id", *unique).agg(F.count("*").alias("m"))
+    return out.groupBy(key, "snapshot_id").agg(F.sum("m").alias("n"), F.sum(F.col("m") - 1).alias("n_repeated"))
+
+
+def plan_refusals(plans: DataFrame, registered: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(plan, dataset, refusals): why a plan's dataset can't be registered. plans: plan,
+    dataset, format, binding; registered: dataset; bindings: those in use."""
+    mark = lambda d, c, n: d.select(c).distinct().withColumn(n, F.lit(True))
+    formats = plans.groupBy("plan").agg((F.min("format") != F.max("format")).alias("several"))
+    out = plans.join(formats, "plan").join(mark(registered, "dataset", "old"), "dataset", "left").join(mark(bindings, "binding", "known"), "binding", "left")
+    refusals = F.concat_ws("; ", F.when(F.col("old"), "already_registered"), F.when(F.col("several"), "several_formats"), F.when(F.col("known").isNull(), "unknown_binding"))
+    return out.select("plan", "dataset", refusals.alias("refusals"))
+
+
+def formulas_checked(result: DataFrame, formulas: dict, tolerance: float) -> DataFrame:
+    """(field, n_agree, n_both_missing, n_differ) of each field of a result against its
+    formula over the result's own columns, in one pass."""
+    one = lambda n, e: F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("was"), F.expr(e).cast("double").alias("now"))
+    rows = result.select(F.inline(F.array(*(one(n, e) for n, e in formulas.items()))))
+    none = F.col("was").isNull() & F.col("now").isNull()
+    same = close("was", "now", tolerance)
+    return rows.groupBy("field").agg(F.count_if(same & ~none).alias("n_agree"), F.count_if(none).alias("n_both_missing"), F.count_if(~same).alias("n_differ"))
+
+
+def parity(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], limits: dict) -> DataFrame:
+    """Counts by field of values that agree, that differ, that one side alone lacks, and
+    of rows that one side alone lacks."""
+    long = lambda d, n: d.select(*keys, *(F.col(f).cast("double").alias(f) for f in fields)).unpivot(keys, fields, "field", n).withColumn(f"in_{n}", F.lit(True))
+    both = long(left, "l").join(long(right, "r"), [*keys, "field"], "full_outer")
+    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("field")]
+    agrees, no_l, no_r = close("l", "r", limit), F.col("l").isNull(), F.col("r").isNull()
+    return both.groupBy("field").agg(
+        F.count_if(agrees).alias("n_agree"), F.count_if(~agrees & ~no_l & ~no_r).alias("n_differ"), F.count_if(F.col("in_l") & no_l & ~no_r).alias("n_missing_left"),
+        F.count_if(F.col("in_r") & no_r & ~no_l).alias("n_missing_right"), F.count_if(F.col("in_l").isNull()).alias("n_left_absent"), F.count_if(F.col("in_r").isNull()).alias("n_right_absent"),
+    )

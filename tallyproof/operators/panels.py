@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import numbers as N
+from ..sources import files
 
 KEY = ["store_id", "period_start", "period_end"]
 
@@ -41,18 +42,21 @@ def coverage(panel: DataFrame, months: list[str], metrics: list[str]) -> DataFra
     return observed.withColumn("ready", (F.col("n_months") == len(months)) & (F.col("observed_months") == "|".join(sorted(months))))
 
 
-def pivoted(panel: DataFrame, months: list[str], metrics: list[str]) -> DataFrame:
-    """One row for each store with <metric>_<month> for the given months."""
+def pivoted(panel: DataFrame, months: list[str], metrics: list[str], seen: bool = False) -> DataFrame:
+    """One row for each store with <metric>_<month> for the given months; seen: and
+    with how many of them there are, the first and the last."""
+    month = F.col("period_month")
+    found = [F.countDistinct(month).alias("observed_month_count"), F.min(month).alias("first_observed_month"), F.max(month).alias("last_observed_month")] if seen else []
     cells = [F.max(F.when(F.col("period_month") == m, F.col(c))).alias(f"{c}_{m.replace('-', '_')}") for c in metrics for m in months]
-    return panel.where(F.col("period_month").isin(months)).groupBy("store_id").agg(N.unanimous("region_type").alias("region_type"), N.unanimous("store_type").alias("store_type"), *cells)
+    return panel.where(F.col("period_month").isin(months)).groupBy("store_id").agg(N.unanimous("region_type").alias("region_type"), N.unanimous("store_type").alias("store_type"), *found, *cells)
 
 
-def endpoints(wide: DataFrame, months: list[str], amounts: list[str], rates: list[str]) -> DataFrame:
-    """Adds last - first of each metric, and its percentage where first > 0; rates
-    get percentage points."""
+def endpoints(wide: DataFrame, months: list[str], amounts: list[str], rates: list[str], counted: list[str] = ()) -> DataFrame:
+    """Adds last - first of each metric, and its percentage where first > 0 (not for
+    counted ones); rates get percentage points."""
     first, last = (m.replace("-", "_") for m in (months[0], months[-1]))
     cell = lambda c, m: F.col(f"{c}_{m}").cast("double")
-    out = {f"{c}_delta": F.round(cell(c, last) - cell(c, first), 2) for c in amounts}
+    out = {f"{c}_delta": F.round(cell(c, last) - cell(c, first), 2) for c in [*amounts, *counted]}
     out |= {f"{c}_pct": F.when(cell(c, first) > 0, N.change_pct(cell(c, last), cell(c, first))) for c in amounts}
     out |= {f"{c}_pp": F.round(cell(c, last) - cell(c, first), 2) for c in rates}
     return wide.withColumns(out)
@@ -61,3 +65,38 @@ def endpoints(wide: DataFrame, months: list[str], amounts: list[str], rates: lis
 def all_or_nothing(df: DataFrame, batch: str, bad) -> DataFrame:
     """Adds held: whether any row of the batch is bad."""
     return df.withColumn("held", F.max(F.coalesce(bad, F.lit(False)).cast("int")).over(Window.partitionBy(batch)) == 1)
+
+
+def unpivoted(wide: DataFrame, months: list[str], metrics: list[str]) -> DataFrame:
+    """(store_id, period_month, metrics) from <metric>_<month> columns."""
+    row = lambda m: F.struct(F.lit(m).alias("period_month"), *(F.col(f"{c}_{m.replace('-', '_')}").alias(c) for c in metrics))
+    return wide.select("store_id", F.inline(F.array(*map(row, months))))
+
+
+def pairs(df: DataFrame, keys: list[str], order: str, block: int = 1000) -> DataFrame:
+    """Pairs a, b of rows with equal keys where a's order column is the smaller. A
+    group's rows are dealt to blocks of about so many, and blocks meet two at a time, so
+    that a large group's pairs are spread over tasks."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j")))
+    dealt = df.join(sizes, keys).withColumn("_own", own).withColumn("_cell", F.explode(cells)).drop("_blocks")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = a.join(b, [*keys, "_cell"]).where(F.col(f"a.{order}") < F.col(f"b.{order}"))
+    # rows of one block meet in its own cell only
+    return met.where((F.col("a._own") != F.col("b._own")) | (F.col("_cell._i") == F.col("_cell._j")))
+
+
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Adds each row's place (from 1) in the order of all rows. Ranges of the order are
+    sorted apart and stored with their rows' numbers; a range's rows follow those of the
+    ranges before it, of which only the counts are summed in one place. Rows with equal
+    order columns get places next to each other."""
+    number = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(number, 33), "_number": number.bitwiseAND(F.lit((1 << 33) - 1))})
+    path = files.fresh_path(df.sparkSession, "ranges")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n") + 1).alias("_before"))
+    return ranged.join(before, "_range").withColumn(name, F.col("_before") + F.col("_number")).drop("_range", "_number", "_before")

@@ -357,7 +357,7 @@ def fjsn1(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.digest("o_orderkey", "o_orderstatus", "o_orderpriority").alias("identity"))
 
 
-@query("fjsn2_corpus_digest", "WITH h AS (SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text))) AS h FROM documents), b AS (SELECT source, left(h, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM b GROUP BY source")
+@query("fjsn2_corpus_digest", f"WITH h AS (SELECT source, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text))) AS h FROM documents) SELECT source, {L.digest_sql('h')} AS digest FROM h GROUP BY source")
 def fjsn2(spark, d):
     """A digest of each source that doesn't depend on row order."""
     h = table(spark, d, "documents").select("source", T.digest("doc_id", F.md5("text")).alias("h"))

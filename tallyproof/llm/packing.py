@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import bytebpe, common, textvec
 
-LENGTH = 2048
+#: RANGE: rows that a sweep deals to one range.
+LENGTH, RANGE = 2048, 10_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED, PIECE, PLACE, GAP = range(4)
 SWEPT = "kind int, part int, rank long, id long, size int, sequence long, offset int"
@@ -78,12 +79,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
 
 
 def bands(length: int) -> list[tuple[int, int]]:
-    """(low, high): sizes above low up to high, from half a sequence down to 1."""
+    """(low, high): sizes above low up to high, from half a sequence on, by halves."""
     ends = [length // 2]
     while ends[-1]:
-        n = length // ends[-1]
-        ends.append(length // (n + 1) if n < 4 else ends[-1] // 2)
-    ends = sorted(set(ends), reverse=True)
+        ends.append(ends[-1] // 2)
     return list(zip(ends[1:], ends[:-1], strict=True))
 
 
@@ -200,13 +199,14 @@ def _places(found: list[tuple], high: int):
     return run
 
 
-def _swept(pieces: DataFrame, gaps: DataFrame | None, length: int, high: int) -> DataFrame:
-    """One sweep over all ranges; without gaps, pieces open sequences."""
+def _swept(pieces: DataFrame, gaps: DataFrame | None, length: int, high: int, many: int) -> DataFrame:
+    """One sweep over all ranges of about many rows together; without gaps, pieces open
+    sequences."""
     rows = pieces.select(F.lit(True).alias("is_piece"), "id", "size")
     if gaps is not None:
         rows = rows.unionByName(gaps.select(F.lit(False).alias("is_piece"), F.col("sequence").alias("id"), F.col("gap").alias("size")))
     order = [F.desc("size"), F.col("is_piece"), F.xxhash64("id")]
-    dealt = rows.repartitionByRange(common.shuffle_partitions(pieces.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(-(-many // RANGE), *order).sortWithinPartitions(*order)
     return common.stored(dealt.mapInArrow(_sweep(length, high, gaps is None), SWEPT), "swept")
 
 
@@ -215,38 +215,43 @@ def places(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     long = pieces.where(F.col("size") > length // 2)
     placed = [long.select("id", F.col("id").alias("sequence"), F.lit(0).alias("offset"))]
     gaps = long.where(F.col("size") < length).select(F.col("id").alias("sequence"), (length - F.col("size")).alias("gap"))
-    of = F.coalesce(*(F.when(F.col("size") > low, i) for i, (low, _) in enumerate(bands(length))))
-    some = {r["band"] for r in pieces.where(F.col("size") <= length // 2).select(of.alias("band")).distinct().collect()}
-    for i, (low, high) in enumerate(bands(length)):
-        if i not in some:
+    cuts = bands(length)
+    of = F.coalesce(*(F.when(F.col("size") > low, i) for i, (low, _) in enumerate(cuts)))
+    some = {r["band"]: r["count"] for r in pieces.select(F.when(F.col("size") <= length // 2, of).alias("band")).groupBy("band").count().collect()}
+    n_gaps = some.pop(None, 0)
+    for i, (low, high) in enumerate(cuts):
+        n = some.get(i, 0)
+        if not n:
             continue
         left, idle = pieces.where(f"size > {low} and size <= {high}"), gaps.where(F.col("gap") <= low)
         gaps = gaps.where(F.col("gap") > low)
-        while True:
-            swept = _swept(left, gaps, length, high)
+        while n:
+            swept = _swept(left, gaps, length, high, n + n_gaps)
             kinds = lambda *k, swept=swept: swept.where(F.col("kind").isin(*k))
             placed.append(kinds(PLACED).select("id", "sequence", "offset"))
             counts: dict = defaultdict(lambda: [0, 0])
-            many = F.when(F.col("kind") == PIECE, 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("size") / high)))
-            for r in kinds(PIECE, PLACE).groupBy("part", "kind").agg(F.sum(many).alias("n")).collect():
+            room = F.when(F.col("kind") == PIECE, 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("size") / high)))
+            for r in kinds(PIECE, PLACE).groupBy("part", "kind").agg(F.sum(room).alias("n")).collect():
                 counts[r["part"]][r["kind"] != PIECE] = r["n"]
+            left, n = kinds(PIECE).select("id", "size"), sum(c for c, _ in counts.values())
             gaps = kinds(PLACE, GAP).select(F.col("id").alias("sequence"), F.col("size").alias("gap"))
             found = matches(counts)
             if not found:
                 break
             got = kinds(PIECE).mapInArrow(_assign(found), "part int, place long, id long, size int")
-            room = kinds(PLACE).mapInArrow(_places(found, high), "part int, place long, sequence long, gap int")
+            places = kinds(PLACE).mapInArrow(_places(found, high), "part int, place long, sequence long, gap int")
             before = F.sum("size").over(Window.partitionBy("sequence").orderBy("place")) - F.col("size")
-            met = got.join(room, ["part", "place"]).withColumn("offset", (length - F.col("gap") + before).cast("int"))
+            met = got.join(places, ["part", "place"]).withColumn("offset", (length - F.col("gap") + before).cast("int"))
             met = common.stored(met.select("id", "size", "sequence", "offset", "gap"), "met")
             placed.append(met.select("id", "sequence", "offset"))
-            left = kinds(PIECE).select("id", "size").join(met, "id", "left_anti")
+            left, n = left.join(met, "id", "left_anti"), n - sum(x[-1] for x in found)
             filled = met.groupBy("sequence").agg((F.min("gap") - F.sum("size")).cast("int").alias("gap"))
             gaps = gaps.join(met, "sequence", "left_anti").unionByName(filled).where("gap > 0")
-        if any(n for n, _ in counts.values()):
-            opened = _swept(kinds(PIECE).select("id", "size"), None, length, high)
+        if n:
+            opened = _swept(left, None, length, high, n)
             placed.append(opened.where(F.col("kind") == PLACED).select("id", "sequence", "offset"))
             gaps = gaps.unionByName(opened.where(F.col("kind").isin(PLACE, GAP)).select(F.col("id").alias("sequence"), F.col("size").alias("gap")))
+            n_gaps += n
         gaps = common.stored(gaps.unionByName(idle), "gaps")
     every = placed[0]
     for more in placed[1:]:

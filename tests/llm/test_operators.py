@@ -461,29 +461,25 @@ def plain_best_fit(sizes, length):
 
 
 @pytest.mark.parametrize("kind", ["mixed", "small", "one size", "long and short"])
-def test_places_are_best_fit(spark, kind):
+def test_places_are_best_fit(spark, kind, monkeypatch):
     rng = random.Random(6)
     draw = {"mixed": lambda: rng.randint(1, 128), "small": lambda: rng.randint(1, 9), "one size": lambda: rng.choice([1, 43, 43, 43]), "long and short": lambda: rng.choice([rng.randint(60, 128), rng.randint(1, 3)])}[kind]
     sizes = [draw() for _ in range(900)]
     df = common.stored(spark.createDataFrame(list(enumerate(sizes)), "id long, size int"), "sizes")
-    used = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for parts in ("1", "5"):
-            spark.conf.set("spark.sql.shuffle.partitions", parts)
-            rows = packing.places(df, 128).collect()
-            assert sorted(r.id for r in rows) == list(range(len(sizes)))
-            by = defaultdict(list)
-            for r in rows:
-                by[r.sequence].append((r.offset, sizes[r.id]))
-            for own in by.values():
-                at = 0
-                for offset, size in sorted(own):
-                    assert offset == at
-                    at += size
-                assert at <= 128
-            assert len(by) <= plain_best_fit(sizes, 128) + (0 if parts == "1" else 5)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", used)
+    for per_range in (packing.RANGE, 200):
+        monkeypatch.setattr(packing, "RANGE", per_range)
+        rows = packing.places(df, 128).collect()
+        assert sorted(r.id for r in rows) == list(range(len(sizes)))
+        by = defaultdict(list)
+        for r in rows:
+            by[r.sequence].append((r.offset, sizes[r.id]))
+        for own in by.values():
+            at = 0
+            for offset, size in sorted(own):
+                assert offset == at
+                at += size
+            assert at <= 128
+        assert len(by) <= plain_best_fit(sizes, 128) + (0 if per_range > 900 else 5)
 
 
 def test_matches_take_the_nearest_places():

@@ -13,14 +13,17 @@ the bad documents is taken; none if it rejects bad documents no more often than
 ones.
 
 A stratum with too few good labels to certify even a step that rejects none of them
-joins a pooled stratum; while that is too small too, the next larger one joins it.
+joins a pooled stratum; while that is too small too, the next larger one joins it. The
+driver sees counts by stratum and step of the labelled documents only; cutoffs are a
+table that documents are joined with, so there may be any number of strata.
 
 Edge cases. A null or empty text has no words and fails the base rules. Null
-languages form a stratum of their own. Strata beyond the MAX_STRATA most frequent
-are in the pooled stratum from the start; a language among these without any label
-gets no cutoffs. A document labelled twice counts as good only if every
-label says so. Repeated rows are judged one by one; labels of unknown documents
-and an empty label table certify nothing. Extra columns are ignored.
+languages form a stratum of their own, apart from a language of whatever name. A
+language without any label gets no cutoffs. A document labelled twice counts as good
+only if every label says so. A value equal to a cutoff is kept. Repeated rows are
+judged one by one; labels of unknown documents and an empty label table certify
+nothing. A very long text is measured in one task's memory. Extra columns, of any
+name, are ignored or kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common, textvec
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-RISK, ERROR, MAX_STRATA = 0.01, 0.05, 64
+RISK, ERROR = 0.01, 0.05
 #: Each signal rejects above its cutoff; cutoffs run from mild to strict.
 GRID = {
     "long_words": [40.0, 30.0, 24.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.0],
@@ -45,14 +49,14 @@ GRID = {
     "dup_lines": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
     "repeats": [0.2, 0.17, 0.14, 0.11, 0.08, 0.05, 0.03, 0.02],
 }
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
 def _repeated(hashes: np.ndarray, width: int) -> int:
     """Words inside windows that the text holds twice or more."""
     if len(hashes) <= width:
         return 0
-    keys = textvec.windows(hashes, width, 5)
+    keys = textvec.wide(hashes, width)
     order = np.argsort(keys)
     s = keys[order]
     same = s[1:] == s[:-1]
@@ -77,8 +81,8 @@ def _measure(batches):
     marks = np.zeros(256, bool)
     marks[list(SYMBOLS[1:-1].encode())] = True
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for low, high in textvec.slices(batch.column("text"), 1 << 20):
+            part = batch.slice(low, high - low)
             text = part.column("text")
             data, offsets = textvec.buffers(text)
             starts, ends, first = textvec.word_bounds(data, offsets)
@@ -97,9 +101,9 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row for each document: its counts, the base verdict and the signals.
     carry: with the whole input row in the column row."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    more = f", row {plain.schema['row'].dataType.simpleString()}" if carry else ""
-    counts = plain.mapInArrow(_measure, f"doc_id long, lang string{more}, {BASE}")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), *([F.struct(*common.columns(docs)).alias("row")] if carry else []))
+    fields = [f for f in plain.schema.fields if f.name != "text"] + [StructField(c, LongType()) for c in BASE]
+    counts = plain.mapInArrow(_measure, StructType(fields))
     words = F.greatest("n_words", F.lit(1)).cast("double")
     return counts.select(
         "*",
@@ -162,79 +166,82 @@ def pooled(sizes: dict, risk: float, error: float) -> set:
     return out
 
 
-def _first(steps: list, grid: dict):
-    """The number of the first of steps that rejects a document; null if none."""
-    return F.coalesce(*(F.when(F.col(s) > grid[s][i], F.lit(t)) for t, (s, i) in enumerate(steps)), F.lit(None).cast("int"))
+def _key() -> Column:
+    """A stratum's name, in which a null is no language's."""
+    return F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("lang")))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> tuple[list, list]:
-    """([(stratum, {signal: cutoff or None})], names of strata): at most max_strata
-    + 1 of them, the pooled one with the name None. Every labelled document counts."""
+def _hits(grid: dict) -> Column:
+    """The numbers of the steps that reject a document."""
+    return F.array_compact(F.array(*(F.when(F.col(s) > grid[s][i], F.lit(t)) for t, (s, i) in enumerate(sequence(grid)))))
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(key, pooled, a cutoff or null for each signal) of each stratum with labels.
+    Every labelled document counts."""
+    spark = measured.sparkSession
+    schema = StructType([StructField("key", StringType())]).add("pooled", "boolean")
+    for s in grid:
+        schema = schema.add(s, "double")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
-    named = F.coalesce("lang", F.lit("(null)"))
-    top = [r[0] for r in measured.groupBy(named.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_strata).collect()]
-    stratum = F.when(named.isin(top), named) if top else F.lit(None).cast("string")
-    held = common.stored(measured.where("not base_failed").join(good, "doc_id").select(stratum.alias("stratum"), F.col("good"), *grid), "labelled")
-    sizes = {r["stratum"]: r["n"] for r in held.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n")).collect()}
+    held = measured.where("not base_failed").join(good, "doc_id").select(_key().alias("key"), "good", _hits(grid).alias("hits"))
+    held = common.stored(held, "labelled")
+    sizes = {r["key"]: r["n"] for r in held.groupBy("key").agg(F.count_if(F.col("good") == 1).alias("n")).collect()}  # by labelled stratum
     if not sizes:
-        return [], top
+        return spark.createDataFrame([], schema)
     error /= len(sizes)
     shared = pooled(sizes, risk, error)
-    top = [x for x in top if x not in shared]
-    held = held.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")) if top else F.lit(None).cast("string"))
+    names = spark.createDataFrame([(k, None if k in shared else k) for k in sizes], "key string, stratum string")
+    held = held.join(names, "key").select("stratum", "good", "hits")
     every = sequence(grid)
     taken = defaultdict(set)
-    for r in held.where("good = 0").groupBy("stratum", _first(every, grid).alias("step")).count().where("step is not null").collect():
+    first = F.array_min("hits")
+    for r in held.where("good = 0").groupBy("stratum", first.alias("step")).count().where("step is not null").collect():
         taken[r["stratum"]].add(r["step"])
-    steps = {name: [x for t, x in enumerate(every) if t in own] for name, own in taken.items()}
-    step = F.lit(None).cast("int")
-    for name, own in steps.items():
-        step = F.when(F.col("stratum").eqNullSafe(F.lit(name)), _first(own, grid)).otherwise(step)
+    if not taken:
+        return spark.createDataFrame([], schema)
+    own = spark.createDataFrame([(name, sorted(steps)) for name, steps in taken.items()], "stratum string, own array<int>")
     seen = defaultdict(Counter)
-    for r in held.groupBy("stratum", "good", step.alias("step")).count().collect():
+    step = F.array_min(F.array_intersect("hits", "own"))
+    with_own = held.join(own, held["stratum"].eqNullSafe(own["stratum"])).select(held["stratum"], "good", step.alias("step"))
+    for r in with_own.groupBy("stratum", "good", "step").count().collect():
         seen[r["stratum"], r["good"]][r["step"]] += r["count"]
-    out = []
-    for name, own in steps.items():
+    cuts = {}
+    for name, steps in taken.items():
         (good_at, n), (bad_at, bad) = ((seen[name, g], seen[name, g].total()) for g in (1, 0))
         k = hit = 0
         counts = {}
-        for t, x in enumerate(own):
+        for t in sorted(steps):
             k, hit = k + good_at[t], hit + bad_at[t]
-            counts[x] = (k, n, hit, bad)
-        out.append((name, choose(counts, grid, risk, error)))
-    return sorted(out, key=lambda x: (x[0] is None, x[0] or "")), top
-
-
-def verdicts(measured: DataFrame, found: list, top: list, grid: dict) -> DataFrame:
-    """measured with stratum, rejected_by and kept. The cutoffs are literals of the
-    plan: at most one for each stratum and signal."""
-    named = F.coalesce("lang", F.lit("(null)"))
-    stratum = F.when(named.isin(top), named) if top else F.lit(None).cast("string")
-    hits = []
-    for s in grid:
-        bad = F.lit(False)
-        for name, cut in found:
-            if cut[s] is not None:
-                bad = F.when(stratum.eqNullSafe(F.lit(name)), F.col(s) > cut[s]).otherwise(bad)
-        hits.append(F.when(bad, F.lit(s)))
-    out = measured.withColumns({"stratum": F.coalesce(stratum, F.lit("(other)")), "rejected_by": F.concat_ws(",", *hits)})
+            counts[every[t]] = (k, n, hit, bad)
+        cuts[name] = choose(counts, grid, risk, error)
+    none = dict.fromkeys(grid)
+    rows = [(k, k in shared, *cuts.get(None if k in shared else k, none).values()) for k in sorted(sizes)]
+    return spark.createDataFrame(rows, schema)
+
+
+def verdicts(measured: DataFrame, cuts: DataFrame, grid: dict) -> DataFrame:
+    """measured with pooled (null: its stratum has no labels), rejected_by and kept."""
+    wide = measured.withColumn("key", _key()).join(cuts.select("key", "pooled", *(F.col(s).alias(f"{s}_cut") for s in grid)), "key", "left")
+    hits = [F.when(F.col(s) > F.col(f"{s}_cut"), F.lit(s)) for s in grid]
+    out = wide.withColumn("rejected_by", F.concat_ws(",", *hits)).drop("key", *(f"{s}_cut" for s in grid))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The measures of each document with base_failed, rejected_by (the signals
     above their cutoffs) and kept."""
     measured = common.stored(measures(docs), "quality")
-    return verdicts(measured, *thresholds(measured, labels, grid, risk, error, max_strata), grid)
+    return verdicts(measured, thresholds(measured, labels, grid, risk, error), grid)
 
 
-def kept(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of docs that judge keeps. Documents are measured twice rather than
     shuffled."""
-    found, top = thresholds(common.stored(measures(docs), "quality"), labels, grid, risk, error, max_strata)
-    return verdicts(measures(docs, carry=True), found, top, grid).where("kept").select("row.*")
+    cuts = common.stored(thresholds(common.stored(measures(docs), "quality"), labels, grid, risk, error), "cuts")
+    return verdicts(measures(docs, carry=True), cuts, grid).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "pooled", "rejected_by")

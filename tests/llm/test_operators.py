@@ -344,7 +344,7 @@ def test_banded_distance(spark):
 def test_quality_counts(spark):
     rows = [*documents(), (60, "w1 w2 w3 w4 w5 " * 2 + "x #* |"), (61, "a\n a\na\n\n\na"), (62, " ".join(f"{p} x y z w" for p in PATTERNS) + " q")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(6)] + [(1, 0, 0), (999, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    for r, (doc, text) in zip(rows_of(quality.judge(frame(spark, rows), labels).drop("stratum")), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+    for r, (doc, text) in zip(rows_of(quality.judge(frame(spark, rows), labels).drop("pooled", "lang")), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
         if doc is None:
             continue
         w = words(text)
@@ -395,10 +395,22 @@ def test_quality_rejects_junk_that_passes_base_rules(spark):
     got = quality.judge(docs, labels, error=0.1).collect()
     assert not any(r["base_failed"] for r in got)
     # b and c have 240 good labels each, too few (ln(0.1 / 3) / ln(0.99) = 339) unless pooled
-    assert {(r["lang"], r["stratum"]) for r in got} == {("a", "a"), ("b", "(other)"), ("c", "(other)")}
+    assert {(r["lang"], r["pooled"]) for r in got} == {("a", False), ("b", True), ("c", True)}
     assert {r["doc_id"] for r in got if r["kept"]} == set(range(1200))
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    rng = random.Random(10)
+    langs = [None, "(null)", "(other)", *(f"l{i}" for i in range(75))]
+    rows = [(i, prose(rng, 12) + (" " + " ".join("".join(rng.choices("#*|$&<>", k=4)) for _ in range(9)) if i % 10 == 9 else ""), x) for i, x in enumerate(x for x in langs for _ in range(80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a b", F.lit(1)).withColumn("a.b", F.lit(2))
+    labels = spark.createDataFrame([(i, int(i % 10 != 9), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    cuts = quality.thresholds(quality.measures(docs), labels, risk=0.2).collect()
+    assert len(cuts) == len(langs) and not any(r.pooled for r in cuts) and all(r.symbols is not None for r in cuts)
+    out = quality.kept(docs, labels, risk=0.2)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {i for i, _, _ in rows if i % 10 != 9}
+
+
 def test_strata_are_pooled_until_large_enough():
     assert quality.pooled({"a": 2027, "b": 498, "c": 493, "d": 312}, 0.01, 0.0125) == {None, "c", "d"}
     assert quality.pooled({"a": 2027, "b": 498}, 0.01, 0.0125) == {None}

@@ -56,12 +56,68 @@ def span(c, needle) -> Column:
     return F.when(at > 0, F.struct(at.alias("start"), (at + length).alias("end")))
 
 
-def snippet(c, terms: list[str], width: int = 320) -> Column:
-    """At most width characters around the first of the terms."""
-    t = squeeze(c)
-    places = F.array_min(F.filter(F.array(*(F.locate(x.lower(), F.lower(t)) for x in terms)), lambda x: x > 0))
-    start = F.greatest(F.lit(1), F.least(F.coalesce(places, F.lit(1)) - width // 2, F.char_length(t) - width + 1))
-    return F.when(F.char_length(t) <= width, t).otherwise(F.substring(t, start, F.lit(width)))
+def snippet(c, terms: list[str], width: int = 320, before: int = 96) -> Column:
+    """At most width characters with the first of the terms, and dots where the text
+    goes on; without a term, its beginning."""
+    t, inner = squeeze(c), width - 6
+    size = F.char_length(t)
+    at = F.array_min(F.filter(F.array(*(F.locate(x.lower(), F.lower(t)) for x in terms)), lambda x: x > 0)) - 1
+    first = F.greatest(F.lit(0), at - min(before, inner // 3))
+    end = F.least(size, first + inner)
+    start = F.greatest(F.lit(0), F.least(first, end - inner))
+    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(F.substring(t, start + 1, end - start)), F.when(end < size, "...").otherwise(""))
+    return F.when(size <= width, t).when(at.isNull(), F.concat(F.rtrim(F.substring(t, F.lit(1), F.lit(width - 3))), F.lit("..."))).otherwise(cut)
+
+
+def entity_mentions(c) -> Column:
+    """Distinct ids of the stores that a text names, in order: 'store b', 'store_b1' and
+    ranges of single letters such as 'stores B-D'."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    found = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9_])stores?[_ ]([a-z][0-9]*(?: ?- ?[a-z](?![a-z0-9_]))?)(?![a-z0-9_])"), F.lit(1))
+    ends = lambda x: (F.ascii(F.substring(x, 1, 1)), F.ascii(F.regexp_extract(x, "- ?([a-z])$", 1)))
+    every = lambda x: F.transform(F.sequence(F.least(*ends(x)), F.greatest(*ends(x))), lambda i: F.char(i))
+    one = F.transform(found, lambda x: F.when(x.rlike("^[a-z] ?- ?[a-z]$"), every(x)).otherwise(F.array(F.regexp_extract(x, "^([a-z][0-9]*)", 1))))
+    return F.transform(F.array_distinct(F.flatten(one)), lambda x: F.concat(F.lit("store_"), x))
+
+
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+CJK_MONTHS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
+_RELATIVE = r"\b(?:daily|weekly|latest|yesterday|today|tomorrow)\b|\b(?:last|this|next)\s+(?:day|week|month|year|quarter)\b|上月|本月|下月|去年|今年|明年|昨天|今天|明天|最近"
+
+
+def request_window(c) -> Column:
+    """struct(start, end, error) of the window that a request names: two ISO days joined
+    by 'to' or '至', or one or two months (2024-03, 2024年3月, 2024年三月, March 2024). A
+    request without a time has neither; relative times, open ends, single days and more
+    than one window are errors."""
+    q = F.lower(F.coalesce(col(c), F.lit("")))
+    iso = F.regexp_extract_all(q, F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1))
+    rest = F.regexp_replace(q, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
+    # every way to write a month becomes yyyy-mm
+    for i in range(12, 0, -1):
+        rest = F.regexp_replace(rest, rf"([0-9]{{4}})\s*年\s*(?:{CJK_MONTHS[i - 1]}|0?{i})\s*月", f"$1-{i:02d}")
+        rest = F.regexp_replace(rest, rf"\b{MONTH_NAMES[i - 1]}\s+([0-9]{{4}})", f"$1-{i:02d}")
+    # so that each is made once
+    read = F.struct(q.alias("q"), iso.alias("iso"), rest.alias("rest"), F.regexp_extract_all(rest, F.lit(r"([0-9]{4}-[0-9]{2})(?![0-9-])"), F.lit(1)).alias("months"))
+    return F.element_at(F.transform(F.array(read), lambda x: _window(x.q, x.iso, x.rest, x.months)), 1)
+
+
+def _window(q: Column, iso: Column, rest: Column, months: Column) -> Column:
+    day = lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
+    month = lambda x: day(F.concat(x, F.lit("-01")))
+    joined_days = q.rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\s*(?:to|至)\s*[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    joined_months = rest.rlike(r"[0-9]{4}-[0-9]{2}\s*(?:to|至|到)\s*[0-9]{4}-[0-9]{2}")
+    n_iso, n_months = F.size(iso), F.size(F.array_distinct(months))
+    start = F.when(n_iso == 2, day(F.get(iso, 0))).when(n_months > 0, month(F.get(months, 0)))
+    end = F.when(n_iso == 2, day(F.get(iso, 1))).when(n_months > 0, F.last_day(month(F.get(months, F.size(months) - 1))))
+    opened = r"\b(?:after|before|since|until)\s+\S*[0-9]"
+    error = (
+        F.when(q.rlike(_RELATIVE), "relative time").when((n_iso > 0) & (n_months > 0), "several windows").when(n_iso == 1, "sub-month date").when(n_iso > 2, "several windows")
+        .when((n_iso == 2) & ~joined_days, "not one window").when(q.rlike(opened) | rest.rlike(opened), "open window")
+        .when(n_months > 2, "several windows").when((n_months == 2) & ~joined_months, "not one window")
+        .when(((n_iso > 0) | (n_months > 0)) & (start.isNull() | end.isNull()), "no such date").when(start > end, "ends before it starts")
+    )
+    return F.struct(F.when(error.isNull(), start).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
 
 
 def month_bounds(c) -> tuple[Column, Column]:
@@ -89,3 +145,8 @@ def fresh(ts, as_of: str, limit) -> Column:
 def digest(*columns) -> Column:
     """SHA-256 of the columns as text, one after another; nulls are told apart."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(col(c).cast("string"), F.lit("\\N")) for c in columns)), 256)
+
+
+def paragraphs(texts, key: str, text: str):
+    """(key, chunk_no, chunk) of the parts between blank lines."""
+    return texts.select(key, F.posexplode(F.split(col(text), r"\n\s*\n", -1)).alias("chunk_no", "chunk"))

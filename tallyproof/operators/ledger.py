@@ -115,3 +115,23 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]
         F.count_if(agrees).alias("n_agree"), F.count_if(~agrees & ~no_l & ~no_r).alias("n_differ"), F.count_if(F.col("in_l") & no_l & ~no_r).alias("n_missing_left"),
         F.count_if(F.col("in_r") & no_r & ~no_l).alias("n_missing_right"), F.count_if(F.col("in_l").isNull()).alias("n_left_absent"), F.count_if(F.col("in_r").isNull()).alias("n_right_absent"),
     )
+
+
+def facts_checked(facts: DataFrame, panel: DataFrame, skus: DataFrame, slots: dict, listing: str, tolerance: float, top: int = 3) -> DataFrame:
+    """(store_id, period_month, slot, field, outcome) of each observed value of facts
+    (store_id, period_month, slot, observed_values as JSON) against the panel's, and of
+    the listing slot's items against the top list: agrees, differs, both missing."""
+    keys = ["store_id", "period_month"]
+    every = sorted({f for fs in slots.values() for f in fs})
+    read = facts.withColumn("seen", F.from_json("observed_values", ", ".join(f"{f} double" for f in every) + ", top_items array<string>"))
+    item = F.concat_ws(" ", "sku_name", F.col("sales_volume").cast("string"))
+    lists = skus.where(F.col("sku_rank") <= top).groupBy("store_id", F.date_format("period_start", "yyyy-MM").alias("period_month")).agg(F.array_sort(F.collect_list(item)).alias("own_items"))
+    met = read.join(panel.select(*keys, *(F.col(f).cast("double").alias(f) for f in every)), keys).join(lists, keys, "left")
+    told = lambda f, a, b, same: F.struct(F.lit(f).alias("field"), F.when(a.isNull() & b.isNull(), "both missing").when(F.coalesce(same, F.lit(False)), "agrees").otherwise("differs").alias("outcome"))
+    cell = lambda f: told(f, F.col("seen")[f], F.col(f), F.abs(F.col("seen")[f] - F.col(f)) <= tolerance)
+    seen, own = F.array_sort(F.col("seen.top_items")), F.coalesce("own_items", F.array().cast("array<string>"))
+    rows = F.array().cast("array<struct<field:string,outcome:string>>")
+    for slot, fs in slots.items():
+        cells = [*map(cell, fs), *([told("top_items", seen, own, seen == own)] if slot == listing else [])]
+        rows = F.when(F.col("slot") == slot, F.array(*cells)).otherwise(rows)
+    return met.select(*keys, "slot", F.inline(rows))

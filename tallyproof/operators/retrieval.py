@@ -47,3 +47,12 @@ def superseded(facts: DataFrame, keys: list[str], single: Column, ts: str, tie:
     single-valued kind; null while it is active."""
     nxt = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts, tie))
     return facts.withColumn("valid_to", F.when(single, nxt))
+
+
+def gated(asked: DataFrame, found: DataFrame, least: float = 0.60, sure: float = 0.92, gap: float = 0.05) -> DataFrame:
+    """(query_id, passes): the best hit must reach least and either be alone, be sure or
+    lead by gap. A query without hits passes only if it is typed. asked: query_id, typed;
+    found: query_id, top1, top2."""
+    alone, lead = F.col("top2").isNull(), F.col("top1") - F.col("top2") >= gap
+    passes = (F.col("top1") >= least) & (alone | (F.col("top1") >= sure) | lead)
+    return asked.join(found, "query_id", "left").select("query_id", F.when(F.col("top1").isNull(), F.col("typed")).otherwise(passes).alias("passes"))

@@ -3,12 +3,15 @@ of typed facts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
-from ..adapters import SP, store_period, table
+from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import retrieval as R
-from ..registry import query
+from ..operators import ledger as L, retrieval as R
+from ..registry import ORACLES, query
+from .review import rac4
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5]
 HITS = """em AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), sc AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS q_label, d.label AS d_label, list_cosine_similarity(q.v, d.v) AS s FROM em q JOIN em d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
@@ -112,11 +115,13 @@ def agg21(spark, d):
     return _variants(spark, d).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("changed").alias("changed"))
 
 
-@query("srt5_top1_gate", f"WITH {HITS}, g AS (SELECT query_id, max(s) FILTER (rank = 1) AS a, max(s) FILTER (rank = 2) AS b FROM tk GROUP BY 1) SELECT query_id, a >= 0.40 AND (b IS NULL OR a >= 0.92 OR a - b >= 0.05) AS passes FROM g")
+@query("srt5_top1_gate", f"""WITH {HITS}, g AS (SELECT query_id, max(s) FILTER (rank = 1 AND query_id % 300 <> 0) AS a, max(s) FILTER (rank = 2 AND query_id % 300 <> 0) AS b FROM tk GROUP BY 1)
+SELECT query_id, coalesce(a >= 0.60 AND (b IS NULL OR a >= 0.92 OR a - b >= 0.05), query_id % 200 = 0) AS passes FROM g""")
 def srt5(spark, d):
-    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
-    g = hits(spark, d, 2).groupBy("query_id").agg(at(1).alias("a"), at(2).alias("b"))
-    return g.select("query_id", ((F.col("a") >= 0.40) & (F.col("b").isNull() | (F.col("a") >= 0.92) | (F.col("a") - F.col("b") >= 0.05))).alias("passes"))
+    """Every third query has no hits on purpose, and every second one is a typed message."""
+    found = hits(spark, d, 2).where("query_id % 300 <> 0").groupBy("query_id").agg(*(F.max(F.when(F.col("rank") == r, F.col("score"))).alias(f"top{r}") for r in (1, 2)))
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 200 == 0).alias("typed"))
+    return R.gated(asked, found)
 
 
 @query("rtv1_corpus_units", "WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents), u AS (SELECT 'chunk' AS kind, length(trim(c)) AS n FROM c WHERE length(trim(c)) >= 80 UNION ALL SELECT 'question', length(text) FROM benchmark) SELECT kind, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY kind")
@@ -134,88 +139,69 @@ def rtv6(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.concat_ws(",", *(F.when(T.contains_any("text", SLOTS[s]), s) for s in sorted(SLOTS))).alias("slots"))
 
 
-@query("rtv7_evidence_selection", "WITH n AS (SELECT user_id, event_type, count(*) AS n, max(value) AS v FROM events GROUP BY ALL), g AS (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT * FROM (VALUES ('view'), ('click')) AS v(event_type)) t) SELECT g.user_id, string_agg(CASE WHEN n.n IS NULL THEN 'missing ' || g.event_type WHEN n.n > 1 THEN 'duplicate ' || g.event_type END, ',' ORDER BY g.event_type) AS problems, count(n.n) AS found FROM g LEFT JOIN n USING (user_id, event_type) GROUP BY 1")
-def rtv7(spark, d):
-    """For each entity, its slots that lack a fact or hold several."""
-    ev = table(spark, d, "events")
-    n = ev.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == s).alias(s) for s in ("click", "view")))
-    told = [F.when(F.col(s) == 0, f"missing {s}").when(F.col(s) > 1, f"duplicate {s}") for s in ("click", "view")]
-    problems = F.concat_ws(",", *told)
-    return n.select("user_id", F.when(problems != "", problems).alias("problems"), sum((F.col(s) > 0).cast("bigint") for s in ("click", "view")).alias("found"))
-
-
-_REFUSE = "CASE WHEN contains(lower(text), 'stupid') THEN 'tone' WHEN length(text) < 40 THEN 'too short' WHEN NOT contains(lower(text), 'the') THEN 'other language' END"
-
-
-@query("rtv8_refusals", f"SELECT conv_id, turn, {_REFUSE} AS reason FROM conversations")
-def rtv8(spark, d):
-    why = R.first_reason((T.contains_any("text", ["stupid"]), "tone"), (F.char_length("text") < 40, "too short"), (~T.contains_any("text", ["the"]), "other language"))
-    return table(spark, d, "conversations").select("conv_id", "turn", why.alias("reason"))
-
-
-@query("rtv9_answers")
-def rtv9(spark, d):
-    """Values of a store's last month in slot order, then its distinct limitations."""
-    p = store_period(spark, d)
-    last = p.groupBy("store_id").agg(F.max_by(F.struct("period_month", "transaction_amount", "entry_users", "search_exposure_users"), "period_start").alias("r"))
-    limits = F.array_distinct(F.filter(F.array(F.when(F.col("r.entry_users").isNull(), "entry users are missing"), F.when(F.col("r.search_exposure_users").isNull(), "search exposure is missing"), F.lit("one store, one month")), lambda x: x.isNotNull()))
-    return last.select("store_id", F.concat_ws(" ", F.lit("amount"), F.format_number("r.transaction_amount", 2), F.lit("in"), "r.period_month").alias("answer"), F.array_join(limits, "; ").alias("limitations"))
-
-
-@query("rac1_question_types", "SELECT item_id, CASE WHEN regexp_matches(lower(text), 'compare|than') THEN 'comparison' WHEN regexp_matches(lower(text), 'why|cause') THEN 'cause' WHEN regexp_matches(lower(text), '[0-9]') THEN 'number' ELSE 'open' END AS kind FROM benchmark")
-def rac1(spark, d):
-    t = F.lower("text")
-    return table(spark, d, "benchmark").select("item_id", F.when(t.rlike("compare|than"), "comparison").when(t.rlike("why|cause"), "cause").when(t.rlike("[0-9]"), "number").otherwise("open").alias("kind"))
-
-
-_FACTORS = [("comparison", "amount", 0.85), ("comparison", "orders", 0.72), ("cause", "activity", 0.85), ("number", "amount", 0.72), ("open", "visibility", 0.60)]
-_FV = ", ".join(f"('{k}', '{f}', CAST({w} AS DOUBLE))" for k, f, w in _FACTORS)
-_KIND = "k AS (SELECT item_id, CASE WHEN regexp_matches(lower(text), 'compare|than') THEN 'comparison' WHEN regexp_matches(lower(text), 'why|cause') THEN 'cause' WHEN regexp_matches(lower(text), '[0-9]') THEN 'number' ELSE 'open' END AS kind FROM benchmark)"
-
-
-def factors(spark):
-    return spark.createDataFrame(_FACTORS, "kind string, factor string, weight double")
-
-
-@query("rac2_factor_weights", f"WITH {_KIND} SELECT item_id, factor, weight FROM k JOIN (VALUES {_FV}) AS f(kind, factor, weight) USING (kind)")
-def rac2(spark, d):
-    return rac1(spark, d).join(factors(spark), "kind").select("item_id", "factor", "weight")
-
-
-_ROUTES = [("amount", "panel", "record"), ("orders", "panel", "record"), ("activity", "report", "keyword")]
-_RV = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _ROUTES)
-_ROUTED = f"WITH {_KIND}, w AS (SELECT item_id, factor, weight FROM k JOIN (VALUES {_FV}) AS f(kind, factor, weight) USING (kind)), r AS (SELECT w.*, source, role FROM w LEFT JOIN (VALUES {_RV}) AS v(factor, source, role) USING (factor))"
-
-
-def routed(spark, d):
-    return rac2(spark, d).join(spark.createDataFrame(_ROUTES, "factor string, source string, role string"), "factor", "left").select("item_id", "factor", "weight", "source", "role")
-
+#: Slots of facts with their confidence and fields; the list slot also has the top items.
+FACT_SLOTS = [
+    ("visibility_entry", "high", ["exposure_users", "entry_users", "entry_conversion_rate_pct"]), ("activity_lever", "high", ["activity_orders", "activity_cost", "activity_cost_ratio_pct"]),
+    ("transaction_conversion", "high", ["transaction_amount", "transaction_orders", "order_conversion_rate_pct"]), ("top3_sku_product_mix", "medium", ["transaction_amount"]),
+    ("single_metric_attribution_guard", "high", ["order_users", "payment_users"]),
+]
+LISTING = "top3_sku_product_mix"
+_DEC = "CAST(CAST(round({f} + 1e-9, 2) AS DECIMAL(20, 2)) AS {t})"
+_JSON = lambda fs, more="", t="VARCHAR": "concat('{', " + ", ', ', ".join(f"""'"{f}": ', coalesce({_DEC.format(f=f, t=t)}, 'null')""" for f in fs) + more + ", '}')"
+_ITEMS = """, ', "top_items": [', items, ']'"""
+_FACTS = " UNION ALL ".join(
+    f"SELECT store_id, period_month, '{s}' AS slot, '{c}' AS confidence, '{','.join(fs)}' AS source_fields, {_JSON(fs, _ITEMS if s == LISTING else '')} AS observed_values FROM ft" for s, c, fs in FACT_SLOTS
+)
+_FT = f"""{SP}, {SKU}, it AS (SELECT store_id, period_start, string_agg('"' || sku_name || ' ' || sales_volume || '"', ', ' ORDER BY sku_rank) AS items, count(*) AS n_items FROM sku WHERE sku_rank <= 3 GROUP BY ALL), ft AS (SELECT sp.*, coalesce(items, '') AS items, coalesce(n_items, 0) AS n_items FROM sp LEFT JOIN it USING (store_id, period_start))"""
+
+
+def fact_slots(panel, skus, top: int = 3):
+    """Five facts of each store-period: observed values as JSON, their fields and the
+    confidence. A value is written with two decimals, a missing one as null."""
+    keys = ["store_id", "period_start"]
+    item = F.concat(F.lit('"'), "sku_name", F.lit(" "), F.col("sales_volume").cast("string"), F.lit('"'))
+    lists = skus.where(F.col("sku_rank") <= top).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sku_rank", item.alias("item")))).alias("l"))
+    items = F.coalesce(F.array_join(F.transform("l", lambda x: x["item"]), ", "), F.lit(""))
+    p = panel.join(lists, keys, "left").withColumn("items", items)
+    json = lambda s, fs: F.expr(_JSON(fs, _ITEMS if s == LISTING else "", "STRING"))
+    rows = (F.struct(F.lit(s).alias("slot"), F.lit(c).alias("confidence"), F.lit(",".join(fs)).alias("source_fields"), json(s, fs).alias("observed_values")) for s, c, fs in FACT_SLOTS)
+    return p.select("store_id", "period_month", F.inline(F.array(*rows)))
+
+
+@query("agg15_fact_slots", f"WITH {_FT} {_FACTS}")
+def agg15(spark, d):
+    return fact_slots(store_period(spark, d), sku_period(spark, d))
 
-@query("rac3_evidence_routing", f"{_ROUTED} SELECT *, source IS NULL AS unrouted FROM r")
-def rac3(spark, d):
-    return routed(spark, d).withColumn("unrouted", F.col("source").isNull())
 
+_SEEN = " UNION ALL ".join(f"SELECT store_id, period_month, n_items, '{s}' AS slot, '{f}' AS field, {f} IS NULL AS gone FROM ft" for s, _, fs in FACT_SLOTS for f in fs)
 
-@query("agg16_role_counts", f"{_ROUTED} SELECT coalesce(role, 'boundary') AS role, count(*) AS n, count(DISTINCT item_id) AS n_items FROM r GROUP BY 1")
-def agg16(spark, d):
-    return routed(spark, d).groupBy(F.coalesce("role", F.lit("boundary")).alias("role")).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
 
+@query("lin2_nested_lists", f"""WITH {_FT}, u AS ({_SEEN}),
+v AS (SELECT store_id, period_month, slot, field, CASE WHEN store_id LIKE '%6' AND field = 'activity_orders' THEN 'differs' WHEN gone THEN 'both missing' ELSE 'agrees' END AS outcome FROM u
+UNION ALL SELECT store_id, period_month, '{LISTING}', 'top_items', CASE WHEN store_id LIKE '%2' AND n_items > 2 THEN 'differs' ELSE 'agrees' END FROM ft)
+SELECT slot, field, outcome, count(*) AS n FROM v GROUP BY ALL""")
+def lin2(spark, d):
+    """Facts, read back from their JSON, against the panel and its top lists, which are
+    compared as sorted arrays. Some facts were altered on purpose."""
+    panel, skus = store_period(spark, d), sku_period(spark, d)
+    facts = fact_slots(panel.withColumn("activity_orders", F.col("activity_orders") + F.col("store_id").endswith("6").cast("int")), skus.where(~(F.col("store_id").endswith("2") & (F.col("sku_rank") == 3))))
+    return L.facts_checked(facts, panel, skus, {s: fs for s, _, fs in FACT_SLOTS}, LISTING, 0.011).groupBy("slot", "field", "outcome").agg(F.count("*").alias("n"))
 
-@query("agg17_coverage_score", f"{_ROUTED} SELECT item_id, round(least(1.0, greatest(0.0, 0.45 * count(role) / count(*) + 0.25 * count(*) / count(*) + 0.15 * CAST(count(role) = count(*) AS INT) + 0.15)), 4) AS score FROM r GROUP BY item_id")
-def agg17(spark, d):
-    share = F.count("role") / F.count("*")
-    s = 0.45 * share + 0.25 + 0.15 * (F.count("role") == F.count("*")).cast("int") + 0.15
-    return routed(spark, d).groupBy("item_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 4).alias("score"))
 
+LIMITS = {"visibility_entry": ["no cause is inferred", "users may be counted twice"], "transaction_conversion": ["no cause is inferred", "one store"], "top3_sku_product_mix": ["top items only", "one store"]}
+_LV = ", ".join(f"('{s}', {list(ls)!r})" for s, ls in LIMITS.items())
 
-@query("rac4_record_grounding", f"WITH {SP}, k AS (SELECT s.store_id, m.period_month FROM st s CROSS JOIN (VALUES ('1996-01'), ('1996-02'), ('1996-03')) AS m(period_month)) SELECT k.store_id, count(sp.store_id) AS found, count(sp.entry_users) AS complete, CASE WHEN count(sp.store_id) < 3 THEN 'missing_records' WHEN count(sp.entry_users) < 3 THEN 'missing_fields' ELSE 'grounded' END AS status FROM k LEFT JOIN sp ON sp.store_id = k.store_id AND sp.period_month = k.period_month GROUP BY 1")
-def rac4(spark, d):
-    from ..adapters import stores
 
-    keys = stores(spark, d).select("store_id", F.explode(F.array(*map(F.lit, ("1996-01", "1996-02", "1996-03")))).alias("period_month"))
-    p = store_period(spark, d).select("store_id", "period_month", "entry_users", F.lit(1).alias("here"))
-    g = keys.join(p, ["store_id", "period_month"], "left").groupBy("store_id").agg(F.count("here").alias("found"), F.count("entry_users").alias("complete"))
-    return g.withColumn("status", F.when(F.col("found") < 3, "missing_records").when(F.col("complete") < 3, "missing_fields").otherwise("grounded"))
+@query("rtv9_answers", f"""WITH {_FT}, f AS ({_FACTS}), c AS (SELECT f.*, limits FROM f JOIN (VALUES {_LV}) AS v(slot, limits) USING (slot) WHERE period_month = '1996-03'),
+a AS (SELECT store_id, string_agg(slot || ' ' || observed_values, '; ' ORDER BY slot) AS answer, flatten(list(limits ORDER BY slot)) AS l FROM c GROUP BY store_id)
+SELECT store_id, answer, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') AS limitations FROM a""")
+def rtv9(spark, d):
+    """Each store's selected facts in slot order, then their distinct limitations."""
+    limits = spark.createDataFrame([(s, ls) for s, ls in LIMITS.items()], "slot string, limits array<string>")
+    facts = agg15(spark, d).where("period_month = '1996-03'").join(limits, "slot")
+    g = facts.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("slot", "observed_values", "limits"))).alias("f"))
+    answer = F.array_join(F.transform("f", lambda x: F.concat_ws(" ", x.slot, x.observed_values)), "; ")
+    return g.select("store_id", answer.alias("answer"), F.array_join(F.array_distinct(F.flatten(F.transform("f", lambda x: x.limits))), "; ").alias("limitations"))
 
 
 LINES = "ln AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), hl AS (SELECT *, contains(lower(line), 'the') AS hit FROM ln)"
@@ -226,14 +212,6 @@ def _lines(spark, d):
     return lines.withColumn("hit", T.contains_any("line", ["the"]))
 
 
-def _accepted(lines):
-    """Hits whose snippets of one line either side don't overlap: of a run of hits,
-    every second line from its first on."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    run = lines.where("hit").withColumn("island", F.col("n") - F.row_number().over(w))
-    return run.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("n"))).where("place % 2 = 1")
-
-
 @query("win11_snippet_context", f"WITH {LINES}, c AS (SELECT doc_id, n, hit, lag(length(line)) OVER w AS before, lead(length(line)) OVER w AS after FROM hl WINDOW w AS (PARTITION BY doc_id ORDER BY n)) SELECT doc_id, n, before, after FROM c WHERE hit")
 def win11(spark, d):
     w = Window.partitionBy("doc_id").orderBy("n")
@@ -241,13 +219,6 @@ def win11(spark, d):
     return c.where("hit").select("doc_id", F.col("n").cast("bigint").alias("n"), "before", "after")
 
 
-@query("rac5_keyword_snippets", f"WITH {LINES}, i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS isl FROM hl WHERE hit), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, isl ORDER BY n) AS p FROM i), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM a WHERE p % 2 = 1) SELECT doc_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS places FROM b WHERE k <= 3 GROUP BY doc_id")
-def rac5(spark, d):
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
-    first = _accepted(_lines(spark, d)).withColumn("k", k).where("k <= 3").groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    return first.select("doc_id", F.array_join(F.transform("ns", lambda x: x.cast("string")), ",").alias("places"))
-
-
 _CHECK = f"WITH {SP}, a AS (SELECT store_id, transaction_amount AS x FROM sp WHERE period_month = '1996-01'), b AS (SELECT store_id, transaction_amount AS y FROM sp WHERE period_month = '1996-02'), c AS (SELECT coalesce(a.store_id, b.store_id) AS store_id, CASE WHEN x IS NULL OR y IS NULL THEN 'unresolved' ELSE 'compare' END AS kind, CAST(sign(y - x) AS INT) AS direction FROM a FULL JOIN b ON a.store_id = b.store_id)"
 
 
@@ -275,52 +246,45 @@ def rac8(spark, d):
     return _checks(spark, d).select("store_id", F.when(F.col("kind") == "unresolved", "unresolved").when(F.col("direction") > 0, "premise holds").otherwise("premise rejected").alias("finding"))
 
 
-@query("rac9_report_sections")
-def rac9(spark, d):
-    """A report of each store as ordered section rows."""
-    c = rac8(spark, d).join(rac4(spark, d), "store_id", "left")
-    section = lambda i, name, body: F.struct(F.lit(i).alias("place"), F.lit(name).alias("section"), body.alias("body"))
-    found = F.concat(F.coalesce(F.col("found"), F.lit(0)).cast("string"), F.lit(" months found"))
-    rows = F.array(section(1, "question", F.lit("Did amounts rise?")), section(2, "evidence", found), section(3, "finding", F.col("finding")))
-    return c.select("store_id", F.inline(rows))
-
-
-@query("rac10_report_gate", "SELECT doc_id, concat_ws('; ', CASE WHEN NOT contains(text, '.') THEN 'no sentence' END, CASE WHEN contains(lower(text), 'stupid') THEN 'forbidden claim' END, CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'no sections' END) AS problems FROM documents")
-def rac10(spark, d):
-    e = V.errors(F.when(~F.contains("text", F.lit(".")), "no sentence"), F.when(T.contains_any("text", ["stupid"]), "forbidden claim"), F.when(F.size(F.split("text", "\n", -1)) < 2, "no sections"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(e, "; ").alias("problems"))
+SECTIONS = [
+    ("question", "Did amounts rise?"), ("evidence", "{n_found} of {n_expected} months, {n_repeated} repeated"), ("missing months", "{missing}"), ("missing fields", "{gaps}"),
+    ("finding", "{finding}"), ("limits", "One store; no cause is inferred."),
+]
 
 
-@query("rac11_state_integrity", f"{_ROUTED} SELECT item_id, count(*) AS n, count(*) - count(DISTINCT factor) AS repeated, count(*) FILTER (source IS NULL) AS dangling FROM r GROUP BY item_id")
-def rac11(spark, d):
-    return routed(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("factor")).alias("repeated"), F.count_if(F.col("source").isNull()).alias("dangling"))
+def _filled(template: str, columns: list, value, text):
+    """The parts of a template: literals and columns."""
+    out, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        out += [text(template[at : m.start()]), value(m[1])]
+        at = m.end()
+    return [*out, text(template[at:])]
 
 
-@query("agg23_report_totals", f"{_ROUTED} SELECT factor, count(*) AS n, count(DISTINCT item_id) AS n_items FROM r GROUP BY GROUPING SETS ((factor), ())")
-def agg23(spark, d):
-    return routed(spark, d).rollup("factor").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
+_BODY = " UNION ALL ".join(
+    f"SELECT store_id, {i} AS place, '{n}' AS section, concat({', '.join(_filled(t, [], lambda c: f'CAST({c} AS VARCHAR)', lambda x: repr(x)))}) AS body FROM x" for i, (n, t) in enumerate(SECTIONS, 1)
+)
 
 
-@query("srt3_best_source", f"{_ROUTED}, s AS (SELECT *, CASE role WHEN 'record' THEN 5 WHEN 'keyword' THEN 4 ELSE 3 END AS score FROM r) SELECT item_id, arg_max(factor, (score, factor)) AS factor, CAST(max(score) AS INT) AS score FROM s GROUP BY item_id")
-def srt3(spark, d):
-    s = routed(spark, d).withColumn("score", F.when(F.col("role") == "record", 5).when(F.col("role") == "keyword", 4).otherwise(3))
-    return s.groupBy("item_id").agg(F.max_by("factor", F.struct("score", "factor")).alias("factor"), F.max("score").alias("score"))
-
-
-@query("srt6_evidence_limit", f"{_ROUTED} SELECT item_id, count(*) > 1 AS refused FROM r GROUP BY item_id")
-def srt6(spark, d):
-    return routed(spark, d).groupBy("item_id").agg((F.count("*") > 1).alias("refused"))
+@query("rac9_report_sections", f"""WITH r4 AS (SELECT * FROM ({ORACLES['rac4_record_grounding']})), r8 AS (SELECT * FROM ({ORACLES['rac8_premise_check']})),
+x AS (SELECT r8.store_id, finding, coalesce(n_expected, 0) AS n_expected, coalesce(n_found, 0) AS n_found, coalesce(n_repeated, 0) AS n_repeated, coalesce(nullif(missing, ''), 'none') AS missing, coalesce(nullif(gaps, ''), 'none') AS gaps FROM r8 LEFT JOIN r4 USING (store_id)), u AS ({_BODY})
+SELECT store_id, place, section, body, sha256(string_agg(section || ': ' || body, chr(10) ORDER BY place) OVER (PARTITION BY store_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS report FROM u""")
+def rac9(spark, d):
+    """A report of each store as ordered section rows, with a digest of the whole."""
+    none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none").otherwise(F.col(c)).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    c = rac8(spark, d).join(rac4(spark, d), "store_id", "left").select("store_id", "finding", *map(zero, ("n_expected", "n_found", "n_repeated")), *map(none, ("missing", "gaps")))
+    body = lambda t: F.concat(*_filled(t, [], lambda x: F.col(x).cast("string"), F.lit))
+    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("section"), body(t).alias("body")) for i, (n, t) in enumerate(SECTIONS, 1)))
+    c = c.withColumn("rows", rows)
+    report = F.sha2(F.array_join(F.transform("rows", lambda x: F.concat_ws(": ", x.section, x.body)), "\n"), 256)
+    return c.select("store_id", report.alias("report"), F.inline("rows"))
 
 
-@query("agg15_fact_slots")
-def agg15(spark, d):
-    """Five facts of each store-period, as struct rows."""
-    fact = lambda slot, conf, *c: F.struct(F.lit(slot).alias("slot"), F.lit(conf).alias("confidence"), F.to_json(F.struct(*c)).alias("observed_values"), F.array(*map(F.lit, c)).alias("source_fields"))
-    slots = F.array(
-        fact("visibility_entry", "high", "exposure_users", "entry_users"), fact("activity_lever", "high", "activity_orders", "activity_cost"),
-        fact("transaction_conversion", "high", "transaction_amount", "transaction_orders"), fact("top3_sku_product_mix", "medium", "transaction_amount"), fact("single_metric_attribution_guard", "high", "order_users"),
-    )
-    return store_period(spark, d).where("period_month = '1996-03'").select("store_id", "period_month", F.inline(slots))
+@query("rac10_report_gate", "SELECT doc_id, concat_ws('; ', CASE WHEN NOT contains(text, '.') THEN 'no sentence' END, CASE WHEN contains(lower(text), 'stupid') THEN 'forbidden claim' END, CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'no sections' END) AS problems FROM documents")
+def rac10(spark, d):
+    e = V.errors(F.when(~F.contains("text", F.lit(".")), "no sentence"), F.when(T.contains_any("text", ["stupid"]), "forbidden claim"), F.when(F.size(F.split("text", "\n", -1)) < 2, "no sections"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(e, "; ").alias("problems"))
 
 
 POLICY = [("view", "visibility", True, 7, 0.65), ("click", "interest", True, 3, 0.65), ("purchase", "order", True, 30, 0.65), ("error", "problem", False, 30, 0.60)]
@@ -347,13 +311,6 @@ def mem1(spark, d):
     return c.where((F.col("role") == "user") & (F.char_length(F.trim("text")) >= 20) & ~F.col("text").rlike(r"\?\s*$")).select("conv_id", "turn")
 
 
-@query("mem2_fact_extraction", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]+') THEN 'number' WHEN regexp_matches(lower(text), '\bnot\b') THEN 'negation' WHEN regexp_matches(lower(text), '\bis\b') THEN 'identity' END AS kind, nullif(regexp_extract(text, '([0-9]+)', 1), '') AS value FROM conversations")
-def mem2(spark, d):
-    t = F.lower("text")
-    v = F.regexp_extract("text", "([0-9]+)", 1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("text").rlike("[0-9]+"), "number").when(t.rlike(r"\bnot\b"), "negation").when(t.rlike(r"\bis\b"), "identity").alias("kind"), F.when(v != "", v).alias("value"))
-
-
 @query("mem3_policy_keys", f"WITH {FACTS} SELECT event_id, concat_ws('::', CAST(user_id AS VARCHAR), CASE WHEN single THEN 'product' ELSE 'self' END, slot) AS entity FROM fa")
 def mem3(spark, d):
     return facts(spark, d).select("event_id", F.concat_ws("::", F.col("user_id").cast("string"), F.when(F.col("single"), "product").otherwise("self"), "slot").alias("entity"))
@@ -392,34 +349,6 @@ def win12(spark, d):
     return m.where("before is not null").select("conv_id", "turn", (F.col("text") == F.col("before")).alias("repeated"))
 
 
-_BLOCKS = f"WITH {LINES}, k AS (SELECT doc_id, n, length(line) < 40 AS header, contains(lower(line), 'stupid') AS issue FROM ln), b AS (SELECT *, sum(CAST(header AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM k), z AS (SELECT *, coalesce(max(CAST(issue AS INT)) OVER (PARTITION BY doc_id, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS frozen FROM b)"
-
-
-def _blocks(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("n")
-    k = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select("doc_id", "n", (F.char_length("line") < 40).alias("header"), T.contains_any("line", ["stupid"]).alias("issue"))
-    b = k.withColumn("block", F.sum(F.col("header").cast("int")).over(w))
-    past = Window.partitionBy("doc_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return b.withColumn("frozen", F.coalesce(F.max(F.col("issue").cast("int")).over(past), F.lit(0)) == 1)
-
-
-@query("win9_report_blocks", f"{_BLOCKS} SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines FROM z GROUP BY ALL")
-def win9(spark, d):
-    return _blocks(spark, d).groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"))
-
-
-@query("win10_freeze_rule", f"{_BLOCKS} SELECT doc_id, count(*) FILTER (frozen) AS n_frozen, count(*) FILTER (issue) AS n_issues FROM z GROUP BY doc_id")
-def win10(spark, d):
-    return _blocks(spark, d).groupBy("doc_id").agg(F.count_if("frozen").alias("n_frozen"), F.count_if("issue").alias("n_issues"))
-
-
-@query("ing6_report_rows", f"{_BLOCKS} SELECT doc_id, bool_or(issue) AS held, count(*) FILTER (NOT header AND NOT frozen AND NOT issue) AS n_rows FROM z GROUP BY doc_id")
-def ing6(spark, d):
-    """Report lines as rows: a header starts a block, an issue freezes what follows in
-    it and holds the document."""
-    return _blocks(spark, d).groupBy("doc_id").agg(F.bool_or("issue").alias("held"), F.count_if(~F.col("header") & ~F.col("frozen") & ~F.col("issue")).alias("n_rows"))
-
-
 @query("jn14_label_lookup", f"WITH {LINES}, lb AS (SELECT * FROM (VALUES ('The', 'article'), ('Then', 'time'), ('In', 'place')) AS v(label, kind)), m AS (SELECT doc_id, n, kind, row_number() OVER (PARTITION BY doc_id, n ORDER BY length(label) DESC) AS r FROM ln JOIN lb ON starts_with(line, label || ' ')) SELECT doc_id, n, kind FROM m WHERE r = 1")
 def jn14(spark, d):
     """The longest label of a dictionary that a line starts with. The dictionary is a

@@ -269,29 +269,67 @@ def fstr9(spark, d):
     return table(spark, d, "documents").select("doc_id", T.span("text", "the").alias("at")).select("doc_id", F.col("at.start").alias("s"), F.col("at.end").alias("e"))
 
 
-@query("fstr10_query_variants")
+FILLERS = ["the", "of", "and", "in", "that", "an"]
+REPLACED = [("with", "using"), ("from", "out of"), ("what", "which"), ("for", "in favour of")]
+_SQ = r"trim(regexp_replace({}, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
+_PARA = "q"
+for _a, _b in REPLACED:
+    _PARA = rf"regexp_replace({_PARA}, '\b{_a}\b', '{_b}', 'gi')"
+
+
+@query("fstr10_query_variants", rf"""WITH b AS (SELECT item_id, {_SQ.format('text')} AS q FROM benchmark), w AS (SELECT *, string_split(q, ' ') AS w FROM b),
+k AS (SELECT *, list_filter(w, lambda x: NOT list_contains([{', '.join(f"'{x}'" for x in FILLERS)}], lower(regexp_replace(x, '[^A-Za-z0-9_%-]', '', 'g')))) AS kept, CAST(len(w) // 2 AS BIGINT) AS half, {_PARA} AS para FROM w),
+v AS (SELECT item_id, 1 AS i, 'original' AS variant, q AS wording FROM k
+UNION ALL SELECT item_id, 2, 'shortened', CASE WHEN len(kept) >= 4 THEN array_to_string(kept[1:18], ' ') WHEN len(w) > 8 THEN array_to_string(w[1:8], ' ') ELSE q END FROM k
+UNION ALL SELECT item_id, 3, 'paraphrased', CASE WHEN para = q THEN 'What evidence is available for: ' || q ELSE para END FROM k
+UNION ALL SELECT item_id, 4, 'noise', replace(replace(array_to_string(list_transform(w, lambda x, n: CASE WHEN n = item_id % len(w) + 1 AND length(x) >= 5 THEN substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' '), ',', ''), ';', '') || ' ??' FROM k
+UNION ALL SELECT item_id, 5, 'reordered', CASE WHEN len(w) < 6 THEN q || ' evidence' ELSE array_to_string(list_concat(w[half + 1:], w[:half]), ' ') END FROM k)
+SELECT item_id, arg_min(variant, i) AS variant, wording FROM (SELECT item_id, i, variant, {_SQ.format('wording')} AS wording FROM v) GROUP BY item_id, wording""")
 def fstr10(spark, d):
-    """Wordings of each question: short, rotated, paraphrased, noisy and swapped at a
-    place that its hash gives."""
-    w = F.split(T.squeeze("text"), " ")
-    n = F.size(w)
-    half = F.floor(n / 2).cast("int")
-    at = F.pmod(F.xxhash64("text"), F.greatest(n - 1, F.lit(1))).cast("int")
-    swapped = F.transform(w, lambda x, i: F.when(i == at, F.get(w, at + 1)).when(i == at + 1, F.get(w, at)).otherwise(x))
-    variants = {"original": T.squeeze("text"), "shorten": F.array_join(F.slice(w, F.lit(1), F.greatest(half, F.lit(1))), " "), "rotate": F.array_join(F.concat(F.slice(w, half + 1, n), F.slice(w, F.lit(1), half)), " "), "noise": F.regexp_replace(T.squeeze("text"), r"[,.]", " ... "), "swap": F.array_join(F.coalesce(swapped, w), " ")}
-    rows = F.array(*(F.struct(F.lit(k).alias("variant"), T.squeeze(v).alias("wording")) for k, v in variants.items()))
-    long = table(spark, d, "benchmark").select("item_id", F.inline(rows))
-    return long.groupBy("item_id", "wording").agg(F.min("variant").alias("variant"))
-
-
-@query("fstr11_entity_mentions", "SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS n FROM documents")
+    """Wordings of each question, each once: without fillers, paraphrased, with two
+    letters of one word swapped, and with its halves exchanged."""
+    return variants(table(spark, d, "benchmark"), "item_id", "text")
+
+
+def variants(items, key: str, text: str):
+    b = items.select(key, T.squeeze(text).alias("q")).withColumn("w", F.split("q", " ")).withColumn("n", F.size("w"))
+    kept = F.filter("w", lambda x: ~F.lower(F.regexp_replace(x, "[^A-Za-z0-9_%-]", "")).isin(FILLERS))
+    para = F.col("q")
+    for a, c in REPLACED:
+        para = F.regexp_replace(para, rf"(?i)\b{a}\b", c)
+    b = b.withColumns({"kept": kept, "para": para})
+    half, line = F.floor(F.col("n") / 2).cast("int"), lambda x: F.array_join(x, " ")
+    turned = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, 3, 1), F.substring(x, 2, 1), F.substring(x, 4, 1 << 20))
+    noisy = F.transform("w", lambda x, i: F.when((i == F.col(key) % F.col("n")) & (F.char_length(x) >= 5), turned(x)).otherwise(x))
+    made = {
+        "original": F.col("q"),
+        "shortened": F.when(F.size("kept") >= 4, line(F.slice("kept", 1, 18))).when(F.col("n") > 8, line(F.slice("w", 1, 8))).otherwise(F.col("q")),
+        "paraphrased": F.when(F.col("para") == F.col("q"), F.concat(F.lit("What evidence is available for: "), "q")).otherwise(F.col("para")),
+        "noise": F.concat(F.regexp_replace(line(noisy), "[,;]", ""), F.lit(" ??")),
+        "reordered": F.when(F.col("n") < 6, F.concat("q", F.lit(" evidence"))).otherwise(line(F.concat(F.slice("w", half + 1, F.col("n")), F.slice("w", F.lit(1), half)))),
+    }
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("variant"), T.squeeze(v).alias("wording")) for i, (k, v) in enumerate(made.items())))
+    return b.select(key, F.inline(rows)).groupBy(key, "wording").agg(F.min_by("variant", "i").alias("variant"))
+
+
+_ASK = "CASE doc_id % 5 WHEN 0 THEN 'Compare stores B-' || chr(67 + CAST(doc_id % 4 AS INT)) || ' with store a1' WHEN 1 THEN 'store_k7 and Store z' WHEN 2 THEN 'restore b, stores' WHEN 3 THEN 'Stores F-D; store e' ELSE source END"
+
+
+@query("fstr11_entity_mentions", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN array_to_string(list_transform(range(0, CAST(doc_id % 4 + 2 AS BIGINT)), lambda i: 'store_' || chr(CAST(98 + i AS INT))), ',') || ',store_a1'
+WHEN 1 THEN 'store_k7,store_z' WHEN 3 THEN 'store_d,store_e,store_f' ELSE '' END AS stores FROM documents""")
 def fstr11(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))).cast("bigint").alias("n"))
+    """Stores named in requests that are made up from documents' numbers."""
+    ask = F.expr(_ASK.replace("chr(67 + CAST(doc_id % 4 AS INT))", "char(67 + doc_id % 4)"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.entity_mentions(ask), ",").alias("stores"))
 
 
-@query("fstr12_chunks", "WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents) SELECT doc_id, count(*) FILTER (length(trim(c)) >= 80) AS n_chunks, CAST(sum(length(trim(c))) FILTER (length(trim(c)) >= 80) AS BIGINT) AS n_chars FROM c GROUP BY doc_id")
+@query("fstr12_chunks", r"""WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n')) AS c FROM documents)
+SELECT doc_id, count(*) FILTER (n >= 80) AS n_chunks, CAST(sum(n) FILTER (n >= 80) AS BIGINT) AS n_chars FROM (SELECT doc_id, length(trim(c)) AS n FROM c) GROUP BY doc_id""")
 def fstr12(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("c")).withColumn("n", F.char_length(F.trim("c")))
+    """Paragraphs of 80 characters or more, between blank lines; sentences of the supplied
+    texts are set apart first, as these have no blank lines."""
+    text = F.replace("text", F.lit(". "), F.lit(".\n\n"))
+    c = T.paragraphs(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text").withColumn("n", F.char_length(F.trim("chunk")))
     return c.groupBy("doc_id").agg(F.count_if(F.col("n") >= 80).alias("n_chunks"), F.sum(F.when(F.col("n") >= 80, F.col("n"))).alias("n_chars"))
 
 
@@ -300,10 +338,11 @@ def fstr13(spark, d):
     return store_period(spark, d).select("store_id", "period_month", F.md5(F.concat_ws("\n", "store_id", "period_month", F.concat(F.lit("orders: "), F.col("transaction_orders").cast("string")))).alias("h"))
 
 
-@query("fstr14_snippet")
+@query("fstr14_snippet", rf"""WITH t AS (SELECT doc_id, {_SQ.format('text')} AS t FROM documents), p AS (SELECT *, length(t) AS n, list_min(list_filter([strpos(lower(t), 'with'), strpos(lower(t), 'der'), strpos(lower(t), 'les')], lambda x: x > 0)) - 1 AS pos FROM t),
+q AS (SELECT *, greatest(0, pos - 96) AS f FROM p), r AS (SELECT *, least(n, f + 314) AS e FROM q), s AS (SELECT *, greatest(0, least(f, e - 314)) AS s FROM r)
+SELECT doc_id, CASE WHEN n <= 320 THEN t WHEN pos IS NULL THEN rtrim(substr(t, 1, 317)) || '...' ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(t, s + 1, e - s)) || CASE WHEN e < n THEN '...' ELSE '' END END AS snippet FROM s""")
 def fstr14(spark, d):
-    s = T.snippet("text", ["the", "der"], 320)
-    return table(spark, d, "documents").select("doc_id", s.alias("snippet"), F.char_length(s).alias("n"))
+    return table(spark, d, "documents").select("doc_id", T.snippet("text", ["with", "der", "les"], 320).alias("snippet"))
 
 
 @query("fdat1_month_bounds", f"WITH {SP} SELECT DISTINCT period_month, CAST(period_month || '-01' AS DATE) AS first, last_day(CAST(period_month || '-01' AS DATE)) AS last FROM sp")
@@ -317,18 +356,20 @@ def fdat2(spark, d):
     return store_period(spark, d).select("store_id", "period_month", T.days("period_start", "period_end").alias("days"))
 
 
-@query("fdat3_request_window")
+_REQUEST = """CASE o_orderkey % 9 WHEN 0 THEN 'from ' || d || ' to ' || e WHEN 1 THEN 'in ' || m || ' ' || y WHEN 2 THEN y || '年' || k || '月' WHEN 3 THEN 'sales for ' || y || '-' || mm WHEN 4 THEN 'on ' || d
+WHEN 5 THEN 'last month' WHEN 6 THEN 'March ' || y || ' to May ' || y WHEN 7 THEN 'since ' || m || ' ' || y ELSE 'how are we doing' END"""
+
+
+@query("fdat3_request_window", """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS f, CAST(o_orderdate AS DATE) AS a, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)
+SELECT o_orderkey, CASE WHEN f = 0 THEN a WHEN f IN (1, 2, 3) THEN m WHEN f = 6 THEN CAST(y || '-03-01' AS DATE) END AS period_start, CASE WHEN f = 0 THEN a + 6 WHEN f IN (1, 2, 3) THEN last_day(m) WHEN f = 6 THEN CAST(y || '-05-31' AS DATE) END AS period_end,
+CASE f WHEN 4 THEN 'sub-month date' WHEN 5 THEN 'relative time' WHEN 7 THEN 'open window' END AS error FROM o""")
 def fdat3(spark, d):
-    """A window read from a request's words: ISO dates, a month, or nothing; more than
-    one reading is ambiguous."""
-    months = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "'from' yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "'in' MMMM yyyy")).otherwise("whenever").alias("request"))
-    iso = F.regexp_extract_all("request", F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))
-    named = F.regexp_extract("request", rf"({'|'.join(months)}) (\d{{4}})", 1)
-    year = F.regexp_extract("request", rf"({'|'.join(months)}) (\d{{4}})", 2)
-    month = F.when(named != "", F.to_date(F.concat_ws("-", year, F.lpad(F.array_position(F.array(*map(F.lit, months)), named).cast("string"), 2, "0"), F.lit("01"))))
-    start = F.when(F.size(iso) == 1, F.to_date(iso[0])).when(F.size(iso) == 0, month)
-    return o.select("o_orderkey", start.alias("period_start"), F.when(F.size(iso) == 1, start).otherwise(F.last_day(start)).alias("period_end"), F.when(F.size(iso) > 1, "ambiguous").when(start.isNull(), "none").alias("error"))
+    """Windows of requests that are written in several ways, made from orders' dates."""
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format(F.date_add("o_orderdate", 6), "yyyy-MM-dd").alias("e"), F.date_format("o_orderdate", "MMMM").alias("m"),
+        F.date_format("o_orderdate", "yyyy").alias("y"), F.date_format("o_orderdate", "MM").alias("mm"), F.get(F.array(*map(F.lit, T.CJK_MONTHS)), F.month("o_orderdate") - 1).alias("k"),
+    )
+    return o.select("o_orderkey", T.request_window(F.expr(_REQUEST)).alias("w")).select("o_orderkey", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), F.col("w.error").alias("error"))
 
 
 @query("fdat4_freshness", "SELECT event_id, ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AS fresh FROM events")

@@ -11,21 +11,21 @@ symbol's probability times its own share of the symbol's count (plus one, which
 left to words that were never counted). The counts of all words stay a table of Spark,
 in as many buckets as there are shuffle partitions: a scoring task sends the hashes of
 such words to their buckets, packed by units of documents, and gets back one sum for
-each document and bucket. Training is in numpy, next to the
-data: in each round every task starts from the same parameters and goes through all
-documents of its split, with every STRIDE-th word as a target (another one in each
-round, so that over all rounds every word is one); the parameters of all tasks are
-averaged by Spark, weighted by their targets.
-The table of counts grows with the corpus; the averaged parameters have a fixed size
-(about 1.4 MB).
+each document and bucket. Training is in numpy: documents are dealt to groups of about
+GROUP words by a hash of id and text and sorted in them, each group starts from the
+same parameters and goes through all its documents with every word as a target, and the
+parameters of all groups are averaged by Spark, weighted by their words, FAN groups at
+a time. The table of counts grows with the corpus; the averaged parameters have a fixed
+size (about 1.4 MB).
 
-The result depends on how the input is split, as training does; it is the same each
-time that the same splits are read, also when a lost task runs again.
+The result depends on the documents alone, not on how the input is split or on lost
+tasks: groups, their order and the order of the averages are fixed.
 
 Edge cases. Words never counted (in texts other than those of fit) share what a symbol
 leaves to them. A null or empty text has no words: its sum is 0 and its mean null. A null
-doc_id is kept. Repeated rows get equal scores. An empty table gives an empty result.
-Extra columns are ignored.
+doc_id is kept. Repeated rows get equal scores; with copies of one id and text in one
+group they are trained on as often as they are there. A very long text is held in one
+task's memory. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, textvec
 
-SIDE, DIM, CLASSES, OTHERS, STRIDE, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 2, 2, 4096, 0.08
-PART = 1 << 19
+SIDE, DIM, CLASSES, OTHERS, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 1, 16384, 0.08
+PART = 1 << 20
+#: Words that one copy of the parameters is trained on, and copies averaged at a time.
+GROUP, FAN = 1 << 22, 64
 #: Bytes of text (and 64 for each document) whose rare words are sent together.
 UNIT = 1 << 25
 
@@ -250,32 +252,70 @@ class Network:
             self._step("tables", (k, s[head]), np.add.reduceat(dh[order], head, axis=0), rate)
 
 
-def _train(made, turn: int, stride: int, rate: float, batch_size: int, chunk: int):
+def _train(made, rate: float, batch_size: int, chunk: int):
+    """Rows (group, text) come sorted; each group has its own copy of the parameters."""
+
     def run(batches):
-        net, n = made(), 0
+        net, n, now = None, 0, None
+
+        def sent():
+            for i in range(0, len(net.flat), chunk):
+                row = (now, i // chunk, n, net.flat[i : i + chunk].astype(np.float64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["group", "chunk", "n", "values"])
+
         for batch in batches:
-            for low, high in textvec.slices(batch.column("text"), PART):
-                hashes, first = _hashes(batch.slice(low, high - low))
-                symbols = net.symbols(hashes)
-                at = np.arange(turn % stride, len(symbols), stride)
-                at = at[np.random.default_rng(len(at)).permutation(len(at))]
-                for i in range(0, len(at), batch_size):
-                    own = at[i : i + batch_size]
-                    net.learn(net.contexts(symbols, first, own), symbols[own], rate)
-                n += len(at)
+            group = batch.column("group").to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if int(group[begin]) != now:
+                    if n:
+                        yield from sent()
+                    net, n, now = made(), 0, int(group[begin])
+                rows = batch.slice(begin, end - begin)
+                for low, high in textvec.slices(rows.column("text"), PART):
+                    hashes, first = _hashes(rows.slice(low, high - low))
+                    symbols = net.symbols(hashes)
+                    at = np.random.default_rng(len(symbols)).permutation(len(symbols))
+                    for i in range(0, len(at), batch_size):
+                        own = at[i : i + batch_size]
+                        net.learn(net.contexts(symbols, first, own), symbols[own], rate)
+                    n += len(symbols)
         if n:
-            for i in range(0, len(net.flat), chunk):
-                yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([net.flat[i : i + chunk].tobytes()], pa.binary())], ["chunk", "n", "values"])
+            yield from sent()
 
     return run
 
 
+SENT = "group long, chunk int, n long, values binary"
+
+
 def _average(table):
-    n = np.array(table.column("n").to_pylist(), np.float64)
-    total = 0
+    """One row of the weighted mean; rows in the order of their groups."""
+    table = table.sort_by("group")
+    n = np.array(table.column("n").to_pylist(), np.int64)
+    total = np.zeros(0)
     for w, x in zip(n / n.sum(), table.column("values").to_pylist(), strict=True):
-        total = total + w * np.frombuffer(x, np.float32)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "values": pa.array([np.asarray(total, np.float32).tobytes()], pa.binary())})
+        x = np.frombuffer(x, np.float64)
+        total = w * x + (total if len(total) else 0)
+    one = [table.column(c).slice(0, 1) for c in ("group", "chunk")]
+    return pa.table({"group": one[0], "chunk": one[1], "n": pa.array([int(n.sum())], pa.int64()), "values": pa.array([total.tobytes()], pa.binary())})
+
+
+def averaged(sent: DataFrame, groups: int) -> DataFrame:
+    """The mean of all groups' rows, FAN of them at a time."""
+    while True:
+        groups = -(-groups // FAN)
+        parent = sent.withColumn("parent", F.floor(F.col("group") / FAN).cast("long"))
+        mean = parent.groupBy("parent", "chunk").applyInArrow(lambda t: _up(_average(t)), SENT)
+        sent = common.stored(mean, "network")
+        if groups == 1:
+            return sent
+
+
+def _up(table):
+    return table.set_column(0, "group", pa.array([table.column("group")[0].as_py() // FAN], pa.int64()))
 
 
 def _score(made, buckets: int, unit: int):
@@ -370,20 +410,28 @@ class Model(NamedTuple):
     rest: np.ndarray
 
 
-def fit(docs: DataFrame, side: int = SIDE, dim: int = DIM, classes: int = CLASSES, size: int | None = None, stride: int = STRIDE, rounds: int = ROUNDS, rate: float = RATE, batch_size: int = BATCH) -> Model:
+def grouped(docs: DataFrame, groups: int) -> DataFrame:
+    """(group, text) dealt by a hash of id and text, and sorted, whatever the input's
+    splits are."""
+    text, h = F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.pmod(h, F.lit(groups)).alias("group"), h.alias("key"), text.alias("text")).where("text is not null")
+    dealt = rows.repartition(common.shuffle_partitions(docs.sparkSession), "group")
+    return dealt.sortWithinPartitions("group", "key", "text").select("group", "text")
+
+
+def fit(docs: DataFrame, side: int = SIDE, dim: int = DIM, classes: int = CLASSES, size: int | None = None, rounds: int = ROUNDS, rate: float = RATE, batch_size: int = BATCH, group: int = GROUP) -> Model:
     """The trained network and the counts of all words."""
-    if rounds < stride:
-        raise ValueError("some words would never be a target: rounds must be stride or more")
     size = size or classes * classes
     texts = docs.select(F.col("text").cast("string").alias("text"))
     buckets, words = common.shuffle_partitions(docs.sparkSession), tally(texts)
     keys, counts = _ranked(words, size)
+    groups = max(1, -(-int(counts.sum()) // group))
     flat = Network.start(counts, classes, dim, side)
     for turn in range(rounds):
         made = lambda flat=flat: Network(keys, flat, size, classes, dim, side)
-        sent = texts.mapInArrow(_train(made, turn, stride, rate / (turn + 1), batch_size, 1 << 15), "chunk int, n long, values binary")
-        rows = common.stored(sent.groupBy("chunk").applyInArrow(_average, "chunk int, values binary"), "network").orderBy("chunk").collect()
-        flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]) if rows else flat
+        sent = common.stored(grouped(docs, groups).mapInArrow(_train(made, rate / (turn + 1), batch_size, 1 << 15), SENT), "trained")
+        rows = averaged(sent, groups).orderBy("chunk").collect()  # one set of parameters
+        flat = np.concatenate([np.frombuffer(r["values"], np.float64) for r in rows]).astype(np.float32) if rows else flat
     return Model(lambda: Network(keys, flat, size, classes, dim, side), words, buckets, counts[size - OTHERS :])
 
 

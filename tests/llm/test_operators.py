@@ -609,7 +609,7 @@ def test_scores_tell_prose_from_shuffled_words(spark):
     mixed = held.split(" ")
     rng.shuffle(mixed)
     df = frame(spark, train)
-    made = masked.fit(df, classes=32, dim=8, size=1024, stride=1)
+    made = masked.fit(df, classes=32, dim=8, size=1024, batch_size=4096)
     test = frame(spark, [(1, held), (2, " ".join(mixed)), (3, None), (4, ""), (None, "the"), (1, held)])
     rows = rows_of(masked.score(test, made))
     by = {r["doc_id"]: r for r in rows}
@@ -618,21 +618,65 @@ def test_scores_tell_prose_from_shuffled_words(spark):
     assert masked.score(frame(spark, []), masked.fit(frame(spark, []), classes=32, size=512)).count() == 0
 
 
-def test_every_word_is_a_target(spark):
-    seen = set()
+def test_every_word_is_a_target_in_its_group():
+    seen = Counter()
 
     class Recorder:
-        flat = np.zeros(4, np.float32)
-        symbols = staticmethod(lambda hashes: np.arange(len(hashes)))
+        def __init__(self):
+            self.flat = np.zeros(4, np.float32)
+
+        symbols = staticmethod(lambda hashes: hashes)
         contexts = staticmethod(lambda symbols, first, at: None)
         learn = staticmethod(lambda context, target, rate: seen.update(target.tolist()))
 
-    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(1001))]})
-    for turn in range(masked.ROUNDS):
-        list(masked._train(Recorder, turn, masked.STRIDE, 0.1, 64, 1 << 15)([batch]))
-    assert seen == set(range(1001))
-    with pytest.raises(ValueError):
-        masked.fit(frame(spark, []), stride=4, rounds=2)
+    texts = [" ".join(f"w{k}x{i}" for i in range(1001)) for k in range(3)]
+    batches = [pa.RecordBatch.from_pydict({"group": [1, 1], "text": texts[:2]}), pa.RecordBatch.from_pydict({"group": [1, 5], "text": [texts[0], texts[2]]})]
+    sent = [x.to_pydict() for x in masked._train(Recorder, 0.1, 64, 1 << 15)(batches)]
+    assert [(x["group"], x["n"]) for x in sent] == [([1], [3003]), ([5], [1001])]
+    assert sorted(Counter(seen.values()).items()) == [(1, 2002), (2, 1001)]
+
+
+def test_average_is_the_weighted_mean(spark):
+    rng = np.random.default_rng(7)
+    values, n = rng.normal(size=(150, 2, 5)), rng.integers(1, 50, 150)
+    rows = [(g, c, int(n[g]), values[g, c].tobytes()) for g in range(150) for c in range(2)]
+    got = {r.chunk: np.frombuffer(r["values"]) for r in masked.averaged(spark.createDataFrame(rows, masked.SENT), 150).collect()}
+    want = (values * n[:, None, None]).sum(0) / n.sum()
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_fit_does_not_depend_on_the_split(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 30)) for i in range(120)]
+    one = masked.fit(frame(spark, rows).coalesce(1), classes=32, dim=4, size=512, group=600).made().flat
+    two = masked.fit(frame(spark, rows[::-1]).repartition(5), classes=32, dim=4, size=512, group=600).made().flat
+    assert np.array_equal(one, two)
+
+
+def test_scores_equal_a_plain_pseudo_likelihood(spark):
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 25)) for i in range(40)]
+    model = masked.fit(frame(spark, rows), classes=32, dim=4, size=masked.OTHERS + 64)
+    p, keys = model.made().parts, {int(k): i for i, k in enumerate(masked.vocabulary(frame(spark, rows).select("text"), masked.OTHERS + 64)[0])}
+    size, each, counts = masked.OTHERS + 64, (masked.OTHERS + 64) // 32, Counter(w for _, t in rows for w in words(t))
+    code = {w: int(masked._hashes(pa.RecordBatch.from_pydict({"text": [w]}))[0][0]) for w in counts}
+    symbol = {w: keys.get(c, 64 + c % masked.OTHERS) for w, c in code.items()}
+    shared = Counter()
+    for w, c in code.items():
+        if c not in keys:
+            shared[symbol[w]] += counts[w]
+    got = {r["doc_id"]: r["log_likelihood"] for r in masked.score(frame(spark, rows), model).collect()}
+    for doc, text in rows[:10]:
+        w, total = [symbol[x] for x in words(text)], 0.0
+        for i, s in enumerate(w):
+            h = p["bend"].astype(np.float64)
+            for k, o in enumerate((-2, -1, 1, 2)):
+                h = h + p["tables"][k][w[i + o] if 0 <= i + o < len(w) else size]
+            h = np.tanh(h)
+            top, low = h @ p["top"] + p["top_bias"], h @ p["low"][s // each] + p["low_bias"][s // each]
+            total += top[s // each] - np.log(np.exp(top).sum()) + low[s % each] - np.log(np.exp(low).sum())
+        total += sum(math.log(counts[x] / (shared[symbol[x]] + 1)) for x in words(text) if code[x] not in keys)
+        assert math.isclose(got[doc], total, rel_tol=1e-4)
 
 
 def test_rare_words_have_their_own_probabilities(spark):

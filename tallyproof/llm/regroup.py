@@ -25,7 +25,7 @@ def grouped(docs: DataFrame, per_partition: int = 2, carry: bool = False) -> Dat
     row to each bucket, so groups are few for each partition; a partition's text
     must fit a task anyway, and spark.sql.shuffle.partitions grows with the input."""
     n = common.shuffle_partitions(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(common.column(c) for c in docs.columns if c != "text")).alias("row")] if carry else []))
     return plain.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n * per_partition)).cast("int")).repartition(n, "g")
 
 

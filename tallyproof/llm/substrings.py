@@ -11,7 +11,8 @@ which of its windows start in a document with a smaller doc_id.
 
 Names are content hashes, so a naming round is local: no exchange is needed for
 it, and the rounds of a document run in one task. Names and window hashes have 64
-bits; a false match needs a collision.
+bits and mix at every step, so that no pattern of words makes them collide; a false
+match needs a chance collision.
 
 Edge cases. A null or empty text has no words. A document with fewer words than
 WIDTH loses nothing. Rows with a null doc_id are neither judged nor compared with.
@@ -31,8 +32,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, recompress, regroup, textvec
 
 WIDTH, ROUNDS, CAP = 50, 7, 25
-_BASE = np.uint64(0xA0761D6478BD642F)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _read(part):
@@ -45,16 +44,8 @@ def _read(part):
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of width words, from prefix sums."""
-    if len(hashes) < width:
-        return np.zeros(0, np.uint64)
-    out = np.empty(len(hashes) - width + 1, np.uint64)
-    for low in range(0, len(out), textvec.BLOCK):
-        high = min(low + textvec.BLOCK, len(out))
-        own = hashes[low : high + width - 1]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * textvec.powers(_BASE, len(own)), dtype=np.uint64)])
-        out[low:high] = (total[width:] - total[:-width]) * textvec.powers(_BACK, high - low)
-    return textvec.mix(out)
+    """A hash of each run of width words."""
+    return textvec.wide(hashes, width)
 
 
 def _symbols(part, width, rounds, cap):

@@ -17,13 +17,16 @@ Entries that were in one block and go to the same byte stay in one block; after
 suffixes with a common prefix of at least WIDTH bytes. Its smallest doc_id goes back
 to the groups that asked, which remove what an earlier document has.
 
-Fragments are compared by a 64-bit hash when equal ones are merged; intervals come
-from the bytes themselves.
+Equal fragments are merged by a 64-bit hash and their bytes; intervals come from the
+bytes themselves. A group knows the runs that it is told by their fragments' hashes.
 
 Edge cases. A null or empty text has no bytes, and its remaining bytes are the empty
 string. Documents shorter than WIDTH bytes lose nothing. Rows with a null doc_id are
 neither judged nor compared with. Repeated rows get equal results, as only smaller
-doc_ids count. Extra columns are ignored. An empty table gives an empty result.
+doc_ids count; rows of one doc_id with different texts don't remove one another's
+bytes. A very long text is read in one task's memory, its fragments in bounded parts.
+Extra columns, of any name, are ignored or kept as they are. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common, regroup, textvec
 
@@ -51,8 +55,29 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def _span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return textvec.mix((total[end] - total[start]) * textvec.powers(_BACK, len(total))[start])
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed hash of each run of gram bytes."""
+    total = _prefix(data)
+    h = (total[gram:] - total[:-gram]) * textvec.powers(_BACK, max(0, len(data) - gram + 1))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class _Spans:
+    """Hashes of spans of at least gram bytes, from those of their grams: as these are
+    mixed, no pattern of bytes cancels out in the sum."""
+
+    def __init__(self, h: np.ndarray, gram: int):
+        self.gram = gram
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * textvec.powers(_BASE, len(h)), out=self.total[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (end - start).astype(np.uint64)
+        part = (self.total[end - self.gram + 1] - self.total[start]) * textvec.powers(_BACK, len(self.total))[start]
+        return textvec.mix(part + size * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, width: int, gram: int):
@@ -60,15 +85,10 @@ def fragments(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, width: i
     out = []
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     step = 1 << 18
-    back = textvec.powers(_BACK, step + width + 1)
     for low in range(0, max(0, len(data) - width + 1), step):
         high = min(low + step, len(data) - width + 1)
         own = data[low : high + width - 1]
-        total = _prefix(own)
-        h = (total[gram:] - total[:-gram]) * back[: len(own) - gram + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(29)
+        h = _grams(own, gram)
         span, wide = 1, width - gram + 1
         m = h
         while 2 * span <= wide:  # minima over 1, 2, 4, ... grams
@@ -88,7 +108,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, width: i
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             at, left = np.repeat(at, parts) + nth * LONGEST, np.repeat(size, parts) - nth * LONGEST
             size = np.minimum(left, LONGEST)
-        out.append((m[at], at + low, size, _span_hash(total, at, at + size + width - 1), text[at]))
+        out.append((m[at], at + low, size, _Spans(h, gram).hash(at, at + size + width - 1), text[at]))
     if not out:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z.astype(np.uint64), z
@@ -262,7 +282,22 @@ def _least(blob, at, size, low, width, shard_bytes) -> np.ndarray:
     return out
 
 
-def _judge(width: int, shard_bytes: int):
+def _equal(h: np.ndarray, blob: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, of): a fragment for each different one, and which each is like. Bytes decide;
+    fragments of one hash with other bytes stay apart."""
+    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    same = size == size[one[of]]
+    rows = np.flatnonzero(same & (one[of] != np.arange(len(h))))
+    for low in range(0, len(rows), 1 << 14):
+        r = rows[low : low + (1 << 14)]
+        equal = blob[textvec.ragged(at[r], size[r])] == blob[textvec.ragged(at[one[of[r]]], size[r])]
+        same[r] = np.logical_and.reduceat(equal, np.cumsum(size[r]) - size[r])
+    odd = np.flatnonzero(~same)
+    of[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), of
+
+
+def _judge(width: int, gram: int, shard_bytes: int):
     def run(table):
         table = table.combine_chunks()
         read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
@@ -276,10 +311,10 @@ def _judge(width: int, shard_bytes: int):
         while i < len(size):
             j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 18))))
             base, end = at[i], at[j - 1] + size[j - 1]
-            h[i:j] = _span_hash(_prefix(blob[base:end]), at[i:j] - base, at[i:j] - base + size[i:j])
+            h[i:j] = _Spans(_grams(blob[base:end], gram), gram).hash(at[i:j] - base, at[i:j] - base + size[i:j])
             i = j
         # equal fragments are one, with the smallest document of all
-        _, one, of = np.unique(h, return_index=True, return_inverse=True)
+        one, of = _equal(h, blob, at, size)
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, of, low)
         kinds = np.unique(key[one], return_inverse=True)[1]
@@ -392,7 +427,7 @@ def _asked(docs: DataFrame, width: int, gram: int, shard_bytes: int, carry: bool
     buckets = common.shuffle_partitions(docs.sparkSession)
     shared = regroup.answers(base.groupBy("g").applyInArrow(_emit(buckets, width, gram), regroup.KEYS), False)
     asked = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_ask(buckets, width, gram), FRAGMENTS)
-    return base, asked.groupBy("bucket").applyInArrow(_judge(width, shard_bytes), TOLD)
+    return base, asked.groupBy("bucket").applyInArrow(_judge(width, gram, shard_bytes), TOLD)
 
 
 def judge(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD) -> DataFrame:
@@ -406,9 +441,9 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes:
     """docs with the repeated bytes cut from text, and the same columns. What a cut
     leaves of a character goes too."""
     base, told = _asked(docs, width, gram, shard_bytes, carry=True)
-    row = base.schema["row"].dataType.simpleString()
-    out = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_rewrite(width, gram), f"row {row}, text string")
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    schema = StructType([base.schema["row"], StructField("text", StringType())])
+    out = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_rewrite(width, gram), schema)
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

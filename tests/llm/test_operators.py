@@ -117,13 +117,20 @@ def test_byte_strings(spark):
     assert sum(r["n_removed"] > 0 for r in got) > 8
 
 
+def test_fragments_of_one_hash_stay_apart():
+    blob = np.frombuffer(b"abcd" * 3 + b"abce" + b"abc", np.uint8)
+    at, size = np.array([0, 4, 12, 16, 8]), np.array([4, 4, 4, 3, 4])
+    one, of = suffixes._equal(np.array([7, 7, 7, 7, 9], np.uint64), blob, at, size)
+    assert of[0] == of[1] and len({of[0], of[2], of[3], of[4]}) == 4 and len(one) == 4
+
+
 def test_byte_strings_of_a_pattern(spark):
     rows = [(i, p + "." + p[::-1]) for i, p in enumerate(PATTERNS)]
     assert rows_of(suffixes.judge(frame(spark, rows)).drop("removed")) == plain_bytes(rows, 50)
 
 
 def test_byte_strings_removed_and_empty(spark):
-    df = frame(spark)
+    df = frame(spark).withColumn("a b", F.lit(1)).withColumn("a.b", F.lit(2))
     out = suffixes.removed(df)
     assert out.columns == df.columns and out.count() == df.count()
     assert suffixes.judge(frame(spark, [])).count() == 0

@@ -18,8 +18,9 @@ buckets small. Nothing is capped: every row of a visited bucket is compared.
 Edge cases. Vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither do rows with a null id. Vectors of different
 dimension are not compared. Equal scores go to the smaller id; an id that repeats
-is one row for each of its vectors, of which the best counts. Extra columns are
-ignored. An empty table gives an empty result.
+is one row for each of its vectors, of which the best counts. Repeated rows are one
+candidate. Vectors of doubles are kept and scored as such. A very long vector is one row
+in a block's memory. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import common
 
 TABLES, HASHES, CELL, PROBES, BLOCK = 10, 4, 1.2, 32, 2048
-SENT = "bucket long, vec_id long, vec array<float>"
 
 
 def _matrix(column) -> np.ndarray:
@@ -153,7 +153,8 @@ def _meet(queries: DataFrame, rows: DataFrame, k: int, block: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    vec = F.col(vector_column).cast("array<float>")
+    kind = vectors.schema[vector_column].dataType.simpleString()
+    vec = F.col(vector_column).cast(kind if kind == "array<float>" else "array<double>")  # scores are of the original vectors
     good = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vec", lambda v: v != 0)
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null").where(good)
 
@@ -163,7 +164,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     row is_query (a condition on vec_id) holds, itself left out."""
     rows = usable(vectors, id_column, vector_column)
     queries = rows.where(is_query)
-    hashed = lambda d, p: common.stored(d.mapInArrow(_hashed(tables, hashes, cell, p), SENT), "hashed")
+    sent = f"bucket long, vec_id long, vec {rows.schema['vec'].dataType.simpleString()}"
+    hashed = lambda d, p: common.stored(d.mapInArrow(_hashed(tables, hashes, cell, p), sent), "hashed")
     found = common.stored(_meet(hashed(queries, probes), hashed(rows, 0), k, block), "found")
     dim = F.size("vec").cast("long").alias("bucket")
     enough = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)

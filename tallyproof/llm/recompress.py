@@ -88,7 +88,7 @@ def pairs(x: Level, cap: int, salt: int) -> Level:
     return Level(name, x.start, end, low, high, x.wall).take(~second)
 
 
-def parse(hashes: np.ndarray, first: np.ndarray, rounds: int, cap: int, run_every: int = 99) -> list[Level]:
+def parse(hashes: np.ndarray, first: np.ndarray, rounds: int, cap: int, run_every: int = 3) -> list[Level]:
     """The levels of all rounds; every run_every-th round, from the first on, also
     replaces runs. (Left out in a round, runs stay as they are: equal symbols are
     never joined as a pair.)"""

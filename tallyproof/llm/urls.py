@@ -9,14 +9,16 @@ path is trained on every url that a rule decides, and tells which side a url is
 closer to. With no url on one side, urls without a rule are allowed.
 
 Each distinct letter token is split once; the words that it might hold are found by
-a join of its substrings with the word counts. Scores are whole millionths, so that
-sums don't depend on their order. Scores of tokens are replicated to SALTS copies
-for the join with pages, so that a token of every url is no hot key.
+a join of its substrings with the word counts: whole ones up to STEM letters, and longer
+words by their first STEM letters. What isn't a word may be of any length. Scores are
+whole millionths, so that sums don't depend on their order. A token that very many urls
+have is a skewed key of the last join, which Spark splits at run time.
 
 Edge cases. A null url or one without "://" has an empty host and path, no rule and
 no words, and gets the verdict of the classes' sizes alone. Tokens without letters
-count by their length. Repeated rows are judged one by one, a null page_id too. Extra
-columns are ignored. An empty table gives an empty result.
+count by their length. A score of 0, a tie, allows. Repeated rows are judged one by one, a
+null page_id too. A very long url is split in one task, in time and memory that grow with
+its length. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-LONGEST, SALTS, UNIT = 20, 16, 1_000_000
+STEM, UNIT = 20, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +58,7 @@ def tokens(host: Column, path: Column) -> Column:
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """(word, n) of the words of a-z in the pages' visible text."""
     text = F.lower(F.regexp_replace(F.col(html).cast("string"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " "))
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"\b([a-z]{{1,{LONGEST}}})\b"), F.lit(1))).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b([a-z]+)\b"), F.lit(1))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -67,10 +69,15 @@ def best_split(name: str, spans: list, total: int) -> list[str]:
     known: dict = {}
     for start, length, n in spans:
         known.setdefault(start + length, []).append((start, math.log(n / total)))
+    each, once = math.log(10), math.log(total) + 3 - math.log(10)
+    # the best start of what isn't a word: its cost grows by the same for each character
+    odd, odd_at = -math.inf, 0
     for end in range(1, len(name) + 1):
-        odd = [(start, -math.log(total) - (end - start - 1) * math.log(10) - 3) for start in range(max(0, end - LONGEST), end)]
-        for start, cost in known.get(end, []) + odd:
-            if score[start] + cost > score[end]:
+        if score[end - 1] + (end - 1) * each > odd:
+            odd, odd_at = score[end - 1] + (end - 1) * each, end - 1
+        score[end], back[end] = odd - end * each - once, odd_at
+        for start, cost in known.get(end, []):
+            if score[start] + cost >= score[end]:
                 score[end], back[end] = score[start] + cost, start
     out, end = [], len(name)
     while end:
@@ -88,10 +95,15 @@ def _split(batches):
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) of distinct names of letters a-z."""
-    length = F.length("name")
+    length, rest = F.length("name"), lambda s: F.length("name") - s + 1
     starts = F.sequence(F.lit(1), length)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), length - s + 1)), lambda n: F.struct((s - 1).alias("start"), n.alias("length"), F.substring("name", s, n).alias("word")))))
-    held = names.select("name", F.inline(spans)).join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("spans"))
+    at = lambda s, n: F.struct((s - 1).alias("start"), n.alias("length"), F.substring("name", s, n).alias("word"))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(STEM), rest(s))), lambda n: at(s, n))))
+    short = names.select("name", F.inline(spans)).join(counts, "word").select("name", "start", "length", "n")
+    stems = names.where(length > STEM).select("name", F.inline(F.filter(F.transform(starts, lambda s: at(s, F.lit(STEM))), lambda x: x.start + STEM < length)))
+    big = counts.where(F.length("word") > STEM).select(F.col("word").alias("whole"), F.substring("word", 1, STEM).alias("word"), "n")
+    long = stems.join(big, "word").where(F.substring(F.col("name"), F.col("start") + 1, F.length("whole")) == F.col("whole"))
+    held = short.unionByName(long.select("name", "start", F.length("whole").alias("length"), "n")).groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("spans"))
     total = counts.agg(F.sum("n").alias("total"))
     return names.join(held, "name", "left").crossJoin(F.broadcast(total)).mapInArrow(_split, "name string, words array<string>")
 
@@ -117,7 +129,7 @@ def scored(judged: DataFrame, counts: DataFrame) -> tuple[DataFrame, float]:
     return scores, round(math.log(n.a / n.b) * UNIT)
 
 
-def judge(pages: DataFrame, rules: list = RULES, salts: int = SALTS) -> DataFrame:
+def judge(pages: DataFrame, rules: list = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of each row; score: log odds for
     allow, null where a rule decides."""
     host, path = parts(F.col("url").cast("string"))
@@ -129,9 +141,8 @@ def judge(pages: DataFrame, rules: list = RULES, salts: int = SALTS) -> DataFram
     if scores is None:
         total = judged.withColumn("score", F.lit(None).cast("double"))
     else:
-        salted = common.stored(scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "scores")
-        open_ = judged.where("verdict is null").select("row", F.explode("tokens").alias("token"), F.pmod("row", F.lit(salts)).cast("int").alias("salt"))
-        sums = open_.join(salted, ["token", "salt"]).groupBy("row").agg(F.sum("score").alias("sum"))
+        open_ = judged.where("verdict is null").select("row", F.explode("tokens").alias("token"))
+        sums = open_.join(common.stored(scores, "scores"), "token").groupBy("row").agg(F.sum("score").alias("sum"))
         total = judged.join(sums, "row", "left").withColumn("score", F.when(F.col("verdict").isNull(), (F.coalesce("sum", F.lit(0)) + prior) / UNIT))
     verdict = F.coalesce("verdict", F.when(F.col("score") < 0, "block").otherwise("allow"))
     return total.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

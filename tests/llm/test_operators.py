@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -753,6 +754,17 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_doubles_are_scored_as_doubles(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8)) * np.where(np.arange(60) % 3 == 0, 1e60, 1)[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert {r.query_id for r in got} == {0, 50} and len(got) == 10
+    for r in got:
+        a, b = x[r.query_id] / np.abs(x[r.query_id]).max(), x[r.vec_id] / np.abs(x[r.vec_id]).max()
+        assert math.isclose(r.score, a @ b / math.sqrt(a @ a) / math.sqrt(b @ b), rel_tol=1e-12)
+
+
 def test_probes_come_in_order():
     cells = neighbours.probe_cells(np.array([[0.1, 0.5], [0.9, 0.45]]), 4)
     assert cells[0, :2].tolist() == [[0, 0], [-1, 0]] and cells[1, :2].tolist() == [[0, 0], [1, 0]]
@@ -783,6 +795,55 @@ def test_split():
     assert "".join(urls.best_split("qqzz", [], 10)) == "qqzz" and urls.best_split("", [], 10) == []
 
 
+def plain_split(name, counts):
+    total = sum(counts.values())
+    best = [(0.0, [])]
+    for end in range(1, len(name) + 1):
+        every = []
+        for start in range(end):
+            w = name[start:end]
+            cost = math.log(counts[w] / total) if w in counts else -math.log(total) - 3 - (end - start - 1) * math.log(10)
+            every.append((best[start][0] + cost, [*best[start][1], w]))
+        best.append(max(every, key=lambda x: x[0]))
+    return best[-1]
+
+
+def test_splits_equal_a_plain_search(spark):
+    rng = random.Random(19)
+    long = "abcdefghij" * 3
+    counts = {"".join(rng.choices("abc", k=rng.randint(1, 6))): rng.randint(1, 90) for _ in range(60)} | {long: 40, long + "k": 3}
+    names = ["".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(80)] + ["ab" + long + "kc", long, "z" * 70]
+    df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    for r in urls.segmented(df, spark.createDataFrame(list(counts.items()), "word string, n long")).collect():
+        cost = sum(math.log(counts[w] / sum(counts.values())) if w in counts else -math.log(sum(counts.values())) - 3 - (len(w) - 1) * math.log(10) for w in r.words)
+        assert "".join(r.words) == r.name and math.isclose(cost, plain_split(r.name, counts)[0], rel_tol=1e-9), r
+
+
+def test_url_scores_equal_plain_naive_bayes(spark):
+    rng = random.Random(20)
+    vocabulary = ["news", "daily", "spam", "offer", "paper", "x"]
+    rows = [(i, f"http://{''.join(rng.choices(vocabulary, k=2))}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['fr', 'de', 'q'])}/{rng.choice(vocabulary)}{i}", " ".join(rng.choices(vocabulary, k=9))) for i in range(150)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    counts, sides, seen = Counter(w for _, _, h in rows for w in h.split()), Counter(), {"allow": Counter(), "block": Counter()}
+
+    def tokens(host, path):
+        for mark, part in (("h:", host), ("p:", path)):
+            for t in re.findall("[a-z]+|[0-9]+", part.lower()):
+                yield from ([f"{mark}#{len(t)}"] if t.isdigit() else [mark + w for w in plain_split(t, counts)[1]])
+
+    for r in got.values():
+        if r.rule is not None:
+            sides[r.verdict] += 1
+            seen[r.verdict].update(tokens(r.host, r.path))
+    words_ = set(seen["allow"]) | set(seen["block"])
+    odds = {w: round((math.log((seen["allow"][w] + 1) / (seen["allow"].total() + len(words_))) - math.log((seen["block"][w] + 1) / (seen["block"].total() + len(words_)))) * urls.UNIT) for w in words_}
+    for r in got.values():
+        if r.rule is None:
+            want = (sum(odds.get(w, 0) for w in tokens(r.host, r.path)) + round(math.log(sides["allow"] / sides["block"]) * urls.UNIT)) / urls.UNIT
+            assert math.isclose(r.score, want, abs_tol=2e-5), r
+            assert r.verdict == ("block" if r.score < 0 else "allow")
+
+
 def test_urls_learn_words(spark):
     good, bad = ["news", "daily", "paper"], ["spam", "offer", "deal"]
     rng = random.Random(4)

@@ -150,3 +150,10 @@ def digest(*columns) -> Column:
 def paragraphs(texts, key: str, text: str):
     """(key, chunk_no, chunk) of the parts between blank lines."""
     return texts.select(key, F.posexplode(F.split(col(text), r"\n\s*\n", -1)).alias("chunk_no", "chunk"))
+
+
+def fact_text() -> Column:
+    """A fact (store_id, period_month, slot, confidence, source_fields, observed_values)
+    as text to retrieve it by."""
+    named = (("store", "store_id"), ("month", "period_month"), ("slot", "slot"), ("confidence", "confidence"), ("fields", "source_fields"))
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), c) for n, c in named), "observed_values")

@@ -135,3 +135,45 @@ def facts_checked(facts: DataFrame, panel: DataFrame, skus: DataFrame, slots: di
         cells = [*map(cell, fs), *([told("top_items", seen, own, seen == own)] if slot == listing else [])]
         rows = F.when(F.col("slot") == slot, F.array(*cells)).otherwise(rows)
     return met.select(*keys, "slot", F.inline(rows))
+
+
+def metadata_errors(statuses: list[str], semantics: str):
+    """What a batch's metadata (file_digest, extracted_at, received_at, coverage_start,
+    coverage_end, status, semantics) breaks, in order; semantics: those registered."""
+    bad = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
+    rules = (
+        bad(F.col("file_digest").rlike("^[0-9a-f]{64}$"), "digest"), bad(F.col("received_at") >= F.col("extracted_at"), "received before extracted"),
+        bad(F.col("coverage_start") <= F.col("coverage_end"), "coverage order"), bad(F.col("coverage_end") <= F.col("extracted_at"), "coverage after extraction"),
+        bad(F.col("status").isin(statuses), "status"), bad(F.col("semantics") == semantics, "semantics"),
+    )
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+
+def identities(panel: DataFrame, formulas: dict, tolerance: float) -> DataFrame:
+    """(metric, n_checked, n_off, n_one_missing) of metrics against their formulas."""
+    one = lambda n, e: F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("actual"), F.expr(e).cast("double").alias("expected"))
+    rows = panel.select(F.inline(F.array(*(one(n, e) for n, e in formulas.items()))))
+    apart = F.abs(F.col("actual") - F.col("expected"))
+    missing = F.col("actual").isNull() != F.col("expected").isNull()
+    return rows.groupBy("metric").agg(F.count(apart).alias("n_checked"), F.count_if(apart > tolerance).alias("n_off"), F.count_if(missing).alias("n_one_missing"))
+
+
+def documented(fields: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(field, documented): whether a line of the dictionary, - `name`: ..., defines it."""
+    name = F.regexp_extract("line", r"^\s*[-*]\s*`([A-Za-z0-9_]+)`\s*:", 1)
+    known = dictionary.select(name.alias("field")).where("field <> ''").distinct().withColumn("known", F.lit(True))
+    return fields.distinct().join(known, "field", "left").select("field", F.col("known").isNotNull().alias("documented"))
+
+
+def contract_errors(registries: DataFrame, grains: list[str]) -> DataFrame:
+    """(registry, dataset_id, errors) of registries (registry, datasets: array of dataset_id,
+    grain, key_fields, fields): grains of the list, ids that are not used twice, keys that
+    are there and among the fields, fields named once."""
+    rows = registries.select("registry", F.inline("datasets"))
+    many = F.count("*").over(Window.partitionBy("registry", "dataset_id")) > 1
+    keys, fields = F.coalesce("key_fields", F.array().cast("array<string>")), F.coalesce("fields", F.array().cast("array<string>"))
+    errors = F.concat_ws(
+        "; ", F.when(F.coalesce("dataset_id", F.lit("")) == "", "dataset_id"), F.when(many, "repeated dataset"), F.when(~F.coalesce(F.col("grain").isin(grains), F.lit(False)), "grain"),
+        F.when(F.size(keys) == 0, "no keys"), F.when(F.size(F.array_except(keys, fields)) > 0, "key is no field"), F.when(F.size(F.array_distinct(fields)) < F.size(fields), "repeated field"),
+    )
+    return rows.select("registry", "dataset_id", errors.alias("errors"))

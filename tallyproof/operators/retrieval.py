@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import cosine
 
-MOST_QUERIES = 10_000
+#: Bytes of query vectors that are broadcast, or that form a block.
+MOST_BYTES = 8 << 20
 
 
 def scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, vector: str, keep: list[str] = ()) -> DataFrame:
-    """Cosine of every query with every document. Queries are a small table: up to
-    MOST_QUERIES of them are broadcast, more meet the documents in blocks of both
-    sides, dealt by hash."""
+    """Cosine of every query with every document. Query vectors up to MOST_BYTES
+    are broadcast; more of them meet the documents in blocks, as many as they need."""
     q = queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), *(F.col(c).alias(f"q_{c}") for c in keep))
     d = docs.select(F.col(did).alias("doc_id"), F.col(vector).alias("v"), *(F.col(c).alias(f"d_{c}") for c in keep))
-    n = q.limit(MOST_QUERIES + 1).count()
-    if n <= MOST_QUERIES:
+    size = q.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0)).alias("n")).first()["n"]
+    if size <= MOST_BYTES:
         met = d.join(F.broadcast(q))
-    else:
-        side = 16
-        q = q.withColumns({"i": F.pmod(F.xxhash64("query_id"), F.lit(side)), "j": F.explode(F.sequence(F.lit(0), F.lit(side - 1)))})
-        d = d.withColumns({"j": F.pmod(F.xxhash64("doc_id"), F.lit(side)), "i": F.explode(F.sequence(F.lit(0), F.lit(side - 1)))})
+    else:  # a block of queries for each MOST_BYTES, all of which every document meets
+        many = -(-size // MOST_BYTES)
+        q = q.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(many)))
+        d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("j", F.pmod(F.xxhash64("doc_id"), F.lit(many)))
+        q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
         met = q.join(d, ["i", "j"])
     return met.withColumn("score", cosine("q", "v")).drop("q", "v", "i", "j")
 
@@ -56,3 +57,14 @@ def gated(asked: DataFrame, found: DataFrame, least: float = 0.60, sure: float =
     alone, lead = F.col("top2").isNull(), F.col("top1") - F.col("top2") >= gap
     passes = (F.col("top1") >= least) & (alone | (F.col("top1") >= sure) | lead)
     return asked.join(found, "query_id", "left").select("query_id", F.when(F.col("top1").isNull(), F.col("typed")).otherwise(passes).alias("passes"))
+
+
+def contract_hits(found: DataFrame, terms: list[str]) -> DataFrame:
+    """(query_id, hit, n_hits, first_rank) of hits (query_id, rank, negative, expected_<t>
+    and own_<t> of each term): a null expectation asks for nothing, and a negative query
+    has no hits."""
+    met = ~F.col("negative")
+    for t in terms:
+        met = met & (F.col(f"expected_{t}").isNull() | F.coalesce(F.col(f"expected_{t}") == F.col(f"own_{t}"), F.lit(False)))
+    rows = found.withColumn("met", met)
+    return rows.groupBy("query_id").agg(F.bool_or("met").alias("hit"), F.count_if("met").alias("n_hits"), F.min(F.when(F.col("met"), F.col("rank"))).alias("first_rank"))

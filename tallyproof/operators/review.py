@@ -253,3 +253,31 @@ def report_rows(lines: DataFrame, key: str) -> DataFrame:
     listed = listed.select(key, "block", "field", (F.col("place") + 1).alias("place"), F.substring_index("item", " ", 1).alias("name"), F.substring_index("item", " ", -1).alias("value"))
     both = own.join(cells.unionByName(listed), [key, "block"])
     return both.select(key, "block", "store", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), "field", "place", "name", F.col("value").cast("double").alias("value"))
+
+
+def gated_reports(rows: DataFrame, key: str, sections: list[str], forbidden: list[str], anchors: dict) -> DataFrame:
+    """(key, problems) of reports (key, section, body): sections that are missing or
+    repeated, forbidden claims, empty rows and sections without their anchor."""
+    body, section = F.coalesce("body", F.lit("")), F.col("section")
+    told = [F.when(F.contains(F.lower(body), F.lit(t)), F.lit(f"forbidden claim: {t}")) for t in forbidden]
+    told += [F.when(F.trim(body) == "", F.concat(F.lit("empty row: "), section))]
+    told += [F.when((section == n) & ~body.rlike(p), F.lit(f"missing anchor: {n}")) for n, p in anchors.items()]
+    told = F.filter(F.array(*told), lambda x: x.isNotNull())
+    g = rows.groupBy(key).agg(F.collect_list("section").alias("have"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(told)))).alias("told"))
+    count = lambda n: F.size(F.filter("have", lambda x: x == n))
+    shape = [F.when(count(n) == 0, F.lit(f"missing section: {n}")).when(count(n) > 1, F.lit(f"repeated section: {n}")) for n in sections]
+    return g.select(key, F.concat_ws("; ", *shape, "told").alias("problems"))
+
+
+def fact_errors(slots: dict, declared: list[str]) -> Column:
+    """What a fact (store_id, period_month, slot, confidence, source_fields, observed_values)
+    breaks of its contract: required keys, known slots with their own confidence, a
+    month, and fields that the source declares."""
+    required = ["store_id", "period_month", "slot", "confidence", "source_fields", "observed_values"]
+    empty = [F.when(F.coalesce(F.trim(c) == "", F.lit(True)), F.lit(f"empty: {c}")) for c in required]
+    wanted = _map(slots)[F.col("slot")]
+    unknown = F.array_except(F.filter(F.split("source_fields", ","), lambda x: x != ""), F.array(*map(F.lit, declared)))
+    return F.concat_ws(
+        "; ", *empty, F.when(~F.col("slot").isin(list(slots)), "slot"), F.when(~F.coalesce(wanted == F.col("confidence"), F.lit(False)), "confidence of slot"),
+        F.when(~F.col("period_month").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), "period"), F.when(F.size(unknown) > 0, F.concat(F.lit("undeclared field: "), F.array_join(unknown, ","))),
+    )

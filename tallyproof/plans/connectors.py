@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SP, store_period, table
 from ..functions import text as T
+from ..operators import ledger as L
 from ..registry import query
 from ..sources import files as S
 
@@ -32,21 +33,32 @@ def src2(spark, d):
     return S.read_upload(spark, _exported(spark, d), [*ORDER, *S.IGNORED]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("src3_physical_rows", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_wrong_width FROM orders")
+@query("src3_physical_rows", "SELECT CAST(count(*) AS BIGINT) AS n_rows, count(*) FILTER (o_orderkey % 17 = 3) AS n_wrong_width FROM orders")
 def src3(spark, d):
+    """Rows of files in which some rows have a cell too many."""
     path = S.fresh_path(spark, "csv")
-    S.canonical_cells(table(spark, d, "orders").select(*ORDER)).write.csv(path)
+    cells = S.canonical_cells(table(spark, d, "orders").select(*ORDER))
+    more = F.when(F.col("o_orderkey").cast("bigint") % 17 == 3, "x,y").otherwise(F.col("o_orderpriority"))
+    cells.select(F.concat_ws(",", *ORDER[:-1], more)).write.text(path)
     return S.physical_rows(spark, path, len(ORDER)).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_wrong_width").alias("n_wrong_width"))
 
 
-@query("src4_contract_registry", "SELECT c_mktsegment AS dataset_id, count(DISTINCT c_nationkey) AS n_keys, count(*) AS n_rows FROM customer GROUP BY 1")
+@query("src4_contract_registry", """SELECT r_name AS registry, CASE WHEN n_nationkey % 7 = 1 THEN 'twice' ELSE n_name END AS dataset_id, concat_ws('; ', CASE WHEN n_nationkey % 7 = 1 AND count(*) OVER (PARTITION BY r_name, n_nationkey % 7) > 1 THEN 'repeated dataset' END, CASE n_nationkey % 7 WHEN 2 THEN 'grain' WHEN 3 THEN 'no keys' WHEN 4 THEN 'key is no field' WHEN 5 THEN 'repeated field' END) AS errors
+FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def src4(spark, d):
-    """Dataset contracts written as JSON and read with a fixed schema."""
+    """Registries of dataset contracts, one JSON file of several lines for each region,
+    read with a fixed schema and checked; a fault of each kind is in some."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = lambda i: F.col("n_nationkey") % 7 == i
+    keys = F.when(kind(3), F.array().cast("array<string>")).when(kind(4), F.array(F.lit("rank"))).otherwise(F.array(F.lit("store_id")))
+    fields = F.when(kind(5), F.array(F.lit("store_id"), F.lit("store_id"))).otherwise(F.array(F.lit("store_id"), F.lit("amount")))
+    one = F.struct(F.when(kind(1), "twice").otherwise(F.col("n_name")).alias("dataset_id"), F.when(kind(2), "weekly").otherwise("store_period").alias("grain"), keys.alias("key_fields"), fields.alias("fields"))
+    whole = n.groupBy(F.col("r_name").alias("registry")).agg(F.collect_list(one).alias("datasets"))
     path = S.fresh_path(spark, "contracts")
-    g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("dataset_id")).agg(F.collect_set("c_nationkey").alias("keys"), F.count("*").alias("n_rows"))
-    g.write.json(path)
-    back = spark.read.schema("dataset_id string, keys array<bigint>, n_rows bigint").json(path)
-    return back.select("dataset_id", F.size("keys").cast("bigint").alias("n_keys"), "n_rows")
+    whole.select(F.to_json(F.struct("registry", "datasets"), {"pretty": "true"}).alias("value"), "registry").write.partitionBy("registry").text(path)
+    schema = "registry string, datasets array<struct<dataset_id:string,grain:string,key_fields:array<string>,fields:array<string>>>"
+    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return L.contract_errors(read, ["store_period", "ranked"])
 
 
 @query("src5_report_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l GROUP BY 1")
@@ -107,7 +119,18 @@ def src12(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(50)
 
 
-@query("src13_catalogue", "SELECT p_brand AS kind, count(*) AS n, string_agg(DISTINCT regexp_extract(p_type, '^[A-Z]+'), ',' ORDER BY regexp_extract(p_type, '^[A-Z]+')) AS labels FROM part GROUP BY 1")
+LABELS = ["STANDARD: everyday goods", "SMALL: small goods", "MEDIUM: mid-sized goods", "LARGE: large goods", "ECONOMY: low-priced goods"]
+
+
+@query("src13_catalogue", """WITH r AS (SELECT l_partkey, count(*) AS n_receipts, string_agg(l_orderkey || '/' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS receipts FROM lineitem GROUP BY 1)
+SELECT p_brand AS kind, p_partkey AS id, CASE regexp_extract(p_type, '^[A-Z]+') WHEN 'STANDARD' THEN 'everyday goods' WHEN 'SMALL' THEN 'small goods' WHEN 'MEDIUM' THEN 'mid-sized goods' WHEN 'LARGE' THEN 'large goods' WHEN 'ECONOMY' THEN 'low-priced goods' END AS label, coalesce(n_receipts, 0) AS n_receipts, coalesce(receipts, '') AS receipts
+FROM part LEFT JOIN r ON l_partkey = p_partkey""")
 def src13(spark, d):
-    label = F.regexp_extract("p_type", "^[A-Z]+", 0)
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("kind")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"))
+    """Parts with the labels of their field, read from label lines, and the receipts of
+    each as one ordered list."""
+    lines = spark.createDataFrame([(x,) for x in LABELS], "line string")
+    labels = lines.select(F.regexp_extract("line", "^([A-Z]+): (.*)$", 1).alias("field"), F.regexp_extract("line", "^([A-Z]+): (.*)$", 2).alias("label"))
+    r = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n_receipts"), F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("l"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("kind"), F.col("p_partkey").alias("id"), F.regexp_extract("p_type", "^[A-Z]+", 0).alias("field"))
+    receipts = F.array_join(F.transform("l", lambda x: F.concat_ws("/", x.l_orderkey.cast("string"), x.l_linenumber.cast("string"))), ",")
+    return p.join(labels, "field", "left").join(r, "id", "left").select("kind", "id", "label", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"), F.coalesce(receipts, F.lit("")).alias("receipts"))

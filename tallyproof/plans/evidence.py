@@ -9,8 +9,9 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, retrieval as R
+from ..operators import ledger as L, panels as P, retrieval as R, review as V2
 from ..registry import ORACLES, query
+from .diagnostics import MONTHS
 from .review import rac4
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5]
@@ -53,9 +54,19 @@ def rtv2(spark, d):
     return R.top_k(R.scores(e.where("vec_id % 100 = 0"), e.where("label < 5"), "vec_id", "vec_id", "embedding").where("query_id <> doc_id"), 5).select("query_id", "doc_id", "rank")
 
 
-@query("rtv3_contract_hits", f"WITH {HITS} SELECT query_id, bool_or(q_label = d_label) AS hit, count(*) FILTER (q_label = d_label) AS n_hits FROM tk GROUP BY query_id")
+# A query's expectations (null: none), from its label: entity, slot, period; some can't be met.
+_WANTS = {"entity": "CASE WHEN q_label % 3 <> 0 THEN q_label END", "slot": "CASE WHEN q_label % 2 = 1 THEN q_label % 5 END", "period": "CASE WHEN q_label % 4 = 0 THEN 1 END"}
+_HAS = {"entity": "d_label", "slot": "d_label % 5", "period": "doc_id % 3"}
+_MET = " AND ".join(f"(({_WANTS[k]}) IS NULL OR ({_WANTS[k]}) = {_HAS[k]})" for k in _WANTS)
+
+
+@query("rtv3_contract_hits", f"WITH {HITS}, m AS (SELECT *, q_label % 7 <> 0 AND {_MET} AS met FROM tk) SELECT query_id, bool_or(met) AS hit, count(*) FILTER (met) AS n_hits, min(rank) FILTER (met) AS first_rank FROM m GROUP BY query_id")
 def rtv3(spark, d):
-    return hits(spark, d).groupBy("query_id").agg(F.bool_or(F.col("q_label") == F.col("d_label")).alias("hit"), F.count_if(F.col("q_label") == F.col("d_label")).alias("n_hits"))
+    """Hits that meet every expectation of their query; queries that nothing should
+    answer have none."""
+    h = hits(spark, d)
+    cols = {f"expected_{k}": F.expr(e) for k, e in _WANTS.items()} | {f"own_{k}": F.expr(e) for k, e in _HAS.items()}
+    return R.contract_hits(h.withColumns(cols).withColumn("negative", F.col("q_label") % 7 == 0), list(_WANTS))
 
 
 @query("rtv4_score_detail", f"WITH {HITS} SELECT query_id, q_label % 5 AS case_type, round(max(s), 6) AS top1, bool_or(q_label = d_label) AS hit FROM tk GROUP BY ALL")
@@ -124,21 +135,6 @@ def srt5(spark, d):
     return R.gated(asked, found)
 
 
-@query("rtv1_corpus_units", "WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents), u AS (SELECT 'chunk' AS kind, length(trim(c)) AS n FROM c WHERE length(trim(c)) >= 80 UNION ALL SELECT 'question', length(text) FROM benchmark) SELECT kind, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY kind")
-def rtv1(spark, d):
-    c = table(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("text")).select(F.lit("chunk").alias("kind"), F.char_length(F.trim("text")).alias("n")).where("n >= 80")
-    q = table(spark, d, "benchmark").select(F.lit("question").alias("kind"), F.char_length("text").alias("n"))
-    return c.unionByName(q).groupBy("kind").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_chars"))
-
-
-SLOTS = {"visibility": ["the", "der"], "activity": ["of", "und"], "conversion": ["que", "les"]}
-
-
-@query("rtv6_slot_inference", "SELECT item_id, concat_ws(',', CASE WHEN contains(lower(text), 'of') OR contains(lower(text), 'und') THEN 'activity' END, CASE WHEN contains(lower(text), 'que') OR contains(lower(text), 'les') THEN 'conversion' END, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'der') THEN 'visibility' END) AS slots FROM benchmark")
-def rtv6(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.concat_ws(",", *(F.when(T.contains_any("text", SLOTS[s]), s) for s in sorted(SLOTS))).alias("slots"))
-
-
 #: Slots of facts with their confidence and fields; the list slot also has the top items.
 FACT_SLOTS = [
     ("visibility_entry", "high", ["exposure_users", "entry_users", "entry_conversion_rate_pct"]), ("activity_lever", "high", ["activity_orders", "activity_cost", "activity_cost_ratio_pct"]),
@@ -176,6 +172,47 @@ def agg15(spark, d):
 _SEEN = " UNION ALL ".join(f"SELECT store_id, period_month, n_items, '{s}' AS slot, '{f}' AS field, {f} IS NULL AS gone FROM ft" for s, _, fs in FACT_SLOTS for f in fs)
 
 
+@query("rtv1_corpus_units", f"""WITH {_FT}, f AS ({_FACTS}), c AS (SELECT unnest(string_split(text, chr(10))) AS c FROM documents),
+u AS (SELECT 'chunk' AS kind, length(trim(c)) AS n FROM c WHERE length(trim(c)) >= 80 UNION ALL SELECT 'question', length(text) FROM benchmark
+UNION ALL SELECT 'fact', length(concat_ws(chr(10), 'store: ' || store_id, 'month: ' || period_month, 'slot: ' || slot, 'confidence: ' || confidence, 'fields: ' || source_fields, observed_values)) FROM f)
+SELECT kind, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY kind""")
+def rtv1(spark, d):
+    """The corpus of a retrieval index: chunks of documents, questions and facts as text."""
+    c = table(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("text")).select(F.lit("chunk").alias("kind"), F.char_length(F.trim("text")).alias("n")).where("n >= 80")
+    q = table(spark, d, "benchmark").select(F.lit("question").alias("kind"), F.char_length("text").alias("n"))
+    f = agg15(spark, d).select(F.lit("fact").alias("kind"), F.char_length(T.fact_text()).alias("n"))
+    return c.unionByName(q).unionByName(f).groupBy("kind").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_chars"))
+
+
+@query("fstr13_fact_text", f"WITH {_FT}, f AS ({_FACTS}) SELECT store_id, period_month, slot, md5(concat_ws(chr(10), 'store: ' || store_id, 'month: ' || period_month, 'slot: ' || slot, 'confidence: ' || confidence, 'fields: ' || source_fields, observed_values)) AS h FROM f")
+def fstr13(spark, d):
+    return agg15(spark, d).select("store_id", "period_month", "slot", F.md5(T.fact_text()).alias("h"))
+
+
+DECLARED = ["exposure_users", "entry_users", "entry_conversion_rate_pct", "activity_orders", "activity_cost", "activity_cost_ratio_pct", "transaction_amount", "transaction_orders", "order_conversion_rate_pct", "order_users", "payment_users"]
+
+
+@query("val19_fact_contract", f"""WITH {_FT}, f AS ({_FACTS}) SELECT store_id, period_month, slot, CASE right(store_id, 1) WHEN '1' THEN 'confidence of slot' WHEN '2' THEN 'slot; confidence of slot' WHEN '3' THEN 'undeclared field: weather' WHEN '4' THEN 'empty: observed_values' WHEN '5' THEN 'empty: source_fields' WHEN '6' THEN 'empty: period_month; period' ELSE '' END AS errors
+FROM (SELECT store_id, CASE WHEN store_id LIKE '%6' THEN '' ELSE period_month END AS period_month, CASE WHEN store_id LIKE '%2' THEN 'mood' ELSE slot END AS slot FROM f)""")
+def val19(spark, d):
+    """Facts, some of them damaged on purpose, against their contract."""
+    ends, own = lambda x: F.col("store_id").endswith(x), F.col
+    f = agg15(spark, d).withColumns({
+        "confidence": F.when(ends("1"), "low").otherwise(own("confidence")), "slot": F.when(ends("2"), "mood").otherwise(own("slot")),
+        "source_fields": F.when(ends("3"), F.concat("source_fields", F.lit(",weather"))).when(ends("5"), "").otherwise(own("source_fields")),
+        "observed_values": F.when(ends("4"), "").otherwise(own("observed_values")), "period_month": F.when(ends("6"), "").otherwise(own("period_month")),
+    })
+    return f.select("store_id", "period_month", "slot", V2.fact_errors({s: c for s, c, _ in FACT_SLOTS}, DECLARED).alias("errors"))
+
+
+SLOTS = {"visibility": ["the", "der"], "activity": ["of", "und"], "conversion": ["que", "les"]}
+
+
+@query("rtv6_slot_inference", "SELECT item_id, concat_ws(',', CASE WHEN contains(lower(text), 'of') OR contains(lower(text), 'und') THEN 'activity' END, CASE WHEN contains(lower(text), 'que') OR contains(lower(text), 'les') THEN 'conversion' END, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'der') THEN 'visibility' END) AS slots FROM benchmark")
+def rtv6(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.concat_ws(",", *(F.when(T.contains_any("text", SLOTS[s]), s) for s in sorted(SLOTS))).alias("slots"))
+
+
 @query("lin2_nested_lists", f"""WITH {_FT}, u AS ({_SEEN}),
 v AS (SELECT store_id, period_month, slot, field, CASE WHEN store_id LIKE '%6' AND field = 'activity_orders' THEN 'differs' WHEN gone THEN 'both missing' ELSE 'agrees' END AS outcome FROM u
 UNION ALL SELECT store_id, period_month, '{LISTING}', 'top_items', CASE WHEN store_id LIKE '%2' AND n_items > 2 THEN 'differs' ELSE 'agrees' END FROM ft)
@@ -281,10 +318,19 @@ def rac9(spark, d):
     return c.select("store_id", report.alias("report"), F.inline("rows"))
 
 
-@query("rac10_report_gate", "SELECT doc_id, concat_ws('; ', CASE WHEN NOT contains(text, '.') THEN 'no sentence' END, CASE WHEN contains(lower(text), 'stupid') THEN 'forbidden claim' END, CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'no sections' END) AS problems FROM documents")
+ANCHORS = {"evidence": r"^[0-9]+ of [0-9]+ months", "finding": "^(premise holds|premise rejected|unresolved)$"}
+FORBIDDEN = ["because", "best store"]
+
+
+@query("rac10_report_gate", f"""WITH r8 AS (SELECT * FROM ({ORACLES['rac8_premise_check']})) SELECT store_id, CASE right(store_id, 1) WHEN '1' THEN 'missing section: limits' WHEN '2' THEN 'forbidden claim: because' WHEN '3' THEN 'empty row: finding; missing anchor: finding'
+WHEN '4' THEN 'missing anchor: evidence' WHEN '5' THEN 'repeated section: question' ELSE '' END AS problems FROM r8""")
 def rac10(spark, d):
-    e = V.errors(F.when(~F.contains("text", F.lit(".")), "no sentence"), F.when(T.contains_any("text", ["stupid"]), "forbidden claim"), F.when(F.size(F.split("text", "\n", -1)) < 2, "no sections"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(e, "; ").alias("problems"))
+    """Reports, some of them damaged on purpose, against the gate's rules."""
+    ends, section = lambda x: F.col("store_id").endswith(x), lambda n: F.col("section") == n
+    r = rac9(spark, d).where(~(ends("1") & section("limits")))
+    r = r.withColumn("body", F.when(ends("2") & section("limits"), F.concat("body", F.lit(" because"))).when(ends("3") & section("finding"), "").when(ends("4") & section("evidence"), "some months").otherwise(F.col("body")))
+    r = r.unionByName(r.where(ends("5") & section("question")))
+    return V2.gated_reports(r, "store_id", [n for n, _ in SECTIONS], FORBIDDEN, ANCHORS)
 
 
 POLICY = [("view", "visibility", True, 7, 0.65), ("click", "interest", True, 3, 0.65), ("purchase", "order", True, 30, 0.65), ("error", "problem", False, 30, 0.60)]
@@ -359,11 +405,12 @@ def jn14(spark, d):
     return lines.select("doc_id", F.col("n").cast("bigint").alias("n"), kind.alias("kind")).where("kind is not null")
 
 
-@query("gate1_comparability", f"WITH {SP}, s AS (SELECT * FROM sp WHERE period_month = '1996-03') SELECT a.store_id AS l, b.store_id AS r, CASE WHEN a.entry_users IS NULL OR b.entry_users IS NULL THEN 'insufficient_data' WHEN a.store_type <> b.store_type THEN 'context_only' WHEN greatest(a.transaction_amount, b.transaction_amount) > 3 * least(a.transaction_amount, b.transaction_amount) THEN 'not_comparable' ELSE 'comparable' END AS decision FROM s a JOIN s b ON a.region_type = b.region_type AND a.store_id < b.store_id")
+@query("gate1_comparability", f"WITH {SP} SELECT a.period_month, a.store_id AS l, b.store_id AS r, CASE WHEN a.entry_users IS NULL OR b.entry_users IS NULL THEN 'insufficient_data' WHEN a.store_type <> b.store_type THEN 'context_only' WHEN greatest(a.transaction_amount, b.transaction_amount) > 3 * least(a.transaction_amount, b.transaction_amount) THEN 'not_comparable' ELSE 'comparable' END AS decision FROM sp a JOIN sp b ON a.region_type = b.region_type AND a.period_month = b.period_month AND a.store_id < b.store_id WHERE a.period_month IN ({', '.join(repr(m) for m in MONTHS)})")
 def gate1(spark, d):
-    """Pairs of one region: whether their month can be compared, by ratio bands."""
-    s = store_period(spark, d).where("period_month = '1996-03'").select("region_type", "store_id", "store_type", "entry_users", "transaction_amount")
-    a, b = s.alias("a"), s.alias("b")
+    """Pairs of one region and requested window: whether they can be compared, by ratio
+    bands."""
+    s = store_period(spark, d).where(F.col("period_month").isin(MONTHS)).select("period_month", "region_type", "store_id", "store_type", "entry_users", "transaction_amount")
     big, small = F.greatest("a.transaction_amount", "b.transaction_amount"), F.least("a.transaction_amount", "b.transaction_amount")
-    verdict = F.coalesce(R.first_reason((F.col("a.entry_users").isNull() | F.col("b.entry_users").isNull(), "insufficient_data"), (F.col("a.store_type") != F.col("b.store_type"), "context_only"), (big > 3 * small, "not_comparable")), F.lit("comparable"))
-    return a.join(b, (F.col("a.region_type") == F.col("b.region_type")) & (F.col("a.store_id") < F.col("b.store_id"))).select(F.col("a.store_id").alias("l"), F.col("b.store_id").alias("r"), verdict.alias("decision"))
+    verdict = R.first_reason((F.col("a.entry_users").isNull() | F.col("b.entry_users").isNull(), "insufficient_data"), (F.col("a.store_type") != F.col("b.store_type"), "context_only"), (big > 3 * small, "not_comparable"))
+    both = P.pairs(s, ["period_month", "region_type"], "store_id")
+    return both.select("period_month", F.col("a.store_id").alias("l"), F.col("b.store_id").alias("r"), F.coalesce(verdict, F.lit("comparable")).alias("decision"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from ..adapters import table
 from ..registry import query
 from ..sources.files import fresh_path
 from ..streaming import streams as S
@@ -22,11 +23,13 @@ def _folder(spark, d) -> bool:
 
 @query("stm1_daily_totals", "WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, value, ts FROM events) SELECT day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM e GROUP BY ALL")
 def stm1(spark, d):
-    """Whole days in append mode; the days that the watermark hasn't passed when the
-    input ends come from the same totals in complete mode."""
-    path = S.drained(S.daily_totals(_stream(spark, d)), "complete")
-    done = spark.read.parquet(path)
-    return done.where(F.col("epoch") == done.agg(F.max("epoch")).first()[0]).drop("epoch")
+    """Whole days in append mode, each once its day is past the watermark. The days that
+    are still open when the input ends come from a batch over these days alone."""
+    done = spark.read.parquet(S.drained(S.daily_totals(_stream(spark, d)), "append")).drop("epoch")
+    until = done.agg(F.max("day").alias("until"))
+    rows = table(spark, d, "events").withColumn("day", F.to_date("ts")).join(until).where(F.coalesce(F.col("day") > F.col("until"), F.lit(True)))
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")
+    return done.unionByName(rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), cents))
 
 
 @query("stm2_exactly_once", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -36,9 +39,11 @@ def stm2(spark, d):
 
 
 def _slots(spark, d):
-    path = S.drained(S.latest_slots(_stream(spark, d)), "complete")
-    done = spark.read.parquet(path)
-    return done.where(F.col("epoch") == done.agg(F.max("epoch")).first()[0]).drop("epoch")
+    """In update mode: an epoch writes the slots that it changed, and the last epoch of a
+    slot holds."""
+    done = spark.read.parquet(S.drained(S.latest_slots(_stream(spark, d)), "update"))
+    own = F.max_by(F.struct("event_id", "value", "ts"), "epoch").alias("last")
+    return done.groupBy("user_id", "event_type").agg(own).select("user_id", "event_type", "last.*")
 
 
 @query("stm3_slot_supersede", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
@@ -54,22 +59,21 @@ def stm4(spark, d):
 
 @query("stm5_late_revisions", "WITH e AS (SELECT user_id, event_id, ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM events) SELECT user_id, count(*) FILTER (late) AS n_late, count(*) AS n FROM e GROUP BY 1")
 def stm5(spark, d):
-    """Rows whose time goes back against an earlier row of their scope; a batch is
-    judged against itself and the ledger of the batches before it."""
-    from pyspark.sql import Window
-
-    ledger = fresh_path(spark, "ledger")
+    """Rows whose time goes back against an earlier row of their scope. A batch is judged
+    against itself and the ledger, which has one row for each scope; each epoch writes
+    the next version of it and reads the one before."""
+    path = fresh_path(spark, "revisions")
+    own = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
 
     def put(df, epoch):
-        own = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-        seen = None
-        if epoch:
-            seen = spark.read.parquet(*(f"{ledger}/{i}" for i in range(epoch))).groupBy("user_id").agg(F.max("ts").alias("seen"))
-        j = df.join(seen, "user_id", "left") if seen is not None else df.withColumn("seen", F.lit(None).cast("timestamp"))
-        j.withColumn("late", F.coalesce(F.col("ts") < F.greatest(F.max("ts").over(own), "seen"), F.lit(False))).drop("seen").write.mode("overwrite").parquet(f"{ledger}/{epoch}")
+        seen = df.sparkSession.read.parquet(f"{path}/ledger/{epoch - 1}") if epoch else df.sparkSession.createDataFrame([], "user_id bigint, seen timestamp")
+        late = F.col("ts") < F.greatest(F.max("ts").over(own), "seen")
+        df.join(seen, "user_id", "left").withColumn("late", F.coalesce(late, F.lit(False))).drop("seen").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        new = df.groupBy("user_id").agg(F.max("ts").alias("seen")).unionByName(seen)
+        new.groupBy("user_id").agg(F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{path}/ledger/{epoch}")
 
     S.drained(_stream(spark, d).select("user_id", "event_id", "ts"), "append", put)
-    done = spark.read.option("recursiveFileLookup", "true").schema("user_id bigint, event_id bigint, ts timestamp, late boolean").parquet(ledger)
+    done = spark.read.parquet(f"{path}/rows")
     return done.groupBy("user_id").agg(F.count_if("late").alias("n_late"), F.count("*").alias("n"))
 
 

@@ -129,6 +129,8 @@ def directions(review: DataFrame, fields: list[str]) -> DataFrame:
 def alignments(review: DataFrame, groups: list[tuple]) -> DataFrame:
     """(store_id, hypothesis, verdict): whether all fields of a group moved the same
     way. A store without every field of a group gets no row for it."""
+    if not groups:
+        return review.select("store_id", F.lit("").alias("hypothesis"), F.lit("").alias("verdict")).where(F.lit(False))
     named = F.array(*(F.when(F.col("field").isin(f), F.struct(F.lit(n).alias("hypothesis"), F.lit(len(f)).alias("size"))) for n, f in groups))
     rows = review.withColumn("g", F.explode(F.filter(named, lambda x: x.isNotNull()))).select("store_id", "g.hypothesis", "g.size", "status", "direction")
     g = rows.groupBy("store_id", "hypothesis", "size").agg(

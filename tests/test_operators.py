@@ -134,6 +134,7 @@ def test_flag_is_three_valued(spark):
     from tallyproof.plans import diagnostics as D
 
     base = {**{m: 1.0 for m in D.MOM}, **{r: 1 for r in D.RANKS}, "order_conversion_rate_pct": 50.0, "activity_orders": 1, "activity_cost": 1.0, "merchant_subsidy_amount": 1.0}
+    base = {**dict.fromkeys([*D.CARRIED, *D.STORE_RATES], 1.0), **base}
 
     def months(second):
         rows = [{**base, "store_id": "s", "period_start": day(1, m), "period_end": day(28, m), "period_month": f"2024-0{m}", **(second if m == 2 else {})} for m in (1, 2)]

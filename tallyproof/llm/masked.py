@@ -42,6 +42,8 @@ from . import common, textvec
 
 SIDE, DIM, CLASSES, OTHERS, ROUNDS, BATCH, RATE = 2, 16, 64, 256, 1, 16384, 0.08
 PART = 1 << 20
+#: Up to this, float32 holds sums of exponentials without taking off the largest first.
+SAFE = 60.0
 #: Words that one copy of the parameters is trained on, and copies averaged at a time.
 GROUP, FAN = 1 << 22, 64
 #: Bytes of text (and 64 for each document) whose rare words are sent together.
@@ -197,31 +199,44 @@ class Network:
             row[ok] = symbols[at[ok] + k]
         return out
 
+    def bound(self, name: str) -> float:
+        """The largest value that a row can have before its softmax, as |h| <= 1."""
+        return float((np.abs(self.parts[name]).sum(-2) + np.abs(self.parts[f"{name}_bias"])).max())
+
     def forward(self, context: np.ndarray, target: np.ndarray):
-        p = self.parts
+        """(log probabilities, what learn needs, in the order of the targets' classes)."""
+        p, n = self.parts, len(target)
+        group = target // self.each
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        context, group, inside = context[:, order], group[order], target[order] % self.each
         h = p["bend"] + p["tables"][0][context[0]]
         for k in range(1, len(context)):
             h += p["tables"][k][context[k]]
         np.tanh(h, out=h)
-        top = h @ p["top"] + p["top_bias"]
-        top -= top.max(1, keepdims=True)
-        e = np.exp(top)
-        total = e.sum(1)
-        group = target // self.each
-        log = top[np.arange(len(target)), group] - np.log(total)
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(self.classes + 1))
-        lows = []
-        for g in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[g] : cut[g + 1]]
-            x = h[rows] @ p["low"][g] + p["low_bias"][g]
-            x -= x.max(1, keepdims=True)
-            y = np.exp(x)
-            s = y.sum(1)
-            t = target[rows] % self.each
-            log[rows] += x[np.arange(len(rows)), t] - np.log(s)
-            lows.append((g, rows, t, y, s))
-        return log, (h, e, total, group, lows)
+        top = h @ p["top"]
+        top += p["top_bias"]
+        if self.bound("top") > SAFE:
+            top -= top.max(1, keepdims=True)
+        rows = np.arange(n)
+        log = top[rows, group]
+        np.exp(top, out=top)
+        total = top.sum(1)
+        low = np.empty((n, self.each), np.float32)
+        cut = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
+        spans = [(g, a, b) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        for g, a, b in spans:
+            np.matmul(h[a:b], p["low"][g], out=low[a:b])
+            low[a:b] += p["low_bias"][g]
+        if self.bound("low") > SAFE:
+            low -= low.max(1, keepdims=True)
+        log += low[rows, inside]
+        np.exp(low, out=low)
+        share = low.sum(1)
+        log -= np.log(total)
+        log -= np.log(share)
+        out = np.empty(n, log.dtype)
+        out[order] = log
+        return out, (context, group, inside, h, top, total, low, share, spans)
 
     def _step(self, name, at, grad, rate):
         seen = self.part_seen[name]
@@ -231,18 +246,24 @@ class Network:
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of Adagrad on the mean loss."""
         n = len(target)
-        _, (h, e, total, group, lows) = self.forward(context, target)
-        d = e / total[:, None]
-        d[np.arange(n), group] -= 1
-        dh = d @ self.parts["top"].T
-        for g, rows, t, y, s in lows:
-            y /= s[:, None]
-            y[np.arange(len(rows)), t] -= 1
-            dh[rows] += y @ self.parts["low"][g].T
-            self._step("low", g, h[rows].T @ y / n, rate)
-            self._step("low_bias", g, y.sum(0) / n, rate)
-        self._step("top", ..., h.T @ d / n, rate)
-        self._step("top_bias", ..., d.sum(0) / n, rate)
+        _, (context, group, inside, h, top, total, low, share, spans) = self.forward(context, target)
+        rows = np.arange(n)
+        top /= total[:, None]
+        top[rows, group] -= 1
+        low /= share[:, None]
+        low[rows, inside] -= 1
+        dh = top @ self.parts["top"].T
+        grads = np.empty((len(spans), self.dim, self.each), np.float32)
+        sums = np.empty((len(spans), self.each), np.float32)
+        for x, (g, a, b) in enumerate(spans):
+            dh[a:b] += low[a:b] @ self.parts["low"][g].T
+            np.matmul(h[a:b].T, low[a:b], out=grads[x])
+            np.sum(low[a:b], axis=0, out=sums[x])
+        some = [g for g, _, _ in spans]
+        self._step("low", some, grads / n, rate)
+        self._step("low_bias", some, sums / n, rate)
+        self._step("top", ..., h.T @ top / n, rate)
+        self._step("top_bias", ..., top.sum(0) / n, rate)
         dh *= (1 - h * h) / n
         self._step("bend", ..., dh.sum(0), rate)
         for k, own in enumerate(context):
@@ -353,8 +374,8 @@ def _score(made, buckets: int, unit: int):
                 hashes, first = _hashes(part)
                 symbols = net.symbols(hashes)
                 log = np.zeros(len(symbols))
-                for i in range(0, len(symbols), 1 << 14):
-                    at = np.arange(i, min(i + (1 << 14), len(symbols)))
+                for i in range(0, len(symbols), 1 << 13):
+                    at = np.arange(i, min(i + (1 << 13), len(symbols)))
                     log[at] = net.forward(net.contexts(symbols, first, at), symbols[at])[0]
                 sums = np.concatenate([[0], np.cumsum(log)])
                 n = np.diff(first)

@@ -6,18 +6,16 @@ first bound are linked with exact copies only). A line is cut into threshold + 1
 segments; whatever the edits, one segment stays, so a line within reach holds it, at
 one of a few places that the two lengths allow. Each line is indexed under (its length,
 segment number, segment), and probes the keys of its own and of slightly shorter
-lengths. Lines meet under equal keys. Of many small pieces of the shorter line all but
-as many as there may be edits must stand in the longer one, nearly in place; what
-passes that is verified with an edit distance whose band of 2 * threshold + 1 diagonals
-is one machine word for all error counts at once. Connected lines form a class; all but
-its first line, by (doc_id, line number), are duplicates.
+lengths. Lines meet under equal keys and are verified with an edit distance whose band
+of 2 * threshold + 1 diagonals is one machine word for all error counts at once.
+Connected lines form a class; all but its first line, by (doc_id, line number), are
+duplicates.
 
 Exact copies are one line from the start. A key that more than PAIRS lines share
 isn't expanded into pairs: what is left of those lines without the shared segment
-must itself be within the threshold. It is cut into CUT segments, and the key gets
-longer by all of them but as many as there may be edits; what is left is that many
-segments, so a few rounds are enough. This ends when at most a threshold of characters
-is left: such lines are all within reach of each other, and a link to the first will do.
+must itself be within the threshold, so it is cut into segments again, and the key
+gets longer. This ends when at most a threshold of characters is left: such lines are
+all within reach of each other, and a link to the first is enough.
 
 DataFrame functions only. Edge cases. A null or empty text has one empty line at
 most; lines without a word (white space only) are neither linked nor removed. Rows with
@@ -35,111 +33,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 #: (threshold, least code points) of lines, from short ones to long ones.
-CLASSES, PAIRS = ((1, 24), (2, 400)), 8
-#: Segments of what a crowd of lines doesn't share, and the least length to cut so.
-CUT, LEAST_CUT = 4, 16
+CLASSES, PAIRS = ((1, 24),), 32
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     """(start from 0, characters) of segment i; the last ones are the longer."""
+    parts = threshold + 1
     base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     short = F.lit(parts) - rest
     return (i * base + F.greatest(F.lit(0), F.lit(i) - short)).cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
 
 
-def _key(under: Column, other: Column, number: int, *parts: Column) -> Column:
-    return F.xxhash64(under, other, F.lit(number), *parts)
-
-
-def _shared(text: Column, length: Column, under: Column, classes: tuple, beyond: int = 1 << 30) -> list[tuple]:
-    """(key, threshold, role, left, its length, right) of each key of a line that is one
-    of its segments: role 0 for its own, 1 for probes. What is left of the line without
-    the segment are its first `left` characters and those from `right` on."""
+def _shape(length: Column, classes: tuple) -> list[tuple]:
+    """(name, valid, role, start, n, other length, segment, threshold) of each key of a
+    line: role 0 for its own segments, 1 for probes."""
     out = []
-    for (threshold, least), (_, end) in zip(classes, [*classes[1:], (0, beyond)], strict=True):
+    for (threshold, least), (_, beyond) in zip(classes, [*classes[1:], (0, 1 << 30)], strict=True):
         for shorter in range(threshold + 1):
             other = (length - shorter).cast("int")
             for i in range(threshold + 1):
-                start, n = _segment(other, i, threshold + 1)
+                start, n = _segment(other, i, threshold)
                 for o in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
                     at = (start + o).cast("int")
-                    valid = (other >= least) & (other < end) & (at >= 0) & (at + n <= length)
-                    key = F.when(valid, _key(under, other, i, F.substring(text, at + 1, n)))
-                    out.append((key, threshold, int(shorter > 0 or o != 0), F.lit(0), at, at + n, F.lit(1 << 30)))
+                    valid = (other >= least) & (other < beyond) & (at >= 0) & (at + n <= length)
+                    out.append((f"k{len(out)}", valid, int(shorter > 0 or o != 0), at, n, other, i, threshold))
     return out
 
 
-def _cuts(length: Column, threshold: int) -> dict[str, Column]:
-    """Columns with where the segments of each length in reach begin, and their ends."""
-    other = lambda shorter: (length - shorter).cast("int")
-    starts = {f"c{x}_{i}": _segment(other(x), i, CUT)[0] for x in range(threshold + 1) for i in range(CUT)}
-    return starts | {f"c{x}_{CUT}": other(x) for x in range(threshold + 1)}
-
-
-def _omitted(text: Column, length: Column, under: Column, threshold: int) -> list[tuple]:
-    """As _shared, with keys of all CUT segments but as many as the threshold. What is
-    before the omitted ones stands at its place, what is after them at its place from the
-    end, and what is between them is shifted by the first edit. For rows with _cuts."""
-    out, part = [], lambda a, b: F.substring(text, a + 1, b - a)
-    for shorter in range(threshold + 1):
-        other = F.col(f"c{shorter}_{CUT}")
-        valid = other >= LEAST_CUT
-        at = [F.col(f"c{shorter}_{i}") for i in range(CUT + 1)]
-        cut = [(at[i], at[i + 1] - at[i]) for i in range(CUT)]
-        if threshold == 1:
-            for i, (start, n) in enumerate(cut):
-                end = start + n + shorter
-                key = F.when(valid, _key(under, other, i, part(F.lit(0), start), part(end, length)))
-                out.append((key, 1, int(shorter > 0), start, n + shorter, end, F.lit(0)))
-            continue
-        for i in range(CUT):
-            for j in range(i + 1, CUT):
-                (a, m), (b, n) = cut[i], cut[j]
-                for shift in ((0, 1, -1), (0, 1), (1,))[shorter][: None if j > i + 1 else 1]:
-                    low, high, end = a + m + shift, b + shift, b + n + shorter
-                    key = F.when(valid, _key(under, other, i * CUT + j, part(F.lit(0), a), part(low, high), part(end, length)))
-                    out.append((key, 2, int(shorter > 0 or shift != 0), a, low - a, high, end - high))
-    return out
-
-
-def _entries(rows: DataFrame, keys: list[tuple], *keep: str) -> DataFrame:
-    """A row (key, t, role, a, n, b, m) for each key; (a, n) and (b, m): start and
-    characters of what the key leaves of the line."""
-    names = ("t", "role", "a", "n", "b", "m")
-    one = lambda k: F.struct(k[0].alias("key"), *((F.lit(x) if isinstance(x, int) else x).cast("int").alias(c) for c, x in zip(names, k[1:], strict=True)))
-    return rows.select(*keep, F.inline(F.array(*map(one, keys)))).where("key is not null")
-
-
-def plausible(a: Column, b: Column, threshold: int) -> Column:
-    """Whether lines can be within threshold edits: of 4 * (threshold + 1) pieces of the
-    shorter one's bytes, each edit can spoil one; the others stand in the longer line
-    where they stood, or off by what the edits before them added."""
-    x, y = a.cast("binary"), b.cast("binary")
-    first = F.octet_length(a) <= F.octet_length(b)
-    pair = F.struct(F.when(first, x).otherwise(y).alias("x"), F.when(first, y).otherwise(x).alias("y"))  # so that each is made once
-    return F.element_at(F.transform(F.array(pair), lambda p: _plausible(p.x, p.y, threshold)), 1)
+def _keys(text: str, length: str, under: Column, classes: tuple) -> list[Column]:
+    """The keys k0, k1, ... of a line (null where there is none). under: the key
+    that the lines already share."""
+    return [F.when(valid, F.xxhash64(under, other, F.lit(i), F.substring(F.col(text), at + 1, n))).alias(name) for name, valid, _, at, n, other, i, _ in _shape(F.col(length), classes)]
 
 
-def _plausible(x: Column, y: Column, threshold: int) -> Column:
-    many, size, grown = 4 * (threshold + 1), F.octet_length(x), F.octet_length(y) - F.octet_length(x)
-    found = F.lit(0)
-    for i in range(many):
-        start, n = _segment(size, i, many)
-        piece = F.substring(x, start + 1, n)
-        stands = lambda o, start=start, n=n, piece=piece: (start + o >= 0) & (F.substring(y, start + o + 1, n) == piece)
-        hit = stands(0) | stands(grown)
-        for o in range(-4, 5) if threshold > 1 else ():  # between two edits: a character is up to four bytes
-            hit = hit | stands(o) if o else hit
-        found = found + hit.cast("int")
-    return found >= many - threshold
+def _entries(rows: DataFrame, classes: tuple, *keep: str) -> DataFrame:
+    """A row (key, role, start, n, t) for each key of rows with length, k0, k1, ..."""
+    one = lambda name, role, at, n, t: F.struct(F.col(name).alias("key"), F.lit(role).alias("role"), at.alias("start"), n.alias("n"), F.lit(t).alias("t"))
+    every = F.array(*(one(name, role, at, n, t) for name, _, role, at, n, _, _, t in _shape(F.col("length"), classes)))
+    return rows.select(*keep, F.inline(every)).where("key is not null")
 
 
 def _linked(a: Column, b: Column, classes: tuple) -> Column:
     """Whether lines are within the shorter one's threshold."""
     size, out = F.least(F.char_length(a), F.char_length(b)), F.lit(False)
     for threshold, least in classes:
-        near = (F.abs(F.char_length(a) - F.char_length(b)) <= threshold) & plausible(a, b, threshold) & within(a, b, threshold)
+        near = (F.abs(F.char_length(a) - F.char_length(b)) <= threshold) & within(a, b, threshold)
         out = F.when(size >= least, near).otherwise(out)
     return out
 
@@ -190,35 +129,37 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _sized(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("role") == 0).alias("own")).where("size > 1 and own > 0")
-    return common.stored(rows.join(sizes, "key"), "met")
+    return common.stored(rows.join(common.stored(sizes, "sizes"), "key"), "met")
 
 
 def _crowded(big: DataFrame, texts: DataFrame, t: int, pairs: int) -> list[DataFrame]:
     """Pairs of ids of lines of which many share a key: by longer and longer keys."""
-    left = lambda c: F.concat(F.substring(c, F.col("a") + 1, F.col("n")), F.substring(c, F.col("b") + 1, F.col("m")))
-    rest, found = common.stored(big.join(texts, "id").select("key", "id", left("line").alias("rest")), "rest"), []
+    without = lambda c: F.concat(F.substring(c, F.lit(1), F.col("start")), F.substring(c, F.col("start") + F.col("n") + 1, F.char_length(c)))
+    rest = common.stored(big.join(texts, "id").select("key", "id", without("line").alias("rest")), "rest")
+    classes, found = ((t, t + 1),), []
     while True:
-        text, length, under = F.col("rest"), F.char_length("rest"), F.col("under")
-        keys = _omitted(text, length, under, t) + _shared(text, length, under, ((t, t + 1),), LEAST_CUT)
+        measured = rest.withColumn("length", F.char_length("rest"))
+        again = _entries(measured.select("id", "rest", "length", *_keys("rest", "length", F.col("key"), classes)), classes, "id", "rest")
         # rests too short to be cut: equal lengths are all within reach
-        at = F.transform(F.sequence(F.lit(0), F.lit(t)), lambda d: F.struct(F.xxhash64("key", F.lit("short"), length - d).alias("key"), (d > 0).cast("int").alias("role"), (length - d).alias("left")))
+        left = F.char_length("rest")
+        at = F.transform(F.sequence(F.lit(0), F.lit(t)), lambda d: F.struct(F.xxhash64("key", F.lit("short"), left - d).alias("key"), (d > 0).cast("int").alias("role"), (left - d).alias("left")))
         short = rest.select("id", F.explode(F.filter(at, lambda x: (x.left >= 0) & (x.left <= t))).alias("e")).select("id", "e.key", "e.role")
-        first = short.where("role = 0").groupBy("key").agg(F.min("id").alias("hub"))
-        found.append(short.where("role = 0").join(first, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        short = common.stored(short, "short")
+        first = common.stored(short.where("role = 0").groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")), "hubs")
+        found.append(short.where("role = 0").join(first.where("n > 1"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
         found.append(_across(short, first))
-        cut = rest.withColumnRenamed("key", "under").withColumns(_cuts(length, t))
-        again = _sized(common.stored(_entries(cut, keys, "id", "rest"), "again"))
+        again = _sized(common.stored(again, "again"))
         found.append(_pairs(again.where(F.col("size") <= pairs)))
         big = again.where(F.col("size") > pairs)
         if not big.limit(1).count():
             return found
-        rest = common.stored(big.select("key", "id", left("rest").alias("rest")), "rest")
+        rest = common.stored(big.select("key", "id", without("rest").alias("rest")), "rest")
 
 
-def links(entries: DataFrame, fetch, classes: tuple = CLASSES, pairs: int = PAIRS) -> DataFrame:
-    """(a, b) of ids of lines within the threshold. entries: those of distinct lines, with
-    their id; fetch(ids): (id, line) of those ids."""
-    rows = _sized(common.stored(entries, "keys"))
+def links(lines: DataFrame, fetch, classes: tuple = CLASSES, pairs: int = PAIRS) -> DataFrame:
+    """(a, b) of ids of lines within the threshold. lines: distinct, with id,
+    length and keys; fetch(ids): (id, line) of those ids."""
+    rows = _sized(common.stored(_entries(lines, classes, "id"), "keys"))
     texts = common.stored(fetch(rows.select("id").distinct()), "texts")
     found = [_pairs(rows.where(F.col("size") <= pairs))]
     big = rows.where(F.col("size") > pairs)
@@ -248,11 +189,8 @@ def duplicates(docs: DataFrame, classes: tuple = CLASSES, pairs: int = PAIRS) ->
     at = common.stored(named.select("doc_id", "line_no", "id"), "lines")
     seen = at.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     seen = common.stored(seen, "seen")
-    keys = _shared(F.col("line"), F.col("length"), F.lit(0), classes)
-    keyed = named.where(F.col("length") >= classes[0][1]).select("id", "length", *(k[0].alias(f"k{i}") for i, k in enumerate(keys)))
-    once = keyed.groupBy("id").agg(F.first("length").alias("length"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(len(keys))))
-    # the key's places follow from the length
-    known = [(F.col(f"k{i}"), *k[1:]) for i, k in enumerate(keys)]
+    keyed = named.where(F.col("length") >= classes[0][1]).select("id", "length", *_keys("line", "length", F.lit(0), classes))
+    entries = keyed.groupBy("id").agg(*(F.first(c).alias(c) for c in keyed.columns if c != "id"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = seen.join(ids, "id").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", F.col("first.line_no").alias("line_no"))).alias("wanted"))
@@ -260,7 +198,7 @@ def duplicates(docs: DataFrame, classes: tuple = CLASSES, pairs: int = PAIRS) ->
         got = cut.select(F.explode(F.transform("wanted", lambda w: F.struct(w.id.alias("id"), F.get("all", w.line_no).alias("line")))).alias("e")).select("e.id", "e.line")
         return got.where(F.unhex(F.md5("line")) == F.col("id")).dropDuplicates(["id"])
 
-    linked = common.components(common.stored(links(_entries(once, known, "id"), fetch, classes, pairs), "links"))
+    linked = common.components(common.stored(links(entries, fetch, classes, pairs), "links"))
     grouped = seen.join(linked.withColumnRenamed("component", "class"), "id", "left").where("class is not null or n > 1")
     grouped = common.stored(grouped.select("id", F.coalesce("class", "id").alias("class"), F.col("class").isNotNull().alias("near"), "first"), "grouped")
     heads = grouped.groupBy("class").agg(F.min_by(F.struct("first", "id"), F.struct("first", "id")).alias("head"))
@@ -305,12 +243,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT line, length(line) AS n, left(line, 12) AS h, right(line, 12) AS t, substr(line, 200, 12) AS m, min((doc_id, line_no)) AS f FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
-c AS (SELECT x.line AS a, y.line AS b, x.n AS n, y.n AS o FROM k x JOIN k y ON x.h = y.h AND x.line <> y.line WHERE x.n >= 24 AND y.n BETWEEN x.n AND x.n + 2
-      UNION SELECT x.line, y.line, x.n, y.n FROM k x JOIN k y ON x.t = y.t AND x.line <> y.line WHERE x.n >= 24 AND y.n BETWEEN x.n AND x.n + 2
-      UNION SELECT x.line, y.line, x.n, y.n FROM k x JOIN (SELECT line, n, unnest([substr(line, 199, 12), m, substr(line, 201, 12)]) AS m FROM k WHERE n >= 400) y ON x.m = y.m AND x.line <> y.line WHERE x.n >= 400 AND y.n BETWEEN x.n AND x.n + 2),
-e AS (SELECT a, b FROM c WHERE o - n <= CASE WHEN n >= 400 THEN 2 ELSE 1 END AND levenshtein(a, b) <= CASE WHEN n >= 400 THEN 2 ELSE 1 END),
-p AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+k AS (SELECT line, length(line) AS n, left(line, 12) AS h, right(line, 12) AS t, min((doc_id, line_no)) AS f FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+c AS (SELECT x.line AS a, y.line AS b FROM k x JOIN k y ON x.h = y.h AND x.line <> y.line WHERE x.n >= 24 AND y.n BETWEEN x.n AND x.n + 1 AND levenshtein(x.line, y.line) <= 1
+      UNION SELECT x.line, y.line FROM k x JOIN k y ON x.t = y.t AND x.line <> y.line WHERE x.n >= 24 AND y.n BETWEEN x.n AND x.n + 1 AND levenshtein(x.line, y.line) <= 1),
+p AS (SELECT a, b FROM c UNION SELECT b, a FROM c),
 r AS (SELECT a AS line, b AS other FROM p UNION SELECT r.line, p.b FROM r JOIN p ON p.a = r.other),
 d AS (SELECT k.line, least(k.f, coalesce(min(o.f), k.f)) AS head, count(r.other) > 0 AS near FROM k LEFT JOIN r ON r.line = k.line LEFT JOIN k o ON o.line = r.other GROUP BY k.line, k.f),
 g AS (SELECT l.doc_id, count(*) AS n, count(*) FILTER (near) AS n_near, string_agg(CAST(l.line_no AS VARCHAR), ',' ORDER BY l.line_no) AS ls FROM l JOIN d ON d.line = l.line WHERE (l.doc_id, l.line_no) <> d.head GROUP BY l.doc_id)

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, panels as P, retrieval as R, review as V2
+from ..operators import ledger as L, panels as P, retrieval as R, review as RV
 from ..registry import ORACLES, query
 from .diagnostics import MONTHS
 from .review import rac4
@@ -202,7 +202,7 @@ def val19(spark, d):
         "source_fields": F.when(ends("3"), F.concat("source_fields", F.lit(",weather"))).when(ends("5"), "").otherwise(own("source_fields")),
         "observed_values": F.when(ends("4"), "").otherwise(own("observed_values")), "period_month": F.when(ends("6"), "").otherwise(own("period_month")),
     })
-    return f.select("store_id", "period_month", "slot", V2.fact_errors({s: c for s, c, _ in FACT_SLOTS}, DECLARED).alias("errors"))
+    return f.select("store_id", "period_month", "slot", RV.fact_errors({s: c for s, c, _ in FACT_SLOTS}, DECLARED).alias("errors"))
 
 
 SLOTS = {"visibility": ["the", "der"], "activity": ["of", "und"], "conversion": ["que", "les"]}
@@ -289,7 +289,7 @@ SECTIONS = [
 ]
 
 
-def _filled(template: str, columns: list, value, text):
+def _filled(template: str, value, text):
     """The parts of a template: literals and columns."""
     out, at = [], 0
     for m in re.finditer(r"\{(\w+)\}", template):
@@ -299,7 +299,7 @@ def _filled(template: str, columns: list, value, text):
 
 
 _BODY = " UNION ALL ".join(
-    f"SELECT store_id, {i} AS place, '{n}' AS section, concat({', '.join(_filled(t, [], lambda c: f'CAST({c} AS VARCHAR)', lambda x: repr(x)))}) AS body FROM x" for i, (n, t) in enumerate(SECTIONS, 1)
+    f"SELECT store_id, {i} AS place, '{n}' AS section, concat({', '.join(_filled(t, lambda c: f'CAST({c} AS VARCHAR)', repr))}) AS body FROM x" for i, (n, t) in enumerate(SECTIONS, 1)
 )
 
 
@@ -311,7 +311,7 @@ def rac9(spark, d):
     none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none").otherwise(F.col(c)).alias(c)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     c = rac8(spark, d).join(rac4(spark, d), "store_id", "left").select("store_id", "finding", *map(zero, ("n_expected", "n_found", "n_repeated")), *map(none, ("missing", "gaps")))
-    body = lambda t: F.concat(*_filled(t, [], lambda x: F.col(x).cast("string"), F.lit))
+    body = lambda t: F.concat(*_filled(t, lambda x: F.col(x).cast("string"), F.lit))
     rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("section"), body(t).alias("body")) for i, (n, t) in enumerate(SECTIONS, 1)))
     c = c.withColumn("rows", rows)
     report = F.sha2(F.array_join(F.transform("rows", lambda x: F.concat_ws(": ", x.section, x.body)), "\n"), 256)
@@ -330,7 +330,7 @@ def rac10(spark, d):
     r = rac9(spark, d).where(~(ends("1") & section("limits")))
     r = r.withColumn("body", F.when(ends("2") & section("limits"), F.concat("body", F.lit(" because"))).when(ends("3") & section("finding"), "").when(ends("4") & section("evidence"), "some months").otherwise(F.col("body")))
     r = r.unionByName(r.where(ends("5") & section("question")))
-    return V2.gated_reports(r, "store_id", [n for n, _ in SECTIONS], FORBIDDEN, ANCHORS)
+    return RV.gated_reports(r, "store_id", [n for n, _ in SECTIONS], FORBIDDEN, ANCHORS)
 
 
 POLICY = [("view", "visibility", True, 7, 0.65), ("click", "interest", True, 3, 0.65), ("purchase", "order", True, 30, 0.65), ("error", "problem", False, 30, 0.60)]

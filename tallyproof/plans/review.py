@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, stores, table
 from ..operators import review as V
@@ -246,7 +246,7 @@ def _reports(spark, d):
     items = sku_period(spark, d).where("sku_rank <= 3").withColumn("period_month", F.date_format("period_start", "yyyy-MM"))
     items = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sku_rank", "sku_name", "sales_volume"))).alias("l"))
     p = store_period(spark, d).where(F.col("period_month").isin(MONTHS)).join(items, keys)
-    first = F.col("period_month") == F.min("period_month").over(__window("store_id"))
+    first = F.col("period_month") == F.min("period_month").over(Window.partitionBy("store_id"))
     p = p.withColumn("flaw", F.when(first, F.expr("cast(substring(store_id, 2) as int) % 10")).otherwise(0))
     entry = F.transform("l", lambda x: F.concat_ws(" ", x.sku_name, x.sales_volume.cast("string")))
     flaw = lambda i: F.col("flaw") == i
@@ -265,12 +265,6 @@ def _reports(spark, d):
     return texts, V.ReportProfile(r"^Store:\s*(\S+)$", known, "Window", FIELDS, SECTIONS, NOTES, PENDING)
 
 
-def __window(key):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 _M = ", ".join(f"'{m}'" for m in MONTHS)
 _REP = f"""{SP}, rp AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY period_month) AS block, CASE WHEN row_number() OVER (PARTITION BY store_id ORDER BY period_month) = 1 THEN CAST(substr(store_id, 2) AS INT) % 10 ELSE 0 END AS flaw FROM sp WHERE period_month IN ({_M}))"""
 

@@ -85,7 +85,8 @@ def _signatures(shingle: int, bands: int, rows: int, bins_log: int, bits: int):
         factors = rng.integers(1, 2**63, n_hash, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         salts = rng.integers(1, 2**63, max(n_hash, bands), dtype=np.uint64)
         for batch in batches:
-            for low, high in textvec.slices(batch.column("text"), 1 << 19):
+            # a row takes a counter for each bit of its sketch, however short its text is
+            for low, high in textvec.slices(batch.column("text"), 1 << 19, bits):
                 part = batch.slice(low, high - low)
                 sets, begin = _sets(part.column("text"), shingle)
                 sizes = np.diff(begin)

@@ -82,11 +82,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def slices(text, size: int):
-    """Row ranges of about so many bytes of text, at least a row each."""
+def slices(text, size: int, row: int = 64):
+    """Row ranges of about so many bytes of text, at least a row each. row: what a row
+    counts beside its text, so that empty texts don't gather in one range."""
     import pyarrow.compute as pc
 
-    total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
+    own = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False) if len(text) else np.zeros(0, np.int64)
+    total = np.cumsum(own.astype(np.int64) + row)
     low = 0
     while low < len(text):
         base = total[low - 1] if low else 0

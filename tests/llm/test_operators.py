@@ -252,6 +252,11 @@ def test_near_copies_of_empty_table(spark):
     assert minhash.link(frame(spark, [])).count() == 0
 
 
+def test_many_short_texts_are_signed_in_parts():
+    cut = list(textvec.slices(pa.array([""] * 5000 + [None, "x" * 4000, ""]), 1 << 19, minhash.SKETCH_BITS))
+    assert max(b - a for a, b in cut) <= 257 and cut[0][0] == 0 and cut[-1][1] == 5003 and all(a[1] == b[0] for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+
 def test_sketch_limit_keeps_similar_pairs():
     rng = np.random.default_rng(0)
     for n in (10, 100, 1000, 20000):

@@ -39,7 +39,7 @@ from ..operators import panels
 from . import common, textvec
 
 LEAST, LONGEST, FIRST, COVERED = 10, 3, 2000, 50
-SIDE, ROWS, DENSE, SLICE = 256, 16, 4, 8 << 20
+SIDE, ROWS, DENSE, SLICE = 256, 16, 4, 4 << 20
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
 _MAP[list(b".,;:!?\n\v\f\r")] = 10
@@ -51,6 +51,18 @@ SENT = "bucket int, slice long, i binary, j binary, n binary"
 FOUND = "slice long, i binary, j binary, id binary, n binary"
 
 
+def _pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; of rising ones the steps."""
+    x = np.diff(x, prepend=x[:1] * 0) if rising else x
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or int(x.max()) < 1 << 8 * k)
+    return bytes([size]) + x.astype(f"u{size}").tobytes()
+
+
+def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    x = np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    return np.cumsum(x) if rising else x
+
+
 def _table(schema: str, rows: list) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     fields = [f.split() for f in schema.split(", ")]
@@ -101,7 +113,7 @@ def _encode(key, left, right):
         codes = np.frombuffer(codes, np.int32)
         new = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
         new[place[order]] = np.arange(1, len(order) + 1)
-        rows.append((key[0].as_py(), new[codes].tobytes(), ids[order].tobytes(), None, None))
+        rows.append((key[0].as_py(), new[codes].tobytes(), _pack(ids[order], True), None, None))
     return _table(ENCODED, rows)
 
 
@@ -140,8 +152,18 @@ def tiled(i: np.ndarray, j: np.ndarray, n: np.ndarray | None = None) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: Columns of rising numbers; the buckets' rows have their pairs in order.
+_RISING = {"names", "seq_names", "i"}
+
+
 def _arrays(row, *names):
-    return [np.frombuffer(row[name], np.int32 if name in ("codes", "seq") else np.int64) for name in names]
+    return [np.frombuffer(row[name], np.int32) if name in ("codes", "seq") else _unpack(row[name], name in _RISING) for name in names]
+
+
+def _rows(batch):
+    """One row at a time, as they are large."""
+    for k in range(len(batch)):
+        yield batch.slice(k, 1).to_pylist()[0]
 
 
 def _sequence(row, length: int):
@@ -155,7 +177,7 @@ def _send(buckets: int, length: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words, names, seq, seq_names = _sequence(row, length)
                 i, j = seq[: max(0, len(words) - length)], words[length:]
                 both = (i > 0) & (j > 0)
@@ -169,7 +191,7 @@ def _send(buckets: int, length: int):
                 order = np.lexsort((j, i, bucket))
                 i, j, n, bucket = i[order], j[order], n[order], bucket[order]
                 at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                rows = [(int(bucket[a]), row["slice"], i[a:b].tobytes(), j[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at, np.append(at[1:], len(n)), strict=True)]
+                rows = [(int(bucket[a]), row["slice"], _pack(i[a:b], True), _pack(j[a:b]), _pack(n[a:b])) for a, b in zip(at, np.append(at[1:], len(n)), strict=True)]
                 yield from _table(SENT, rows).to_batches()
 
     return run
@@ -190,14 +212,13 @@ def _add(buckets: int, least: int, tell: bool):
         (us, i), (vs, j) = _small(i), _small(j)
         x, y, total = tiled(i, j, n)
         x, y, total = x[total >= least], y[total >= least], total[total >= least]
-        order = np.lexsort((y, x, -total))
+        order = np.lexsort((y, x))
         x, y, total = x[order], y[order], total[order]
-        ids = np.arange(len(total)) * buckets + bucket + 1
-        out = [(None, us[x].tobytes(), vs[y].tobytes(), ids.tobytes(), total.tobytes())] if len(total) else []
+        ids = np.empty(len(total), np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(total)) * buckets + bucket + 1
+        out = [(None, _pack(us[x], True), _pack(vs[y]), _pack(ids), _pack(total))] if len(total) else []
         if tell and len(total):
             code = x * len(vs) + y
-            order = np.argsort(code)
-            code, ids = code[order], ids[order]
             own = i * len(vs) + j
             at = np.minimum(np.searchsorted(code, own), len(code) - 1)
             hit = code[at] == own
@@ -205,7 +226,7 @@ def _add(buckets: int, least: int, tell: bool):
             for r, (ri, rj, _) in zip(rows, parts, strict=True):
                 m = hit[low : low + len(ri)]
                 if m.any():
-                    out.append((r["slice"], ri[m].tobytes(), rj[m].tobytes(), ids[at[low : low + len(ri)][m]].tobytes(), None))
+                    out.append((r["slice"], _pack(ri[m], True), _pack(rj[m]), _pack(ids[at[low : low + len(ri)][m]]), None))
                 low += len(ri)
         return _table(FOUND, out)
 
@@ -232,7 +253,7 @@ def _renamed(length: int):
                 own = i * base + j
                 at = np.minimum(np.searchsorted(code[order], own), len(code) - 1)
                 new[: len(i)] = np.where(code[order][at] == own, small[at], 0)
-            out.append((row["slice"], row["codes"], row["names"], new.tobytes(), new_names.tobytes()))
+            out.append((row["slice"], row["codes"], row["names"], new.tobytes(), _pack(new_names, True)))
         return _table(ENCODED, out)
 
     return run
@@ -240,7 +261,7 @@ def _renamed(length: int):
 
 def _unpacked(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             i, j, ids, n = _arrays(row, "i", "j", "id", "n")
             for a in range(0, len(n), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (i, j, ids, n)], ["i", "j", "id", "n"])

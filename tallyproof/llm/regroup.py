@@ -43,9 +43,11 @@ def numbers(column, dtype=np.int64) -> np.ndarray:
 
 def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key once, with the smallest and the largest document that has it."""
+    if not len(keys):
+        return keys, docs, docs
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     last = np.append(head[1:], len(k)) - 1
     return k[head], d[head], d[last]
 

@@ -143,10 +143,11 @@ def _ask(buckets: int, width: int, gram: int):
             data, offsets, docs, valid = _read(part)
             m, start, windows, h, text = fragments(data, offsets, valid, width, gram)
             hit, _ = regroup.found(m, shared)
+            if not hit.any():
+                continue
             m, start, windows, h, doc = m[hit], start[hit], windows[hit], h[hit], docs[text[hit]]
             order = np.lexsort((doc, h))
-            head = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
-            first = np.flatnonzero(head)
+            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
             one = order[first]
             size = windows[one] + width - 1
             for k, x in zip(held, (m[one], h[one], size, doc[one], doc[order][np.append(first[1:], len(h)) - 1], data[textvec.ragged(start[one], size)]), strict=True):

@@ -13,7 +13,10 @@ the bad documents is taken; none if it rejects bad documents no more often than
 ones.
 
 A stratum with too few good labels to certify even a step that rejects none of them
-joins a pooled stratum; while that is too small too, the next larger one joins it. The
+joins a pooled stratum; while that is too small too, the next larger one joins it. As few
+join as leave strata that can all certify at their share of the error, which is divided
+by the number of strata there are after pooling. Only the sizes decide, so the bound
+holds. certified tells whether a document's stratum has a step at all. The
 driver sees counts by stratum and step of the labelled documents only; cutoffs are a
 table that documents are joined with, so there may be any number of strata.
 
@@ -166,6 +169,20 @@ def pooled(sizes: dict, risk: float, error: float) -> set:
     return out
 
 
+def strata(sizes: dict, risk: float, error: float) -> tuple[set, float]:
+    """(those that share the pooled stratum, the error of each stratum there is then):
+    the fewest merges after which error / strata is enough for each."""
+    best = (set(sizes), error)
+    for n in range(len(sizes), 0, -1):
+        shared = pooled(sizes, risk, error / n) & set(sizes)
+        left = len(sizes) - len(shared) + bool(shared)
+        if left <= n:
+            best = (shared, error / left)
+        if left >= n:
+            break
+    return best
+
+
 def _key() -> Column:
     """A stratum's name, in which a null is no language's."""
     return F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("lang")))
@@ -189,8 +206,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk:
     sizes = {r["key"]: r["n"] for r in held.groupBy("key").agg(F.count_if(F.col("good") == 1).alias("n")).collect()}  # by labelled stratum
     if not sizes:
         return spark.createDataFrame([], schema)
-    error /= len(sizes)
-    shared = pooled(sizes, risk, error)
+    shared, error = strata(sizes, risk, error)
     names = spark.createDataFrame([(k, None if k in shared else k) for k in sizes], "key string, stratum string")
     held = held.join(names, "key").select("stratum", "good", "hits")
     every = sequence(grid)
@@ -221,9 +237,12 @@ def thresholds(measured: DataFrame, labels: DataFrame, grid: dict = GRID, risk:
 
 
 def verdicts(measured: DataFrame, cuts: DataFrame, grid: dict) -> DataFrame:
-    """measured with pooled (null: its stratum has no labels), rejected_by and kept."""
-    wide = measured.withColumn("key", _key()).join(cuts.select("key", "pooled", *(F.col(s).alias(f"{s}_cut") for s in grid)), "key", "left")
+    """measured with pooled (null: its stratum has no labels), certified (false: its
+    stratum has no certified step, only base rules reject there), rejected_by and kept."""
+    cuts = cuts.withColumn("certified", F.coalesce(*(F.col(s) for s in grid)).isNotNull())
+    wide = measured.withColumn("key", _key()).join(cuts.select("key", "pooled", "certified", *(F.col(s).alias(f"{s}_cut") for s in grid)), "key", "left")
     hits = [F.when(F.col(s) > F.col(f"{s}_cut"), F.lit(s)) for s in grid]
+    wide = wide.withColumn("certified", F.coalesce("certified", F.lit(False)))
     out = wide.withColumn("rejected_by", F.concat_ws(",", *hits)).drop("key", *(f"{s}_cut" for s in grid))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
@@ -244,4 +263,4 @@ def kept(docs: DataFrame, labels: DataFrame, grid: dict = GRID, risk: float = RI
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "pooled", "rejected_by")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "pooled", "certified", "rejected_by")

@@ -17,7 +17,8 @@ buckets small. Nothing is capped: every row of a visited bucket is compared.
 
 Edge cases. Vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither do rows with a null id. Vectors of different
-dimension are not compared. Equal scores go to the smaller id; an id that repeats
+dimension are not compared. Components may be of any size: rows are scaled by a power of
+two before they are squared. Equal scores go to the smaller id; an id that repeats
 is one row for each of its vectors, of which the best counts. Repeated rows are one
 candidate. Vectors of doubles are kept and scored as such. A very long vector is one row
 in a block's memory. Extra columns are ignored. An empty table gives an empty result.
@@ -42,6 +43,12 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def leveled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to 1/2 up to 1, so
+    that no square overflows or vanishes; nothing is rounded by it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
+
+
 def _functions(table: int, dim: int, hashes: int, cell: float):
     rng = np.random.default_rng([2, table, dim])
     return rng.normal(size=(hashes, dim)), rng.uniform(0, cell, hashes)
@@ -76,7 +83,7 @@ def _hashed(tables: int, hashes: int, cell: float, probes: int):
             dims = np.array([len(x) for x in batch.column("vec").to_pylist()])
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = _matrix(part.column("vec"))
+                x = leveled(_matrix(part.column("vec")))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 ids = part.column("vec_id")
                 for table in range(tables):
@@ -92,6 +99,7 @@ def _hashed(tables: int, hashes: int, cell: float, probes: int):
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines of the rows of q and x, each from its own two vectors only."""
+    q, x = leveled(q), leveled(x)
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
@@ -101,7 +109,7 @@ def _search(k: int):
     def best(rows):
         side = np.array([r[0] for r in rows])
         ids = np.array([r[1] for r in rows])
-        x = np.array([r[2] for r in rows], np.float64)
+        x = leveled(np.array([r[2] for r in rows], np.float64))
         q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(q) or not len(c):
             return

@@ -4,11 +4,15 @@ quality_rules drops documents; line_dedup cuts lines that came before; near_dedu
 keeps one document of each group of near copies; suffix_dedup cuts byte strings that
 an earlier document has; packing lays the tokens of what is left into sequences. A
 document whose text is cut away wholly stays, with an empty text. n_chars follows the
-text. Rows with a null doc_id pass the stages that compare documents unchanged.
+text. Rows with a null doc_id pass the stages that compare documents unchanged. Of rows
+that repeat with the same doc_id and text one stays after near_dedup; rows of one doc_id
+with different texts are different documents. An empty table passes all stages.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyproof.llm import common, linedup, minhash, packing, quality, suffixes
@@ -31,13 +35,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Five
-    words a shingle, as for all near-duplicate stages. Rows are dropped by id and text,
-    so that an id that repeats with another text keeps that one."""
-    found = minhash.labelled(docs, shingle=5).where("not kept")
-    gone = common.stored(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("of")).distinct(), "gone")
-    same = (docs["doc_id"].cast("long") == gone["id"]) & (minhash.digest(docs["text"]) == gone["of"])
-    return docs.join(gone, same, "left_anti")
+    """One document of each group of near copies: the one with the smallest id, once if
+    its row repeats. Five words a shingle, as for all near-duplicate stages. Rows are
+    dropped by id and text, so that an id that repeats with another text keeps that one."""
+    found = common.stored(minhash.labelled(docs, shingle=5).where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "kept"), "found")
+    again = common.stored(found.where("kept").groupBy("id", "of").count().where("count > 1").select("id", "of"), "again")
+    gone = common.stored(found.where("not kept").select("id", "of").distinct().unionByName(again), "gone")
+    same = lambda d, t: (d["doc_id"].cast("long") == t["id"]) & (minhash.digest(d["text"]) == t["of"])
+    mark = f"of_{uuid.uuid4().hex}"
+    once = docs.join(again, same(docs, again), "left_semi").withColumn(mark, minhash.digest(docs["text"])).dropDuplicates(["doc_id", mark]).drop(mark)
+    return docs.join(gone, same(docs, gone), "left_anti").unionByName(once)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

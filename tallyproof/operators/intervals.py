@@ -35,6 +35,51 @@ def overlaps(windows: DataFrame, key: str, by: str) -> DataFrame:
     return a.join(b, on).where(F.col("a.month") == F.trunc(start, "MM")).select(F.col(f"a.{key}").alias(key), F.col(f"a.{by}").alias("left"), F.col(f"b.{by}").alias("right"), start.alias("start"), end.alias("end"))
 
 
+#: Days are counted from BEFORE days before 1970; a cell of level l has BASE**l of them.
+BASE, LEVELS, BEFORE = 8, 8, 4_000_000
+
+
+def _day(c):
+    return F.datediff(c, F.lit("1970-01-01").cast("date")) + BEFORE
+
+
+def _cell(level, x):
+    return F.struct(F.lit(level).alias("level"), x.cast("int").alias("x"))
+
+
+def _above(day, tag: int):
+    """The cells of every level that hold a day."""
+    return F.array(*(_cell(tag + k, F.floor(day / BASE**k)) for k in range(LEVELS)))
+
+
+def _parts(first, last, tag: int):
+    """The fewest cells that make up the days from first to last; none if last < first."""
+    def run(level, low, high):
+        return F.when(low < high, F.transform(F.sequence(low.cast("int"), (high - 1).cast("int")), lambda x: _cell(tag + level, x))).otherwise(F.array().cast("array<struct<level:int,x:int>>"))
+
+    out = []
+    for k in range(LEVELS):
+        low, high = F.ceil(first / BASE**k), F.floor((last + 1) / BASE**k)
+        up_low, up_high = F.ceil(first / BASE ** (k + 1)), F.floor((last + 1) / BASE ** (k + 1))
+        inner = (up_low < up_high) & F.lit(k + 1 < LEVELS)
+        out += [run(k, low, F.when(inner, up_low * BASE).otherwise(high)), run(k, F.when(inner, up_high * BASE).otherwise(high), high)]
+    return F.concat(*out)
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_days: tuple[str, str], right_days: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with equal keys whose days [from, to] meet, each once, with the
+    columns of both. Either the right one starts within the left one, or the left one
+    starts within the right one after its first day. Each is a day within an interval:
+    the day stands under the LEVELS cells that hold it, the interval under the few cells
+    that make it up, and they meet in exactly one. So all rows that the join compares are
+    pairs of the result, and a key with very many windows is spread over its cells. Rows
+    with a null day, or that end before they start, meet nothing."""
+    (a, b), (c, d) = ([_day(F.col(x)) for x in days_] for days_ in (left_days, right_days))
+    cells = [F.concat(_parts(a, b, 0), _above(a, LEVELS)), F.concat(_above(c, 0), _parts(c + 1, d, LEVELS))]
+    dealt = [df.where(F.col(x) <= F.col(y)).withColumn("_cell", F.explode(cell)) for df, (x, y), cell in zip((left, right), (left_days, right_days), cells, strict=True)]
+    return dealt[0].join(dealt[1], [*keys, "_cell"]).drop("_cell")
+
+
 def range_values(records: DataFrame, requests: DataFrame, additive: list[str], plain: list[str]) -> DataFrame:
     """(store_id, first, last, field, value, basis, reason) of each request and field.
 
@@ -43,7 +88,7 @@ def range_values(records: DataFrame, requests: DataFrame, additive: list[str], p
     one reported window is the request, or if days without overlap fill it; the
     first reason that applies is told. A store without records still has a row."""
     fields = [*additive, *plain]
-    met = requests.join(records, "store_id", "left").where("period_start is null or (period_start <= last and period_end >= first)")
+    met = overlapping(requests, records, ["store_id"], ("first", "last"), ("period_start", "period_end"))
     asked = requests.join(met.select("store_id", "first", "last").distinct(), ["store_id", "first", "last"], "left_anti")
     met = met.unionByName(asked, allowMissingColumns=True)
     long = met.select("store_id", "first", "last", "period_start", "period_end", "batch", "scope", "grain", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("decimal(38,4)").alias("v"), F.lit(f in additive).alias("adds")) for f in fields))))

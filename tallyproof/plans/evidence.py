@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, panels as P, retrieval as R, review as RV
+from ..operators import ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV
 from ..registry import ORACLES, query
 from .diagnostics import MONTHS
 from .review import rac4
@@ -83,14 +83,18 @@ def _top1(spark, d):
 
 @query("agg18_percentiles", f"{_TOP} SELECT case_type, round(quantile_cont(s, 0.25), 5) AS p25, round(quantile_cont(s, 0.5), 5) AS p50, round(quantile_cont(s, 0.75), 5) AS p75, min(s) AS least, max(s) AS most FROM t1 GROUP BY case_type")
 def agg18(spark, d):
-    p = lambda x: F.round(F.percentile("s", F.lit(x)), 5)
-    return _top1(spark, d).groupBy("case_type").agg(p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.min("s").alias("least"), F.max("s").alias("most"))
+    hit = _top1(spark, d)
+    found = Q.percentiles(hit, ["case_type"], "s", [0.25, 0.5, 0.75]).withColumn("s", F.round("s", 5))
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("s"))).alias(f"p{int(100 * p)}")
+    ends = hit.groupBy("case_type").agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    return found.groupBy("case_type").agg(*map(at, (0.25, 0.5, 0.75))).join(ends, "case_type")
 
 
 @query("agg19_threshold_proposal", f"{_TOP} SELECT round((quantile_cont(s, 0.25) FILTER (case_type = 0) + quantile_cont(s, 0.75) FILTER (case_type = 1)) / 2, 5) AS threshold FROM t1")
 def agg19(spark, d):
-    at = lambda c, x: F.percentile(F.when(F.col("case_type") == c, F.col("s")), F.lit(x))
-    return _top1(spark, d).agg(F.round((at(0, 0.25) + at(1, 0.75)) / 2, 5).alias("threshold"))
+    found = Q.percentiles(_top1(spark, d).where("case_type in (0, 1)"), ["case_type"], "s", [0.25, 0.75])
+    at = lambda c, p: F.max(F.when((F.col("case_type") == c) & (F.col("p") == p), F.col("s")))
+    return found.agg(F.round((at(0, 0.25) + at(1, 0.75)) / 2, 5).alias("threshold"))
 
 
 @query("agg20_threshold_sweep", f"{_TOP}, th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]) AS t) SELECT CAST(t AS DOUBLE) AS threshold, case_type, count(*) FILTER (s >= t) AS above, count(*) AS n, count(*) FILTER (s >= t AND hit) AS hits_kept FROM t1 CROSS JOIN th GROUP BY ALL")

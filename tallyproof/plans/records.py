@@ -79,6 +79,11 @@ CAUSAL = ["background_align"]
 BASELINE = ("2024-01-01", "2024-01-07")
 
 
+def met(spark, d, first=FIRST, last=LAST):
+    """Each request with the records that share days with it."""
+    return I.overlapping(requests(spark, d, first, last), records(spark, d), ["store_id"], ("first", "last"), ("period_start", "period_end"))
+
+
 def ranged(spark, d, first=FIRST, last=LAST, longer=0):
     return I.range_values(records(spark, d), requests(spark, d, first, last, longer), ADDITIVE, PLAIN)
 
@@ -200,7 +205,7 @@ gap AS (SELECT store_id, min(day) AS a, max(day) AS b FROM (SELECT *, day - CAST
 
 @query("agg9_interval_coverage", f"{_COV} SELECT h.store_id, CAST(31 AS INT) AS requested_days, count(*) FILTER (covered) AS covered_days, coalesce((SELECT string_agg(CAST(a AS VARCHAR) || '..' || CAST(b AS VARCHAR), ',' ORDER BY a) FROM gap g WHERE g.store_id = h.store_id), '') AS missing FROM hit h GROUP BY h.store_id HAVING count(*) FILTER (covered) > 0")
 def agg9(spark, d):
-    return I.coverage(records(spark, d).join(requests(spark, d, "2024-01-01", "2024-01-31"), "store_id"), ["store_id"])
+    return I.coverage(met(spark, d, "2024-01-01", "2024-01-31"), ["store_id"])
 
 
 @query("agg10_distinct_windows", f"WITH {REC} SELECT store_id, count(DISTINCT (period_start, period_end, batch)) AS n FROM rec GROUP BY store_id")
@@ -234,7 +239,7 @@ def jn3(spark, d):
 
 @query("jn4_overlap_selection", f"WITH {REC} SELECT store_id, period_start, period_end, batch FROM rec WHERE period_start <= DATE '{LAST}' AND period_end >= DATE '{FIRST}'")
 def jn4(spark, d):
-    return records(spark, d).join(requests(spark, d), "store_id").where("period_start <= last and period_end >= first").select("store_id", "period_start", "period_end", "batch")
+    return met(spark, d).select("store_id", "period_start", "period_end", "batch")
 
 
 @query("jn5_window_overlaps", f"""WITH {REC} SELECT a.store_id, a.batch AS "left", b.batch AS "right", greatest(a.period_start, b.period_start) AS start, least(a.period_end, b.period_end) AS "end" FROM rec a JOIN rec b ON a.store_id = b.store_id AND (a.period_start, a.batch) < (b.period_start, b.batch) AND b.period_start <= a.period_end""")

@@ -36,7 +36,7 @@ def overlaps(windows: DataFrame, key: str, by: str) -> DataFrame:
 
 
 #: Days are counted from BEFORE days before 1970; a cell of level l has BASE**l of them.
-BASE, LEVELS, BEFORE = 8, 8, 4_000_000
+BASE, LEVELS, BEFORE = 32, 4, 4_000_000
 
 
 def _day(c):

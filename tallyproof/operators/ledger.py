@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import close
+from ..sources import publication
 
 
 def judged(batches: DataFrame, scope: list[str]) -> DataFrame:
@@ -67,20 +68,13 @@ def digest_sql(h: str) -> str:
 
 
 def published(rows: DataFrame, path: str, key: str, h: str, unique: list[str]) -> DataFrame:
-    """Writes each key's rows under the id that follows from them and reads them back:
-    (key, snapshot_id, n, n_repeated), n_repeated being rows whose unique columns came
-    before. A publication that is already there is not written again."""
-    from pyspark.errors import AnalysisException
-
+    """Publishes each key's rows under the id that follows from them and reads back what
+    the manifest lists: (key, snapshot_id, n, n_repeated), n_repeated being rows whose
+    unique columns came before. A publication that is already there is not written again;
+    one whose writer was lost isn't there."""
     named = rows.join(set_digest(rows, key, h).select(key, F.col("digest").alias("snapshot_id")), key)
-    spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).select("snapshot_id").distinct()
-        named = named.join(known, "snapshot_id", "left_anti")
-    except AnalysisException:  # nothing has been published there
-        pass
-    named.repartition("snapshot_id", F.pmod(F.xxhash64(h), F.lit(16))).write.mode("append").partitionBy("snapshot_id").parquet(path)
-    out = spark.read.parquet(path).groupBy(key, "snapshot_id", *unique).agg(F.count("*").alias("m"))
+    publication.publish(named, path, "snapshot_id")
+    out = publication.read(rows.sparkSession, path, named.schema).groupBy(key, "snapshot_id", *unique).agg(F.count("*").alias("m"))
     return out.groupBy(key, "snapshot_id").agg(F.sum("m").alias("n"), F.sum(F.col("m") - 1).alias("n_repeated"))
 
 

@@ -8,7 +8,7 @@ from ..adapters import SP, store_period, table
 from ..functions import text as T
 from ..operators import ledger as L
 from ..registry import query
-from ..sources import files as S
+from ..sources import files as S, publication as U
 
 ORDER = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -99,8 +99,14 @@ def src9(spark, d):
 
 @query("src10_vector_upsert", "WITH n AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0), u AS (SELECT vec_id, label FROM n UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0) SELECT vec_id, CAST(label AS INT) AS label, sha1(concat_ws('|', 'vec', CAST(vec_id AS VARCHAR))) AS point_id FROM u")
 def src10(spark, d):
+    """A table of vectors, then a third of them again with other labels, each put in
+    twice: the parts that the second load touches are written again, the others stay."""
+    path = S.fresh_path(spark, "vectors")
     old = table(spark, d, "embeddings").select("vec_id", "label")
-    merged = S.upserted(old, old.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int")), ["vec_id"], "label")
+    new = old.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int"))
+    for load in (old, new, new):
+        U.upsert(load, path, ["vec_id"], "label", buckets=8)
+    merged = U.read(spark, path, old.schema)
     return merged.select("vec_id", "label", F.sha1(F.concat_ws("|", F.lit("vec"), F.col("vec_id").cast("string"))).alias("point_id"))
 
 

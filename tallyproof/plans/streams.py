@@ -10,31 +10,41 @@ from ..sources.files import fresh_path
 from ..streaming import streams as S
 
 
-def _stream(spark, d):
-    """The events file as a stream: its folder, with a filter on the name."""
-    raw = spark.readStream.schema(S.EVENTS).option("pathGlobFilter", "events*.parquet").parquet(f"{d}/") if not _folder(spark, d) else spark.readStream.schema(S.EVENTS).parquet(f"{d}/events.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+EPOCHS = 10
 
 
-def _folder(spark, d) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+def _arriving(spark, d, arrival) -> str:
+    """A folder in which the events arrive in EPOCHS portions, one after another. A user's
+    events of a portion are in one file."""
+    path, rows = fresh_path(spark, "arriving"), table(spark, d, "events").withColumn("arrival", arrival)
+    for k in range(EPOCHS):
+        rows.where(F.col("arrival") == k).drop("arrival").repartition("user_id").write.parquet(f"{path}/{k}")
+    return path
+
+
+def _stream(spark, d, arrival=None):
+    """The events as a stream of about EPOCHS epochs, out of order unless dealt by arrival."""
+    path = _arriving(spark, d, F.pmod(F.xxhash64("event_id"), F.lit(EPOCHS)) if arrival is None else arrival)
+    n = len(spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles())
+    return S.events(spark, path, max(1, n // EPOCHS))
+
+
+def _in_order(spark, d):
+    """The portion of an event by the order of ids."""
+    low, high = table(spark, d, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    return F.floor((F.col("event_id") - (low or 0)) * EPOCHS / ((high or 0) - (low or 0) + 1))
 
 
 @query("stm1_daily_totals", "WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, value, ts FROM events) SELECT day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM e GROUP BY ALL")
 def stm1(spark, d):
-    """Whole days in append mode, each once its day is past the watermark. The days that
-    are still open when the input ends come from a batch over these days alone."""
-    done = spark.read.parquet(S.drained(S.daily_totals(_stream(spark, d)), "append")).drop("epoch")
-    until = done.agg(F.max("day").alias("until"))
-    rows = table(spark, d, "events").withColumn("day", F.to_date("ts")).join(until).where(F.coalesce(F.col("day") > F.col("until"), F.lit(True)))
-    cents = F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")
-    return done.unionByName(rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), cents))
+    """Days are told once two days have passed, rows that come later are kept apart and
+    joined back as corrections. As events arrive out of order, most epochs have some."""
+    return S.corrected(spark, S.daily_with_late(_stream(spark, d))).select("day", "event_type", "n", "cents")
 
 
 @query("stm2_exactly_once", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stm2(spark, d):
-    path = S.drained(S.once(_stream(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
+    path = S.once(_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
     return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -59,20 +69,21 @@ def stm4(spark, d):
 
 @query("stm5_late_revisions", "WITH e AS (SELECT user_id, event_id, ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM events) SELECT user_id, count(*) FILTER (late) AS n_late, count(*) AS n FROM e GROUP BY 1")
 def stm5(spark, d):
-    """Rows whose time goes back against an earlier row of their scope. A batch is judged
-    against itself and the ledger, which has one row for each scope; each epoch writes
-    the next version of it and reads the one before."""
+    """Rows whose time goes back against an earlier row of their scope go to a side table.
+    A batch is judged against itself and the ledger, which has one row for each scope;
+    each epoch writes the next version of it and reads the one before."""
     path = fresh_path(spark, "revisions")
     own = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
 
     def put(df, epoch):
         seen = df.sparkSession.read.parquet(f"{path}/ledger/{epoch - 1}") if epoch else df.sparkSession.createDataFrame([], "user_id bigint, seen timestamp")
-        late = F.col("ts") < F.greatest(F.max("ts").over(own), "seen")
-        df.join(seen, "user_id", "left").withColumn("late", F.coalesce(late, F.lit(False))).drop("seen").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        late = F.coalesce(F.col("ts") < F.greatest(F.max("ts").over(own), "seen"), F.lit(False))
+        judged = df.join(seen, "user_id", "left").withColumn("late", late).drop("seen")
+        judged.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/epoch={epoch}")
         new = df.groupBy("user_id").agg(F.max("ts").alias("seen")).unionByName(seen)
         new.groupBy("user_id").agg(F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{path}/ledger/{epoch}")
 
-    S.drained(_stream(spark, d).select("user_id", "event_id", "ts"), "append", put)
+    S.drained(_stream(spark, d, _in_order(spark, d)).select("user_id", "event_id", "ts"), "append", put)
     done = spark.read.parquet(f"{path}/rows")
     return done.groupBy("user_id").agg(F.count_if("late").alias("n_late"), F.count("*").alias("n"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV
+from ..operators import ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV, rules as RU
 from ..registry import ORACLES, query
 from .diagnostics import MONTHS
 from .review import rac4
@@ -209,12 +209,24 @@ def val19(spark, d):
     return f.select("store_id", "period_month", "slot", RV.fact_errors({s: c for s, c, _ in FACT_SLOTS}, DECLARED).alias("errors"))
 
 
-SLOTS = {"visibility": ["the", "der"], "activity": ["of", "und"], "conversion": ["que", "les"]}
+#: Slots by keyword; further phrases come from the table itself.
+KEYWORDS = [("visibility", "the"), ("visibility", "der"), ("activity", "of"), ("activity", "und"), ("conversion", "and"), ("conversion", "les"), ("comparison", "of the"), ("comparison", "in the")]
+_KEYWORDS = ", ".join(f"('{s}', '{t}')" for s, t in KEYWORDS)
 
 
-@query("rtv6_slot_inference", "SELECT item_id, concat_ws(',', CASE WHEN contains(lower(text), 'of') OR contains(lower(text), 'und') THEN 'activity' END, CASE WHEN contains(lower(text), 'que') OR contains(lower(text), 'les') THEN 'conversion' END, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'der') THEN 'visibility' END) AS slots FROM benchmark")
+@query("rtv6_slot_inference", rf"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
+kw AS (SELECT * FROM (VALUES {_KEYWORDS}) AS k(slot, term) UNION SELECT 'opening', array_to_string(ws[1:3], ' ') FROM b WHERE item_id % 10 = 0 AND len(ws) > 0),
+p AS (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS place FROM b),
+g AS (SELECT item_id, place, array_to_string(ws[place:place + n - 1], ' ') AS term FROM p, (VALUES (1), (2), (3)) AS s(n) WHERE place + n - 1 <= len(ws)),
+m AS (SELECT item_id, slot, min(place) AS place FROM g JOIN kw USING (term) GROUP BY ALL)
+SELECT b.item_id, coalesce(string_agg(slot, ',' ORDER BY place, slot), '') AS slots FROM b LEFT JOIN m USING (item_id) GROUP BY b.item_id""")
 def rtv6(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.concat_ws(",", *(F.when(T.contains_any("text", SLOTS[s]), s) for s in sorted(SLOTS))).alias("slots"))
+    """The slots of each item in order of first mention, by a keyword table: some terms
+    of one or two words, and the first three words of every tenth item."""
+    items = table(spark, d, "benchmark")
+    opening = items.where("item_id % 10 = 0").select(F.lit("opening").alias("slot"), F.concat_ws(" ", F.slice(RU.tokens(F.col("text")), 1, 3)).alias("term")).where("term <> ''")
+    keywords = spark.createDataFrame(KEYWORDS, "slot string, term string").unionByName(opening)
+    return RU.slots(items, "item_id", "text", keywords).select("item_id", F.concat_ws(",", "slots").alias("slots"))
 
 
 @query("lin2_nested_lists", f"""WITH {_FT}, u AS ({_SEEN}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, stores, table
-from ..operators import review as V
+from ..operators import review as V, rules as RU
 from ..registry import query
 from .diagnostics import MONTHS
 
@@ -175,13 +175,43 @@ def rac11(spark, d):
     )
 
 
-REFUSALS = [("other_period", ["from"]), ("personal_data", ["you"]), ("causal_claim", ["tion of", "because"]), ("ranking", ["erest", "best"]), ("forecast", ["whes"])]
+#: Refusal rules: name, priority, reason; and what a message must and mustn't have. Terms
+#: with @ are conditions on the request: who asks, how far on, and how long.
+REFUSALS = [
+    ("period_late", 1, "other_period"), ("period_word", 1, "other_period"), ("entity_pair", 2, "other_entity"), ("entity_list", 2, "other_entity"),
+    ("personal", 3, "personal_data"), ("personal_own", 3, "personal_data"), ("cause", 4, "causal_claim"), ("cause_of", 4, "causal_claim"),
+    ("rank", 5, "ranking"), ("rank_all", 5, "ranking"), ("forecast", 6, "forecast"), ("forecast_late", 6, "forecast"),
+    ("scope", 7, "out_of_scope"), ("scope_wide", 7, "out_of_scope"), ("advice", 8, "advice"), ("advice_long", 8, "advice"),
+    ("empty_request", 9, "nothing_asked"), ("short_reply", 9, "nothing_asked"), ("unsure", 10, "unclear"), ("unsure_long", 10, "unclear"),
+]
+REFUSAL_PARTS = [
+    ("period_late", "all", "@late"), ("period_late", "all", "from"), ("period_late", "none", "was"), ("period_word", "all", "at"), ("period_word", "any", "from"), ("period_word", "any", "by"), ("period_word", "none", "the"),
+    ("entity_pair", "all", "and"), ("entity_pair", "all", "with"), ("entity_pair", "none", "be"), ("entity_list", "all", "of the"), ("entity_list", "any", "for"), ("entity_list", "any", "with"), ("entity_list", "none", "that"),
+    ("personal", "all", "you"), ("personal", "none", "@assistant"), ("personal_own", "any", "his"), ("personal_own", "any", "their"), ("cause", "any", "because"), ("cause", "any", "as the"), ("cause", "none", "this"),
+    ("cause_of", "all", "of"), ("cause_of", "all", "is"), ("cause_of", "none", "it"), ("cause_of", "none", "be"), ("rank", "all", "in the"), ("rank", "none", "a"), ("rank_all", "any", "best"), ("rank_all", "any", "most"),
+    ("forecast", "any", "will"), ("forecast", "any", "to be"), ("forecast_late", "all", "@late"), ("forecast_late", "all", "to"), ("forecast_late", "none", "the"), ("scope", "all", "@assistant"), ("scope", "all", "a"), ("scope", "none", "of"),
+    ("scope_wide", "all", "all"), ("advice", "all", "with the"), ("advice_long", "all", "@long"), ("advice_long", "all", "was"), ("advice_long", "none", "to"),
+    ("empty_request", "none", "the"), ("empty_request", "none", "of"), ("empty_request", "none", "and"), ("short_reply", "all", "@assistant"), ("short_reply", "none", "@long"), ("short_reply", "none", "to"),
+    ("unsure", "any", "or"), ("unsure", "any", "it is"), ("unsure_long", "all", "@long"), ("unsure_long", "none", "@assistant"),
+]
+_rows = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+_IS = "CASE term WHEN '@assistant' THEN role = 'assistant' WHEN '@late' THEN turn >= 4 WHEN '@long' THEN len(ws) > 40 ELSE contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || term || ' ') END"
 
 
-@query("rtv8_refusals", f"SELECT conv_id, turn, {_case(REFUSALS, None)} AS reason FROM conversations")
+@query("rtv8_refusals", rf"""WITH c AS (SELECT conv_id, turn, role, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM conversations),
+r AS (SELECT * FROM (VALUES {_rows(REFUSALS)}) AS r(rule, priority, reason)), p AS (SELECT * FROM (VALUES {_rows(REFUSAL_PARTS)}) AS p(rule, kind, term)),
+x AS (SELECT conv_id, turn, rule, kind, {_IS} AS so FROM c CROSS JOIN p),
+h AS (SELECT conv_id, turn, rule FROM x GROUP BY ALL HAVING count(*) FILTER (kind = 'all' AND NOT so) = 0 AND count(*) FILTER (kind = 'none' AND so) = 0 AND (count(*) FILTER (kind = 'any') = 0 OR count(*) FILTER (kind = 'any' AND so) > 0)),
+f AS (SELECT conv_id, turn, arg_min(reason, (priority, rule)) AS reason FROM h JOIN r USING (rule) GROUP BY ALL)
+SELECT c.conv_id, c.turn, reason FROM c LEFT JOIN f USING (conv_id, turn)""")
 def rtv8(spark, d):
     """The first refusal rule that a message meets."""
-    return table(spark, d, "conversations").select("conv_id", "turn", V.classified(F.col("text"), REFUSALS, None).alias("reason"))
+    messages = table(spark, d, "conversations").withColumn("message", F.struct("conv_id", "turn"))
+    is_so = {"@assistant": F.col("role") == "assistant", "@late": F.col("turn") >= 4, "@long": F.size(RU.tokens(F.col("text"))) > 40}
+    facts = messages.select("message", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in is_so.items())))).alias("term"))
+    rules = spark.createDataFrame(REFUSALS, "rule string, priority int, reason string")
+    parts = spark.createDataFrame(REFUSAL_PARTS, "rule string, kind string, term string")
+    return RU.refused(messages, "message", "text", rules, parts, facts).select("message.*", "reason")
 
 
 WEEK, LEAST = "2024-01-08", 0.3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from .numbers import col
 
@@ -152,6 +152,42 @@ def paragraphs(texts, key: str, text: str):
     return texts.select(key, F.posexplode(F.split(col(text), r"\n\s*\n", -1)).alias("chunk_no", "chunk"))
 
 
+def occurrences(texts, key: str, text: str, literal: str):
+    """(key, literal, line_no, ordinal, column_start, column_end) of every occurrence of
+    each text's literal, from left to right without overlap; ordinal: which one of its
+    line. All count from 1, columns in characters."""
+    lines = texts.select(key, literal, F.posexplode(F.split(col(text), "\n", -1)).alias("_line", "_text")).where(F.length(col(literal)) > 0)
+    parts = F.split("_text", F.concat(F.lit(r"\Q"), F.replace(col(literal), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    found = lines.withColumn("_parts", parts).where(F.size("_parts") > 1).select(key, literal, "_line", F.posexplode("_parts").alias("ordinal", "_part"))
+    size = F.char_length(col(literal))
+    before = F.sum(F.char_length("_part")).over(Window.partitionBy(key, literal, "_line").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    each = found.withColumn("_before", before + (F.col("ordinal") - 1) * size).where("ordinal > 0")
+    return each.select(key, literal, (F.col("_line") + 1).alias("line_no"), "ordinal", (F.col("_before") + 1).cast("int").alias("column_start"), (F.col("_before") + size).cast("int").alias("column_end"))
+
+
+def located(uses, found, key: str, literal: str, by: str):
+    """uses (key, line_no, literal, by) with the place of each: the n-th use of a literal
+    on a line, in the order of by, is its n-th occurrence there; without one, nulls."""
+    nth = F.row_number().over(Window.partitionBy(key, "line_no", literal).orderBy(by))
+    return uses.withColumn("ordinal", nth).join(found, [key, "line_no", literal, "ordinal"], "left")
+
+
+def table_rows(texts, key: str, text: str, is_row=None):
+    """(key, line_no, heading, header, chunk): each row of the tables in a text, with the
+    heading that it stands under and its table's header. A table is lines one after
+    another that are rows (by default those that begin with |); its first is the header,
+    lines of dashes alone are no rows."""
+    is_row = is_row or (lambda line: F.startswith(F.ltrim(line), F.lit("|")))
+    w = Window.partitionBy(key).orderBy("line_no")
+    lines = texts.select(key, F.posexplode(F.split(col(text), "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    lines = lines.withColumns({"row": is_row(F.col("line")), "mark": F.when(F.col("line").rlike(r"^#{1,6}\s"), F.trim(F.regexp_replace("line", r"^#+", "")))})
+    start = F.col("row") & ~F.coalesce(F.lag("row").over(w), F.lit(False))
+    lines = lines.withColumns({"heading": F.last("mark", ignorenulls=True).over(w), "top": F.when(start, F.col("line"))})
+    lines = lines.withColumn("header", F.last("top", ignorenulls=True).over(w))
+    dashes = F.col("line").rlike(r"^[\s|:-]+$")
+    return lines.where(F.col("row") & F.col("top").isNull() & ~dashes).select(key, "line_no", "heading", F.trim("header").alias("header"), F.trim("line").alias("chunk"))
+
+
 def fact_text() -> Column:
     """A fact (store_id, period_month, slot, confidence, source_fields, observed_values)
     as text to retrieve it by."""

@@ -245,16 +245,17 @@ LIMITS = {"visibility_entry": ["no cause is inferred", "users may be counted twi
 _LV = ", ".join(f"('{s}', {list(ls)!r})" for s, ls in LIMITS.items())
 
 
-@query("rtv9_answers", f"""WITH {_FT}, f AS ({_FACTS}), c AS (SELECT f.*, limits FROM f JOIN (VALUES {_LV}) AS v(slot, limits) USING (slot) WHERE period_month = '1996-03'),
-a AS (SELECT store_id, string_agg(slot || ' ' || observed_values, '; ' ORDER BY slot) AS answer, flatten(list(limits ORDER BY slot)) AS l FROM c GROUP BY store_id)
-SELECT store_id, answer, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') AS limitations FROM a""")
+@query("rtv9_answers", f"""WITH {_FT}, f AS ({_FACTS}), c AS (SELECT f.*, limits FROM f JOIN (VALUES {_LV}) AS v(slot, limits) USING (slot)),
+a AS (SELECT store_id, period_month, string_agg(slot || ' ' || observed_values, '; ' ORDER BY slot) AS answer, flatten(list(limits ORDER BY slot)) AS l FROM c GROUP BY store_id, period_month)
+SELECT store_id, period_month, answer, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') AS limitations FROM a""")
 def rtv9(spark, d):
-    """Each store's selected facts in slot order, then their distinct limitations."""
+    """Each store's selected facts of each month in slot order, then their distinct
+    limitations."""
     limits = spark.createDataFrame([(s, ls) for s, ls in LIMITS.items()], "slot string, limits array<string>")
-    facts = agg15(spark, d).where("period_month = '1996-03'").join(limits, "slot")
-    g = facts.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("slot", "observed_values", "limits"))).alias("f"))
+    facts = agg15(spark, d).join(limits, "slot")
+    g = facts.groupBy("store_id", "period_month").agg(F.array_sort(F.collect_list(F.struct("slot", "observed_values", "limits"))).alias("f"))
     answer = F.array_join(F.transform("f", lambda x: F.concat_ws(" ", x.slot, x.observed_values)), "; ")
-    return g.select("store_id", answer.alias("answer"), F.array_join(F.array_distinct(F.flatten(F.transform("f", lambda x: x.limits))), "; ").alias("limitations"))
+    return g.select("store_id", "period_month", answer.alias("answer"), F.array_join(F.array_distinct(F.flatten(F.transform("f", lambda x: x.limits))), "; ").alias("limitations"))
 
 
 LINES = "ln AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), hl AS (SELECT *, contains(lower(line), 'the') AS hit FROM ln)"

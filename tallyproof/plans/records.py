@@ -386,10 +386,14 @@ def ing5(spark, d):
     return li.groupBy("l_orderkey").agg(F.bool_and((F.col("l_quantity") <= 45) & F.col("s_suppkey").isNotNull()).alias("accepted"))
 
 
-@query("ing7_text_locators", "SELECT doc_id, CAST(strpos(text, 'and') AS INT) AS column_start FROM documents WHERE strpos(text, 'and') > 0")
+@query("ing7_text_locators", """WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+p AS (SELECT doc_id, line_no, t AS literal, string_split(line, t) AS ps FROM l, (VALUES ('and'), ('es ')) AS v(t)),
+o AS (SELECT doc_id, line_no, literal, unnest(range(1, len(ps))) AS ordinal, list_transform(ps, lambda x: length(x)) AS ns FROM p)
+SELECT doc_id, literal, CAST(line_no AS INT) AS line_no, CAST(ordinal AS INT) AS ordinal, CAST(list_sum(ns[1:ordinal]) + (ordinal - 1) * length(literal) + 1 AS INT) AS column_start, CAST(list_sum(ns[1:ordinal]) + ordinal * length(literal) AS INT) AS column_end FROM o""")
 def ing7(spark, d):
-    s = T.span("text", "and")
-    return table(spark, d, "documents").select("doc_id", s.alias("at")).where("at is not null").select("doc_id", F.col("at.start").alias("column_start"))
+    """Every place of two literals, of which a line may hold many."""
+    asked = table(spark, d, "documents").withColumn("literal", F.explode(F.array(F.lit("and"), F.lit("es "))))
+    return T.occurrences(asked, "doc_id", "text", "literal")
 
 
 @query("ing8_snapshot", f"""WITH h AS (SELECT o_orderstatus, o_custkey, o_orderdate, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderpriority)) AS h FROM orders WHERE o_orderpriority <> '5-LOW'),

@@ -104,23 +104,24 @@ def rac5(spark, d):
 
 def packets(spark, d):
     """Each routed source of each item's factors with its status: the panel has records
-    or none; a source's text is that of its first document."""
-    docs = table(spark, d, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
-    terms = spark.createDataFrame([(f, k) for f, k in KEYWORDS.items()], "factor string, keywords array<string>")
+    or none; a source's documents are all read, and one with a keyword is enough."""
+    named = {f: F.coalesce(F.max(V.any_of(F.lower("text"), terms)), F.lit(False)) for f, terms in KEYWORDS.items()}
+    by = table(spark, d, "documents").groupBy("source").agg(F.count("text").alias("n"), F.count_if(F.col("text").rlike(r"\S")).alias("filled"), F.array(*(F.struct(F.lit(f).alias("factor"), m.alias("matched")) for f, m in named.items())).alias("m"))
+    found = by.select("source", "n", "filled", F.inline("m"))
     asked = spark.createDataFrame([(s, f) for s, f in sorted({(s, f) for _, f, s, _ in ROUTES if s != "panel"})], "source string, factor string")
-    texts = asked.join(docs, "source", "left").join(terms, "factor", "left").withColumn("packet", F.concat_ws("/", "source", "factor"))
-    found = V.snippets(texts.select("packet", "text", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")), "packet")
-    status = texts.select("packet", "source", "factor").join(found.groupBy("packet").agg(F.first("status").alias("status")), "packet").drop("packet")
+    status = F.when(F.coalesce("n", F.lit(0)) == 0, "source_missing").when(F.col("matched"), "keyword_matched").when(F.col("filled") == 0, "source_empty").otherwise("source_found_no_keyword_match")
+    status = asked.join(by.select("source", "n", "filled"), "source", "left").join(found.select("source", "factor", "matched"), ["source", "factor"], "left").select("source", "factor", status.alias("status"))
     panel = store_period(spark, d).limit(1).agg(F.count("*").alias("n")).select(F.lit("panel").alias("source"), F.when(F.col("n") > 0, "record_matched").otherwise("source_missing").alias("panel_status"))
     out = routed(spark, d).where("source is not null").join(status, ["source", "factor"], "left").join(panel, "source", "left")
     own = F.when((F.col("role") == "boundary_evidence") & (F.col("status") == "keyword_matched"), "boundary_matched").otherwise(F.col("status"))
     return out.select("item_id", "factor", "source", "role", F.coalesce("panel_status", own).alias("status"))
 
 
-_HAS = " OR ".join(f"(r.factor = '{f}' AND ({' OR '.join(f'contains(lower(s.text), {t!r})' for t in terms)}))" for f, terms in KEYWORDS.items())
-PACKETS = f"""{ROUTED}, s AS (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source),
-pk AS (SELECT r.item_id, r.factor, r.source, r.role, CASE WHEN r.source = 'panel' THEN 'record_matched' WHEN s.text IS NULL THEN 'source_missing' WHEN {_HAS} THEN CASE WHEN r.role = 'boundary_evidence' THEN 'boundary_matched' ELSE 'keyword_matched' END
-  WHEN trim(s.text) = '' THEN 'source_empty' ELSE 'source_found_no_keyword_match' END AS status FROM r LEFT JOIN s ON s.source = r.source WHERE r.source IS NOT NULL)"""
+_HAS = " OR ".join(f"(r.factor = '{f}' AND h{i})" for i, f in enumerate(KEYWORDS))
+_MET = ", ".join(f"bool_or({' OR '.join(f'contains(lower(text), {t!r})' for t in terms)}) AS h{i}" for i, terms in enumerate(KEYWORDS.values()))
+PACKETS = rf"""{ROUTED}, s AS (SELECT source, count(text) AS n_text, count(*) FILTER (regexp_matches(text, '\S')) AS filled, {_MET} FROM documents GROUP BY source),
+pk AS (SELECT r.item_id, r.factor, r.source, r.role, CASE WHEN r.source = 'panel' THEN 'record_matched' WHEN coalesce(n_text, 0) = 0 THEN 'source_missing' WHEN {_HAS} THEN CASE WHEN r.role = 'boundary_evidence' THEN 'boundary_matched' ELSE 'keyword_matched' END
+  WHEN filled = 0 THEN 'source_empty' ELSE 'source_found_no_keyword_match' END AS status FROM r LEFT JOIN s ON s.source = r.source WHERE r.source IS NOT NULL)"""
 
 
 @query("agg16_role_counts", f"WITH {PACKETS} SELECT role, status, count(*) AS n, count(DISTINCT item_id) AS n_items FROM pk GROUP BY role, status")

@@ -350,14 +350,21 @@ def fstr11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.entity_mentions(ask), ",").alias("stores"))
 
 
-@query("fstr12_chunks", r"""WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n')) AS c FROM documents)
-SELECT doc_id, count(*) FILTER (n >= 80) AS n_chunks, CAST(sum(n) FILTER (n >= 80) AS BIGINT) AS n_chars FROM (SELECT doc_id, length(trim(c)) AS n FROM c) GROUP BY doc_id""")
+@query("fstr12_chunks", r"""WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n')) AS c FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT *, contains(line, ' | ') AS is_row FROM l), s AS (SELECT *, is_row AND NOT coalesce(lag(is_row) OVER (PARTITION BY doc_id ORDER BY n), false) AS top FROM t),
+h AS (SELECT *, last_value(CASE WHEN top THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS header FROM s),
+r AS (SELECT doc_id, count(*) AS n_rows, CAST(sum(length(trim(header))) AS BIGINT) AS header_chars FROM h WHERE is_row AND NOT top GROUP BY doc_id)
+SELECT doc_id, count(*) FILTER (n >= 80) AS n_chunks, CAST(sum(n) FILTER (n >= 80) AS BIGINT) AS n_chars, coalesce(any_value(n_rows), 0) AS n_rows, coalesce(any_value(header_chars), 0) AS header_chars FROM (SELECT doc_id, length(trim(c)) AS n FROM c) LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
 def fstr12(spark, d):
-    """Paragraphs of 80 characters or more, between blank lines; sentences of the supplied
-    texts are set apart first, as these have no blank lines."""
-    text = F.replace("text", F.lit(". "), F.lit(".\n\n"))
-    c = T.paragraphs(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text").withColumn("n", F.char_length(F.trim("chunk")))
-    return c.groupBy("doc_id").agg(F.count_if(F.col("n") >= 80).alias("n_chunks"), F.sum(F.when(F.col("n") >= 80, F.col("n"))).alias("n_chars"))
+    """Paragraphs of 80 characters or more, between blank lines, and the rows of tables
+    with their header. Sentences of the supplied texts are set apart first, as these have
+    no blank lines; their table rows are lines with ' | '."""
+    docs, text = table(spark, d, "documents"), F.replace("text", F.lit(". "), F.lit(".\n\n"))
+    c = T.paragraphs(docs.select("doc_id", text.alias("text")), "doc_id", "text").withColumn("n", F.char_length(F.trim("chunk")))
+    rows = T.table_rows(docs, "doc_id", "text", lambda line: F.contains(line, F.lit(" | "))).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum(F.char_length("header")).alias("header_chars"))
+    g = c.groupBy("doc_id").agg(F.count_if(F.col("n") >= 80).alias("n_chunks"), F.sum(F.when(F.col("n") >= 80, F.col("n"))).alias("n_chars"))
+    return g.join(rows, "doc_id", "left").fillna(0, ["n_rows", "header_chars"])
 
 
 @query("fstr14_snippet", rf"""WITH t AS (SELECT doc_id, {_SQ.format('text')} AS t FROM documents), p AS (SELECT *, length(t) AS n, list_min(list_filter([strpos(lower(t), 'with'), strpos(lower(t), 'der'), strpos(lower(t), 'les')], lambda x: x > 0)) - 1 AS pos FROM t),

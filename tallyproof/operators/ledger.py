@@ -78,6 +78,42 @@ def published(rows: DataFrame, path: str, key: str, h: str, unique: list[str]) -
     return out.groupBy(key, "snapshot_id").agg(F.sum("m").alias("n"), F.sum(F.col("m") - 1).alias("n_repeated"))
 
 
+def islands(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """(key, ranges) of distinct numbers: runs one after another as from..to, in order."""
+    run = F.col(number) - F.row_number().over(Window.partitionBy(key).orderBy(number))
+    g = rows.select(key, number).distinct().withColumn("_run", run).groupBy(key, "_run").agg(F.min(number).alias("a"), F.max(number).alias("b"))
+    return g.groupBy(key).agg(_listed("a", "b").alias("ranges"))
+
+
+def _listed(a: str, b: str):
+    each = F.array_sort(F.collect_list(F.when(F.col(a) <= F.col(b), F.struct(F.col(a).alias("a"), F.col(b).alias("b")))))
+    return F.array_join(F.transform(each, lambda x: F.concat_ws("..", x["a"].cast("string"), x["b"].cast("string"))), ",")
+
+
+def accounted(lines: DataFrame, expected: DataFrame, key: str, number: str, total: str) -> DataFrame:
+    """(key, n_expected, n_found, missing, repeated, unexpected, complete): the lines of
+    each key against the numbers 1 to its total in expected (key, total). What is missing,
+    there more than once, or of no expected number is told as ranges from..to; expected
+    numbers are never listed one by one. A line without a number counts as found and
+    leaves its key incomplete; a key that isn't expected has all its lines unexpected."""
+    counts = lines.groupBy(key, number).agg(F.count("*").alias("_m"))
+    found = counts.groupBy(key).agg(F.sum("_m").alias("n_found"), F.count_if(F.col(number).isNull()).alias("_none"))
+    held = counts.where(F.col(number).isNotNull()).join(expected.select(key, F.col(total).alias("_total")), key, "left")
+    good = (F.col(number) >= 1) & (F.col(number) <= F.col("_total"))
+    inside, outside = held.where(good), held.where(~F.coalesce(good, F.lit(False)))
+    # the gap before each number, and the one after the last
+    w = Window.partitionBy(key).orderBy(number)
+    gaps = inside.select(key, (F.coalesce(F.lag(number).over(w), F.lit(0)) + 1).alias("a"), (F.col(number) - 1).alias("b"))
+    last = expected.select(key, F.col(total).alias("b")).join(inside.groupBy(key).agg(F.max(number).alias("_last")), key, "left").select(key, (F.coalesce("_last", F.lit(0)) + 1).alias("a"), "b")
+    missing = gaps.unionByName(last).groupBy(key).agg(_listed("a", "b").alias("missing"))
+    out = expected.select(key, F.col(total).alias("n_expected")).join(found, key, "full_outer").join(missing, key, "left")
+    out = out.join(islands(inside.where("_m > 1"), key, number).withColumnRenamed("ranges", "repeated"), key, "left").join(islands(outside, key, number).withColumnRenamed("ranges", "unexpected"), key, "left")
+    text = ["missing", "repeated", "unexpected"]
+    out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in text} | {"n_found": F.coalesce("n_found", F.lit(0)), "_none": F.coalesce("_none", F.lit(0))})
+    complete = F.col("n_expected").isNotNull() & (F.concat(*text) == "") & (F.col("_none") == 0)
+    return out.select(key, "n_expected", "n_found", *text, complete.alias("complete"))
+
+
 def plan_refusals(plans: DataFrame, registered: DataFrame, bindings: DataFrame) -> DataFrame:
     """(plan, dataset, refusals): why a plan's dataset can't be registered. plans: plan,
     dataset, format, binding; registered: dataset; bindings: those in use."""

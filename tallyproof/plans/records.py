@@ -418,9 +418,22 @@ def ing9(spark, d):
     return L.reverified(spark.read.parquet(path), verdicts, ["batch_id"])
 
 
-@query("ing10_row_accounting", "SELECT l_orderkey, count(*) AS n, max(l_linenumber) - count(DISTINCT l_linenumber) AS n_unaccounted FROM lineitem GROUP BY 1")
+@query("ing10_row_accounting", """WITH x AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
+l AS (SELECT l_orderkey, l_linenumber AS k FROM lineitem WHERE NOT (l_orderkey % 7 = 3 AND l_linenumber IN (2, 3)) UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 11 = 4 AND l_linenumber <> 2 UNION ALL SELECT l_orderkey, l_linenumber + 20 FROM lineitem WHERE l_orderkey % 13 = 5),
+c AS (SELECT l_orderkey, k, count(*) AS m FROM l GROUP BY ALL),
+a AS (SELECT x.l_orderkey, i.k, coalesce(m, 0) AS m FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM x) i JOIN x USING (l_orderkey) LEFT JOIN c ON c.l_orderkey = i.l_orderkey AND c.k = i.k),
+f AS (SELECT l_orderkey, k, 'missing' AS what FROM a WHERE m = 0 UNION ALL SELECT l_orderkey, k, 'repeated' FROM a WHERE m > 1 UNION ALL SELECT c.l_orderkey, k, 'unexpected' FROM c JOIN x USING (l_orderkey) WHERE k < 1 OR k > n),
+r AS (SELECT l_orderkey, what, min(k) AS a, max(k) AS b FROM (SELECT *, k - row_number() OVER (PARTITION BY l_orderkey, what ORDER BY k) AS run FROM f) GROUP BY l_orderkey, what, run),
+s AS (SELECT l_orderkey, coalesce(string_agg(a || '..' || b, ',' ORDER BY a) FILTER (what = 'missing'), '') AS missing, coalesce(string_agg(a || '..' || b, ',' ORDER BY a) FILTER (what = 'repeated'), '') AS repeated, coalesce(string_agg(a || '..' || b, ',' ORDER BY a) FILTER (what = 'unexpected'), '') AS unexpected FROM r GROUP BY 1)
+SELECT x.l_orderkey, CAST(x.n AS INT) AS n_expected, CAST(coalesce((SELECT sum(m) FROM c WHERE c.l_orderkey = x.l_orderkey), 0) AS BIGINT) AS n_found, coalesce(missing, '') AS missing, coalesce(repeated, '') AS repeated, coalesce(unexpected, '') AS unexpected, s.l_orderkey IS NULL AS complete FROM x LEFT JOIN s USING (l_orderkey)""")
 def ing10(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), (F.max("l_linenumber") - F.countDistinct("l_linenumber")).alias("n_unaccounted"))
+    """The lines of each order against the numbers that it should have; some are gone,
+    twice there or beyond the last on purpose."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    expected = li.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("int").alias("n"))
+    more = li.where("l_orderkey % 13 = 5").withColumn("l_linenumber", F.col("l_linenumber") + 20)
+    lines = li.where("not (l_orderkey % 7 = 3 and l_linenumber in (2, 3))").unionByName(li.where("l_orderkey % 11 = 4 and l_linenumber <> 2")).unionByName(more)
+    return L.accounted(lines, expected, "l_orderkey", "l_linenumber", "n")
 
 
 _PLAN_SQL = """WITH p AS (SELECT c_nationkey AS plan, c_custkey AS dataset, c_mktsegment AS format, c_nationkey * 40 + 1 AS binding FROM customer WHERE c_custkey % 3 <> 0),

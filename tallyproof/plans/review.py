@@ -249,20 +249,39 @@ FACT_RULES = [
     ("shipping_policy", "(次日达)", "次日达"), ("shipping_policy", "(当日达)", "当日达"), ("shipping_policy", "(包邮)", "包邮"), ("shipping_policy", "(免邮)", "免邮"), ("shipping_policy", "([0-9]+天内发货)", None), ("shipping_policy", "(48小时内发货)", "48小时内发货"),
     ("product_feature", "主打([一-龥A-Za-z0-9-]+)", None), ("product_feature", "特点是([一-龥A-Za-z0-9-]+)", None), ("product_feature", "卖点是([一-龥A-Za-z0-9-]+)", None), ("product_feature", "具有([一-龥A-Za-z0-9-]+)性", None),
 ]
-#: What messages end with, by their number.
+#: Patterns of a product's name at the start of a message, in order, and
+#: names that mean no certain product.
+PRODUCT_RULES = [
+    r"^([A-Za-z0-9一-龥_-]+)的?(?:价格|售价|定价|特点|卖点)",
+    r"^([A-Za-z0-9一-龥_-]+)(?:目前)?(?:现货|有货|缺货|无货|售罄|预售)",
+    r"^([A-Za-z0-9一-龥_-]+)(?:支持|可)(?:次日达|当日达|包邮|免邮)",
+    r"^([A-Za-z0-9一-龥_-]+)主打",
+]
+GENERIC = ["这款产品", "该产品", "本产品", "这个产品"]
+#: What messages begin with, and what they end with, by their number.
+_STARTS = ["", "蓝杯现货 ", "这款产品主打轻便 ", "cup-7支持包邮 "]
+_START = "list_extract([" + ", ".join(f"'{x}'" for x in _STARTS) + "], CAST((conv_id + turn) % 4 AS INT) + 1)"
 _ENDS = ["", " 售价为 12.5 元", " 满100减20", " 3件8折", " 现货", " 预售, 包邮", " 7天内发货", " 主打轻便", " 具有防水性", " 价格面议"]
 _END = "list_extract([" + ", ".join(f"'{x}'" for x in _ENDS) + "], CAST((conv_id * 7 + turn) % 10 AS INT) + 1)"
 _FITS = lambda p, v: f"regexp_matches(t, '{p}')" if v else f"regexp_extract(t, '{p}', 1) <> ''"
 
 
-@query("mem2_fact_extraction", f"""WITH m AS (SELECT conv_id, turn, regexp_replace(text || {_END}, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE {' '.join(f"WHEN {_FITS(p, v)} THEN '{k}'" for k, p, v in FACT_RULES)} END AS type,
-CASE {' '.join(f"WHEN {_FITS(p, v)} THEN " + (f"'{v}'" if v else f"trim(regexp_extract(t, '{p}', 1))") for k, p, v in FACT_RULES)} END AS value FROM m""")
+_AT = lambda p: f"strpos(t, regexp_extract(t, '{p}', 0))"
+_GENERIC = ", ".join(f"'{x}'" for x in ("", *GENERIC))
+_RULED = lambda name, of: f"(CASE {' '.join(f'WHEN {_FITS(p, v)} THEN {of(p, v)}' for _, p, v in FACT_RULES)} END) AS {name}"
+
+
+@query("mem2_fact_extraction", f"""WITH m AS (SELECT conv_id, turn, regexp_replace({_START} || text || {_END}, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE {' '.join(f"WHEN {_FITS(p, v)} THEN '{k}'" for k, p, v in FACT_RULES)} END AS type, {_RULED('value', lambda p, v: f"'{v}'" if v else f"trim(regexp_extract(t, '{p}', 1))")},
+CASE WHEN {' OR '.join(_FITS(p, v) for _, p, v in FACT_RULES)} THEN CASE {' '.join(f"WHEN regexp_extract(t, '{p}', 1) NOT IN ({_GENERIC}) THEN regexp_extract(t, '{p}', 1)" for p in PRODUCT_RULES)} END END AS product_ref,
+{_RULED('"start"', lambda p, _: _AT(p))}, {_RULED('"end"', lambda p, _: f"{_AT(p)} + length(regexp_extract(t, '{p}', 0)) - 1")} FROM m""")
 def mem2(spark, d):
-    """Typed facts of user messages, each of which is given an end that may hold one."""
-    end = F.get(F.array(*map(F.lit, _ENDS)), ((F.col("conv_id") * 7 + F.col("turn")) % 10).cast("int"))
-    m = table(spark, d, "conversations").where("role = 'user'").withColumn("f", V.ruled_facts(F.concat("text", end), FACT_RULES))
-    return m.select("conv_id", "turn", "f.type", "f.value")
+    """Typed facts of user messages, each of which is given a start and an end that may
+    hold one."""
+    nth = lambda xs, n: F.get(F.array(*map(F.lit, xs)), n.cast("int"))
+    start, end = nth(_STARTS, (F.col("conv_id") + F.col("turn")) % 4), nth(_ENDS, (F.col("conv_id") * 7 + F.col("turn")) % 10)
+    m = table(spark, d, "conversations").where("role = 'user'").withColumn("f", V.ruled_facts(F.concat(start, "text", end), FACT_RULES, PRODUCT_RULES, GENERIC))
+    return m.select("conv_id", "turn", "f.*")
 
 
 # --- text reports: a store's three months as text, with one flaw in most stores' first

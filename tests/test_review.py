@@ -171,3 +171,28 @@ def test_ruled_facts(spark):
     cases = {"价格是 12.5 元": ("product_price", "12.5 元"), "今天满100减20, 现货": ("promo", "满100减20"), "现货": ("stock_status", "现货"), "7天内发货": ("shipping_policy", "7天内发货"), "主打轻便": ("product_feature", "轻便"), "价格面议": None, "": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "q string").select("q", V.ruled_facts(F.col("q"), FACT_RULES).alias("f"))
     assert {r.q: r.f and (r.f.type, r.f.value) for r in df.collect()} == cases
+
+
+def test_facts_name_their_product_and_place(spark):
+    import re
+
+    from tallyproof.plans.review import FACT_RULES, GENERIC, PRODUCT_RULES
+
+    texts = ["蓝杯的价格是 12.5 元", " 蓝杯-2现货, 满100减20 ", "这款产品主打轻便", "cup_7支持包邮", "该产品价格是3元 主打", "我要7天内发货", "3件8折和8折", "蓝杯目前售罄", "价格面议", None]
+    df = spark.createDataFrame([(k,) for k in texts], "q string").select("q", V.ruled_facts(F.col("q"), FACT_RULES, PRODUCT_RULES, GENERIC).alias("f"))
+    for r in df.collect():
+        t = (r.q or "").strip()
+        hit = next(((kind, v or m[1].strip(), m) for kind, p, v in FACT_RULES if (m := re.search(p, t))), None)
+        refs = [m[1] for p in PRODUCT_RULES if (m := re.search(p, t)) and m[1] not in GENERIC]
+        assert (r.f and tuple(r.f)) == (hit and (*hit[:2], refs[0] if refs else None, hit[2].start() + 1, hit[2].end()))
+
+
+def test_lines_are_accounted_for_by_ranges(spark):
+    lines = [("a", n) for n in (1, 2, 3, 7, 9, 9, 10, 10, 12, 12, 0, 21, 22)] + [("b", 1), ("b", 2), ("d", 5), ("e", None), ("e", 1)] + [("f", 999_999_999)]
+    df = spark.createDataFrame(lines, "k string, n int")
+    want = spark.createDataFrame([("a", 20), ("b", 2), ("c", 3), ("e", 1), ("f", 1_000_000_000), ("z", 0)], "k string, n_lines int")
+    got = {r.k: (r.n_expected, r.n_found, r.missing, r.repeated, r.unexpected, r.complete) for r in L.accounted(df, want, "k", "n", "n_lines").collect()}
+    assert got == {
+        "a": (20, 13, "4..6,8..8,11..11,13..20", "9..10,12..12", "0..0,21..22", False), "b": (2, 2, "", "", "", True), "c": (3, 0, "1..3", "", "", False),
+        "d": (None, 1, "", "", "5..5", False), "e": (1, 2, "", "", "", False), "f": (1_000_000_000, 1, "1..999999998,1000000000..1000000000", "", "", False), "z": (0, 0, "", "", "", True),
+    }

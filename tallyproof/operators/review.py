@@ -124,17 +124,21 @@ def ruled_facts(text: Column, rules: list[tuple], names: list[str] = (), generic
     and end: the first and last character, from 1, of the pattern's leftmost match in the
     trimmed text. product_ref: the first group of the first of names (patterns) that fits,
     unless that is one of the generic names. Null if no rule fits."""
-    t = trimmed(F.coalesce(text, F.lit("")))
-    refs = [trimmed(F.regexp_extract(t, p, 1)) for p in names]
-    ref = F.coalesce(*(F.when((r != "") & ~r.isin(*generic), r) for r in refs)) if names else F.lit(None).cast("string")
-    out = F.lit(None).cast("struct<type:string,value:string,product_ref:string,start:int,end:int>")
-    for kind, pattern, value in reversed(rules):
-        got = F.lit(value) if value else trimmed(F.regexp_extract(t, pattern, 1))
-        fits = t.rlike(pattern) if value else F.regexp_extract(t, pattern, 1) != ""
-        whole = F.regexp_extract(t, pattern, 0)  # where these characters stand first, the pattern matches first
-        start = F.instr(t, whole)
-        out = F.when(fits, F.struct(F.lit(kind).alias("type"), got.alias("value"), ref.alias("product_ref"), start.alias("start"), (start + F.char_length(whole) - 1).alias("end"))).otherwise(out)
-    return out
+
+    def of(t):
+        refs = [trimmed(F.regexp_extract(t, p, 1)) for p in names]
+        ref = F.coalesce(*(F.when((r != "") & ~r.isin(*generic), r) for r in refs)) if names else F.lit(None).cast("string")
+        out = F.lit(None).cast("struct<type:string,value:string,product_ref:string,start:int,end:int>")
+        for kind, pattern, value in reversed(rules):
+            got = F.lit(value) if value else trimmed(F.regexp_extract(t, pattern, 1))
+            fits = t.rlike(pattern) if value else F.regexp_extract(t, pattern, 1) != ""
+            whole = F.regexp_extract(t, pattern, 0)  # where these characters stand first, the pattern matches first
+            start = F.instr(t, whole)
+            out = F.when(fits, F.struct(F.lit(kind).alias("type"), got.alias("value"), ref.alias("product_ref"), start.alias("start"), (start + F.char_length(whole) - 1).alias("end"))).otherwise(out)
+        return out
+
+    # in a list of one, so that the text is trimmed once and the rules aren't one huge method
+    return F.get(F.transform(F.array(trimmed(F.coalesce(text, F.lit("")))), of), 0)
 
 
 def selected_facts(facts: DataFrame, expected: DataFrame, least_score: float) -> DataFrame:

@@ -51,8 +51,10 @@ def read_upload(spark: SparkSession, path: str, columns: list[str], ignored=IGNO
 
 
 def physical_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(file, n_rows, n_wrong_width) of text files with cells between commas."""
-    lines = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.size(F.split("value", ",")).alias("width"))
+    """(file, n_rows, n_wrong_width) of text files with cells between commas; a comma in
+    a quoted cell is part of it."""
+    bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "")
+    lines = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.size(F.split(bare, ",", -1)).alias("width"))
     return lines.groupBy("file").agg(F.count("*").alias("n_rows"), F.count_if(F.col("width") != width).alias("n_wrong_width"))
 
 

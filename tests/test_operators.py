@@ -146,3 +146,9 @@ def test_flag_is_three_valued(spark):
     assert months(worse) == [False, True]
     assert months({**worse, "average_order_value": 2.0}) == [False, False]
     assert months({**worse, "average_order_value": None}) == [False, None]
+
+
+def test_commas_in_quoted_cells_are_no_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('1,"x, y",3\n1,2\n"say ""a, b""",,\n,,\n')
+    row = S.physical_rows(spark, str(tmp_path), 3).first()
+    assert (row.file, row.n_rows, row.n_wrong_width) == ("a.csv", 4, 1)

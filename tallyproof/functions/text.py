@@ -82,21 +82,33 @@ def entity_mentions(c) -> Column:
 
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 CJK_MONTHS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
+#: What may stand between the ends of a window, and between two months next
+#: to each other.
+BETWEEN, BESIDE = r"\s*(?:to|through|_to_|[-–—~～至到])\s*", r"\s*(?:and|与|和|、|,)\s*"
 _RELATIVE = r"\b(?:daily|weekly|latest|yesterday|today|tomorrow)\b|\b(?:last|this|next)\s+(?:day|week|month|year|quarter)\b|上月|本月|下月|去年|今年|明年|昨天|今天|明天|最近"
 
 
+def _month_name(i: int) -> str:
+    name = MONTH_NAMES[i - 1]
+    return rf"{name[:3]}(?:{name[3:]}{'|t' if i == 9 else ''})?(?![a-z])\.?"
+
+
 def request_window(c) -> Column:
     """struct(start, end, error) of the window that a request names: two ISO days joined
-    by 'to' or '至', or one or two months (2024-03, 2024年3月, 2024年三月, March 2024). A
-    request without a time has neither; relative times, open ends, single days and more
+    by one of BETWEEN, or one or two months (2024-03, 2024年3月, 2024年三月, March 2024,
+    Mar. 2024; of two the first may leave its year to the second). Months next to each
+    other may be joined by one of BESIDE. A request without a time has neither; relative times, open ends, single days and more
     than one window are errors."""
     q = F.lower(F.coalesce(col(c), F.lit("")))
-    iso = F.regexp_extract_all(q, F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1))
-    rest = F.regexp_replace(q, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
+    iso = F.regexp_extract_all(q, F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"), F.lit(1))
+    rest = F.regexp_replace(q, r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", " ")
     # every way to write a month becomes yyyy-mm
     for i in range(12, 0, -1):
         rest = F.regexp_replace(rest, rf"([0-9]{{4}})\s*年\s*(?:{CJK_MONTHS[i - 1]}|0?{i})\s*月", f"$1-{i:02d}")
-        rest = F.regexp_replace(rest, rf"\b{MONTH_NAMES[i - 1]}\s+([0-9]{{4}})", f"$1-{i:02d}")
+        rest = F.regexp_replace(rest, rf"\b{_month_name(i)}\s+([0-9]{{4}})", f"$1-{i:02d}")
+    for i in range(12, 0, -1):  # takes the year of the month that it goes on to
+        rest = F.regexp_replace(rest, rf"\b{_month_name(i)}(?=(?:{BETWEEN}|{BESIDE})([0-9]{{4}})-[0-9]{{2}})", f"$1-{i:02d}")
+    rest = F.regexp_replace(rest, r"([0-9]{4}-[0-9]{2})-(?=[0-9]{4}-[0-9]{2})", "$1 to ")
     # so that each is made once
     read = F.struct(q.alias("q"), iso.alias("iso"), rest.alias("rest"), F.regexp_extract_all(rest, F.lit(r"([0-9]{4}-[0-9]{2})(?![0-9-])"), F.lit(1)).alias("months"))
     return F.element_at(F.transform(F.array(read), lambda x: _window(x.q, x.iso, x.rest, x.months)), 1)
@@ -105,8 +117,9 @@ def request_window(c) -> Column:
 def _window(q: Column, iso: Column, rest: Column, months: Column) -> Column:
     day = lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
     month = lambda x: day(F.concat(x, F.lit("-01")))
-    joined_days = q.rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\s*(?:to|至)\s*[0-9]{4}-[0-9]{2}-[0-9]{2}")
-    joined_months = rest.rlike(r"[0-9]{4}-[0-9]{2}\s*(?:to|至|到)\s*[0-9]{4}-[0-9]{2}")
+    joined_days = q.rlike(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{BETWEEN}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}")
+    beside = rest.rlike(rf"[0-9]{{4}}-[0-9]{{2}}{BESIDE}[0-9]{{4}}-[0-9]{{2}}") & (F.months_between(month(F.get(months, 1)), month(F.get(months, 0))) == 1)
+    joined_months = rest.rlike(rf"[0-9]{{4}}-[0-9]{{2}}{BETWEEN}[0-9]{{4}}-[0-9]{{2}}") | beside
     n_iso, n_months = F.size(iso), F.size(F.array_distinct(months))
     start = F.when(n_iso == 2, day(F.get(iso, 0))).when(n_months > 0, month(F.get(months, 0)))
     end = F.when(n_iso == 2, day(F.get(iso, 1))).when(n_months > 0, F.last_day(month(F.get(months, F.size(months) - 1))))

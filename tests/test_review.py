@@ -196,3 +196,18 @@ def test_lines_are_accounted_for_by_ranges(spark):
         "a": (20, 13, "4..6,8..8,11..11,13..20", "9..10,12..12", "0..0,21..22", False), "b": (2, 2, "", "", "", True), "c": (3, 0, "1..3", "", "", False),
         "d": (None, 1, "", "", "5..5", False), "e": (1, 2, "", "", "", False), "f": (1_000_000_000, 1, "1..999999998,1000000000..1000000000", "", "", False), "z": (0, 0, "", "", "", True),
     }
+
+
+def test_request_windows_in_other_words(spark):
+    def win(a, b):
+        return dt.date.fromisoformat(a), dt.date.fromisoformat(b)
+
+    quarter = win("2024-03-01", "2024-05-31")
+    cases = {
+        "Mar. 2024 through May 2024": quarter, "march to may 2024": quarter, "2024-03_to_2024-05": quarter, "2024-03–2024-05": quarter, "2024-03-2024-05": quarter, "mar-may 2024": quarter, "2024年3月～2024年5月": quarter,
+        "Sept 2024": win("2024-09-01", "2024-09-30"), "sep 2024": win("2024-09-01", "2024-09-30"), "September 2024": win("2024-09-01", "2024-09-30"), "2024-01-05 through 2024-01-09": win("2024-01-05", "2024-01-09"), "2024-01-05—2024-01-09": win("2024-01-05", "2024-01-09"),
+        "Dec 2023 and Jan 2024": win("2023-12-01", "2024-01-31"), "2024-03, 2024-04": win("2024-03-01", "2024-04-30"), "Jan 2024 and Mar 2024": None, "marching 2024 may": (None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "q string").select("q", T.request_window("q").alias("w"))
+    for r in df.collect():
+        assert (None if r.w.error else (r.w.start, r.w.end)) == cases[r.q], r

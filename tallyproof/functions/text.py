@@ -69,15 +69,29 @@ def snippet(c, terms: list[str], width: int = 320, before: int = 96) -> Column:
     return F.when(size <= width, t).when(at.isNull(), F.concat(F.rtrim(F.substring(t, F.lit(1), F.lit(width - 3))), F.lit("..."))).otherwise(cut)
 
 
+#: Ids of stores, what joins the ends of a range, and what joins a list.
+STORE_ID, RANGE_JOINS, LIST_JOINS = r"(?:[a-z]\d*|\d+)", r"\s*(?:-|–|—|to\s+|through\s+)", r"\s*(?:,\s*(?:and\s+)?|and\s+|&\s*)(?:store\s+)?"
+
+
 def entity_mentions(c) -> Column:
-    """Distinct ids of the stores that a text names, in order: 'store b', 'store_b1' and
-    ranges of single letters such as 'stores B-D'."""
-    low = F.lower(F.coalesce(col(c), F.lit("")))
-    found = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9_])stores?[_ ]([a-z][0-9]*(?: ?- ?[a-z](?![a-z0-9_]))?)(?![a-z0-9_])"), F.lit(1))
-    ends = lambda x: (F.ascii(F.substring(x, 1, 1)), F.ascii(F.regexp_extract(x, "- ?([a-z])$", 1)))
-    every = lambda x: F.transform(F.sequence(F.least(*ends(x)), F.greatest(*ends(x))), lambda i: F.char(i))
-    one = F.transform(found, lambda x: F.when(x.rlike("^[a-z] ?- ?[a-z]$"), every(x)).otherwise(F.array(F.regexp_extract(x, "^([a-z][0-9]*)", 1))))
-    return F.transform(F.array_distinct(F.flatten(one)), lambda x: F.concat(F.lit("store_"), x))
+    """Distinct ids of the stores that a text names: first full ids ('store_b1'), then
+    lists and ranges ('stores B-D, F and 12', 'store b through d'), then ids beside 店,
+    门店 or 店铺, then 'StoreB1', then a lone 'b-f'; each kind in its order in the text."""
+    text = F.coalesce(col(c), F.lit(""))
+    low, end = F.lower(text), r"(?![a-z0-9_])"
+    every = lambda x, p: F.regexp_extract_all(x, F.lit(p), F.lit(1))
+    span = rf"[a-z]{end}{RANGE_JOINS}[a-z]{end}"
+    # a lookahead holds the list, so that a store named inside it can head its own range
+    lists = every(low, rf"(?<![a-z0-9_])stores?\s+(?=((?:{span}|{STORE_ID}{end})(?:{LIST_JOINS}{STORE_ID}{end})*))")
+    last = lambda x: F.regexp_extract(x, rf"^[a-z]{RANGE_JOINS}([a-z]){end}", 1)
+    code = lambda x: F.ascii(F.substring(x, 1, 1))
+    letters = lambda x: F.transform(F.sequence(F.least(code(x), F.ascii(last(x))), F.greatest(code(x), F.ascii(last(x)))), lambda i: F.char(i))
+    head = lambda x: F.when(last(x) != "", letters(x)).otherwise(F.array(F.regexp_extract(x, f"^{STORE_ID}", 0)))
+    listed = F.flatten(F.transform(lists, lambda x: F.concat(head(x), every(x, rf"{LIST_JOINS}({STORE_ID}){end}"))))
+    camel = F.transform(every(text, r"(?<![A-Za-z0-9_])Store([A-Z]\d*|\d+)(?![A-Za-z0-9_])"), lambda x: F.lower(x))
+    lone = F.when(low.rlike(r"(?<![a-z0-9_-])b\s*-\s*f(?![a-z0-9_-])"), F.array(*map(F.lit, "bcdef"))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(every(low, r"(?<![a-z0-9_])store_([a-z0-9][a-z0-9_]*)"), listed, every(low, rf"(?<![a-z0-9_])({STORE_ID})店"), every(low, rf"(?:门店|店铺)\s*({STORE_ID}){end}"), camel, lone)
+    return F.transform(F.array_distinct(found), lambda x: F.concat(F.lit("store_"), x))
 
 
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]

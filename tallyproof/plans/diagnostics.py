@@ -113,11 +113,11 @@ def _notes(high, moderate, concentrated):
     return f"concat_ws('; ', CASE WHEN transaction_amount IS NULL THEN 'missing amount' END, CASE WHEN top3_amount IS NULL THEN 'missing top-3 amount' END, CASE WHEN activity_order_share_pct >= {high} THEN 'high activity share' WHEN activity_order_share_pct >= {moderate} THEN 'moderate activity share' END, CASE WHEN top3_share_pct >= {concentrated} THEN 'top-3 concentration' END, 'one period only')"
 
 
-_SHARED = f"{SP}, {SKU}, {TOP}, sh AS (SELECT sp.*, top3_amount, {', '.join(f'{_pct(x, y)} AS {n}' for n, (x, y) in SHARES.items())} FROM sp LEFT JOIN top USING ({K}))"
-_FLAG = f"CASE WHEN period_start <> DATE '{WINDOW[0]}' OR period_end <> DATE '{WINDOW[1]}' THEN 'not_comparable_period_mismatch' WHEN {' OR '.join(f'{c} IS NULL' for c in CORE)} THEN 'insufficient_data' ELSE 'same_period_diagnostic_ready' END"
+SHARED_SQL = f"{SP}, {SKU}, {TOP}, sh AS (SELECT sp.*, top3_amount, {', '.join(f'{_pct(x, y)} AS {n}' for n, (x, y) in SHARES.items())} FROM sp LEFT JOIN top USING ({K}))"
+FLAG_SQL = f"CASE WHEN period_start <> DATE '{WINDOW[0]}' OR period_end <> DATE '{WINDOW[1]}' THEN 'not_comparable_period_mismatch' WHEN {' OR '.join(f'{c} IS NULL' for c in CORE)} THEN 'insufficient_data' ELSE 'same_period_diagnostic_ready' END"
 
 
-@query("dia2_same_period", f"WITH {_SHARED} SELECT {', '.join(SAME_PERIOD)}, {_FLAG} AS scope_flag, {_notes(80, 65, 25)} AS notes FROM sh")
+@query("dia2_same_period", f"WITH {SHARED_SQL} SELECT {', '.join(SAME_PERIOD)}, {FLAG_SQL} AS scope_flag, {_notes(80, 65, 25)} AS notes FROM sh")
 def dia2(spark, d):
     return same_period(store_period(spark, d), sku_period(spark, d), WINDOW)
 
@@ -155,7 +155,7 @@ def repeated_windows(panel, months: list):
     return out.withColumn("summary_flag", F.when(whole, "summary_ready_for_descriptive_review").otherwise("insufficient_repeated_window_coverage"))
 
 
-@query("dia5_guardrail_sensitivity", f"""WITH {_SHARED}, sc AS (SELECT * FROM (VALUES ('minus', -5), ('baseline', 0), ('plus', 5)) AS v(scenario, shift)),
+@query("dia5_guardrail_sensitivity", f"""WITH {SHARED_SQL}, sc AS (SELECT * FROM (VALUES ('minus', -5), ('baseline', 0), ('plus', 5)) AS v(scenario, shift)),
 n AS (SELECT store_id, period_month, scenario, {_notes('80 + shift', '65 + shift', '25 + shift')} AS notes FROM sh CROSS JOIN sc)
 SELECT a.scenario, count(*) AS n_rows, count(*) FILTER (a.notes <> b.notes) AS n_changed FROM n a JOIN n b ON a.store_id = b.store_id AND a.period_month = b.period_month AND b.scenario = 'baseline' GROUP BY a.scenario""")
 def dia5(spark, d):
@@ -277,12 +277,12 @@ def fmth1(spark, d):
     return store_period(spark, d).select(*KEY, *(N.pct(x, y).alias(n) for n, (x, y) in SHARES.items() if x != "top3_amount"))
 
 
-@query("fcnd1_scope_flag", f"WITH {_SHARED} SELECT {_FLAG} AS scope_flag, count(*) AS n FROM sh GROUP BY 1")
+@query("fcnd1_scope_flag", f"WITH {SHARED_SQL} SELECT {FLAG_SQL} AS scope_flag, count(*) AS n FROM sh GROUP BY 1")
 def fcnd1(spark, d):
     panel = P.with_top(store_period(spark, d), sku_period(spark, d))
     return panel.groupBy(scope_flag(WINDOW).alias("scope_flag")).agg(F.count("*").alias("n"))
 
 
-@query("fcnd2_activity_notes", f"WITH {_SHARED} SELECT {_notes(80, 65, 25)} AS notes, count(*) AS n FROM sh GROUP BY 1")
+@query("fcnd2_activity_notes", f"WITH {SHARED_SQL} SELECT {_notes(80, 65, 25)} AS notes, count(*) AS n FROM sh GROUP BY 1")
 def fcnd2(spark, d):
     return dia2(spark, d).groupBy("notes").agg(F.count("*").alias("n"))

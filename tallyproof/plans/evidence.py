@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV, rules as RU
+from ..operators import beliefs as B, ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV, rules as RU
 from ..registry import ORACLES, query
 from .diagnostics import MONTHS
 from .review import rac4
@@ -288,18 +288,95 @@ def rac6(spark, d):
     return _checks(spark, d)
 
 
-@query("rac7_review_hypotheses", f"{_CHECK} SELECT h AS hypothesis, count(*) FILTER (direction = h) AS supported, count(*) FILTER (direction <> h) AS rejected, count(*) FILTER (kind = 'unresolved') AS unresolved FROM c CROSS JOIN (VALUES (-1), (0), (1)) AS v(h) GROUP BY h")
+OUTCOMES, DRIVER, ACTIVITY = ["transaction_amount", "transaction_orders"], "search_exposure_users", ["activity_cost", "activity_original_transaction_amount"]
+FACTORS = {"transaction_amount": "transaction_amount", "transaction_orders": "transaction_orders", DRIVER: "search_exposure", **dict.fromkeys(ACTIVITY, "promotion_intensity")}
+ANCHORS = ["the", "der", "password", "licen"]
+_BOTH = "a AS (SELECT * FROM sp WHERE period_month = '1996-01'), b AS (SELECT * FROM sp WHERE period_month = '1996-02')"
+_MADE = " UNION ALL ".join(
+    f"SELECT store_id AS key, '{f}' AS factor, '{c}' AS field, CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 'missing' WHEN a.{c} < 0 OR b.{c} < 0 THEN 'invalid' ELSE 'supported' END AS status, CASE WHEN b.{c} > a.{c} THEN 'increased' WHEN b.{c} < a.{c} THEN 'decreased' WHEN b.{c} = a.{c} THEN 'unchanged' END AS result FROM a FULL JOIN b USING (store_id)"
+    for c, f in FACTORS.items()
+)
+_STORED = " UNION ALL ".join(f"SELECT region_type AS key, '{c}' AS factor, '{c}' AS field, {c} IS NOT NULL AS ok FROM m" for c in OUTCOMES)
+
+
+def _changes(spark, d):
+    """Checks of each store's fields between two months."""
+    p = store_period(spark, d)
+    side = lambda m, n: p.where(F.col("period_month") == m).select("store_id", *(F.col(c).cast("double").alias(f"{n}_{c}") for c in FACTORS))
+    both = side("1996-01", "a").join(side("1996-02", "b"), "store_id", "full_outer")
+
+    def check(field, factor):
+        a, b = F.col(f"a_{field}"), F.col(f"b_{field}")
+        status = F.when(a.isNull() | b.isNull(), "missing").when((a < 0) | (b < 0), "invalid").otherwise("supported")
+        return F.struct(F.lit(factor).alias("factor"), F.lit(field).alias("field"), status.alias("status"), F.when(b > a, "increased").when(b < a, "decreased").when(b == a, "unchanged").alias("result"))
+
+    return both.select(F.col("store_id").alias("key"), F.inline(F.array(*(check(c, f) for c, f in FACTORS.items()))))
+
+
+def _presence(spark, d):
+    """Checks of each region's stores: records of the month and of all three."""
+    p = store_period(spark, d).where(F.col("period_month").isin(MONTHS))
+    months = p.groupBy("store_id", "region_type").agg(F.count_distinct("period_month").alias("n"), F.max(F.col("period_month") == MONTHS[0]).alias("here"), *(F.max(F.when(F.col("period_month") == MONTHS[0], F.col(c).cast("double"))).alias(c) for c in OUTCOMES))
+    row = lambda factor, field, ok: F.struct(F.lit(factor).alias("factor"), F.lit(field).alias("field"), F.when(ok, "supported").otherwise("missing").alias("status"), F.lit(None).cast("string").alias("result"))
+    rows = [row("same_reporting_period", "period", F.col("here")), row("repeated_reporting_windows", "months", F.col("n") == len(MONTHS)), *(row(c, c, F.col(c).isNotNull()) for c in OUTCOMES)]
+    return months.select(F.col("region_type").alias("key"), F.inline(F.array(*rows)))
+
+
+def _anchors(spark, d):
+    """Checks of each source: whether any of its documents has an anchor."""
+    g = table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(*(F.max(F.coalesce(F.contains(F.lower("text"), F.lit(t)), F.lit(False))).alias(t) for t in ANCHORS))
+    row = lambda t: F.struct(F.lit(t).alias("factor"), F.lit(t).alias("field"), F.when(F.col(t), "supported").otherwise("missing").alias("status"), F.lit(None).cast("string").alias("result"))
+    return g.select("key", F.inline(F.array(*map(row, ANCHORS))))
+
+
+_ANCHORED = ", ".join(f"bool_or(contains(lower(coalesce(text, '')), '{t}'))" for t in ANCHORS)
+
+
+@query("rac7_review_hypotheses", f"""WITH {SP}, {_BOTH}, ch AS ({_MADE}),
+w AS (SELECT key, {', '.join(f"max(CASE WHEN field = '{c}' AND status = 'supported' THEN result END) AS r_{c}" for c in FACTORS)}, count(*) FILTER (status <> 'supported') AS n_open, count(*) FILTER (factor = 'promotion_intensity' AND status <> 'supported') AS a_open, count(*) FILTER (factor = 'promotion_intensity' AND result IN ('increased', 'decreased')) AS a_changed FROM ch GROUP BY key),
+x AS (SELECT *, {' AND '.join(f'r_{c} IS NOT NULL' for c in OUTCOMES)} AS complete, CASE WHEN {' AND '.join(f'r_{c} IS NOT NULL' for c in OUTCOMES)} AND n_open = 0 THEN 'active' ELSE 'tentative' END AS belief FROM w),
+m AS (SELECT store_id, region_type, count(DISTINCT period_month) AS n, bool_or(period_month = '{MONTHS[0]}') AS here, {', '.join(f"max(CASE WHEN period_month = '{MONTHS[0]}' THEN {c} END) AS {c}" for c in OUTCOMES)} FROM sp WHERE period_month IN ({', '.join(map(repr, MONTHS))}) GROUP BY ALL),
+pc AS (SELECT region_type AS key, bool_and(here AND {' AND '.join(f'{c} IS NOT NULL' for c in OUTCOMES)}) AS ready, bool_and(n = {len(MONTHS)}) AS repeated FROM m GROUP BY 1),
+an AS (SELECT source AS key, list_bool_and([{_ANCHORED}]) AS whole FROM documents GROUP BY 1)
+SELECT 'causal' AS kind, key, 'H1' AS hypothesis, CASE WHEN complete THEN 'strong' ELSE 'unsupported' END AS status, belief FROM x
+UNION ALL SELECT 'causal', key, 'H2', CASE WHEN NOT complete OR r_{DRIVER} IS NULL THEN 'unsupported' WHEN r_{DRIVER} <> 'unchanged' AND {' AND '.join(f'r_{c} = r_{DRIVER}' for c in OUTCOMES)} THEN 'plausible' ELSE 'rejected' END, belief FROM x
+UNION ALL SELECT 'causal', key, 'H3', CASE WHEN a_open > 0 THEN 'unsupported' WHEN a_changed > 0 THEN 'plausible' ELSE 'weak' END, belief FROM x
+UNION ALL SELECT 'comparison', key, h, CASE WHEN ready AND h = 'H1' THEN 'strong' ELSE 'unsupported' END, CASE WHEN ready AND repeated THEN 'active' ELSE 'tentative' END FROM pc CROSS JOIN (VALUES ('H1'), ('H2')) AS v(h)
+UNION ALL SELECT 'documents', key, h, CASE WHEN whole AND h = 'H1' THEN 'strong' ELSE 'unsupported' END, CASE WHEN whole THEN 'active' ELSE 'tentative' END FROM an CROSS JOIN (VALUES ('H1'), ('H2')) AS v(h)""")
 def rac7(spark, d):
-    h = _checks(spark, d).withColumn("hypothesis", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    same = F.col("direction") == F.col("hypothesis")
-    return h.groupBy("hypothesis").agg(F.count_if(same).alias("supported"), F.count_if(~same).alias("rejected"), F.count_if(F.col("kind") == "unresolved").alias("unresolved"))
+    """Hypotheses and beliefs of questions for causes (by store), of comparisons (by
+    region) and of questions that documents answer (by source)."""
+    c = B.causal(_changes(spark, d), "key", OUTCOMES, DRIVER, "promotion_intensity")
+    p = B.comparison(_presence(spark, d), "key", "same_reporting_period", OUTCOMES, "repeated_reporting_windows")
+    kinds = {"causal": c, "comparison": p, "documents": B.documents(_anchors(spark, d), "key")}
+    first, *rest = [x.select(F.lit(k).alias("kind"), "key", "hypothesis", "status", "belief") for k, x in kinds.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
-@query("rac8_premise_check", f"{_CHECK} SELECT store_id, CASE WHEN kind = 'unresolved' THEN 'unresolved' WHEN direction > 0 THEN 'premise holds' ELSE 'premise rejected' END AS finding FROM c")
-def rac8(spark, d):
+_PREMISES = f"{_CHECK} SELECT store_id, CASE WHEN kind = 'unresolved' THEN 'unresolved' WHEN direction > 0 THEN 'premise holds' ELSE 'premise rejected' END AS finding FROM c"
+
+
+def _premises(spark, d):
     return _checks(spark, d).select("store_id", F.when(F.col("kind") == "unresolved", "unresolved").when(F.col("direction") > 0, "premise holds").otherwise("premise rejected").alias("finding"))
 
 
+@query("rac8_premise_check", f"""WITH {SP}, {_BOTH}, ch AS ({_MADE}), q AS (SELECT DISTINCT store_id AS key, right(store_id, 1) IN ('0', '2', '4', '6', '8') AS asks, right(store_id, 1) NOT IN ('3', '6', '9') AS causal FROM sp),
+g AS (SELECT key, bool_or(field IN ({', '.join(map(repr, OUTCOMES))}) AND status = 'supported' AND result <> 'increased') AS against, count(*) FILTER (status <> 'supported') AS n_open FROM ch GROUP BY 1),
+j AS (SELECT q.*, coalesce(asks AND causal AND against, false) AS rejected, coalesce(n_open, 0) AS n_open FROM q LEFT JOIN g USING (key)), f AS (SELECT *, CASE WHEN rejected OR n_open > 0 THEN 'pass_with_warnings' ELSE 'pass' END AS fact_check FROM j)
+SELECT key, 0 AS place, 'premise' AS issue, 'high' AS severity, fact_check FROM f WHERE rejected
+UNION ALL SELECT key, 1, field, CASE WHEN status = 'invalid' THEN 'high' ELSE 'medium' END, fact_check FROM f JOIN ch USING (key) WHERE status <> 'supported'
+UNION ALL SELECT key, 2, CASE WHEN causal THEN 'other explanations' ELSE 'comparability' END, CASE WHEN causal THEN 'high' ELSE 'medium' END, fact_check FROM f""")
+def rac8(spark, d):
+    """What a critic finds in each store's question, which takes growth for granted in
+    every second one."""
+    ends = lambda *x: F.substring("store_id", -1, 1).isin(*x)
+    kind = F.when(ends("3", "6", "9"), "comparability_judgment").otherwise("causal_diagnostic")
+    q = store_period(spark, d).select("store_id").distinct().select(F.col("store_id").alias("key"), kind.alias("kind"), F.when(ends(*"02468"), "Why did sales Increase?").otherwise("What are the increasing figures?").alias("question"))
+    return B.findings(_changes(spark, d), q, "key", OUTCOMES)
+
+
 SECTIONS = [
     ("question", "Did amounts rise?"), ("evidence", "{n_found} of {n_expected} months, {n_repeated} repeated"), ("missing months", "{missing}"), ("missing fields", "{gaps}"),
     ("finding", "{finding}"), ("limits", "One store; no cause is inferred."),
@@ -320,14 +397,14 @@ _BODY = " UNION ALL ".join(
 )
 
 
-@query("rac9_report_sections", f"""WITH r4 AS (SELECT * FROM ({ORACLES['rac4_record_grounding']})), r8 AS (SELECT * FROM ({ORACLES['rac8_premise_check']})),
+@query("rac9_report_sections", f"""WITH r4 AS (SELECT * FROM ({ORACLES['rac4_record_grounding']})), r8 AS (SELECT * FROM ({_PREMISES})),
 x AS (SELECT r8.store_id, finding, coalesce(n_expected, 0) AS n_expected, coalesce(n_found, 0) AS n_found, coalesce(n_repeated, 0) AS n_repeated, coalesce(nullif(missing, ''), 'none') AS missing, coalesce(nullif(gaps, ''), 'none') AS gaps FROM r8 LEFT JOIN r4 USING (store_id)), u AS ({_BODY})
 SELECT store_id, place, section, body, sha256(string_agg(section || ': ' || body, chr(10) ORDER BY place) OVER (PARTITION BY store_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS report FROM u""")
 def rac9(spark, d):
     """A report of each store as ordered section rows, with a digest of the whole."""
     none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none").otherwise(F.col(c)).alias(c)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    c = rac8(spark, d).join(rac4(spark, d), "store_id", "left").select("store_id", "finding", *map(zero, ("n_expected", "n_found", "n_repeated")), *map(none, ("missing", "gaps")))
+    c = _premises(spark, d).join(rac4(spark, d), "store_id", "left").select("store_id", "finding", *map(zero, ("n_expected", "n_found", "n_repeated")), *map(none, ("missing", "gaps")))
     body = lambda t: F.concat(*_filled(t, lambda x: F.col(x).cast("string"), F.lit))
     rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("section"), body(t).alias("body")) for i, (n, t) in enumerate(SECTIONS, 1)))
     c = c.withColumn("rows", rows)
@@ -339,7 +416,7 @@ ANCHORS = {"evidence": r"^[0-9]+ of [0-9]+ months", "finding": "^(premise holds|
 FORBIDDEN = ["because", "best store"]
 
 
-@query("rac10_report_gate", f"""WITH r8 AS (SELECT * FROM ({ORACLES['rac8_premise_check']})) SELECT store_id, CASE right(store_id, 1) WHEN '1' THEN 'missing section: limits' WHEN '2' THEN 'forbidden claim: because' WHEN '3' THEN 'empty row: finding; missing anchor: finding'
+@query("rac10_report_gate", f"""WITH r8 AS (SELECT * FROM ({_PREMISES})) SELECT store_id, CASE right(store_id, 1) WHEN '1' THEN 'missing section: limits' WHEN '2' THEN 'forbidden claim: because' WHEN '3' THEN 'empty row: finding; missing anchor: finding'
 WHEN '4' THEN 'missing anchor: evidence' WHEN '5' THEN 'repeated section: question' ELSE '' END AS problems FROM r8""")
 def rac10(spark, d):
     """Reports, some of them damaged on purpose, against the gate's rules."""

@@ -7,8 +7,9 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SP, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import ledger as L, panels as P
+from ..operators import contracts as C, ledger as L, panels as P
 from ..registry import query
+from .diagnostics import FLAG_SQL, SAME_PERIOD, SHARED_SQL, SHARES, WINDOW, dia2, scope_flag
 
 DIRTY = """dirty AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 7 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '%' WHEN 6 THEN '  ' WHEN 5 THEN '1e' || CAST(CAST(l_quantity AS INT) % 10 AS VARCHAR) WHEN 4 THEN '-' || CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS q,
 CASE l_linenumber WHEN 3 THEN '1,000' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) END AS p, CASE l_linenumber WHEN 2 THEN '2024-2-3' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d FROM lineitem)"""
@@ -113,10 +114,38 @@ def val11(spark, d):
     return b.select("o_orderkey", F.array_join(L.metadata_errors(STATUSES, SEMANTICS), "; ").alias("errors"))
 
 
-@query("val12_registration_rules", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'v1: month windows' WHEN o_orderpriority = '1-URGENT' THEN 'v2: any window' ELSE 'v2: whole days' END AS rule FROM orders")
+SCOPE_KEYS, ZONES = ["cohort", "entity", "metric_set", "scope_version", "timezone"], ["UTC", "Asia/Shanghai", "Europe/Paris"]
+FORMATS = [
+    ("1", "csv_v1", True, False, False, None), ("2", "csv_v1", True, False, False, None), ("2", "csv_v2", False, False, True, None), ("3", "csv_v1", True, False, False, None),
+    ("3", "csv_v2", False, False, True, None), ("3", "text_v1", False, True, True, ["store_period"]), ("3", "text_v2", True, True, True, ["store_period"]),
+]
+FORMAT_TYPE = "registry_version string, mapping_version string, whole_months boolean, manual boolean, scoped boolean, datasets array<string>"
+_SCOPE = '{"cohort":"all","entity":"store","metric_set":"totals","scope_version":"1","timezone":"UTC"}'
+# Uploads made of orders; what each breaks follows from its number.
+_UPLOAD = {
+    "registry_version": "CASE f WHEN 1 THEN '9' WHEN 2 THEN '1' ELSE '3' END", "mapping_version": "CASE WHEN f IN (3, 4, 9) THEN 'csv_v1' WHEN f IN (5, 6, 8) THEN 'text_v2' ELSE 'csv_v2' END",
+    "dataset_id": "CASE f WHEN 8 THEN 'other' ELSE 'store_period' END", "period_start": "CASE WHEN f IN (3, 5, 6, 8, 9) THEN first WHEN f = 12 THEN '1996-13-01' ELSE d END",
+    "period_end": "CASE WHEN f IN (3, 5, 6, 8, 9) THEN last WHEN f = 11 THEN before ELSE e END", "document_id": "CASE WHEN f IN (6, 7, 8) THEN 'doc' END", "source_block_line": "CASE WHEN f IN (6, 7, 8) THEN 3 END",
+    "aggregation_scope": f"CASE WHEN f IN (0, 9) THEN '{_SCOPE}' WHEN f = 14 THEN '{_SCOPE.replace('UTC', 'Mars')}' END",
+    "file_sha256": "CASE WHEN f IN (10, 15) THEN 'abc' ELSE sha2(cast(o_orderkey as string), 256) END", "extracted_at": "CASE WHEN f IN (13, 15) THEN concat(d, 'T10:00:00') ELSE concat(d, 'T10:00:00+08:00') END",
+}
+
+
+@query("val12_registration_rules", """SELECT o_orderkey, CASE f WHEN 1 THEN 'registry version' WHEN 2 THEN 'format' WHEN 4 THEN 'window: not a month' WHEN 5 THEN 'document and line needed' WHEN 7 THEN 'document and line not known to the format'
+WHEN 8 THEN 'dataset' WHEN 9 THEN 'scope not known to the format' WHEN 10 THEN 'digest' WHEN 11 THEN 'window: ends before it starts' WHEN 12 THEN 'window: not two days' WHEN 13 THEN 'extracted_at'
+WHEN 14 THEN 'scope timezone: not registered' WHEN 15 THEN 'digest; extracted_at' ELSE '' END AS errors,
+CASE WHEN f IN (3, 5, 6, 8, 9) THEN strftime(o_orderdate, '%Y-%m') WHEN f NOT IN (11, 12) THEN strftime(o_orderdate, '%Y-%m-%d') || '..' || strftime(o_orderdate + INTERVAL 6 DAY, '%Y-%m-%d') END AS window_label
+FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 16 AS f FROM orders)""")
 def val12(spark, d):
-    rule = F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"), "v1: month windows").when(F.col("o_orderpriority") == "1-URGENT", "v2: any window").otherwise("v2: whole days")
-    return table(spark, d, "orders").select("o_orderkey", rule.alias("rule"))
+    """Uploads against the formats that their registry version knows."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    o = table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 16).alias("f"), day("o_orderdate").alias("d"), day(F.date_add("o_orderdate", 6)).alias("e"), day(F.date_add("o_orderdate", -1)).alias("before"),
+        day(F.trunc("o_orderdate", "month")).alias("first"), day(F.last_day("o_orderdate")).alias("last"),
+    )
+    u = o.select("o_orderkey", *(F.expr(x).alias(n) for n, x in _UPLOAD.items()))
+    r = C.registered_uploads(u, spark.createDataFrame(FORMATS, FORMAT_TYPE), SCOPE_KEYS, "1", ZONES)
+    return r.select("o_orderkey", F.array_join("errors", "; ").alias("errors"), F.col("window").alias("window_label"))
 
 
 @query("val13_binding_membership", "WITH b AS (SELECT c_custkey, unnest([c_mktsegment, 'S' || (c_custkey % 7)]) AS ds FROM customer) SELECT ds, count(*) AS n, count(*) > 1 AS shared FROM b WHERE ds NOT IN (SELECT DISTINCT c_mktsegment FROM customer) GROUP BY ds")
@@ -127,9 +156,20 @@ def val13(spark, d):
     return b.join(known, "ds", "left_anti").groupBy("ds").agg(F.count("*").alias("n"), (F.count("*") > 1).alias("shared"))
 
 
-@query("val14_scope_digest", "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS valid, sha256(concat_ws('|', c_mktsegment, CAST(c_nationkey AS VARCHAR), 'UTC')) AS scope_digest FROM customer")
+_DECLARED = """CASE c_custkey % 9 WHEN 1 THEN concat('{ "timezone": "UTC", "scope_version": "1", "metric_set": "totals", "entity": "S', c_nationkey, '", "cohort": "', c_mktsegment, '" }')
+WHEN 2 THEN '{"cohort":"a","metric_set":"totals","scope_version":"1","timezone":"UTC"}' WHEN 3 THEN '{"cohort":"a","entity":"b","metric_set":"totals","scope_version":"1","timezone":"UTC","x":"y"}'
+WHEN 4 THEN '{"cohort":5,"entity":" ","metric_set":"totals","scope_version":"1","timezone":"UTC"}' WHEN 5 THEN '{"cohort":"a","entity":"b","metric_set":"totals","scope_version":"2","timezone":"UTC"}'
+WHEN 6 THEN '{"cohort":"a","entity":"b","metric_set":"totals","scope_version":"1","timezone":"localtime"}' WHEN 7 THEN 'nonsense' WHEN 8 THEN NULL
+ELSE concat('{"cohort":"', c_mktsegment, '","entity":"S', c_nationkey, '","metric_set":"totals","scope_version":"1","timezone":"UTC"}') END"""
+
+
+@query("val14_scope_digest", """SELECT c_custkey, CASE c_custkey % 9 WHEN 2 THEN 'missing: entity' WHEN 3 THEN 'unknown: x' WHEN 4 THEN 'cohort: not a text; entity: not a text' WHEN 5 THEN 'scope_version: not registered' WHEN 6 THEN 'timezone: not registered' WHEN 7 THEN 'not an object' ELSE '' END AS errors,
+CASE WHEN c_custkey % 9 < 2 THEN sha256('{"cohort":"' || c_mktsegment || '","entity":"S' || c_nationkey || '","metric_set":"totals","scope_version":"1","timezone":"UTC"}') END AS scope_digest FROM customer""")
 def val14(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("valid"), T.digest("c_mktsegment", "c_nationkey", F.lit("UTC")).alias("scope_digest"))
+    """Declared scopes, with the digest of those that break nothing: the same whatever
+    the order of their keys."""
+    c = table(spark, d, "customer").select("c_custkey", F.expr(_DECLARED).alias("scope")).withColumn("told", C.scope_errors("scope", SCOPE_KEYS, "1", ZONES))
+    return c.select("c_custkey", F.array_join("told", "; ").alias("errors"), F.when(F.size("told") == 0, C.scope_digest("scope", SCOPE_KEYS)).alias("scope_digest"))
 
 
 IDENTITIES = {
@@ -164,9 +204,20 @@ def val17(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 3")
 
 
-@query("val18_rederivation", f"WITH {SP} SELECT store_id, period_month, abs(entry_conversion_rate_pct - round(entry_users * 100.0e0 / nullif(exposure_users, 0), 1)) <= 0.05001 AS agrees FROM sp")
+_RATES = {n: xy for n, xy in SHARES.items() if set(xy) <= set(SAME_PERIOD)}
+_OFF, _READY = next(iter(_RATES)), "same_period_diagnostic_ready"
+
+
+@query("val18_rederivation", f"""WITH {SHARED_SQL} SELECT store_id, period_month, concat_ws('; ', CASE WHEN store_id LIKE '%4' AND {_OFF} IS NOT NULL THEN '{_OFF}: differs' WHEN store_id LIKE '%5' AND {_OFF} IS NOT NULL THEN '{_OFF}: missing' END,
+CASE WHEN store_id LIKE '%7' AND ({FLAG_SQL}) <> '{_READY}' THEN 'scope_flag: differs' END, CASE WHEN store_id LIKE '%9' THEN 'notes: empty' END) AS errors FROM sh""")
 def val18(spark, d):
-    return store_period(spark, d).select("store_id", "period_month", (F.abs(F.col("entry_conversion_rate_pct") - N.ratio("entry_users", "exposure_users", 100.0, 1)) <= 0.05001).alias("agrees"))
+    """The same-period output against what it is made of: all its rates within 0.05, its
+    flag and its notes. Some stores' stored rows were altered on purpose."""
+    ends = lambda x: F.col("store_id").endswith(x)
+    off = F.when(ends("4"), F.col(_OFF) + 1).when(~ends("5"), F.col(_OFF))
+    stored = dia2(spark, d).withColumns({_OFF: off, "scope_flag": F.when(ends("7"), _READY).otherwise(F.col("scope_flag")), "notes": F.when(ends("9"), " ").otherwise(F.col("notes"))})
+    told = C.rederived(stored, ["store_id", "period_month"], {n: N.pct(x, y) for n, (x, y) in _RATES.items()}, ("scope_flag", scope_flag(WINDOW)), "notes", 0.05)
+    return told.withColumn("errors", F.array_join("errors", "; "))
 
 
 _FACT = "fact AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations)"
@@ -177,11 +228,22 @@ def val20(spark, d):
     return store_period(spark, d).select("store_id", "period_month", F.coalesce(T.month_label("period_start", "period_end") == F.col("period_month"), F.lit(False)).alias("consistent"))
 
 
-@query("val21_case_validation", "SELECT item_id, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY item_id) > 1 THEN 'id' END, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'query' END, CASE WHEN length(text) < 60 THEN 'short' END) AS errors FROM benchmark")
+TYPES = ["positive", "negative", "ambiguous"]
+_CASE = """concat('{"expected_period_terms": ["1996-01"]', CASE f WHEN 1 THEN ', "case_type": "odd"' WHEN 2 THEN ', "case_type": 7' ELSE ', "case_type": "positive"' END, CASE f WHEN 3 THEN ', "expected_entity": 5' ELSE ', "expected_entity": null' END,
+CASE f WHEN 4 THEN ', "expected_terms": "a"' WHEN 5 THEN ', "expected_terms": ["a", " "]' ELSE ', "expected_terms": []' END, CASE f WHEN 6 THEN '' ELSE ', "expected_slot": "s"' END,
+CASE f WHEN 7 THEN ', "case_id": 7' WHEN 8 THEN concat(', "case_id": " c', doc_id - 2, '"') ELSE concat(', "case_id": "c', doc_id, ' "') END, CASE WHEN text IS NULL THEN '' ELSE concat(', ', substring(to_json(named_struct('query', text)), 2, length(to_json(named_struct('query', text))) - 2)) END, '}')"""
+
+
+@query("val21_case_validation", """WITH c AS (SELECT doc_id, doc_id % 10 AS f, text, CASE WHEN doc_id % 10 IN (7, 9) THEN NULL WHEN doc_id % 10 = 8 THEN doc_id - 2 ELSE doc_id END AS cid, CASE WHEN doc_id % 10 <> 9 THEN nullif(trim(text), '') END AS q FROM documents),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY cid) AS c1, min(doc_id) OVER (PARTITION BY q) AS q1 FROM c)
+SELECT doc_id, CASE WHEN f = 9 THEN 'not an object' ELSE concat_ws('; ', CASE WHEN f = 6 THEN 'expected_slot: missing' END, CASE WHEN text IS NULL THEN 'query: missing' END, CASE WHEN f = 7 THEN 'case_id: not a text' END, CASE WHEN text IS NOT NULL AND q IS NULL THEN 'query: not a text' END,
+CASE WHEN f IN (1, 2) THEN 'case_type: not registered' END, CASE WHEN f = 3 THEN 'expected_entity: not a text or null' END, CASE WHEN f IN (4, 5) THEN 'expected_terms: not a list of texts' END,
+CASE WHEN cid IS NOT NULL AND c1 < doc_id THEN 'case_id: as case ' || c1 END, CASE WHEN q IS NOT NULL AND q1 < doc_id THEN 'query: as case ' || q1 END) END AS errors FROM m""")
 def val21(spark, d):
-    many = lambda c: F.count("*").over(Window.partitionBy(c)) > 1
-    e = V.errors(F.when(many("item_id"), "id"), F.when(many("text"), "query"), F.when(F.char_length("text") < 60, "short"))
-    return table(spark, d, "benchmark").select("item_id", F.array_join(e, "; ").alias("errors"))
+    """Retrieval cases made of whole documents, with a fault of each kind in some."""
+    c = table(spark, d, "documents").withColumn("f", F.col("doc_id") % 10)
+    raw = F.when(F.col("f") == 9, "[1]").otherwise(F.expr(_CASE))
+    return C.case_errors(c.select("doc_id", raw.alias("raw")), "doc_id", "raw", TYPES).select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("val22_published_records", f"WITH {DIRTY} SELECT l_orderkey, l_linenumber, ({COUNT_SQL}) IS NULL AND trim(q) = '' OR CAST(({COUNT_SQL}) AS VARCHAR) = trim(q) AS canonical FROM dirty")
@@ -191,25 +253,43 @@ def val22(spark, d):
     return c.select("l_orderkey", "l_linenumber", F.when(F.trim("q") == "", True).otherwise(again == F.trim("q")).alias("canonical"))
 
 
-@query("val23_requested_fields", "WITH r AS (SELECT o_orderkey, unnest([o_orderpriority, o_orderstatus, o_orderstatus]) AS field FROM orders) SELECT field, count(*) AS n FROM r WHERE field NOT IN ('F', 'O') GROUP BY field")
+REGISTERED = [("orders", "o_orderkey", True), ("orders", "o_totalprice", False), ("orders", "o_orderdate", False), ("lineitem", "l_orderkey", True), ("lineitem", "l_quantity", False)]
+_ASKED = "CASE o_orderkey % 8 WHEN 1 THEN array('o_totalprice') WHEN 2 THEN array('o_totalprice', 'o_totalprice') WHEN 3 THEN cast(array() as array<string>) WHEN 4 THEN array('zz', 'o_orderkey') WHEN 5 THEN array('a') WHEN 7 THEN array('o_totalprice', 'o_orderdate') END"
+
+
+@query("val23_requested_fields", """SELECT o_orderkey AS request_id, CASE o_orderkey % 8 WHEN 0 THEN 'o_orderdate,o_totalprice' WHEN 1 THEN 'o_totalprice' WHEN 6 THEN 'l_quantity' WHEN 7 THEN 'o_orderdate,o_totalprice' END AS selected,
+CASE o_orderkey % 8 WHEN 2 THEN 'repeated fields' WHEN 3 THEN 'no fields' WHEN 4 THEN 'not registered or keys: o_orderkey, zz' WHEN 5 THEN 'dataset' ELSE '' END AS errors FROM orders""")
 def val23(spark, d):
-    known = table(spark, d, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_orderstatus").alias("field")).distinct()
-    asked = table(spark, d, "orders").select(F.explode(F.array("o_orderpriority", "o_orderstatus", "o_orderstatus")).alias("field"))
-    return asked.join(known, "field", "left_anti").groupBy("field").agg(F.count("*").alias("n"))
+    """Fields that requests, made of orders, ask for: all of a dataset if none is named."""
+    dataset = F.when(F.col("o_orderkey") % 8 == 5, "none").when(F.col("o_orderkey") % 8 == 6, "lineitem").otherwise("orders")
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), dataset.alias("dataset_id"), F.expr(_ASKED).alias("fields"))
+    r = C.requested_fields(asked, spark.createDataFrame(REGISTERED, "dataset_id string, field string, is_key boolean"))
+    return r.select("request_id", F.array_join("selected", ",").alias("selected"), F.array_join("errors", "; ").alias("errors"))
 
 
-@query("val24_forbidden_terms", "SELECT source, count(*) FILTER (contains(lower(text), 'password') OR contains(lower(text), 'secret')) AS n FROM documents GROUP BY source")
+ALIASES = ["password", "secret", "k"]
+
+
+@query("val24_forbidden_terms", f"""WITH a AS (SELECT unnest({ALIASES}) AS alias) SELECT 'text' AS kind, source AS place, alias, count(*) AS n FROM documents JOIN a ON contains(text, alias) GROUP BY ALL
+UNION ALL SELECT 'name', 'events', alias, count(*) FROM (SELECT unnest(json_keys(props)) AS name FROM events) JOIN a ON name = alias GROUP BY ALL""")
 def val24(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(T.contains_any("text", ["password", "secret"])).alias("n"))
+    """Aliases that remain in texts, and as names of the events' fields."""
+    names = table(spark, d, "events").select(F.lit("events").alias("place"), F.explode(F.json_object_keys("props")).alias("name"))
+    return C.forbidden_names(table(spark, d, "documents").select(F.col("source").alias("place"), "text"), names, ALIASES)
+
+
+SLOTS = {"purchase": {"fields": ["value", "k"], "any_of": [["1", "2"]]}, "click": {"fields": ["k"], "terms": ["7"], "any_of": [["8", "9"], ["3", "4", "5"]]}, "view": {"terms": ['"K"', "5"]}}
 
 
-@query("val25_slot_coverage", "WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT DISTINCT event_type FROM events), n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT s.event_type, count(*) AS expected, count(*) FILTER (n.n IS NULL) AS missing, count(*) FILTER (n.n > 1) AS repeated FROM u CROSS JOIN s LEFT JOIN n ON n.user_id = u.user_id AND n.event_type = s.event_type GROUP BY 1")
+@query("val25_slot_coverage", """WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT unnest(['purchase', 'click', 'view']) AS slot), e AS (SELECT user_id, event_type AS slot, value, props->>'k' AS k, props AS t FROM events),
+g AS (SELECT user_id, slot, count(*) AS n, bool_or(value IS NULL) AS v0, bool_or(coalesce(trim(k), '') = '') AS k0, bool_or(NOT regexp_matches(t, '[12]')) AS a0, bool_or(NOT contains(t, '7')) AS c0, bool_or(NOT regexp_matches(t, '[89]')) AS c1, bool_or(NOT regexp_matches(t, '[345]')) AS c2, bool_or(NOT contains(t, '"k"')) AS w0, bool_or(NOT contains(t, '5')) AS w1 FROM e GROUP BY 1, 2)
+SELECT user_id, slot, coalesce(n, 0) AS n, concat_ws('; ', CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' END, CASE WHEN slot = 'purchase' AND v0 THEN 'value: empty' END, CASE WHEN slot IN ('purchase', 'click') AND k0 THEN 'k: empty' END, CASE WHEN slot = 'purchase' AND a0 THEN 'none of 1, 2' END,
+CASE WHEN slot = 'click' AND c0 THEN 'no 7' END, CASE WHEN slot = 'click' AND c1 THEN 'none of 8, 9' END, CASE WHEN slot = 'click' AND c2 THEN 'none of 3, 4, 5' END, CASE WHEN slot = 'view' AND w0 THEN 'no "K"' END, CASE WHEN slot = 'view' AND w1 THEN 'no 5' END) AS errors
+FROM u CROSS JOIN s LEFT JOIN g USING (user_id, slot)""")
 def val25(spark, d):
-    """Entities x slots that lack a fact: the grid is counted, not built."""
-    ev = table(spark, d, "events")
-    users = ev.agg(F.countDistinct("user_id").alias("expected"))
-    have = ev.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.count("*").alias("have"), F.count_if(F.col("n") > 1).alias("repeated"))
-    return have.crossJoin(F.broadcast(users)).select("event_type", "expected", (F.col("expected") - F.col("have")).alias("missing"), "repeated")
+    """Every user's expected facts: there once, with the fields and terms of their slot."""
+    facts = table(spark, d, "events").select("user_id", F.col("event_type").alias("slot"), "value", F.get_json_object("props", "$.k").alias("k"), "props")
+    return C.slot_coverage(facts, facts, "user_id", SLOTS, "props").withColumn("errors", F.array_join("errors", "; "))
 
 
 DICTIONARY = ["# Fields", "- `k`: the key of an event", "- `store_id`: the store", "* `period_month`: month of the window", "text about `value` in a line that defines nothing", "- `entry_users`: users who entered"]
@@ -339,15 +419,15 @@ def variants(items, key: str, text: str):
     return b.select(key, F.inline(rows)).groupBy(key, "wording").agg(F.min_by("variant", "i").alias("variant"))
 
 
-_ASK = "CASE doc_id % 5 WHEN 0 THEN 'Compare stores B-' || chr(67 + CAST(doc_id % 4 AS INT)) || ' with store a1' WHEN 1 THEN 'store_k7 and Store z' WHEN 2 THEN 'restore b, stores' WHEN 3 THEN 'Stores F-D; store e' ELSE source END"
+_ASK = """CASE doc_id % 9 WHEN 0 THEN concat('Compare stores B-', char(67 + doc_id % 4), ' with store a1') WHEN 1 THEN 'store_k7_x and Store z' WHEN 2 THEN 'restore b, stores; storefront c' WHEN 3 THEN 'Stores F—D, h and 12; store e'
+WHEN 4 THEN concat('store b to d & store x through z, ', doc_id) WHEN 5 THEN 'b3店 和 门店 7' WHEN 6 THEN 'StoreB2 StoreC storeD' WHEN 7 THEN 'panel B - F' ELSE source END"""
 
 
-@query("fstr11_entity_mentions", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN array_to_string(list_transform(range(0, CAST(doc_id % 4 + 2 AS BIGINT)), lambda i: 'store_' || chr(CAST(98 + i AS INT))), ',') || ',store_a1'
-WHEN 1 THEN 'store_k7,store_z' WHEN 3 THEN 'store_d,store_e,store_f' ELSE '' END AS stores FROM documents""")
+@query("fstr11_entity_mentions", """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN array_to_string(list_transform(range(0, CAST(doc_id % 4 + 2 AS BIGINT)), lambda i: 'store_' || chr(CAST(98 + i AS INT))), ',') || ',store_a1' WHEN 1 THEN 'store_k7_x,store_z'
+WHEN 3 THEN 'store_d,store_e,store_f,store_h,store_12' WHEN 4 THEN 'store_b,store_c,store_d,store_x,store_y,store_z,store_' || doc_id WHEN 5 THEN 'store_b3,store_7' WHEN 6 THEN 'store_b2,store_c' WHEN 7 THEN 'store_b,store_c,store_d,store_e,store_f' ELSE '' END AS stores FROM documents""")
 def fstr11(spark, d):
     """Stores named in requests that are made up from documents' numbers."""
-    ask = F.expr(_ASK.replace("chr(67 + CAST(doc_id % 4 AS INT))", "char(67 + doc_id % 4)"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.entity_mentions(ask), ",").alias("stores"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.entity_mentions(F.expr(_ASK)), ",").alias("stores"))
 
 
 @query("fstr12_chunks", r"""WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n')) AS c FROM documents),

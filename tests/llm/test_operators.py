@@ -757,6 +757,49 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_leave_room_for_other_neighbours(spark):
+    """An id that has a third of all rows is one candidate, in every block."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 8))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(7, (x[0] * 2).tolist())] * 20 + [(8, x[8].tolist())] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {}
+    for i, v in rows[1:]:
+        s = neighbours.exact(x[:1], np.array([v]))[0]
+        best[i] = max(best.get(i, -2), s)
+    want = sorted(best.items(), key=lambda z: (-z[1], z[0]))[:5]
+    for block in (8, 2048):
+        got = [(r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") == 0, block=block, probes=81).orderBy("rank").collect()]
+        assert got[0] == (7, want[0][1]) and len({i for i, _ in got}) == 5
+        assert all(math.isclose(s, best[i], rel_tol=1e-12) for i, s in got)
+
+
+def test_functions_and_probes_follow_the_number_of_rows():
+    assert [neighbours.fitting(n) for n in (0, 1 << 20, 1 << 24, 1 << 28)] == [(4, 16), (4, 16), (5, 48), (6, 144)]
+
+
+@pytest.mark.parametrize("more", [0, 1, 2])
+def test_recall_of_random_vectors(more):
+    """Recall at 5 of what the visited buckets hold, on independent normal vectors."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.arange(0, 6000, 60)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -2
+    truth = np.argsort(-near, axis=1)[:, :5]
+    hashes, probes = neighbours.fitting(neighbours.LARGE * neighbours.GROWTH**more)
+    seen = np.zeros((len(q), len(x)), bool)
+    for t in range(neighbours.TABLES):
+        a, b = neighbours._functions(t, 64, hashes, neighbours.CELL)
+        scaled = (x @ a.T + b) / neighbours.CELL
+        own = neighbours.bucket_ids(np.floor(scaled), t, 64)
+        visited = neighbours.bucket_ids(neighbours.probe_cells(scaled[q], probes), t, 64)
+        for i in range(len(q)):
+            seen[i] |= np.isin(own, visited[i])
+    assert np.take_along_axis(seen, truth, 1).mean() >= 0.94
+
+
 def test_doubles_are_scored_as_doubles(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 8)) * np.where(np.arange(60) % 3 == 0, 1e60, 1)[:, None]

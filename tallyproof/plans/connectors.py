@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SP, store_period, table
 from ..functions import text as T
-from ..operators import ledger as L
+from ..operators import corpus as C, ledger as L
 from ..registry import query
 from ..sources import files as S, publication as U
 
@@ -76,6 +76,38 @@ def src6(spark, d):
     return facts.unionByName(q).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+#: Parts of one dictionary file.
+DICTIONARY = 200
+ABOUT = "This dictionary lists parts by key, with their name, brand and type; it has rows:"
+_MARKDOWN = f"""p AS (SELECT *, p_partkey // {DICTIONARY} AS f, row_number() OVER (PARTITION BY p_partkey // {DICTIONARY} ORDER BY p_partkey) AS i,
+ '| `' || p_partkey || '` | ' || p_name || ' | ' || p_brand || ' | ' || p_type || ' |' AS line FROM part),
+t AS (SELECT 'dictionary=' || f AS source_file, count(*) AS n, '| key | name | brand | type |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS rows FROM p GROUP BY f),
+n AS (SELECT source_file, 1 AS i, '{ABOUT} ' || n AS part FROM t UNION ALL SELECT source_file, 3, rows FROM t),
+md AS (SELECT 'field_contract_row' AS doc_type, source_file, source_file || ':L' || (i + 8) AS doc_id, CAST(p_partkey AS VARCHAR) AS slot,
+ 'source_file: ' || source_file || chr(10) || 'line: ' || (i + 8) || chr(10) || 'slot: ' || p_partkey || chr(10) || 'content: ' || line AS text FROM p JOIN t ON source_file = 'dictionary=' || f
+ UNION ALL SELECT 'field_contract_note', source_file, source_file || ':chunk:' || i, '', 'source_file: ' || source_file || chr(10) || 'chunk: ' || i || chr(10) || 'content:' || chr(10) || part FROM n WHERE length(part) >= 80)"""
+
+
+def dictionaries(spark, d):
+    """Markdown files of parts, written and read back: a heading, two paragraphs and a
+    table each."""
+    row = F.concat(F.lit("| `"), F.col("p_partkey").cast("string"), F.lit("` | "), F.concat_ws(" | ", "p_name", "p_brand", "p_type"), F.lit(" |"))
+    parts = table(spark, d, "part").select(F.floor(F.col("p_partkey") / DICTIONARY).alias("dictionary"), "p_partkey", row.alias("line"))
+    whole = parts.groupBy("dictionary").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("p_partkey", "line"))).alias("l"))
+    lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    head = F.concat(F.lit(f"# Parts\n\n{ABOUT} "), F.col("n").cast("string"), F.lit("\n\nIn order.\n\n| key | name | brand | type |\n|---|---|---|---|\n"))
+    path = S.fresh_path(spark, "dictionaries")
+    whole.select(F.concat(head, lines).alias("value"), "dictionary").write.partitionBy("dictionary").text(path)
+    return S.read_markdown(spark, path, r"dictionary=\d+")
+
+
+@query("src6_markdown_scan", f"WITH {_MARKDOWN} SELECT doc_id, doc_type, source_file, slot, md5(text) AS h FROM md")
+def src6_markdown(spark, d):
+    """Field rows and notes of markdown files, with their line or paragraph."""
+    files = dictionaries(spark, d)
+    return C.units([], files).select("doc_id", "doc_type", "source_file", "slot", F.md5("text").alias("h"))
+
+
 @query("src7_record_sink", f"WITH {SP} SELECT region_type AS publication_id, count(*) AS n, round(sum(transaction_amount), 1) AS amount FROM sp GROUP BY 1")
 def src7(spark, d):
     path = S.fresh_path(spark, "records")

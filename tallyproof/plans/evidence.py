@@ -9,8 +9,9 @@ from pyspark.sql import Window, functions as F
 
 from ..adapters import SKU, SP, sku_period, store_period, table
 from ..functions import numbers as N, text as T, values as V
-from ..operators import beliefs as B, ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV, rules as RU
+from ..operators import beliefs as B, corpus as C, ledger as L, panels as P, quantiles as Q, retrieval as R, review as RV, rules as RU
 from ..registry import ORACLES, query
+from .connectors import _MARKDOWN, dictionaries
 from .diagnostics import MONTHS
 from .review import rac4
 
@@ -188,6 +189,26 @@ def rtv1(spark, d):
     return c.unionByName(q).unionByName(f).groupBy("kind").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_chars"))
 
 
+_CORPUS = f"""WITH {_FT}, f AS ({_FACTS}), {_MARKDOWN}
+SELECT store_id || '|' || period_month || '|' || slot AS doc_id, 'generated_memory_fact' AS doc_type, 'facts/panel.json' AS source_file, store_id AS entity_id, slot, period_month AS period_label,
+ md5(concat_ws(chr(10), 'source_file: facts/panel.json', 'fact_id: ' || store_id || '|' || period_month || '|' || slot, 'kind: ', 'type: ', 'entity_id: ' || store_id, 'slot: ' || slot, 'period_label: ' || period_month, 'period_start: ', 'period_end: ', 'value: ',
+ 'observed_values: ' || observed_values, 'calculation: ', 'source_fields: ["' || replace(source_fields, ',', '","') || '"]', 'source_path: ', 'supporting_source_paths: []', 'lineage_path: ', 'confidence: ' || confidence, 'limitations: []', 'is_active: ', 'period: ' || period_month)) AS h FROM f
+UNION ALL SELECT doc_id, doc_type, source_file, '', slot, '', md5(text) FROM md"""
+
+
+def corpus(spark, d):
+    """Every fact of the panel and every unit of the dictionaries in one schema."""
+    named = F.concat_ws("|", "store_id", "period_month", "slot").alias("fact_id")
+    fields = F.split("source_fields", ",").alias("source_fields")
+    facts = agg15(spark, d).select(named, F.col("store_id").alias("entity_id"), "slot", F.col("period_month").alias("period"), fields, "observed_values", "confidence")
+    return C.units([C.fact_units(facts, "facts/panel.json")], dictionaries(spark, d))
+
+
+@query("rtv1_corpus_documents", _CORPUS)
+def rtv1_documents(spark, d):
+    return corpus(spark, d).select("doc_id", "doc_type", "source_file", "entity_id", "slot", "period_label", F.md5("text").alias("h"))
+
+
 @query("fstr13_fact_text", f"WITH {_FT}, f AS ({_FACTS}) SELECT store_id, period_month, slot, md5(concat_ws(chr(10), 'store: ' || store_id, 'month: ' || period_month, 'slot: ' || slot, 'confidence: ' || confidence, 'fields: ' || source_fields, observed_values)) AS h FROM f")
 def fstr13(spark, d):
     return agg15(spark, d).select("store_id", "period_month", "slot", F.md5(T.fact_text()).alias("h"))

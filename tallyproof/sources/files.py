@@ -80,3 +80,10 @@ def canonical_cells(df: DataFrame) -> DataFrame:
 def write_records(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
     """Published records: ranges of the order, sorted inside, by publication."""
     df.repartitionByRange(partition, *order).sortWithinPartitions(partition, *order).write.partitionBy(partition).parquet(path)
+
+
+def read_markdown(spark: SparkSession, path: str, label: str = r"[^/]+$") -> DataFrame:
+    """(source_file, text) of the .md and .txt files under a folder, each file whole; a file's
+    label is the part of its path that the pattern finds, by default its name."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), label, 0).alias("source_file"), F.col("value").alias("text"))

@@ -91,6 +91,16 @@ def test_pairs_meet_once_whatever_the_blocks_are(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_few_bytes_of_pairs_are_not_put_into_one_task(spark):
+    df = spark.createDataFrame([(i % 20, i) for i in range(400)], "g int, i int")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        met = P.pairs(df, ["g"], "i").select(F.col("a.g"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert len(met) == 20 * 190 and len({r.task for r in met}) > 1
+
+
 def test_places_follow_the_order(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "x int").repartition(7)
     assert [(r.x, r.place) for r in P.placed(df, ["x"]).orderBy("x").collect()] == [(i, i + 1) for i in range(101)]

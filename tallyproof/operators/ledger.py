@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import close
 from ..sources import publication
+from . import panels as P
 
 
 def judged(batches: DataFrame, scope: list[str]) -> DataFrame:
@@ -147,16 +148,19 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]
     )
 
 
-def facts_checked(facts: DataFrame, panel: DataFrame, skus: DataFrame, slots: dict, listing: str, tolerance: float, top: int = 3) -> DataFrame:
+def facts_checked(facts: DataFrame, panel: DataFrame, skus: DataFrame, slots: dict, listing: str, tolerance: float, top: int = 3, parts: int | None = None) -> DataFrame:
     """(store_id, period_month, slot, field, outcome) of each observed value of facts
     (store_id, period_month, slot, observed_values as JSON) against the panel's, and of
-    the listing slot's items against the top list: agrees, differs, both missing."""
+    the listing slot's items against the top list: agrees, differs, both missing. parts:
+    tasks among which the store-months are dealt."""
     keys = ["store_id", "period_month"]
     every = sorted({f for fs in slots.values() for f in fs})
-    read = facts.withColumn("seen", F.from_json("observed_values", ", ".join(f"{f} double" for f in every) + ", top_items array<string>"))
+    read = P.dealt(facts, parts, *keys).withColumn("seen", F.from_json("observed_values", ", ".join(f"{f} double" for f in every) + ", top_items array<string>"))
     item = F.concat_ws(" ", "sku_name", F.col("sales_volume").cast("string"))
-    lists = skus.where(F.col("sku_rank") <= top).groupBy("store_id", F.date_format("period_start", "yyyy-MM").alias("period_month")).agg(F.array_sort(F.collect_list(item)).alias("own_items"))
-    met = read.join(panel.select(*keys, *(F.col(f).cast("double").alias(f) for f in every)), keys).join(lists, keys, "left")
+    named = skus.where(F.col("sku_rank") <= top).select("store_id", F.date_format("period_start", "yyyy-MM").alias("period_month"), "sku_name", "sales_volume")
+    lists = P.dealt(named, parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("own_items"))
+    values = P.dealt(panel.select(*keys, *(F.col(f).cast("double").alias(f) for f in every)), parts, *keys)
+    met = read.join(values, keys).join(lists, keys, "left")
     told = lambda f, a, b, same: F.struct(F.lit(f).alias("field"), F.when(a.isNull() & b.isNull(), "both missing").when(F.coalesce(same, F.lit(False)), "agrees").otherwise("differs").alias("outcome"))
     cell = lambda f: told(f, F.col("seen")[f], F.col(f), F.abs(F.col("seen")[f] - F.col(f)) <= tolerance)
     seen, own = F.array_sort(F.col("seen.top_items")), F.coalesce("own_items", F.array().cast("array<string>"))

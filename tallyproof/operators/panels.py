@@ -73,6 +73,12 @@ def unpivoted(wide: DataFrame, months: list[str], metrics: list[str]) -> DataFra
     return wide.select("store_id", F.inline(F.array(*map(row, months))))
 
 
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """The rows dealt by their keys over so many tasks, which run time keeps as they are, so
+    that a task's rows don't grow with the table; None leaves them to Spark."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def pairs(df: DataFrame, keys: list[str], order: str, block: int = 1000) -> DataFrame:
     """Pairs a, b of rows with equal keys where a's order column is the smaller. A
     group's rows are dealt to blocks of about so many, and blocks meet two at a time, so

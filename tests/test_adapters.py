@@ -5,6 +5,7 @@ import os
 import pytest
 
 from tallyproof import adapters as A
+from tallyproof.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables aren't here")
@@ -24,3 +25,15 @@ def test_more_lines_get_more_tasks(spark, monkeypatch, made):
     # no map-side sum stands between the scan and the exchange of lines
     first = next(i for i, x in reversed(list(enumerate(plan.splitlines()))) if f", {n}), REPARTITION_BY_NUM" in x)
     assert "HashAggregate" not in "\n".join(plan.splitlines()[first:]).split("Scan parquet")[0]
+
+
+@pytest.mark.parametrize("name", ["fstr13_fact_text", "lin2_nested_lists", "rtv1_corpus_documents", "rtv1_corpus_units"])
+def test_facts_are_dealt_by_lines_too(spark, monkeypatch, name):
+    """No step that joins or gathers facts, panel rows or top lists by store and month
+    follows the number of shuffle partitions."""
+    before = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(A, "LINES", 1000)
+    many = QUERIES[name](spark, SF)
+    assert sorted(map(str, many.collect())) == before
+    plan = [x for x in many._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(store_id" in x]
+    assert plan and all(f", {A.tasks(spark, SF)}), REPARTITION_BY_NUM" in x for x in plan)

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyproof.functions import text as T
+from tallyproof.functions import numbers as N, text as T
 from tallyproof.operators import intervals as I, ledger as L, panels as P, review as V
 from tallyproof.plans import diagnostics as D
 
@@ -101,6 +101,22 @@ def test_few_bytes_of_pairs_are_not_put_into_one_task(spark):
     assert len(met) == 20 * 190 and len({r.task for r in met}) > 1
 
 
+def test_blocks_of_pairs_compare_no_two_rows_twice(spark):
+    """A block is of so many rows that follow each other, so that of two blocks each row of
+    one pairs with each row of the other."""
+    df = spark.createDataFrame([(f"g{i % 2}", f"s{i * 37 % 101:03}") for i in range(101)], "g string, s string")
+    cells = P.pairs(df, ["g"], "s", 10).groupBy("g", "_i", "_j").agg(F.count("*").alias("n"), F.countDistinct("a.s").alias("a"), F.countDistinct("b.s").alias("b"))
+    got = {(r.g, r._i, r._j): (r.n, r.a, r.b) for r in cells.collect()}
+    assert all(got["g1", i, j] == (100, 10, 10) for j in range(5) for i in range(j)) and all(got["g1", i, i] == (45, 9, 9) for i in range(5)) and len(got) == 15 + 20
+    assert sum(n for n, _, _ in got.values()) == 51 * 50 // 2 + 50 * 49 // 2
+
+
+def test_rounded_is_round(spark):
+    rows = [(None,), (0.0,), (float("nan"),), (float("inf"),), (1e300,), (-123456789012.3456,), (4e11 + 0.0001,), *[(x / 10000 - y / 10000,) for x in range(0, 10**9, 99_999_989) for y in range(1, 10**10, 888_888_887)]]
+    out = spark.createDataFrame(rows, "x double").select(N.rounded("x", 4).alias("a"), F.round("x", 4).alias("b"))
+    assert out.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
 def test_places_follow_the_order(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "x int").repartition(7)
     assert [(r.x, r.place) for r in P.placed(df, ["x"]).orderBy("x").collect()] == [(i, i + 1) for i in range(101)]

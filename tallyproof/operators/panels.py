@@ -15,9 +15,9 @@ def top_sum(skus: DataFrame, ranks: int = 3) -> DataFrame:
     return skus.where(F.col("sku_rank") <= ranks).groupBy(*KEY).agg(N.guarded_sum("sku_transaction_amount", "sku_rank", ranks).alias("top3_amount"))
 
 
-def with_top(panel: DataFrame, skus: DataFrame) -> DataFrame:
-    """The panel with its top-list sums, null where there is no list."""
-    return panel.join(top_sum(skus), KEY, "left")
+def with_top(panel: DataFrame, skus: DataFrame, parts: int | None = None) -> DataFrame:
+    """The panel with its top-list sums, null where there is no list; parts: see dealt."""
+    return dealt(panel, parts, *KEY).join(top_sum(skus), KEY, "left")
 
 
 def previous(df: DataFrame, metrics: list[str], by: str = "store_id", order: str = "period_start") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..adapters import SKU, SP, sku_period, store_period, table
+from ..adapters import SKU, SP, sku_period, store_period, table, tasks
 from ..functions import numbers as N
 from ..operators import panels as P
 from ..registry import query
@@ -49,11 +49,12 @@ def _mom(c):
     return f"round((CAST({c} AS DOUBLE) - CAST(prev_{c} AS DOUBLE)) * 100 / nullif(CAST(prev_{c} AS DOUBLE), 0), 2)"
 
 
-def month_over_month(panel, skus):
+def month_over_month(panel, skus, parts=None):
     """Shares, previous values, changes and the trade-off flag of every month: at a
     store's latest month, whether amount and orders rose while order conversion and
-    order value fell; null there if any of the eight inputs is missing."""
-    df = P.latest(P.previous(P.with_top(panel, skus), [*MOM, *RANKS, "order_conversion_rate_pct"]))
+    order value fell; null there if any of the eight inputs is missing. Earlier months come before
+    the top lists, as the panel's months of a store are together."""
+    df = P.with_top(P.latest(P.previous(panel, [*MOM, *RANKS, "order_conversion_rate_pct"])), skus, parts)
     df = df.withColumns({n: N.pct(x, y) for n, (x, y) in SHARES.items()})
     df = df.withColumns({f"{m}_mom_pct": N.change_pct(m, f"prev_{m}") for m in MOM} | {f"{m}_change": N.difference(m, f"prev_{m}") for m in RANKS})
     ups = [F.col(m) > F.col(f"prev_{m}") for m in TRADEOFF[:2]] + [F.col(m) < F.col(f"prev_{m}") for m in TRADEOFF[2:]]
@@ -78,7 +79,7 @@ DIA1 = f"""WITH {MOM_CTE} SELECT {K}, period_month, top3_amount, {", ".join([*MO
 
 @query("dia1_month_over_month", DIA1)
 def dia1(spark, d):
-    return month_over_month(store_period(spark, d), sku_period(spark, d))
+    return month_over_month(store_period(spark, d), sku_period(spark, d), tasks(spark, d))
 
 
 def scope_flag(window: tuple):
@@ -99,9 +100,9 @@ def notes(high: float = 80, moderate: float = 65, concentrated: float = 25):
     )
 
 
-def same_period(panel, skus, window: tuple, **limits):
+def same_period(panel, skus, window: tuple, parts=None, **limits):
     """Every window with its metrics, shares, scope flag and notes."""
-    df = P.with_top(panel, skus)
+    df = P.with_top(panel, skus, parts)
     df = df.withColumns({n: N.pct(x, y) for n, (x, y) in SHARES.items()})
     return df.select(*SAME_PERIOD, scope_flag(window).alias("scope_flag"), notes(**limits).alias("notes"))
 
@@ -119,7 +120,7 @@ FLAG_SQL = f"CASE WHEN period_start <> DATE '{WINDOW[0]}' OR period_end <> DATE
 
 @query("dia2_same_period", f"WITH {SHARED_SQL} SELECT {', '.join(SAME_PERIOD)}, {FLAG_SQL} AS scope_flag, {_notes(80, 65, 25)} AS notes FROM sh")
 def dia2(spark, d):
-    return same_period(store_period(spark, d), sku_period(spark, d), WINDOW)
+    return same_period(store_period(spark, d), sku_period(spark, d), WINDOW, tasks(spark, d))
 
 
 _AVG = ", ".join(f"CASE WHEN count({m}) = count(*) THEN round(CAST(sum(CAST({m} AS DECIMAL(18, 4))) AS DOUBLE) / count({m}), 2) END AS avg_{m}" for m in CHECKED)
@@ -159,13 +160,13 @@ def repeated_windows(panel, months: list):
 n AS (SELECT store_id, period_month, scenario, {_notes('80 + shift', '65 + shift', '25 + shift')} AS notes FROM sh CROSS JOIN sc)
 SELECT a.scenario, count(*) AS n_rows, count(*) FILTER (a.notes <> b.notes) AS n_changed FROM n a JOIN n b ON a.store_id = b.store_id AND a.period_month = b.period_month AND b.scenario = 'baseline' GROUP BY a.scenario""")
 def dia5(spark, d):
-    return guardrail_sensitivity(store_period(spark, d), sku_period(spark, d))
+    return guardrail_sensitivity(store_period(spark, d), sku_period(spark, d), tasks(spark, d))
 
 
-def guardrail_sensitivity(panel, skus):
+def guardrail_sensitivity(panel, skus, parts=None):
     """Rows whose notes change when the limits move by five points either way: each
     row carries its notes under all scenarios, so no join is needed."""
-    df = P.with_top(panel, skus)
+    df = P.with_top(panel, skus, parts)
     df = df.withColumns({n: N.pct(x, y) for n, (x, y) in SHARES.items()})
     shifts = {"minus": -5, "baseline": 0, "plus": 5}
     wide = df.select(*(notes(80 + s, 65 + s, 25 + s).alias(n) for n, s in shifts.items()))
@@ -204,7 +205,7 @@ def agg1(spark, d):
 
 @query("jn1_store_top3", f"WITH {SP}, {SKU}, {TOP} SELECT {K}, transaction_amount, top3_amount FROM sp LEFT JOIN top USING ({K})")
 def jn1(spark, d):
-    return P.with_top(store_period(spark, d), sku_period(spark, d)).select(*KEY, "transaction_amount", "top3_amount")
+    return P.with_top(store_period(spark, d), sku_period(spark, d), tasks(spark, d)).select(*KEY, "transaction_amount", "top3_amount")
 
 
 @query("jn2_panel_months", f"WITH {SP}, o AS (SELECT store_id, string_agg(DISTINCT period_month, '|' ORDER BY period_month) AS observed FROM sp WHERE period_month < '1996-01' GROUP BY store_id) SELECT sp.store_id, period_month, observed FROM sp LEFT JOIN o USING (store_id)")
@@ -279,7 +280,7 @@ def fmth1(spark, d):
 
 @query("fcnd1_scope_flag", f"WITH {SHARED_SQL} SELECT {FLAG_SQL} AS scope_flag, count(*) AS n FROM sh GROUP BY 1")
 def fcnd1(spark, d):
-    panel = P.with_top(store_period(spark, d), sku_period(spark, d))
+    panel = P.with_top(store_period(spark, d), sku_period(spark, d), tasks(spark, d))
     return panel.groupBy(scope_flag(WINDOW).alias("scope_flag")).agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyproof import adapters as A
 from tallyproof.catalog import QUERIES
@@ -37,3 +38,30 @@ def test_facts_are_dealt_by_lines_too(spark, monkeypatch, name):
     assert sorted(map(str, many.collect())) == before
     plan = [x for x in many._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(store_id" in x]
     assert plan and all(f", {A.tasks(spark, SF)}), REPARTITION_BY_NUM" in x for x in plan)
+
+
+def test_month_over_month_sends_a_line_once_to_each_side(spark, monkeypatch):
+    """Lines go to their store's task, so that no rows of orders are sent, months of a store
+    are together for those before, and what is joined is dealt by lines. Large stores are
+    dealt in shares, with the same rows."""
+    before = sorted(map(str, QUERIES["dia1_month_over_month"](spark, SF).collect()))
+    for lines in (100, 1000):
+        monkeypatch.setattr(A, "LINES", lines)
+        many = QUERIES["dia1_month_over_month"](spark, SF)
+        assert sorted(map(str, many.collect())) == before
+        plan = [x.split("Exchange ")[1] for x in many._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning" in x]
+        assert not any("l_orderkey" in x or "l_partkey" in x for x in plan)
+        own = [x for x in plan if f", {A.tasks(spark, SF)}), REPARTITION_BY_NUM" in x]
+        assert len(own) == 5 and sum("_share" in x for x in own) == 2
+        # the rest are counts of the lines of stores, and the stores
+        rest = [x for x in plan if x not in own and not x.startswith("hashpartitioning(l_suppkey#")]
+        assert len(rest) <= 1 and all(x.startswith("hashpartitioning(store_id#") and f", {A.tasks(spark, SF)}), ENSURE" in x for x in rest)
+
+
+def test_a_large_store_is_dealt_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "LINES", 500)
+    one = A.table(spark, SF, "lineitem")
+    one.where("l_suppkey = 1 or l_orderkey % 50 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = {r.l_suppkey: r["count"] for r in A.table(spark, str(tmp_path), "lineitem").groupBy("l_suppkey").count().collect()}
+    met = A._dealt(spark, str(tmp_path), 8, "l_orderkey").groupBy("l_suppkey").agg(F.countDistinct("_share").alias("n"), F.count("*").alias("lines")).collect()
+    assert {r.l_suppkey: (r.n, r.lines) for r in met} == {k: (-(-v // 500), v) for k, v in n.items()} and n[1] > 500 > min(n.values())
